@@ -1,0 +1,37 @@
+"""Connected components of links, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from turnloom.llm._spark import settle
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    return both.join(least, both["a"] == least["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+    out = down.join(least, down["a"] == least["u"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b): each node of edges (a, b) but the least of its component, and that least node. Longs, no nulls.
+
+    Each pass writes the edges to the shared folder. Passes end when the edges no longer change; there are about log2 of the
+    longest path of them. Links and components stay in Spark. No edges: no rows.
+    """
+    edges = settle(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    mark = None
+    while True:
+        edges = settle(_small_star(_large_star(edges)), "links")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(now) == mark:
+            return edges
+        mark = tuple(now)

@@ -1,0 +1,133 @@
+"""One query for each operator of this subpackage, over whole tables, and SQL for those that it can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnloom.llm import decontaminate, licenses, mixing, ngram_jaccard, quality, secrets, sharding
+
+# Fixed values of the contracts.
+SOURCE_WEIGHTS, BUDGET_RATIO, MAX_REPEATS = [5, 2, 1], 1.5, 2
+SHARDS = 40
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.fair_queue(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, BUDGET_RATIO, MAX_REPEATS).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    counts = [F.size(F.filter("secrets", _is(kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex", "entropy")]
+    return found.select("doc_id", *counts, F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(F.col("secrets")).alias("spans"))
+
+
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.drop("hit_spans")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_groups(_table(spark, sf_dir, "documents"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    both = F.array_sort(F.array_union(base, F.transform("matches", lambda m: m["label"])))
+    starts = F.transform("places", lambda p: p["word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(both, ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * SHARDS).drop("text")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op9_licenses, op10_rendezvous]
+    return {f.__name__: f for f in named}
+
+
+_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM d GROUP BY source),
+c AS (SELECT *, source_size::DOUBLE * 2 AS cap, sum(source_size) OVER ()::DOUBLE * 1.5 AS budget FROM s),
+l AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM c WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+f AS (SELECT *, bool_and(cap <= level * weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS capped FROM l),
+t AS (
+  SELECT source, source_size, budget,
+         CASE WHEN capped THEN cap ELSE weight * arg_min(CASE WHEN NOT capped THEN level END, CASE WHEN NOT capped THEN cap / weight END) OVER () END AS target
+  FROM f),
+q AS (
+  SELECT d.*, source_size, target, budget,
+         sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS reached
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (
+  SELECT *, (reached + p * source_size) / target AS finish
+  FROM q, (VALUES (0), (1)) v(p) WHERE size > 0 AND target > 0),
+u AS (SELECT *, sum(size) OVER (ORDER BY finish, key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM r),
+z AS (SELECT max(row(finish, key)) AS cut FROM u WHERE upto <= budget),
+n AS (SELECT doc_id, source, size, count(*) / count(DISTINCT p) AS same, count(*) AS k FROM u, z WHERE row(finish, key) <= cut GROUP BY ALL)
+SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(n.k / n.same, 0))::BIGINT AS taken
+FROM q LEFT JOIN n ON q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.source IS NOT DISTINCT FROM n.source AND q.size = n.size
+"""
+
+_OP3 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k + least(len(ws), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS k FROM b WHERE len(ws) > 0)),
+g AS (
+  SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS k FROM w, (SELECT DISTINCT n FROM p) WHERE len(ws) >= n)),
+m AS (SELECT doc_id, k, n, item_id FROM g JOIN p USING (n, phrase)),
+h AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS word FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM m GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_mix_sources": _OP1, "op3_decontaminate": _OP3}
