@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import archive, decontaminate, licenses, mixing, ngram_jaccard, pii, quality, secrets, sharding
+from turnloom.llm import archive, decontaminate, licenses, mixing, ngram_jaccard, ngram_lm, pii, quality, secrets, sharding
 
 # Fixed values of the contracts.
 SOURCE_WEIGHTS, BUDGET_RATIO, MAX_REPEATS = [5, 2, 1], 1.5, 2
@@ -56,6 +56,10 @@ def op7_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
@@ -78,7 +82,7 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op9_licenses, op10_rendezvous]
+    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op8_ngram_lm, op9_licenses, op10_rendezvous]
     return {f.__name__: f for f in named}
 
 
