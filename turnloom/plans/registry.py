@@ -17,13 +17,19 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def _load() -> None:
+    from turnloom.plans import interval_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["M06_summary"](spark, sf_dir)
+    return queries()["M06_summary"](spark, sf_dir)
