@@ -17,8 +17,8 @@ from turnloom.llm.components import components
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text for each block of columns (n-grams); there are LEAST_BLOCKS at least.
 BLOCK_BYTES, LEAST_BLOCKS = 24 << 20, 32
-#: Turns in which each text of a column is compared with one of them, before all pairs that are still apart are.
-STAR_TURNS = 3
+#: Texts of a column that all others are compared with, before all pairs that are still apart are.
+HUBS = 3
 
 _BLOCKS = "kind int, block long, nodes binary, sizes binary, counts binary, low binary, high binary, levels binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("nodes", "sizes", "counts", "low", "high", "levels")]])
@@ -180,14 +180,23 @@ def _possible(x: str, y: str) -> object:
     return 1 + F.least(F.col(f"{x}.s") - F.col(f"{x}.at") - 1, F.col(f"{y}.s") - F.col(f"{y}.at") - 1) >= need
 
 
-def _stars(prefixes: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each node with one node of each of its columns: that of the least hash, another each turn."""
-    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "n", "s", "at")).alias("hub")
-    hub = prefixes.groupBy("h").agg(hub, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select(F.col("h").alias("hub_h"), "hub")
+def _stars(prefixes: DataFrame, hubs: int) -> DataFrame:
+    """Pairs of each node with some nodes of each of its columns: those of the least hash, by as many hashes as there are hubs."""
+    by = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "s", "at")) for k in range(hubs)]
+    hub = prefixes.groupBy("h").agg(F.array_distinct(F.array(*by)).alias("hubs"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    hub = hub.where("c0 != c1").select(F.col("h").alias("hub_h"), F.explode("hubs").alias("hub"))
     met = prefixes.alias("p").join(hub, F.col("h") == F.col("hub_h")).where(F.col("p.node") != F.col("hub.node")).where(_possible("p", "hub"))
     return met.select(F.least("p.node", "hub.node").alias("a"), F.greatest("p.node", "hub.node").alias("b")).distinct()
 
 
+def _merged(prefixes: DataFrame) -> DataFrame:
+    """Columns that hold the same nodes as one, at each node's least place in them: its bound is then that of the first they meet in."""
+    same = prefixes.groupBy("h").agg(F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("same"))
+    same = same.select(F.col("h").alias("same_h"), F.xxhash64("same").alias("same"))
+    out = prefixes.join(same, F.col("h") == F.col("same_h"))
+    return out.groupBy("same", "node", "n", "s", "comp").agg(F.min("at").alias("at")).withColumnRenamed("same", "h")
+
+
 def _mixed(prefixes: DataFrame, known: DataFrame) -> DataFrame:
     """The columns that have nodes of several components."""
     left = _labelled(prefixes.select("h", "node", "n", "s", "at"), known)
@@ -208,8 +217,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     The incidence matrix is cut into blocks of columns: a task has all entries of its n-grams and drops those of one text only.
     Blocks of rows then gather what is left of each text; a text of which less than 75 % of its n-grams is shared has no link. For the
     rest, only the rarest n-grams up to the size bound can be where a link's texts first meet. Links are looked for
-    with one text of each column (of the two first columns of each text, then of all, STAR_TURNS times with another text), and then,
-    exactly, among all pairs of a column that are not yet in one component and pass the size and position bounds. Each candidate pair's
+    with one text of each of the two first columns of each text, then with HUBS texts of each column, and then, exactly, among all pairs of a column that are not yet in one component and pass the size and position bounds. Each candidate pair's
     overlap is counted. So a large group of near copies costs pairs in proportion to its texts, and no link between components is lost.
 
     n-grams are told apart by 48 bits and those of the block's number (53 at least), texts by 64. Copies of a text are one
@@ -226,14 +234,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     members = shared.where("kind = 1").mapInArrow(_members, "doc_id long, node long, n_shingles long")
     prefixes = settle(nodes.mapInArrow(_prefixes, "h long, node long, n int, s int, at int"), "jaccard-prefixes")
 
-    known = components(_verified(_stars(_labelled(prefixes.where("at < 2"), None), 0), nodes))
-    left = prefixes
-    for turn in range(1, STAR_TURNS + 1):
-        left = _mixed(left, known)
-        found = _verified(_stars(left, turn), nodes)
-        if found.isEmpty():
-            break
-        known = components(known.unionByName(found))
+    known = components(_verified(_stars(_labelled(prefixes.where("at < 2"), None), 1), nodes))
+    left = _merged(_mixed(prefixes, known))
+    known = components(known.unionByName(_verified(_stars(left, HUBS), nodes)))
     left = _mixed(left, known)
     pairs = left.alias("x").join(left.alias("y"), "h").where("x.node < y.node AND x.comp != y.comp").where(_possible("x", "y"))
     pairs = settle(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "jaccard-pairs")
