@@ -1,0 +1,148 @@
+"""Breakdowns of errors and corpora, and statistics of signals."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from turnloom.functions.text import hash_order
+from turnloom.operators.intervals import range_join
+
+
+def rate_table(items: DataFrame, key: Column, flag: Column) -> DataFrame:
+    """n and the share of flag for each level, most frequent first."""
+    return items.groupBy(key.alias("level")).agg(F.count("*").alias("n"), F.avg(flag.cast("double")).alias("rate"))
+
+
+def residual_rows(scores: DataFrame, segments: DataFrame, tol_ms: int) -> DataFrame:
+    """Each scored event with the gap to the channel's next segment start and the number of other-speaker segments within tol_ms."""
+    on = ["conv_id", "speaker"]
+    p = scores.withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")})
+    near = range_join(p, segments.select("conv_id", (3 - F.col("speaker")).alias("speaker"), "start_ms", "end_ms"), on, pad_ms=tol_ms)
+    near = near.groupBy(*on, "t_ms", "outcome").agg(F.count("*").alias("others"))
+    own = range_join(p, segments.select(*on, "start_ms", F.col("start_ms").alias("end_ms")), on, pad_ms=tol_ms).where("b_start_ms > t_ms")
+    own = own.groupBy(*on, "t_ms", "outcome").agg((F.min("b_start_ms") - F.first("t_ms")).alias("gap_ms"))
+    keys = [*on, "t_ms", "outcome"]
+    return scores.join(near, keys, "left").join(own, keys, "left").na.fill(0, ["others"])
+
+
+def miss_causes(scores: DataFrame, preds: DataFrame, before_ms: int, refractory_ms: int) -> DataFrame:
+    """Positives by cause: hit; prefired (a prediction within before_ms before the window); refractory (one within refractory_ms); never."""
+    on = ["conv_id", "task", "speaker"]
+    p = scores.where("outcome IN ('TP', 'FN')").withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")})
+    fired = preds.select(*on, F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
+    near = range_join(p, fired, on, pad_ms=max(before_ms, refractory_ms)).where("b_start_ms < t_ms")
+    near = near.groupBy(*on, "t_ms").agg(F.max("b_start_ms").alias("last"))
+    out = p.join(near, [*on, "t_ms"], "left")
+    ago = F.col("t_ms") - F.col("last")
+    cause = F.when(F.col("outcome") == "TP", "hit").when(ago <= refractory_ms, "refractory").when(ago <= before_ms, "prefired").otherwise("never")
+    return out.groupBy("task", cause.alias("cause")).agg(F.count("*").alias("n"))
+
+
+def anatomy_by_type(scores: DataFrame, meta: DataFrame) -> DataFrame:
+    return scores.join(meta, "conv_id").groupBy("type", "outcome").agg(F.count("*").alias("n"), F.percentile("latency_ms", 0.5).alias("p50_ms"))
+
+
+def corpus_stats(gold: DataFrame, durations: DataFrame, meta: DataFrame) -> DataFrame:
+    """Conversations, minutes, positives and positives per minute of each type."""
+    pos = gold.where("kind = 'pos'").groupBy("conv_id").agg(F.count("*").alias("events"))
+    each = durations.join(meta, "conv_id").join(pos, "conv_id", "left").na.fill(0, ["events"])
+    minutes = F.sum("duration_ms") / 60000.0
+    return each.groupBy("type").agg(F.count("*").alias("conversations"), minutes.alias("minutes"), F.sum("events").alias("events"), F.try_divide(F.sum("events"), minutes).alias("per_minute"))
+
+
+def report_card(results: DataFrame, clean: str) -> DataFrame:
+    """Mean over seeds of value for each (group, condition), mean of the group over its conditions, and the drop from the clean condition."""
+    seeds = results.groupBy("grp", "condition").agg(F.avg("value").alias("value"))
+    base = seeds.where(F.col("condition") == clean).agg(F.avg("value").alias("clean"))
+    means = seeds.groupBy("grp").agg(F.avg("value").alias("value"), F.count("*").alias("conditions"))
+    return means.crossJoin(F.broadcast(base)).withColumn("drop", F.col("clean") - F.col("value"))
+
+
+def level_gain(frames: DataFrame, keys: list[str], level: str, snr_db: float) -> DataFrame:
+    """Root mean square of the frames within 30 dB of the 95th percentile, and the gain that puts noise snr_db below it."""
+    top = frames.groupBy(*keys).agg(F.percentile(level, 0.95).alias("p95"))
+    loud = frames.join(top, keys).where(F.col(level) >= F.col("p95") * 10 ** (-30 / 20))
+    return loud.groupBy(*keys).agg(F.sqrt(F.avg(F.col(level) * F.col(level))).alias("rms")).withColumn("gain", F.col("rms") * 10 ** (-snr_db / 20))
+
+
+def shuffle_control(answers: DataFrame, kind: str, order: list[str], value: str, salt: str) -> DataFrame:
+    """answers with the values of each kind permuted: by rank in order against rank by hash."""
+    asked = answers.withColumn("__r", F.row_number().over(W.partitionBy(kind).orderBy(*order)))
+    by = hash_order(F.concat_ws("/", *order), salt)
+    given = answers.select(kind, F.col(value).alias("shuffled"), F.row_number().over(W.partitionBy(kind).orderBy(by)).alias("__r"))
+    return asked.join(given, [kind, "__r"]).drop("__r")
+
+
+def false_event_rate(fires: DataFrame, active: DataFrame, step_ms: int) -> DataFrame:
+    """Fires per minute while the channel is silent and the other talks. fires and active: (conv_id, speaker, i, active)."""
+    other = active.select("conv_id", (3 - F.col("speaker")).alias("speaker"), "i", F.col("active").alias("other"))
+    quiet = active.join(other, ["conv_id", "speaker", "i"]).where("active = 0 AND other = 1")
+    hit = quiet.join(fires.select("conv_id", "speaker", "i").withColumn("hit", F.lit(1)), ["conv_id", "speaker", "i"], "left")
+    return hit.groupBy("speaker").agg(F.count("hit").alias("fires"), (F.count("*") * step_ms / 60000.0).alias("minutes"), F.try_divide(F.count("hit"), F.count("*") * step_ms / 60000.0).alias("per_minute"))
+
+
+def activity_agreement(ref: DataFrame, est: DataFrame) -> DataFrame:
+    """For each conversation the better pairing of channels: accuracy, F1, frames of overlap and their recall. One pass over both pairings."""
+    both = ref.groupBy("conv_id", "i").agg(*[F.max(F.when(F.col("speaker") == k, F.col("active"))).alias(f"r{k}") for k in (1, 2)])
+    told = est.groupBy("conv_id", "i").agg(*[F.max(F.when(F.col("speaker") == k, F.col("active"))).alias(f"e{k}") for k in (1, 2)])
+    x = both.join(told, ["conv_id", "i"]).withColumn("swap", F.explode(F.array(F.lit(False), F.lit(True))))
+    a, b = F.when(F.col("swap"), F.col("e2")).otherwise(F.col("e1")), F.when(F.col("swap"), F.col("e1")).otherwise(F.col("e2"))
+    x = x.withColumns({"a": a, "b": b})
+    same = F.sum((F.col("r1") == F.col("a")).cast("int") + (F.col("r2") == F.col("b")).cast("int"))
+    tp = F.sum(F.col("r1") * F.col("a") + F.col("r2") * F.col("b"))
+    of = F.sum(F.col("r1") + F.col("r2") + F.col("a") + F.col("b"))
+    over = F.sum(F.col("r1") * F.col("r2"))
+    per = x.groupBy("conv_id", "swap").agg((same / (2 * F.count("*"))).alias("accuracy"), F.try_divide(2.0 * tp, of).alias("f1"), over.alias("overlap"), F.try_divide(F.sum(F.col("r1") * F.col("r2") * F.col("a") * F.col("b")).cast("double"), over).alias("overlap_recall"))
+    return per.withColumn("__r", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("accuracy"), "swap"))).where("__r = 1").drop("__r")
+
+
+def aligned_mean(members: DataFrame, keys: list[str], value: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(mean over n members for each key, violations: keys that not all members have once, or values outside [0, 1])."""
+    each = members.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.count_distinct("member").alias("members"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    bad = (F.col("n") != n) | (F.col("members") != n) | (F.col("lo") < 0) | (F.col("hi") > 1)
+    return each.where(~bad).select(*keys, "mean"), each.where(bad).select(*keys)
+
+
+def consensus(labels: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
+    """labels (keys…, annotator, label): the label of at least k annotators or null, and the share that gave it."""
+    counts = labels.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    best = counts.groupBy(*keys).agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"))
+    return best.select(*keys, F.when(F.col("m.n") >= k, F.col("m.label")).alias("label"), (F.col("m.n") / F.col("all")).alias("agreement"))
+
+
+def pause_sweep(preds: DataFrame, thetas: list[float], timeouts: list[int]) -> DataFrame:
+    """preds (span, silence_ms, p, label in hold, eot): for each threshold and timeout the share of holds that are cut off, and the mean latency at ends.
+
+    A span fires at the first time its score reaches the threshold, or at the timeout if it lasts that long.
+    """
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in thetas]))
+    hit = preds.withColumn("theta", grid).where("p >= theta").groupBy("span", "theta").agg(F.min("silence_ms").alias("at"))
+    spans = preds.groupBy("span").agg(F.max("silence_ms").alias("lasts"), F.first("label").alias("label")).withColumn("theta", grid)
+    each = spans.join(hit, ["span", "theta"], "left").withColumn("timeout", F.explode(F.array(*[F.lit(t) for t in timeouts])))
+    fires = F.least(F.coalesce("at", "timeout"), "timeout")
+    each = each.withColumn("fires", F.when((F.col("label") == "eot") | (fires <= F.col("lasts")), fires))
+    holds = F.count_if(F.col("label") == "hold")
+    return each.groupBy("theta", "timeout").agg(
+        F.try_divide(F.count_if((F.col("label") == "hold") & F.col("fires").isNotNull()).cast("double"), holds).alias("cutoff"),
+        F.avg(F.when(F.col("label") == "eot", F.col("fires"))).alias("latency_ms"),
+    )
+
+
+def validity_join(queries: DataFrame, frames: DataFrame, step_ms: int) -> DataFrame:
+    """frames with the value that is live at their end: queries (conv_id, speaker, t_ms, value) hold until the channel's next one."""
+    on = ["conv_id", "speaker"]
+    ticks = frames.select(*on, "i", ((F.col("i") + 1) * step_ms).alias("t_ms"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("kind"))
+    asks = queries.select(*on, F.lit(None).cast("long").alias("i"), "t_ms", "value", F.lit(0).alias("kind"))
+    live = F.last("value", ignorenulls=True).over(W.partitionBy(*on).orderBy("t_ms", "kind"))
+    return ticks.unionByName(asks).withColumn("live", live).where("kind = 1").select(*on, "i", "live")
+
+
+def text_context(words: DataFrame, points: DataFrame, key: str, lag_ms: int, n: int) -> DataFrame:
+    """points (key, t_ms) with the last n words (key, end_ms, word) that end at least lag_ms before t."""
+    p = points.withColumns({"start_ms": F.col("t_ms") - 60_000, "end_ms": F.col("t_ms") - lag_ms})
+    said = words.withColumn("start_ms", F.col("end_ms"))
+    met = range_join(p, said, [key]).groupBy(key, "t_ms").agg(F.array_sort(F.collect_list(F.struct("b_end_ms", "b_word"))).alias("w"))
+    tail = F.when(F.size("w") > n, F.slice("w", -n, n)).otherwise(F.col("w"))
+    return points.join(met.select(key, "t_ms", F.array_join(F.transform(tail, lambda x: x["b_word"]), " ").alias("context")), [key, "t_ms"], "left")

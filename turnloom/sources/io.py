@@ -35,14 +35,14 @@ def _srt_time(c: F.Column) -> F.Column:
 
 def read_srt(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(segments, rejects) of subtitle files whose cue text is "[Label] words". A cue of another form is a reject (file, cue)."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     cues = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), r"\n\s*\n")).alias("nth", "cue")).where(F.regexp_like("cue", F.lit(r"\S")))
     times = r"([0-9]+:[0-9]{2}:[0-9]{2}[,.][0-9]{3}) --> ([0-9]+:[0-9]{2}:[0-9]{2}[,.][0-9]{3})"
     form = rf"^\s*[0-9]+\n{times}[^\n]*\n\[[^\]]+\]"
     good = F.regexp_like("cue", F.lit(form))
     segments = cues.where(good).select(
         "file", "nth", _srt_time(F.regexp_extract("cue", times, 1)).alias("start_ms"), _srt_time(F.regexp_extract("cue", times, 2)).alias("end_ms"),
-        F.regexp_extract("cue", r"\n\[([^\]]+)\]", 1).alias("label"), F.trim(F.regexp_extract("cue", r"\n\[[^\]]+\]([\s\S]*)$", 1)).alias("text"),
+        F.regexp_extract("cue", r"\n\[([^\]]+)\]", 1).alias("label"), F.regexp_replace(F.regexp_extract("cue", r"\n\[[^\]]+\]([\s\S]*)$", 1), r"^\s+|\s+$", "").alias("text"),
     )
     return segments, cues.where(~good).select("file", "cue")
 
