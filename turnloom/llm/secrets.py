@@ -67,26 +67,28 @@ def window_entropy(s: Column, window: int) -> Column:
     With S the sum of c * log2(c) over the counts of a window's n characters, the entropy is log2(n) - S / n. As the window
     moves, one count goes up and one down, and S with them, so a step costs the alphabet and not the window.
     """
-    chars = F.split(s, "")
     n = F.least(F.length(s), F.lit(window))
 
     def gain(c: Column) -> Column:  # S after one more, less S before
         c = c.cast("double")
         return (c + 1) * F.log2(c + 1) - F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1.0)))).otherwise(0.0)
 
-    def step(acc: Column, i: Column) -> Column:
-        new = F.instr(F.lit(_ALPHABET), F.element_at(chars, i))
-        old = F.when(i > window, F.instr(F.lit(_ALPHABET), F.element_at(chars, F.greatest(i - window, F.lit(1))))).otherwise(0)
-        c_new = F.element_at(acc["counts"], new)
-        more = acc["s"] + gain(c_new)
-        c_old = F.when(old > 0, F.element_at(acc["counts"], F.greatest(old, F.lit(1))) + F.when(old == new, 1).otherwise(0))
+    def step(acc: Column, x: Column) -> Column:
+        new, old = x["new"], F.coalesce(x["old"], F.lit(0))
+        more = acc["s"] + gain(F.element_at(acc["counts"], new))
+        c_old = F.element_at(acc["counts"], F.greatest(old, F.lit(1))) + F.when(old == new, 1).otherwise(0)
         less = F.when(old > 0, more - gain(c_old - 1)).otherwise(more)
         counts = F.transform(acc["counts"], lambda c, k: c + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0))
-        low = F.when(i >= n, F.least(acc["low"], less)).otherwise(acc["low"])
+        # Before the first whole window the last sum counts, which is that of a shorter string.
+        low = F.when(x["i"] > window, F.least(acc["low"], less)).otherwise(less)
         return F.struct(counts.alias("counts"), less.alias("s"), low.alias("low"))
 
+    # What comes and what goes, side by side and made once: a step looks nothing up in the string.
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(_ALPHABET), c))
+    gone = F.concat(F.array_repeat(F.lit(0), window), codes)
+    steps = F.arrays_zip(codes.alias("new"), gone.alias("old"), F.sequence(F.lit(1), F.length(s)).alias("i"))
+    steps = F.filter(steps, lambda x: x["new"] > 0)
     start = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(1e9).alias("low"))
-    steps = F.sequence(F.lit(1), F.length(s))
     return F.aggregate(steps, start, step, lambda acc: F.log2(n.cast("double")) - acc["low"] / n)
 
 
