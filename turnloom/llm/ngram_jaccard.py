@@ -16,7 +16,7 @@ from turnloom.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 #: Bytes of text for each block of columns (n-grams); there are LEAST_BLOCKS at least.
-BLOCK_BYTES, LEAST_BLOCKS = 24 << 20, 32
+BLOCK_BYTES, LEAST_BLOCKS = 12 << 20, 32
 #: Texts of a column that all others are compared with, before all pairs that are still apart are.
 HUBS = 3
 
@@ -93,8 +93,11 @@ def _shared(bits: int, groups: int):
     def run(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == 1:
             return table
+        block = table.column("block")[0].as_py()
         node, size, low, high, _ = _entries(table)
+        del table
         key = high.astype(np.uint64) << np.uint64(32) | low
+        del low, high
         # Copies of a text are one node: their entries fall together.
         order = np.lexsort((node, key))
         key, node, size = key[order], node[order], size[order]
@@ -109,7 +112,6 @@ def _shared(bits: int, groups: int):
         order = np.lexsort((node, group))
         key, node, size, level, group = (x[order] for x in (key, node, size, level, group))
         out = []
-        block = table.column("block")[0].as_py()
         key = key | np.uint64(block) << np.uint64(48)
         edges = np.searchsorted(group, np.arange(groups + 1))
         for g in range(groups):
