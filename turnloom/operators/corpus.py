@@ -159,3 +159,12 @@ def validate_predictions(preds: DataFrame, conversations: DataFrame) -> DataFram
     out = out.unionByName(said(preds.groupBy("conv_id").count().where("count > 1"), "doubled"))
     bad = preds.join(conversations, "conv_id").where(F.exists("times", lambda t: (t < 0) | (t > F.col("duration"))))
     return out.unionByName(said(bad, "range"))
+
+
+def accept_conversations(agreement: DataFrame, errors: DataFrame, segments: DataFrame, least_agreement: float = 0.6, most_error: float = 0.35) -> DataFrame:
+    """(conv_id, reasons): low_agreement, high_wer, silent_channel; empty for an accepted one. agreement and errors: (conv_id, value)."""
+    speakers = segments.groupBy("conv_id").agg(F.count_distinct("speaker").alias("speakers"))
+    x = speakers.join(agreement.select("conv_id", F.col("value").alias("agreement")), "conv_id", "left").join(errors.select("conv_id", F.col("value").alias("error")), "conv_id", "left")
+    rules = {"high_wer": F.col("error") > most_error, "low_agreement": F.col("agreement") < least_agreement, "silent_channel": F.col("speakers") < 2}
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    return x.select("conv_id", F.array_join(reasons, ",").alias("reasons"))

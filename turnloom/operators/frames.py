@@ -124,3 +124,10 @@ def crop_starts(lengths: DataFrame, crop: int, warm: int, every: int) -> DataFra
     """(conv_id, start): starts of crops with warm frames before them, inside a conversation of n frames."""
     ok = lengths.where(F.col("n") - crop >= warm)
     return ok.select("conv_id", F.explode(F.sequence(F.lit(warm).cast("long"), F.col("n") - crop, F.lit(every).cast("long"))).alias("start"))
+
+
+def slots_from_diarization(segments: DataFrame, slots: int = 2) -> DataFrame:
+    """(conv_id, who, slot, ok): speakers named `who` by their first start, ties by name; ok is false where there are more than `slots`."""
+    first = segments.groupBy("conv_id", "who").agg(F.min("start_ms").alias("first"))
+    every = W.partitionBy("conv_id")
+    return first.select("conv_id", "who", (F.row_number().over(every.orderBy("first", "who")) - 1).alias("slot"), (F.count("*").over(every) <= slots).alias("ok"))

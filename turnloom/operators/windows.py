@@ -108,3 +108,9 @@ def consecutive_pairs(candidates: DataFrame, keys: list[str], order: str, words:
     out = candidates.withColumn("__before", before).where("__before IS NOT NULL")
     shared, both = F.size(F.array_intersect(words, "__before")), F.size(F.array_union(words, "__before"))
     return out.select(*keys, order, (shared / F.greatest(both, F.lit(1))).alias("overlap"))
+
+
+def enrollment_vector(frames: DataFrame, keys: list[str], order: str, vector: str, n: int) -> DataFrame:
+    """(keys…, pos, mean): element-wise mean of the vectors of the first n frames of each key."""
+    first = frames.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where(F.col("__r") <= n)
+    return first.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
