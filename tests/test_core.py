@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text as T
 from turnloom.functions import vocab
-from turnloom.operators import anatomy, commit, corpus, frames, intervals, scoring, windows
+from turnloom.operators import anatomy, commit, corpus, frames, intervals, onsets, scoring, scripts, selection, windows
 from turnloom.sources import io
 from turnloom.streaming import commits as X
 
@@ -181,3 +181,85 @@ def test_pause_sweep_timeout(spark):
     df = spark.createDataFrame([("a", 100, 0.1, "hold"), ("b", 100, 0.9, "eot"), ("c", 100, 0.95, "hold")], "span string, silence_ms int, p double, label string")
     r = anatomy.pause_sweep(df, [0.9], [500]).first()
     assert (r.cutoff, r.latency_ms) == (0.5, 100.0)
+
+
+def test_onset_context_counts_known_frames_only(spark):
+    segs = spark.createDataFrame([(1, 1, 0, 800), (1, 2, 600, 2000), (1, 1, 2400, 3000)], "conv_id long, speaker int, start_ms long, end_ms long")
+    rows = []
+    for speaker, own in ((1, lambda i: i < 8 or i >= 24), (2, lambda i: 6 <= i < 20)):
+        rows += [(1, speaker, i, own(i)) for i in range(30)]
+    frames_ = spark.createDataFrame(rows, "conv_id long, speaker int, i long, own boolean")
+    other = frames_.selectExpr("conv_id", "3 - speaker AS speaker", "i", "own AS other")
+    got = {(r.speaker, r.start_ms): r for r in onsets.onset_context(segs, frames_.join(other, ["conv_id", "speaker", "i"]), 100, [200]).collect()}
+    second = got[2, 600]
+    assert (second.own_share, second.other_share, second.other_run_ms, second.silence_ms, second.other_now) == (1.0, 1.0, 600, 5000, True)
+    third = got[1, 2400]
+    assert (third.own_share, third.other_share, third.silence_ms, third.other_run_ms, third.other_now) == (1.0, 0.0, 1600, 0, False)
+    assert third.other_recent == pytest.approx(14 / 20)
+    assert got[1, 0].other_recent == 0.0
+
+
+def test_oracle_queries_of_overlapping_segments(spark):
+    segs = spark.createDataFrame([(1, 1, 0, 1000, 5), (1, 2, 1200, 1800, 3), (1, 1, 5000, 6000, 0)], "conv_id long, speaker int, start_ms long, end_ms long, n long")
+    got = sorted((r.kind, r.speaker, r.words, r.t_ms) for r in onsets.oracle_queries(segs, 300).collect())
+    assert got == [("eot", 1, 5, 1300), ("eot", 2, 3, 2100), ("int", 2, 1, 1700), ("int", 2, 2, 1900), ("int", 2, 3, 2100)]
+
+
+def test_annotators_who_agree_score_perfectly(golden):
+    same = golden.withColumns({x: F.col("canonical") for x in "abc"}).drop("canonical")
+    rows = selection.annotator_ceiling(same, ["a", "b", "c"]).collect()
+    assert len(rows) == 6 and all((r.recall, r.fn) == (1.0, 0) for r in rows)
+
+
+def test_picked_policy_fits_budget_and_cap(spark):
+    rows = [("m", "p1", 0.9, 0.2, 300.0), ("m", "p2", 0.8, 0.05, 900.0), ("m", "p3", 0.7, 0.05, 200.0), ("r", "p4", 0.5, 0.9, None)]
+    summary = spark.createDataFrame(rows, "family string, policy string, recall double, fp_rate double, p50_ms double")
+    got = {(r.family, r.budget, r.cap_ms): r.policy for r in selection.pick_policies(summary, [0.1, 0.5], [500.0, 1e9]).collect()}
+    assert got == {("m", 0.1, 500.0): "p3", ("m", 0.1, 1e9): "p2", ("m", 0.5, 500.0): "p1", ("m", 0.5, 1e9): "p1"}
+
+
+def test_held_out_halves_of_one_good_policy(spark):
+    rows = [(p, u, int(p < 9), int(p == 9), 0, 1) for p in (1, 9) for u in range(60)]
+    r = selection.split_half(spark.createDataFrame(rows, "policy int, u long, tp long, fn long, fp long, tn long"), "u", 0.1, 20, "s").first()
+    assert (r.recall, r.fp_rate, r.fp_p95, r.splits) == (1.0, 0.0, 0.0, 20)
+
+
+def test_grouped_probe_separates_held_out_groups(spark):
+    rnd = random.Random(5)
+    rows = [(i, i % 12, y, [y * 3.0 + rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.gauss(0, 1)]) for i in range(240) for y in [rnd.randrange(2)]]
+    data = spark.createDataFrame(rows, "id long, part long, y int, x array<double>")
+    # All three components: standardised features have equal variance, so fewer components may leave out the one that tells.
+    scored = selection.grouped_cv_scores(data, "x", "y", "part", 3, 3, "g").cache()
+    assert scored.count() == 240 and scored.select("part", "fold").distinct().count() == 12
+    assert scoring.auc(scored, "y", "score").first().auc > 0.95
+
+
+def test_schema_check_codes(spark):
+    items = [
+        (1, 0, 0, "A", "turn", "well so I went", None, None, None),
+        (1, 1, 1, "B", "backchannel", "mhm", 0, "well so", None),
+        (1, 2, 2, "B", "backchannel", "ok", 0, "not there", None),
+        (1, 3, 3, "B", "backchannel", "yes", 0, "I went", None),
+        (1, 4, 4, "A", "backchannel", "hm", 0, "well", None),
+        (1, 5, 5, "B", "turn", "one two", None, None, None),
+        (1, 6, 6, "B", "interruption", "wait", 0, "well", True),
+        (1, 7, 6, "C", None, " ", None, None, None),
+    ]
+    df = spark.createDataFrame(items, "script_id long, pos long, id long, speaker string, kind string, text string, host long, after string, takes_floor boolean")
+    got = sorted((r.pos, r.code) for r in scripts.schema_check(df).collect())
+    assert got == [(2, "after_missing"), (3, "after_range"), (4, "bad_host"), (6, "duplicate_id"), (6, "not_current"), (7, "bad_kind"), (7, "bad_speaker"), (7, "duplicate_id"), (7, "empty_text")]
+
+
+def test_voice_bank_equals_greedy_packing(spark):
+    rnd = random.Random(3)
+    rows = [(f"s{s}", "fm"[s % 2], u, rnd.choice([400, 900, 1500, 2500, 4000, 7000, 12000]), rnd.random()) for s in range(12) for u in range(rnd.randrange(1, 60))]
+    got = {r.speaker: (r.clip_ms, r.ids) for r in scripts.voice_bank(spark.createDataFrame(rows, "speaker string, gender string, utt_id long, ms long, quality double"), per_gender=99).collect()}
+    want = {}
+    for s in {r[0] for r in rows}:
+        used, ids = 0, []
+        for _, _, u, ms, _ in sorted((r for r in rows if r[0] == s), key=lambda r: (-r[3], r[2])):
+            if used + ms <= 10_000:
+                used, ids = used + ms + 250, [*ids, u]
+        if sum(r[3] for r in rows if r[0] == s) >= 6000 and used - 250 >= 6000:
+            want[s] = (used - 250, ids)
+    assert got == want and want
