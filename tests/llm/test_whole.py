@@ -1,0 +1,48 @@
+"""The whole job of the operators against brute force and planted cases, where they once did part of it."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from turnloom.llm import licenses
+
+LOW = str.maketrans({i: i + 32 for i in range(65, 91)})
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def license_matches(text):
+    """Labels and their best scores, over all runs of words of sentences and paragraphs."""
+    sets = [(set(t.split()), label) for t, label in licenses.TEMPLATES]
+    longest, out = licenses.BLOCK_STRETCH * max(len(t) for t, _ in sets), {}
+    for block in re.split(r"[!?;]|\.(?![0-9])|\n[ \t\r]*\n", text.translate(LOW)):
+        w = ALNUM.findall(block)
+        for k in range(max(len(w) - longest, 0) + 1):
+            run = set(w[k : k + longest])
+            for t, label in sets:
+                apart = all(run & (t - u) for u, other in sets if other != label and len(t & u) >= licenses.CONTAINMENT * len(t) - 1e-9)
+                if apart and len(run & t) >= licenses.CONTAINMENT * len(t) - 1e-9:
+                    out[label] = max(out.get(label, 0), len(run & t) / len(t))
+    return out
+
+
+def test_licenses_of_wrapped_and_joint_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    gpl = "This work is licensed under the GNU General Public License\nversion 3"
+    joint = "This work is licensed under the GNU Lesser General Public License or under the GNU General Public License 2"
+    texts = [bsd, gpl, joint, gpl.replace("\n", "\n\n"), "GNU Affero General Public License", bsd.replace("\n", "\r\n * ")]
+    r = random.Random(4)
+    vocabulary = sorted({w for t, _ in licenses.TEMPLATES for w in t.split()})
+    for k in range(24):
+        t = r.choice(licenses.TEMPLATES)[0].split() + r.choice(licenses.TEMPLATES)[0].split()
+        w = [x for y in t if r.random() < 0.95 for x in [y, *r.choices([*vocabulary, *"abcdefgh"], k=r.choice([0, 0, 1, 3]))]]
+        pad = [f"x{r.randrange(50)}" for _ in range(r.randrange(150))]
+        texts.append("".join(x + r.choice([" ", " ", " ", "\n", ", "]) for x in pad + w + pad[: k % 30]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for row in licenses.find_licenses(df).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*").collect():
+        mine = got.setdefault(row.doc_id, {})
+        mine[row.label] = max(mine.get(row.label, 0), row.score)
+    assert [set(got.get(k, {})) for k in range(6)] == [{"bsd"}, {"gpl-3"}, {"lgpl", "gpl-2"}, set(), {"agpl"}, {"bsd"}]
+    assert all(got.get(k, {}) == license_matches(t) for k, t in enumerate(texts))
+    assert sum(len(got.get(k, {})) for k in range(6, 30)) > 20

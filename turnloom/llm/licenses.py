@@ -29,11 +29,12 @@ TEMPLATES = [
 ]
 #: Least share of a template's words that a block must hold.
 CONTAINMENT = 0.8
-#: A block with more than so many times the template's words says something else; it is cut into overlapping windows of that length.
+#: A run of more than so many times the longest template's words says something else; in a longer block every run of that length is judged.
 BLOCK_STRETCH = 3
 #: ALNUM_WORD before lower-casing.
 ALNUM_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK_END = r"[.!?;]*\n|[!?;]|\.(?![0-9])"
+#: Blocks are sentences and paragraphs; a single line break is a space.
+BLOCK_END = r"[!?;]|\.(?![0-9])|\n[\x20\t\r]*\n"
 
 
 def words_of(text: Column) -> Column:
@@ -53,12 +54,15 @@ def ordered_templates(frequencies: dict[str, int]) -> list[dict]:
     """Templates as word sets in global order (rarest first), with what the filters need.
 
     A block that holds at least `least` of a template's n words holds one of its first n - least + 1: that is the prefix.
+    Where another label's template alone would meet one, `apart` has the words that tell them apart; one of them must be there.
     """
     out = []
     for template, label in TEMPLATES:
         words = sorted(set(template.split()), key=lambda w: (frequencies[w], w))
         least = math.ceil(CONTAINMENT * len(words) - 1e-9)
-        out.append({"label": label, "words": words, "least": least, "prefix": words[: len(words) - least + 1]})
+        rivals = [set(u.split()) for u, other in TEMPLATES if other != label]
+        apart = [sorted(set(words) - u) for u in rivals if len(u.intersection(words)) >= least]
+        out.append({"label": label, "words": words, "least": least, "prefix": words[: len(words) - least + 1], "apart": apart})
     return out
 
 
@@ -77,8 +81,17 @@ def phrase_starts(words: Column, phrase: str, label: str) -> Column:
     return F.when(F.array_contains(words, p[0]), F.transform(starts, lambda i: F.struct((i - 1).alias("word"), F.lit(label).alias("label"))))
 
 
-def _best(block: Column, templates: list[dict]) -> Column:
-    """array<struct<score,label>> of the templates that a block (array of distinct words) meets."""
+def _score(part: Column, listed: Column, t: dict) -> Column:
+    """Share of the template's words in part, if that meets it."""
+    shared = F.size(F.array_intersect(listed, part))
+    ok = shared >= t["least"]
+    for words in t["apart"]:
+        ok = ok & F.arrays_overlap(part, F.array(*[F.lit(w) for w in words]))
+    return F.when(ok, shared / F.lit(float(len(t["words"]))))
+
+
+def _met(run: Column, block: Column, templates: list[dict], longest: int) -> Column:
+    """array<struct<score,label>> of all templates that some `longest` words of run (its distinct words: block) meet."""
     found = []
     for t in templates:
         listed = F.array(*[F.lit(w) for w in t["words"]])
@@ -87,20 +100,21 @@ def _best(block: Column, templates: list[dict]) -> Column:
         # Length: the block has `least` words at least. Prefix: they share a word of the prefix. Position: if the first shared
         # word stands at p in global order, n - p words can still be shared.
         first = _first(prefix, block)
-        shared = F.size(F.array_intersect(listed, block))
         near = (F.size(block) >= least) & F.arrays_overlap(block, prefix)
         may = near & (F.lit(n) - first + 1 >= least)
-        found.append(F.when(may, F.when(shared >= least, F.struct((shared / F.lit(float(n))).alias("score"), F.lit(t["label"]).alias("label")))))
-    met = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.filter(met, lambda x: x["score"] == F.array_max(met)["score"])  # the closest templates speak for the block
+        starts = F.sequence(F.lit(1), F.greatest(F.size(run) - longest + 1, F.lit(1)))
+        best = F.array_max(F.transform(starts, lambda i: _score(F.slice(run, i, longest), listed, t)))
+        found.append(F.when(may, F.when(F.size(F.array_intersect(listed, block)) >= least, F.struct(best.alias("score"), F.lit(t["label"]).alias("label")))))
+    return F.filter(F.array(*found), lambda x: x["score"].isNotNull())
 
 
 def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, places (array<struct<word,label>> of base phrases, by word), matches (array<struct<score,label>> of
     template matches) of every whole text.
 
-    Blocks are sentences (and lines); a block of more words than BLOCK_STRETCH times the longest template is cut into windows
-    that overlap by half, so every passage of half a window stands whole in one. Nulls and empty texts have no words; repeated
+    Blocks are sentences (and paragraphs); of a block of more words than BLOCK_STRETCH times the longest template every run of
+    that many words is judged: windows of twice the length overlap by half, so each run stands whole in one, and those that
+    hold enough of a template are gone through word by word. Nulls and empty texts have no words; repeated
     rows pass through; an empty table gives no rows. Columns of docs with one of the three names are replaced.
     """
     templates = ordered_templates(token_frequencies(docs, text))
@@ -129,12 +143,13 @@ def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         F.transform(
             blocks,
             lambda b: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(b) - longest // 2, F.lit(1)), F.lit(longest // 2)), lambda i: F.array_distinct(F.slice(b, i, longest))
+                F.sequence(F.lit(1), F.greatest(F.size(b) - longest + 1, F.lit(1)), F.lit(longest)),
+                lambda i: F.struct(F.slice(b, i, 2 * longest).alias("run"), F.array_distinct(F.slice(b, i, 2 * longest)).alias("words")),
             ),
         )
     )
     empty = "CAST(array() AS array<struct<score:double,label:string>>)"
-    met = F.when(F.col("__block"), F.flatten(F.transform(windows, lambda b: _best(b, templates)))).otherwise(F.expr(empty))
+    met = F.when(F.col("__block"), F.flatten(F.transform(windows, lambda b: _met(b["run"], b["words"], templates, longest)))).otherwise(F.expr(empty))
     return (
         lowered.withColumn("n_words", word_count(F.col(text), ALNUM_WORD_ANY_CASE))
         .withColumn("places", places)
