@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from turnloom.llm import licenses
+from turnloom.llm import licenses, pii
 
 LOW = str.maketrans({i: i + 32 for i in range(65, 91)})
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,3 +46,33 @@ def test_licenses_of_wrapped_and_joint_notices(spark):
     assert [set(got.get(k, {})) for k in range(6)] == [{"bsd"}, {"gpl-3"}, {"lgpl", "gpl-2"}, set(), {"agpl"}, {"bsd"}]
     assert all(got.get(k, {}) == license_matches(t) for k, t in enumerate(texts))
     assert sum(len(got.get(k, {})) for k in range(6, 30)) > 20
+
+
+def with_check_digit(digits):
+    return next(digits + str(d) for d in range(10) if pii.luhn(digits + str(d)))
+
+
+def test_pii_beyond_the_base_patterns(spark):
+    r = random.Random(7)
+    def some(n):
+        return "".join(r.choice("0123456789") for _ in range(n))
+    def words(n):
+        return " ".join(r.choice(["river", "said", "the", "of", "table", "seven", "ran", "late"]) for _ in range(n))
+    texts, planted, clean = [], {}, []
+    for k in range(600):
+        name = r.choice(["jane", "sam.lee", "kim_b", "r.ortiz"])
+        card = with_check_digit("4" + some(14))
+        base = r.choice([f"mail {name}@example{k}.com", f"{name}@mail.site{k}.org", f"call +1 ({some(3)}) {some(3)}-{some(4)}", f"+44 20 {some(4)} {some(4)}", f"card {card}", card])
+        texts.append(f"{words(9)} {base} {words(6)}")
+        texts.append(f"{words(6)} {r.choice([f'in 20{some(2)}-0{1 + k % 9}-1{k % 10}', f'order {some(9)}', f'doi 10.{some(4)}/{some(6)}', f'page {some(3)}', f'{some(3)} - {some(3)}', f'no. {some(4)} {some(4)}'])} {words(5)}")
+        clean.append(len(texts) - 1)
+        if k % 6 == 0:
+            kind, span = [("email", f"{name} (at) example (dot) com"), ("email", f"{name}[at]example[dot]org"), ("phone", f"{2 + k % 7}{some(2)}-555-{some(4)}"), ("card", ".".join(card[i : i + 4] for i in range(0, 16, 4)))][k // 6 % 4]
+            texts.append(f"{words(5)} {dict(email='write to', phone='phone', card='card')[kind]} {span} {words(5)}")
+            planted[len(texts) - 1] = (kind, span)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {row.doc_id: [(f.kind, row.text[f.start : f.end]) for f in row.found if not f.base] for row in pii.find_pii(df).collect()}
+    for kind in ("email", "phone", "card"):
+        mine = [k for k, (what, _) in planted.items() if what == kind]
+        assert sum(planted[k] in got[k] for k in mine) >= 0.9 * len(mine), kind
+    assert sum(bool(got[k]) for k in clean) <= 0.02 * len(clean)

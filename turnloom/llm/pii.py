@@ -37,7 +37,7 @@ CUES = {
 #: A text without any of these has no span of the kind, base or broad; most texts are done with this test.
 NEEDS = {"email": re.compile(r"@|[(\[]at[)\]]"), "ip": re.compile(r"[0-9][.,][0-9]"), "card": re.compile(r"[0-9]"), "phone": re.compile(r"[0-9]")}
 
-FEATURES = 14
+FEATURES = 17
 #: Labelled candidates that the trees are fit on: the first in the order of a hash of text and place. Half of them calibrate.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 16
@@ -83,13 +83,32 @@ def _emails(text: str) -> Iterator[re.Match]:
         at = m.end()
 
 
-def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    """Format and context of a span, the same for all kinds; trees are told the kind."""
+_CUED = {kind: re.compile(r"(?<![a-z])(?:e-?)?(?:" + "|".join(cues) + r")(?:s|ed|er|ment|ress|ess|phone|ephone)?(?![a-z])") for kind, cues in CUES.items()}
+_SPELLED_OUT = re.compile(r"[(\[](?:at|dot)[)\]]")
+
+
+def plausible(kind: str, s: str) -> bool:
+    """What a number plan, a check digit or a domain says of a broad span, whatever the base patterns do."""
+    if kind == "email":
+        host = re.split(r"\s?(?:@|\(at\)|\[at\])\s?", s)[-1]
+        labels = re.split(r"\s?(?:\.|\(dot\)|\[dot\])\s?", host)
+        return re.fullmatch(r"[A-Za-z]{2,12}", labels[-1]) is not None and not labels[0].isdigit()
+    if kind == "ip":
+        octets = s.split(":")[0]
+        return len(set(re.findall(r"[.,]", octets))) == 1 and all(int(x) <= 255 for x in re.split(r"[.,]", octets))
+    digits = re.sub(r"[^0-9]", "", s)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits)
+    return 9 <= len(digits) <= 15 and len(set(digits)) > 2
+
+
+def features(text: str, kind: int, start: int, end: int, found: list[tuple[int, int, int]]) -> list[float]:
+    """Format and context of a span among the base spans, the same for all kinds; trees are told the kind."""
     s = text[start:end]
     digits = re.sub(r"[^0-9]", "", s)
     groups = re.findall(r"[0-9]+", s)
     left, right = text[max(0, start - 24) : start], text[end : end + 12]
-    cue = re.search(r"(?:" + "|".join(CUES[KINDS[kind]]) + r")", left.lower())
+    cue = _CUED[KINDS[kind]].search(left.lower())
     tail = re.search(r"[A-Za-z]+$", s)
     return [
         kind,
@@ -106,6 +125,9 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(cue is not None),
         float(bool(left) and (left[-1].isalnum() or left[-1] in "+.,-")),
         float(bool(right) and (right[0].isalnum() or re.match(r"[.,-][0-9]", right) is not None)),
+        float(plausible(KINDS[kind], s)),
+        len(_SPELLED_OUT.findall(s)),
+        float(any(a < end and start < b for a, _, b in found)),
     ]
 
 
@@ -117,20 +139,64 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 _SAMPLED = "by long, y int, x array<double>"
 
 
+def judged(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Candidates that no base span of their own kind touches: those the trees are asked about, and fit on."""
+    return [(start, kind, end) for start, kind, end in candidates(text) if not any(k == kind and a < end and start < b for a, k, b in found)]
+
+
+def _rewritten(kind: str, s: str, form: int) -> str | None:
+    """A base span as people write it who keep to no pattern; None for addresses, which have no such form."""
+    if kind == "email":
+        at, dot = [(" (at) ", " (dot) "), ("[at]", "[dot]"), ("(at)", "."), (" @ ", " . ")][form % 4]
+        local, host = s.rsplit("@", 1)
+        return local + at + host.replace(".", dot)
+    if kind == "phone":
+        return s[1:]
+    if kind == "card":
+        digits = re.sub(r"[^0-9]", "", s)
+        return [".", "--", "  "][form % 3].join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    return None
+
+
+def evidence(text: str) -> list[tuple[str, int, list[float]]]:
+    """(place, label, features) of candidates like those that are judged, with labels that do not come from the base patterns.
+
+    As they stand: personal data if a cue word or a country code comes before them, or @ and dots are spelled out, and they are plausible and stand
+    alone; all others count as none, also those that no one can tell. Base spans are masked, that is rewritten to forms that
+    no base pattern knows: what is found of their kind in them is personal data, what is found of others is none.
+    """
+    found = base_spans(text)
+    out = []
+    for start, kind, end in judged(text, found):
+        x = features(text, kind, start, end, found)
+        coded = KINDS[kind] == "phone" and re.search(r"\+[0-9]{1,3}[\x20.-]?$", text[max(0, start - 5) : start])
+        y = (x[11] or coded or KINDS[kind] == "email" and x[15] >= 2) and x[14] and not x[12] and not x[13]
+        out.append((f"{start}:{text[start : end + 20]}", int(bool(y)), x))
+    for a, k, b in found:
+        left, right = text[max(0, a - 40) : a], text[b : b + 20]
+        key = f"{KINDS[k]}:{left}{text[a:b]}{right}"
+        new = _rewritten(KINDS[k], text[a:b], hashlib.blake2b(key.encode(), digest_size=1).digest()[0])
+        if new is None:
+            continue
+        masked = left + new + right
+        left_over = base_spans(masked)
+        for start, kind, end in judged(masked, left_over):
+            if start < len(left) + len(new) and len(left) < end:
+                inside = min(end, len(left) + len(new)) - max(start, len(left))
+                out.append((f"{start}:{key}", int(kind == k and inside >= 0.8 * (end - start)), features(masked, kind, start, end, left_over)))
+    return out
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weak labels: a candidate is personal data if a valid base span of its kind lies in it, and none if it stands in a longer run
-    or the strict rules of its kind reject the base span that it holds."""
     for batch in batches:
         by, ys, xs = [], [], []
         for text in batch.column("text").to_pylist():
             if not text or not NEEDS["card"].search(text) and not NEEDS["email"].search(text):
                 continue
-            found = base_spans(text)
-            for start, kind, end in candidates(text):
-                y = any(k == kind and a < end and start < b and b - a >= 0.8 * (end - start) for a, k, b in found)
-                by.append(int.from_bytes(hashlib.blake2b(f"{start}:{text[start : end + 20]}".encode(), digest_size=8).digest(), "little", signed=True))
-                ys.append(int(y))
-                xs.append(features(text, kind, start, end))
+            for place, y, x in evidence(text):
+                by.append(int.from_bytes(hashlib.blake2b(place.encode(), digest_size=8).digest(), "little", signed=True))
+                ys.append(y)
+                xs.append(x)
         yield pa.RecordBatch.from_pydict({"by": pa.array(by, pa.int64()), "y": pa.array(ys, pa.int32()), "x": pa.array(xs, pa.list_(pa.float64()))})
 
 
@@ -221,11 +287,10 @@ def _scan(model: Boosted, thresholds: np.ndarray, out: pa.Schema):
                     base.append([])
                     continue
                 base.append(base_spans(text))
-                for start, kind, end in candidates(text):
-                    if not any(a < end and start < b for a, _, b in base[i]):
-                        broad.append((start, kind, end))
-                        x.append(features(text, kind, start, end))
-                        owner.append(i)
+                for start, kind, end in judged(text, base[i]):
+                    broad.append((start, kind, end))
+                    x.append(features(text, kind, start, end, base[i]))
+                    owner.append(i)
             x = np.array(x).reshape(-1, FEATURES)
             keep = model.probability(x) >= thresholds[x[:, 0].astype(int)]
             more: list[list] = [[] for _ in base]
@@ -248,7 +313,7 @@ def _scan(model: Boosted, thresholds: np.ndarray, out: pa.Schema):
 
 def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (all by default) with the counts of base spans, their digest, and all spans (places in code points,
-    end exclusive): base ones and candidates that touch none of them and that the trees accept.
+    end exclusive): base ones and candidates that touch none of their own kind and that the trees accept.
 
     Nulls and empty texts have no spans; repeated rows pass through; an empty table gives no rows (and trees that accept nothing).
     Columns of docs named as the new ones are replaced. Texts are searched whole; no shuffle but for the sample.
