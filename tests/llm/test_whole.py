@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from turnloom.llm import licenses, pii
+from turnloom.llm import licenses, pii, secrets
 
 LOW = str.maketrans({i: i + 32 for i in range(65, 91)})
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -76,3 +76,22 @@ def test_pii_beyond_the_base_patterns(spark):
         mine = [k for k, (what, _) in planted.items() if what == kind]
         assert sum(planted[k] in got[k] for k in mine) >= 0.9 * len(mine), kind
     assert sum(bool(got[k]) for k in clean) <= 0.02 * len(clean)
+
+
+def test_secrets_of_every_alphabet(spark):
+    r = random.Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"base36": lower + digits, "base32": upper + "234567", "letters": lower + upper, "lower": lower, "upper": upper}
+    cases = [(name, "".join(r.choice(a) for _ in range(32))) for name, a in alphabets.items() for _ in range(30)]
+    real = "x9Kq2LmZ7Pw4Rt8Yv3Bn6Hd1"
+    around = [f"sample/config/{real}", f"{real}/dummy/{real}", f"config/123456789/{cases[0][1]}", f"123e4567-e89b-12d3-a456-426614174000/{real}"]
+    plain = ["src/main/resources/static/index", "get_the_name_of_the_next_node", "example0123456789abcdefXY", "123e4567-e89b-12d3-a456-426614174000", "internationalizations", "a" * 50]
+    texts = [f"the key {k} stands here" for _, k in cases] + around + plain
+    got = {x.doc_id: [x.text[s.start : s.end] for s in x.secrets if s.kind == "entropy"] for x in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for name in alphabets:
+        mine = [i for i, c in enumerate(cases) if c[0] == name]
+        assert sum(got[i] == [cases[i][1]] for i in mine) >= 0.85 * len(mine), name
+    n = len(cases)
+    assert [sum(key in s for s in got[n + i]) for i, key in enumerate([real, real, cases[0][1], real])] == [1, 2, 1, 1]
+    assert not any("dummy" in s or "sample" in s or "123e4567" in s for i in range(4) for s in got[n + i])
+    assert not any(got[n + 4 + i] for i in range(len(plain)))
