@@ -1,11 +1,14 @@
 """The whole job of the operators against brute force and planted cases, where they once did part of it."""
 
+import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from turnloom.llm import licenses, pii, secrets
+from turnloom.llm import licenses, ngram_lm, pii, secrets
+from turnloom.llm.elias_fano import Trie
 
 LOW = str.maketrans({i: i + 32 for i in range(65, 91)})
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -95,3 +98,11 @@ def test_secrets_of_every_alphabet(spark):
     assert [sum(key in s for s in got[n + i]) for i, key in enumerate([real, real, cases[0][1], real])] == [1, 2, 1, 1]
     assert not any("dummy" in s or "sample" in s or "123e4567" in s for i in range(4) for s in got[n + i])
     assert not any(got[n + 4 + i] for i in range(len(plain)))
+
+
+def test_lm_probabilities_of_a_large_context():
+    log10 = np.log10((np.array([1, 2, 5, 1000, 500_000_000]) - ngram_lm.DISCOUNT) / 1e9)
+    t = Trie(np.full(5, 7, np.uint64), np.arange(5, dtype=np.uint64), ngram_lm.quantise(log10), ngram_lm.quantise(np.log10(np.array([ngram_lm.DISCOUNT * 5 / 1e9]))))
+    _, place = t.look_up(np.full(5, 7, np.uint64), np.arange(5, dtype=np.uint64))
+    assert (abs(t.level[place] / -ngram_lm.STEPS - log10) <= 0.5 / ngram_lm.STEPS + 1e-9).all() and abs(t.backoff[0] / -ngram_lm.STEPS - math.log10(ngram_lm.DISCOUNT * 5 / 1e9)) < 0.02
+    t.close()

@@ -47,7 +47,7 @@ class Trie:
     """
 
     def __init__(self, context: np.ndarray, word: np.ndarray, level: np.ndarray, backoff: np.ndarray):
-        """Pairs sorted by (context, word), distinct; level: a byte for each; backoff: a byte for each distinct context."""
+        """Pairs sorted by (context, word), distinct; level: a number for each; backoff: one for each distinct context."""
         self.contexts, first = np.unique(context, return_index=True)
         self.words, number = np.unique(word, return_inverse=True)
         bounds = np.r_[first, len(context)].astype(np.int64)

@@ -26,7 +26,8 @@ _KEY48 = np.uint64((1 << 48) - 1)
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * STEPS), 0, 255).astype(np.uint8)
+    """Steps below 1 in 16 bits: down to 1e-2047, so no count of a context is too large."""
+    return np.clip(np.rint(-log10 * STEPS), 0, 65535).astype(np.uint16)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
