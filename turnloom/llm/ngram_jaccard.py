@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,13 @@ BLOCK_BYTES, LEAST_BLOCKS = 12 << 20, 32
 #: Texts of a column that all others are compared with, before all pairs that are still apart are.
 HUBS = 3
 
+#: An n-gram of so many texts of a slice is common: its texts go past the block of columns, which only learns how many there are.
+COMMON = 8
+#: Keys (8 bytes) that a step of the product takes at once, and its blocks of columns.
+PRODUCT_KEYS, PRODUCT_BLOCKS = 1 << 20, 8
+
+# Rows of packed arrays: entries by node (kind 0), documents of a slice (1), texts of a common n-gram in a slice (2), how many there are (3),
+# levels of common n-grams (4).
 _BLOCKS = "kind int, block long, nodes binary, sizes binary, counts binary, low binary, high binary, levels binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("nodes", "sizes", "counts", "low", "high", "levels")]])
 
@@ -53,6 +61,12 @@ def _pack(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _runs(block: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of the runs of a sorted array."""
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+    yield from zip(block[first].tolist(), first.tolist(), [*first[1:].tolist(), len(block)][: len(first)], strict=True)
+
+
 def _split(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches):
@@ -64,40 +78,79 @@ def _split(bits: int):
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             # The rows of the slice go along as one row, so that texts are cut into shingles once.
-            out = [(1, -1 - int(node[0]) % (1 << bits), node.tobytes(), sizes.tobytes(), known.tobytes(), ids.astype(np.int64).tobytes(), b"", b"")]
+            apart = -1 - int(node[0]) % (1 << bits)
+            out = [(1, apart, node.tobytes(), sizes.tobytes(), known.tobytes(), ids.astype(np.int64).tobytes(), b"", b"")]
+            # Copies of a text in the slice count once.
+            once = np.zeros(n, bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            key, row = key[once[row]], row[once[row]]
+            ordered = np.sort(key)
+            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+            many = np.diff(np.r_[first, len(ordered)])
+            common, many = ordered[first[many >= COMMON]], many[many >= COMMON]
+            if len(common):
+                at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                hot = common[at] == key
+                held = row[hot][np.argsort(at[hot], kind="stable")]
+                ends = np.cumsum(many)
+                for k, i, j in zip(common.view(np.int64).tolist(), (ends - many).tolist(), ends.tolist(), strict=True):
+                    out.append((2, apart, node[held[i:j]].tobytes(), sizes[held[i:j]].tobytes(), b"", k.to_bytes(8, "little", signed=True), b"", b""))
+                for b, i, j in _runs((common >> np.uint64(64 - bits)).astype(np.int64)):
+                    out.append((3, b, b"", b"", many[i:j].astype(np.int64).tobytes(), common[i:j].tobytes(), b"", b""))
+                key, row = key[~hot], row[~hot]
             block = (key >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(block, kind="stable")
-            edges = np.searchsorted(block[order], np.arange((1 << bits) + 1))
             low, high = key.astype(np.uint32)[order], (key >> np.uint64(32)).astype(np.uint16)[order]
             row = row[order]
-            for b in range(1 << bits):
-                i, j = edges[b], edges[b + 1]
-                if i < j:
-                    own, counts = np.unique(row[i:j], return_counts=True)
-                    out.append((0, b, node[own].tobytes(), sizes[own].tobytes(), counts.astype(np.uint32).tobytes(), low[i:j].tobytes(), high[i:j].tobytes(), b""))
+            for b, i, j in _runs(block[order]):
+                own, counts = np.unique(row[i:j], return_counts=True)
+                out.append((0, b, node[own].tobytes(), sizes[own].tobytes(), counts.astype(np.uint32).tobytes(), low[i:j].tobytes(), high[i:j].tobytes(), b""))
             yield _pack(out)
 
     return run
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(node, size, low, high, level) of the entries of some blocks."""
-    got = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("nodes", np.int64), ("sizes", np.int32), ("counts", np.uint32), ("low", np.uint32), ("high", np.uint16), ("levels", np.uint8))}
-    joined = {c: np.concatenate(x) for c, x in got.items()}
-    many = joined["counts"].astype(np.int64)
-    return np.repeat(joined["nodes"], many), np.repeat(joined["sizes"], many), joined["low"], joined["high"], joined["levels"]
+def _joined(table: pa.Table, kind: int, **types: type) -> dict[str, np.ndarray]:
+    """The packed arrays of the rows of a kind, one after another."""
+    mine = table.filter(pc.equal(table.column("kind"), kind))
+    return {c: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in mine.column(c).to_pylist())]) for c, t in types.items()}
+
+
+def _level(many: np.ndarray) -> np.ndarray:
+    """How common an n-gram is, in eighths of a power of two."""
+    return np.minimum(255, 8 * np.log2(np.maximum(many, 1))).astype(np.uint8)
+
+
+def _dealt(key: np.ndarray, node: np.ndarray, size: np.ndarray, level: np.ndarray, groups: int) -> list[tuple]:
+    """Entries as rows for the blocks of rows."""
+    group = (node.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((node, group))
+    key, node, size, level, group = (x[order] for x in (key, node, size, level, group))
+    out = []
+    for g, i, j in _runs(group):
+        own, at, counts = np.unique(node[i:j], return_index=True, return_counts=True)
+        k = key[i:j]
+        out.append((0, g, own.tobytes(), size[i:j][at].tobytes(), counts.astype(np.uint32).tobytes(), k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint32).tobytes(), level[i:j].tobytes()))
+    return out
 
 
-def _shared(bits: int, groups: int):
-    """For a block of columns: the entries in columns with two nodes at least, dealt to blocks of rows."""
+def _shared(bits: int):
+    """For a block of columns: the entries in columns with two nodes at least, dealt to blocks of rows, and levels of the common n-grams."""
     def run(table: pa.Table) -> pa.Table:
-        if table.column("kind")[0].as_py() == 1:
+        if table.column("block")[0].as_py() < 0:
             return table
-        block = table.column("block")[0].as_py()
-        node, size, low, high, _ = _entries(table)
+        block = np.uint64(table.column("block")[0].as_py()) << np.uint64(64 - bits)
+        told = _joined(table, 3, low=np.uint64, counts=np.int64)
+        got = _joined(table, 0, nodes=np.int64, sizes=np.int32, counts=np.uint32, low=np.uint32, high=np.uint16)
         del table
-        key = high.astype(np.uint64) << np.uint64(32) | low
-        del low, high
+        many = got["counts"].astype(np.int64)
+        node, size = np.repeat(got["nodes"], many), np.repeat(got["sizes"], many)
+        # What is kept of a key: its low 48 bits and, by the block, its first ones.
+        key = got["high"].astype(np.uint64) << np.uint64(32) | got["low"]
+        del got
+        common, at = np.unique(told["low"], return_inverse=True)
+        common_many = np.bincount(at, told["counts"], minlength=len(common)).astype(np.int64)
+        common = common & np.uint64((1 << 48) - 1)
         # Copies of a text are one node: their entries fall together.
         order = np.lexsort((node, key))
         key, node, size = key[order], node[order], size[order]
@@ -105,46 +158,82 @@ def _shared(bits: int, groups: int):
         key, node, size = key[new], node[new], size[new]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         many = np.diff(np.r_[first, len(key)])
-        level = np.repeat(np.minimum(255, 8 * np.log2(np.maximum(many, 1))).astype(np.uint8), many)
-        keep = np.repeat(many > 1, many)
-        key, node, size, level = key[keep], node[keep], size[keep], level[keep]
-        group = (node.view(np.uint64) % np.uint64(groups)).astype(np.int64)
-        order = np.lexsort((node, group))
-        key, node, size, level, group = (x[order] for x in (key, node, size, level, group))
-        out = []
-        key = key | np.uint64(block) << np.uint64(48)
-        edges = np.searchsorted(group, np.arange(groups + 1))
-        for g in range(groups):
-            i, j = edges[g], edges[g + 1]
-            if i < j:
-                own, at, counts = np.unique(node[i:j], return_index=True, return_counts=True)
-                k = key[i:j]
-                out.append((0, g, own.tobytes(), size[i:j][at].tobytes(), counts.astype(np.uint32).tobytes(), k.astype(np.uint32).tobytes(), (k >> np.uint64(32)).astype(np.uint32).tobytes(), level[i:j].tobytes()))
+        # Columns that are common in some slices have both kinds of entries.
+        order = np.argsort(common)
+        common, common_many = common[order], common_many[order]
+        both = np.zeros(len(first), np.int64)
+        if len(common) and len(first):
+            i = np.minimum(np.searchsorted(common, key[first]), len(common) - 1)
+            same = common[i] == key[first]
+            both[same] = common_many[i[same]]
+            common_many[i[same]] += many[same]
+        level = np.repeat(_level(many + both), many)
+        keep = np.repeat(many + both > 1, many)
+        out = _dealt(key[keep] | block, node[keep], size[keep], level[keep], 1 << bits)
+        if len(common):
+            out.append((4, 0, b"", b"", b"", (common | block).tobytes(), b"", _level(common_many).tobytes()))
         return pa.Table.from_batches([_pack(out)] if out else [], schema=_SCHEMA)
 
     return run
 
 
-_CANDIDATES = "node long, n int, s int, shingles binary"
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for low, level in zip(b.column("low").to_pylist(), b.column("levels").to_pylist(), strict=True):
+            yield pa.RecordBatch.from_pydict({"common": np.frombuffer(low, np.int64), "level": np.frombuffer(level, np.uint8).astype(np.int32)})
+
+
+def _common_keys(bits: int):
+    """Texts of the common n-grams, with the key as _shared() names it."""
+    mask = (1 << 64) - (1 << (64 - bits)) | (1 << 48) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = np.array([int.from_bytes(x, "little") & mask for x in b.column("low").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"key": keys, "nodes": b.column("nodes"), "sizes": b.column("sizes")})
+
+    return run
+
+
+def _common_entries(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes = ([np.frombuffer(x, t) for x in b.column(c).to_pylist()] for c, t in (("nodes", np.int64), ("sizes", np.int32)))
+            many = [len(x) for x in nodes]
+            key, level = b.column("key").to_numpy().view(np.uint64), b.column("level").to_numpy().astype(np.uint8)
+            if sum(many):
+                yield _pack(_dealt(np.repeat(key, many), np.concatenate(nodes), np.concatenate(sizes), np.repeat(level, many), groups))
+
+    return run
+
+
+_CANDIDATES = "node long, n int, s int, central int, shingles binary"
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """For a block of rows: nodes of which enough n-grams are shared for any link, with these n-grams, rarest first."""
-    got = {c: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("nodes", np.int64), ("sizes", np.int32), ("counts", np.uint32), ("low", np.uint32), ("high", np.uint32), ("levels", np.uint8))}
+    """For a block of rows: nodes of which enough n-grams are shared for any link, with these n-grams, rarest first, and how central they are:
+    the mean level of their n-grams, where unshared ones count 0. In a group of near copies it is highest for the text that the others come from."""
+    got = _joined(table, 0, nodes=np.int64, sizes=np.int32, counts=np.uint32, low=np.uint32, high=np.uint32, levels=np.uint8)
     many = got["counts"].astype(np.int64)
     node, size = np.repeat(got["nodes"], many), np.repeat(got["sizes"], many)
     key = got["high"].astype(np.int64) << 32 | got["low"]
     order = np.lexsort((key, got["levels"], node))
-    node, size, key = node[order], size[order], key[order]
+    node, size, key, level = node[order], size[order], key[order], got["levels"][order]
+    # A text of several slices comes with a common n-gram once for each.
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
+    node, size, key, level = node[new], size[new], key[new], level[new]
     own, first, shared = np.unique(node, return_index=True, return_counts=True)
     n = size[first]
     keep = 100 * shared >= PERCENT * n
+    central = np.add.reduceat(level.astype(np.int64), first) * 256 // n if len(first) else n
     sets = [key[a : a + s].tobytes() for a, s in zip(first[keep], shared[keep], strict=True)]
-    return pa.table({"node": own[keep], "n": n[keep].astype(np.int32), "s": shared[keep].astype(np.int32), "shingles": pa.array(sets, pa.binary())})
+    return pa.table({
+        "node": own[keep], "n": n[keep].astype(np.int32), "s": shared[keep].astype(np.int32), "central": central[keep].astype(np.int32), "shingles": pa.array(sets, pa.binary()),
+    })
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, node, n, s, at): the n-grams of which linked nodes share one. Both of a pair share at least the bound of either, so
+    """(h, node, n, s, central, at): the n-grams of which linked nodes share one. Both of a pair share at least the bound of either, so
     none can hide behind the first s - bound + 1."""
     for b in batches:
         n, s = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "s"))
@@ -156,23 +245,53 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "node": np.repeat(b.column("node").to_numpy(), many),
             "n": np.repeat(n, many).astype(np.int32),
             "s": np.repeat(s, many).astype(np.int32),
+            "central": np.repeat(b.column("central").to_numpy(), many),
             "at": at.astype(np.int32),
         })
 
 
+def product(left: list[np.ndarray], right: list[np.ndarray], need: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of the incidence matrix (the distinct n-grams of each) share at least need[i] columns.
+
+    The product is taken block of columns by block: each adds to the overlap counts of the pairs that are left, and a pair goes as
+    soon as its count and what either row has in the blocks to come cannot reach the bound.
+    """
+    n = len(need)
+    pair = np.repeat(np.tile(np.arange(n), 2), [len(x) for x in (*left, *right)])
+    key = np.concatenate([*left, *right, np.zeros(0, np.int64)])
+    side = np.arange(len(key)) >= sum(map(len, left))
+    block = (key % PRODUCT_BLOCKS).astype(np.int8)
+    count, live = np.zeros(n, np.int64), np.ones(n, bool)
+    rest = np.stack([np.bincount(pair[~side], minlength=n), np.bincount(pair[side], minlength=n)])
+    for b in range(PRODUCT_BLOCKS):
+        live &= count + rest.min(axis=0) >= need
+        mine = np.flatnonzero((block == b) & live[pair])
+        p, k = pair[mine], key[mine]
+        rest[0] -= np.bincount(p[~side[mine]], minlength=n)
+        rest[1] -= np.bincount(p[side[mine]], minlength=n)
+        order = np.lexsort((k, p))
+        p, k = p[order], k[order]
+        count += np.bincount(p[1:][(p[1:] == p[:-1]) & (k[1:] == k[:-1])], minlength=n)
+    return live & (count >= need)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose intersection reaches the threshold, with its size."""
-    for b in batches:
-        left, right = (b.column(c).to_pylist() for c in ("set_a", "set_b"))
-        both = np.array([len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-        n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
-        keep = 100 * both >= PERCENT * (n - both)
-        yield pa.RecordBatch.from_pydict({"a": b.column("a").to_numpy()[keep], "b": b.column("b").to_numpy()[keep]})
+    """Pairs whose intersection reaches the threshold."""
+    for whole in batches:
+        i = 0
+        size = np.cumsum(whole.column("s_a").to_numpy().astype(np.int64) + whole.column("s_b").to_numpy())
+        while i < whole.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PRODUCT_KEYS, "right")))
+            b, i = whole.slice(i, j - i), j
+            left, right = ([np.frombuffer(x, np.int64) for x in b.column(c).to_pylist()] for c in ("set_a", "set_b"))
+            n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+            keep = product(left, right, -(-PERCENT * n // (100 + PERCENT)))
+            yield pa.RecordBatch.from_pydict({"a": b.column("a").to_numpy()[keep], "b": b.column("b").to_numpy()[keep]})
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"), F.col("shingles").alias("set_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("shingles").alias("set_b"))
     return settle(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_overlaps, "a long, b long"), "jaccard-links")
 
 
@@ -183,8 +302,10 @@ def _possible(x: str, y: str) -> object:
 
 
 def _stars(prefixes: DataFrame, hubs: int) -> DataFrame:
-    """Pairs of each node with some nodes of each of its columns: those of the least hash, by as many hashes as there are hubs."""
-    by = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "s", "at")) for k in range(hubs)]
+    """Pairs of each node with some nodes of each of its columns: the most central one, and others by as many hashes as hubs are left."""
+    told = ["node", "n", "s", "at"]
+    by = [F.max(F.struct(F.col("central").cast("long").alias("by"), *told))]
+    by += [F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), *told)) for k in range(1, hubs)]
     hub = prefixes.groupBy("h").agg(F.array_distinct(F.array(*by)).alias("hubs"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     hub = hub.where("c0 != c1").select(F.col("h").alias("hub_h"), F.explode("hubs").alias("hub"))
     met = prefixes.alias("p").join(hub, F.col("h") == F.col("hub_h")).where(F.col("p.node") != F.col("hub.node")).where(_possible("p", "hub"))
@@ -196,12 +317,12 @@ def _merged(prefixes: DataFrame) -> DataFrame:
     same = prefixes.groupBy("h").agg(F.struct(F.count("*"), F.sum(F.xxhash64("node").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("node", F.lit(1)))).alias("same"))
     same = same.select(F.col("h").alias("same_h"), F.xxhash64("same").alias("same"))
     out = prefixes.join(same, F.col("h") == F.col("same_h"))
-    return out.groupBy("same", "node", "n", "s", "comp").agg(F.min("at").alias("at")).withColumnRenamed("same", "h")
+    return out.groupBy("same", "node", "n", "s", "central", "comp").agg(F.min("at").alias("at")).withColumnRenamed("same", "h")
 
 
 def _mixed(prefixes: DataFrame, known: DataFrame) -> DataFrame:
     """The columns that have nodes of several components."""
-    left = _labelled(prefixes.select("h", "node", "n", "s", "at"), known)
+    left = _labelled(prefixes.select("h", "node", "n", "s", "central", "at"), known)
     mixed = left.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("h")
     return settle(left.join(mixed, "h"), "jaccard-left")
 
@@ -217,10 +338,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     The incidence matrix is cut into blocks of columns: a task has all entries of its n-grams and drops those of one text only.
-    Blocks of rows then gather what is left of each text; a text of which less than 75 % of its n-grams is shared has no link. For the
-    rest, only the rarest n-grams up to the size bound can be where a link's texts first meet. Links are looked for
-    with one text of each of the two first columns of each text, then with HUBS texts of each column, and then, exactly, among all pairs of a column that are not yet in one component and pass the size and position bounds. Each candidate pair's
-    overlap is counted. So a large group of near copies costs pairs in proportion to its texts, and no link between components is lost.
+    An n-gram of COMMON texts of a slice or more is shared anyway: the block learns only how many texts have it there, so what a column brings to one
+    task is bounded by the slices and not by its texts. Blocks of rows then gather what is left of each text; a text of which less than 75 % of its
+    n-grams is shared has no link.
+
+    The product of the rows is masked: a pair is multiplied out where it first meets, at one of the rarest n-grams up to the size bound, if the size and
+    position bounds leave it possible. First each text with the most central text of each of its columns, then, where a column still has several
+    components, with HUBS texts of it, and then, exactly, all pairs of a column that are not yet in one component. So a large group of
+    near copies costs pairs in proportion to its texts, and no link between components is lost.
 
     n-grams are told apart by 48 bits and those of the block's number (53 at least), texts by 64. Copies of a text are one
     node. Nulls and empty texts have no n-grams and link with nothing; null doc_ids are left alone with component null.
@@ -231,12 +356,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(int(math.log2(LEAST_BLOCKS)), math.ceil(math.log2(max(1, total / BLOCK_BYTES))))
     blocks = rows.mapInArrow(_split(bits), _BLOCKS)
-    shared = settle(blocks.groupBy("block").applyInArrow(_shared(bits, 1 << bits), _BLOCKS), "jaccard-shared")
-    nodes = settle(shared.where("kind = 0").groupBy("block").applyInArrow(_candidates, _CANDIDATES), "jaccard-nodes")
+    shared = settle(blocks.groupBy("block").applyInArrow(_shared(bits), _BLOCKS), "jaccard-shared")
+    levels = shared.where("kind = 4").mapInArrow(_levels, "common long, level int")
+    common = shared.where("kind = 2").mapInArrow(_common_keys(bits), "key long, nodes binary, sizes binary")
+    common = common.join(levels, F.col("key") == F.col("common")).select("key", "nodes", "sizes", "level").mapInArrow(_common_entries(1 << bits), _BLOCKS)
+    entries = shared.where("kind = 0").unionByName(common)
+    nodes = settle(entries.groupBy("block").applyInArrow(_candidates, _CANDIDATES), "jaccard-nodes")
     members = shared.where("kind = 1").mapInArrow(_members, "doc_id long, node long, n_shingles long")
-    prefixes = settle(nodes.mapInArrow(_prefixes, "h long, node long, n int, s int, at int"), "jaccard-prefixes")
+    prefixes = settle(nodes.mapInArrow(_prefixes, "h long, node long, n int, s int, central int, at int"), "jaccard-prefixes")
 
-    known = components(_verified(_stars(_labelled(prefixes.where("at < 2"), None), 1), nodes))
+    known = components(_verified(_stars(_labelled(prefixes, None), 1), nodes))
     left = _merged(_mixed(prefixes, known))
     known = components(known.unionByName(_verified(_stars(left, HUBS), nodes)))
     left = _mixed(left, known)
