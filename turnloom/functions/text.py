@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Short utterances by what they do; continuers before reactions before acknowledgements.
-FILLERS = ["um", "uh", "er", "hmm", "eh"]
-CONTINUERS = ["mhm", "uh-huh", "mm", "hm", "yeah", "oui", "ja", "si"]
-REACTIONS = ["wow", "oh", "really", "great", "nice"]
-ACKS = ["ok", "okay", "right", "sure", "yes", "no"]
-FUNCTION_WORDS = ["the", "a", "an", "of", "to", "in", "and", "or", "but", "for", "with", "that"]
+# Short utterances by what they do; fillers before continuers before reactions before acknowledgements.
+FILLERS = ["um", "uh", "er", "erm", "so", "like", "well", "hmm"]
+CONTINUERS = ["mhm", "mm", "m", "mmm", "mmhm", "uh-huh", "uhhuh", "hm", "hmm", "mm-hmm"]
+REACTIONS = ["wow", "oh", "really", "no", "whoa", "god", "nice", "ha", "haha", "oof", "yikes", "damn", "seriously", "what", "huh", "ah", "aw"]
+ACKS = [
+    "yeah", "yes", "yep", "right", "okay", "ok", "sure", "true", "exactly", "totally", "uh", "i", "see", "gotcha", "got", "it", "cool", "alright", "fair", "definitely", "absolutely",
+    "makes", "sense",
+]
+# Words after which a speaker goes on.
+FUNCTION_WORDS = [
+    "and", "but", "so", "or", "because", "um", "uh", "like", "the", "a", "to", "of", "that", "if", "with", "i", "you", "we", "is", "was", "which", "then",
+]
+#: Marks that may stand around a word of an utterance.
+AROUND = ".,?!;:\"'"
 
 
 def norm_text(t: Column) -> Column:
@@ -61,17 +69,22 @@ def ends_with_function_word(t: Column) -> Column:
     return F.coalesce(F.try_element_at(words(norm_text(t)), F.lit(-1)).isin(*FUNCTION_WORDS), F.lit(False))
 
 
+def spoken(t: Column) -> Column:
+    """Words of an utterance in lower case, without the marks around them."""
+    bare = F.transform(words(t), lambda w: F.lower(F.regexp_replace(w, r"^[.,?!;:\"']+|[.,?!;:\"']+$", "")))
+    return F.filter(bare, lambda w: w != "")
+
+
 def lexical_class(t: Column) -> Column:
-    """empty, filler, continuer, reaction, ack or other: at most three words, all of the lexicon."""
-    w = words(norm_text(t))
+    """empty; filler: all words are; then, of at most three words that are all listed: continuer, reaction, ack; else other."""
+    w = spoken(t)
     def all_in(*lists: list[str]) -> Column:
         listed = [x for y in lists for x in y]
         return F.forall(w, lambda x: x.isin(*listed))
     def any_in(listed: list[str]) -> Column:
         return F.exists(w, lambda x: x.isin(*listed))
-    known = all_in(FILLERS, CONTINUERS, REACTIONS, ACKS)
     return (
-        F.when(F.size(w) == 0, "empty").when((F.size(w) > 3) | ~known, "other").when(all_in(FILLERS), "filler")
+        F.when(F.size(w) == 0, "empty").when(all_in(FILLERS), "filler").when((F.size(w) > 3) | ~all_in(CONTINUERS, REACTIONS, ACKS), "other")
         .when(any_in(CONTINUERS), "continuer").when(any_in(REACTIONS), "reaction").otherwise("ack")
     )
 

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fine labels in order of priority, with the canonical label and the act of each.
+# Fine labels in order of priority (the earlier wins where segments of a channel overlap), with the canonical label and the group of each.
 FINE = [
-    ("Normal Turn", "Turn", "turn"),
     ("Floor-taking Competitive Interruption", "Interruption", "floor_taking"),
     ("Floor-taking Cooperative Interruption", "Interruption", "floor_taking"),
     ("Non-floor Taking Competitive Interruption", "NonFloorTakingInterruption", "attempt"),
     ("Non-floor Taking Cooperative Interruption", "NonFloorTakingInterruption", "attempt"),
-    ("Overlap", "NonFloorTakingInterruption", "attempt"),
+    ("Normal Turn", "Turn", "turn"),
+    ("Strong Floor Hold", "Turn", "turn"),
+    ("Bounded Response", "Turn", "turn"),
+    ("Overlap", "Turn", "turn"),
+    ("Filler", "Turn", "turn"),
+    ("Reaction Backchannel", "Backchannel", "backchannel"),
     ("Acknowledgement Backchannel", "Backchannel", "backchannel"),
     ("Continuer Backchannel", "Backchannel", "backchannel"),
     ("Laughter", "Laughter", "noncontent"),
+    ("Speech, Non-Linguistic", "NonContent", "noncontent"),
     ("Non-Speech Noise", "NonContent", "noncontent"),
+    ("Channel Bleed", "NonContent", "noncontent"),
+    ("Awkward Silence", "AwkwardSilence", None),
 ]
+# The act of each canonical label.
+ACTS = [
+    ("Turn", "CLAIM"), ("Interruption", "CLAIM"), ("NonFloorTakingInterruption", "CLAIM"), ("Backchannel", "BACKCHANNEL"), ("Laughter", "LAUGHTER"), ("NonContent", "NONCONTENT"),
+]
 ALIAS = {"Regular Turn": "Normal Turn"}
 TURN_VIEW = ("Turn", "Interruption")
 
@@ -42,7 +53,18 @@ def canonical(label: Column) -> Column:
     return _case(fine(label), [(n, c) for n, c, _ in FINE], None)
 
 
+def act(label: Column) -> Column:
+    """What the speaker does by a label: SILENT for unknown ones and lapses."""
+    return _case(canonical(label), list(ACTS), "SILENT")
+
+
+def group_of_index(index: Column) -> Column:
+    """The group of a place in the order of priority; null for 0 and for what has none."""
+    return _case(index, [(i + 1, g) for i, (_, _, g) in enumerate(FINE) if g], None)
+
+
 def group(label: Column) -> Column:
+    """The group of a label; null for an unknown one and for one that has none."""
     return _case(fine(label), [(n, g) for n, _, g in FINE], None)
 
 

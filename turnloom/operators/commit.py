@@ -86,24 +86,3 @@ def veto(fires: DataFrame, answers: DataFrame, cut: float) -> DataFrame:
 def silence_policy(history: DataFrame, quiet: int, other_quiet: int) -> DataFrame:
     """Frames (own quiet and talk ages in frames: quiet_age, talk_age, other_quiet_age) at which an end of turn may be told."""
     return history.where((F.col("talk_age") > 0) & (F.col("quiet_age") >= quiet) & (F.col("other_quiet_age") >= other_quiet))
-
-
-def eot_policy(segments: DataFrame, track: DataFrame, score: str, theta: float, deadline: int, resume: int) -> DataFrame:
-    """One candidate for each segment end (conv_id, speaker, end_i, next_i: start of the next own segment or null).
-
-    It fires at the first frame after the end whose score reaches theta, at the deadline at the latest, and is cancelled if own speech resumes
-    before it fires and within `resume` frames of the end.
-    """
-    spans = segments.select(*CHANNEL, F.col("end_i").alias("from_i"), (F.col("end_i") + deadline).alias("to_i"), "next_i")
-    fired = first_above(track, spans, score, theta).withColumn("at", F.coalesce("first_i", "to_i"))
-    out = spans.join(fired.select(*CHANNEL, "from_i", "at"), [*CHANNEL, "from_i"])
-    cancelled = F.coalesce((F.col("next_i") <= F.col("at")) & (F.col("next_i") - F.col("from_i") <= resume), F.lit(False))
-    return out.where(~cancelled).select(*CHANNEL, F.col("at").alias("i")).distinct()
-
-
-def int_policy(segments: DataFrame, track: DataFrame, score: str, theta: float, fallback: int) -> DataFrame:
-    """At most one fire for each vocalisation (conv_id, speaker, start_i, end_i): the first frame with score >= theta in it, else `fallback` frames
-    after its start if it lasts that long."""
-    spans = segments.select(*CHANNEL, (F.col("start_i") - 1).alias("from_i"), (F.col("end_i") - 1).alias("to_i"))
-    late = F.when(F.col("to_i") - F.col("from_i") >= fallback, F.col("from_i") + fallback)
-    return first_above(track, spans, score, theta).withColumn("i", F.coalesce("first_i", late)).where("i IS NOT NULL").select(*CHANNEL, "i")

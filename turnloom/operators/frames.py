@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnloom.operators.commit import first_above
+
 CHANNEL = ["conv_id", "speaker"]
 
 
@@ -107,7 +109,8 @@ def arrival_slots(active: DataFrame) -> DataFrame:
 
 
 def onset_label(onsets: DataFrame, fine: DataFrame, width: int) -> DataFrame:
-    """onsets (conv_id, speaker, i) with the most frequent positive fine label in the width frames from them on, the lowest of equals."""
+    """onsets (conv_id, speaker, i) with the most frequent positive fine label in the width frames from them on, the lowest of equals, as its place
+    in the order of priority (onset_fine); vocab.group_of_index() names its group."""
     asked = onsets.withColumn("f", F.explode(F.sequence(F.col("i"), F.col("i") + width - 1)))
     seen = fine.where("fine > 0").select(*CHANNEL, F.col("i").alias("f"), "fine")
     return asked.join(seen, [*CHANNEL, "f"]).groupBy(*CHANNEL, "i").agg(F.mode("fine", True).alias("onset_fine"))
@@ -131,3 +134,41 @@ def slots_from_diarization(segments: DataFrame, slots: int = 2) -> DataFrame:
     first = segments.groupBy("conv_id", "who").agg(F.min("start_ms").alias("first"))
     every = W.partitionBy("conv_id")
     return first.select("conv_id", "who", (F.row_number().over(every.orderBy("first", "who")) - 1).alias("slot"), (F.count("*").over(every) <= slots).alias("ok"))
+
+
+def eot_targets(frames: DataFrame, gold: DataFrame, vad: str, step_ms: int, background: float = 0.02, longest_ms: int = 2500, speech: float = 0.5) -> DataFrame:
+    """(conv_id, speaker, i, y, w): training targets of the end of turns on quiet frames, by their end time t.
+
+    Positives begin at an anchor, never before it, and stop where speech resumes or after longest_ms; negatives are the quiet frames of annotated pauses. Each
+    such window has a total weight of 1. The other quiet frames share `background` per quiet episode, from the channel's first speech on. What
+    is excluded has no weight. Excluded goes before positive, positive before negative, and of several windows the latest counts.
+    gold: (conv_id, kind in pos, neg, excl, speaker, start_ms, end_ms).
+    """
+    w = W.partitionBy(*CHANNEL).orderBy("i")
+    f = frames.select(*CHANNEL, "i", (F.col(vad) < speech).alias("quiet"))
+    talked = F.coalesce(F.max((~F.col("quiet")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) == 1
+    f = f.withColumns({"was_quiet": F.coalesce(F.lag("quiet").over(w), F.lit(False)), "episode": F.sum((~F.col("quiet")).cast("int")).over(w), "talked": talked})
+    size = F.count("*").over(W.partitionBy(*CHANNEL, "episode", "quiet"))
+    f = f.withColumn("calm", F.when(F.col("quiet") & F.col("talked"), F.lit(background) / size))
+
+    # Where speech resumes after each anchor.
+    anchors = gold.where("kind = 'pos'").select(*CHANNEL, F.col("start_ms").alias("anchor")).distinct()
+    resumes = f.select(*CHANNEL, "i", (~F.col("quiet") & F.col("was_quiet")).cast("double").alias("rises"))
+    asked = anchors.withColumns({"from_i": F.floor(F.col("anchor") / step_ms) - 1, "to_i": F.floor((F.col("anchor") + longest_ms) / step_ms) - 1})
+    again = first_above(resumes, asked.select(*CHANNEL, "from_i", "to_i").distinct(), "rises", 1.0)
+    asked = asked.join(again, [*CHANNEL, "from_i", "to_i"], "left")
+    stop = F.least(F.col("anchor") + longest_ms, F.coalesce((F.col("first_i") + 1) * step_ms, F.col("anchor") + longest_ms))
+    pos = asked.select(*CHANNEL, F.col("anchor").alias("lo"), (stop - 1).alias("hi"), F.lit(2).alias("rank"))
+    spans = gold.where("kind IN ('neg', 'excl')").select(*CHANNEL, F.col("start_ms").alias("lo"), F.col("end_ms").alias("hi"), F.when(F.col("kind") == "neg", 1).otherwise(3).alias("rank")).distinct()
+    windows = pos.unionByName(spans)
+    inside = F.expr(f"sequence(greatest(ceil(lo / {step_ms}) - 1, 0), floor(hi / {step_ms}) - 1)")
+    marked = windows.where(f"floor(hi / {step_ms}) - 1 >= greatest(ceil(lo / {step_ms}) - 1, 0)").withColumn("i", F.explode(inside))
+    marked = marked.join(f.select(*CHANNEL, "i", "quiet"), [*CHANNEL, "i"]).where("quiet OR rank = 3")
+    share = 1.0 / F.count("*").over(W.partitionBy(*CHANNEL, "rank", "lo", "hi"))
+    best = marked.withColumn("share", share).groupBy(*CHANNEL, "i").agg(F.max(F.struct("rank", "lo", "share")).alias("m"))
+    rank = F.col("m.rank")
+    # An excluded frame of a positive window keeps its label.
+    yes = marked.where("rank = 2").select(*CHANNEL, "i", F.lit(1.0).alias("yes")).distinct()
+    out = f.join(best, [*CHANNEL, "i"], "left").join(yes, [*CHANNEL, "i"], "left")
+    weight = F.when(rank == 3, 0.0).when(rank.isNotNull(), F.col("m.share")).otherwise(F.coalesce("calm", F.lit(0.0)))
+    return out.select(*CHANNEL, "i", F.coalesce("yes", F.lit(0.0)).alias("y"), weight.alias("w"))

@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 BUCKET_MS = 30_000
 
 
-def range_join(a: DataFrame, b: DataFrame, on: Sequence[str], pad_ms: int = 0, how: str = "inner", bucket_ms: int = BUCKET_MS) -> DataFrame:
+def range_join(a: DataFrame, b: DataFrame, on: Sequence[str], pad_ms: int = 0, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Pairs of rows with equal keys whose intervals overlap when those of b are widened by pad_ms on both sides, touching included.
 
     Columns of b get the prefix b_. Each interval is put in the time buckets that it covers, so the join is an equi-join on key and bucket;
-    a pair is kept in the first bucket that both cover. how: inner, or left (rows of a without a pair stay, b_ columns null).
+    a pair is kept in the first bucket that both cover.
     """
     lo, hi = F.col("start_ms"), F.col("end_ms")
-    left = a.withColumn("__id", F.monotonically_increasing_id()) if how == "left" else a
-    left = left.withColumn("__from", F.floor(lo / bucket_ms)).withColumn("__bucket", F.explode(F.sequence("__from", F.floor(hi / bucket_ms))))
+    left = a.withColumn("__from", F.floor(lo / bucket_ms)).withColumn("__bucket", F.explode(F.sequence("__from", F.floor(hi / bucket_ms))))
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     blo, bhi = F.col("b_start_ms") - pad_ms, F.col("b_end_ms") + pad_ms
     right = right.withColumn("__b_from", F.floor(blo / bucket_ms)).withColumn("__b_bucket", F.explode(F.sequence("__b_from", F.floor(bhi / bucket_ms))))
@@ -29,11 +28,7 @@ def range_join(a: DataFrame, b: DataFrame, on: Sequence[str], pad_ms: int = 0, h
     for s in same:
         cond = cond & s
     cond = cond & (lo <= bhi) & (blo <= hi) & (F.col("__bucket") == F.greatest("__from", "__b_from"))
-    met = left.join(right, cond, "inner").drop("__from", "__bucket", "__b_from", "__b_bucket")
-    if how == "inner":
-        return met
-    rest = left.select(*a.columns, "__id").distinct().join(met.select("__id").distinct(), "__id", "left_anti").drop("__id")
-    return met.drop("__id").unionByName(rest, allowMissingColumns=True)
+    return left.join(right, cond).drop("__from", "__bucket", "__b_from", "__b_bucket")
 
 
 def union_intervals(df: DataFrame, keys: Sequence[str], gap_ms: int = 0, inclusive: bool = True) -> DataFrame:
@@ -156,3 +151,62 @@ def top_speakers(utterances: DataFrame, key: str, speaker: str, ms: Column, rest
     ranked = held.withColumn("rank", F.row_number().over(every.orderBy(F.desc("ms"), speaker))).withColumn("all", F.sum("ms").over(every))
     ranked = ranked.withColumn("two", F.sum(F.when(F.col("rank") <= 2, F.col("ms"))).over(every))
     return ranked.where((F.col("rank") <= 2) & (F.col("all") - F.col("two") <= rest * F.col("all"))).select(key, speaker, "ms", "rank", (F.col("ms") / F.col("all")).alias("share"))
+
+
+def _run_number(gap_ms: int, w: W) -> Column:
+    """Numbers the runs of intervals at most gap_ms apart, within a key."""
+    reach = F.max("end_ms").over(w.rowsBetween(W.unboundedPreceding, -1))
+    return F.coalesce((F.col("start_ms") - reach > gap_ms).cast("int"), F.lit(1))
+
+
+def overlap_geometry(
+    segments: DataFrame, key: str = "conv_id", run_ms: int = 500, resume_ms: int = 700, overlap_ms: int = 900, took_ms: int = 300, short_ms: int = 1000, past_ms: int = 100
+) -> DataFrame:
+    """(key, speaker, start_ms, end_ms, geometry) of segments: how each lies to the other speaker's run that is under way when it begins.
+
+    none: there is no such run (one that began before and goes on past_ms longer). Else the other is followed while it resumes within resume_ms, before this
+    speaker's own run ends: overlap, if it ends within overlap_ms of the onset; took, if it ends took_ms before the own run does; else short
+    or failed by the segment's length. Runs are segments at most run_ms apart.
+    """
+    on = [key, "speaker"]
+    w = W.partitionBy(*on).orderBy("start_ms", "end_ms")
+    seg = segments.select(*on, "start_ms", "end_ms").distinct().withColumns({"__n": _run_number(run_ms, w), "__m": _run_number(resume_ms, w)})
+    seg = seg.withColumns({"run": F.sum("__n").over(w), "chain": F.sum("__m").over(w)}).drop("__n", "__m")
+    seg = seg.withColumn("own_end", F.max("end_ms").over(W.partitionBy(*on, "run")))
+    other = seg.withColumn("speaker", (3 - F.col("speaker")).cast("int"))
+    runs = other.groupBy(*on, "run", "chain").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    onset = seg.select(*on, "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("to_ms"), "own_end")
+    under_way = range_join(onset, runs, on).where((F.col("b_start_ms") < F.col("start_ms")) & (F.col("b_end_ms") > F.col("start_ms") + past_ms))
+    under_way = under_way.select(*on, "start_ms", F.greatest("own_end", "start_ms").alias("end_ms"), "to_ms", "own_end", "b_chain", F.col("b_end_ms").alias("run_end"))
+    followed = range_join(under_way.withColumnRenamed("b_chain", "chain"), other.select(*on, "chain", "start_ms", "end_ms"), [*on, "chain"])
+    followed = followed.where("b_start_ms < own_end").groupBy(*on, "start_ms", "to_ms", "own_end").agg(F.greatest(F.max("b_end_ms"), F.max("run_end")).alias("last"))
+    last, start = F.col("last"), F.col("start_ms")
+    kind = F.when(last - start <= overlap_ms, "overlap").when(last < F.col("own_end") - took_ms, "took").when(F.col("to_ms") - start < short_ms, "short").otherwise("failed")
+    found = followed.select(*on, "start_ms", F.col("to_ms").alias("end_ms"), kind.alias("geometry"))
+    return segments.join(found, [*on, "start_ms", "end_ms"], "left").withColumn("geometry", F.coalesce("geometry", F.lit("none")))
+
+
+#: The label that the geometry alone gives.
+GEOMETRY_LABELS = [
+    ("none", "Normal Turn"), ("overlap", "Overlap"), ("took", "Floor-taking Competitive Interruption"), ("short", "Acknowledgement Backchannel"),
+    ("failed", "Non-floor Taking Competitive Interruption"),
+]
+
+
+def geometry_label(geometry: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for kind, label in GEOMETRY_LABELS:
+        out = F.when(geometry == kind, label).otherwise(out)
+    return out
+
+
+def rule_judge(geometry: Column, lexical: Column) -> Column:
+    """The fine label of a segment from its geometry and the lexical class of its text."""
+    heard = {"continuer": "Continuer Backchannel", "reaction": "Reaction Backchannel", "ack": "Acknowledgement Backchannel"}
+    out = F.when(lexical == "empty", "Speech, Non-Linguistic").when(lexical == "filler", "Filler")
+    for kind, label in heard.items():
+        out = out.when((geometry != "none") & (lexical == kind), label)
+    return (
+        out.when(geometry.isin("short", "failed"), "Non-floor Taking Competitive Interruption").when(geometry == "took", "Floor-taking Competitive Interruption")
+        .when(geometry == "overlap", "Overlap").otherwise("Normal Turn")
+    )

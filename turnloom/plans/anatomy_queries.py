@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from turnloom.plans.fixtures import SEG, frames, frames_sql, segments, table
 from turnloom.plans.frame_queries import _ACT, active
 from turnloom.plans.registry import register
 from turnloom.sources import io
+from turnloom.sources.settle import shared_path
 from turnloom.streaming import commits as X
 
 FR = frames_sql()
@@ -154,10 +154,7 @@ register(
 
 
 def _folder(s) -> str:
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnloom-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return shared_path(s, "io")
 
 
 def s02_round_trip(s, d):

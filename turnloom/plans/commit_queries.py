@@ -97,18 +97,6 @@ def _spans(s, d):
 
 _SPANS = "sp AS (SELECT conv_id, speaker, start_ms // 80 AS start_i, end_ms // 80 AS end_i, lead(start_ms) OVER (PARTITION BY conv_id, speaker ORDER BY start_ms, end_ms) // 80 AS next_i FROM seg)"
 _FIRST = "(SELECT min(i) FROM hit WHERE hit.conv_id = x.conv_id AND hit.speaker = x.speaker AND hit.i > x.a AND hit.i <= x.b)"
-register(
-    "C05_eot_policy",
-    lambda s, d: C.eot_policy(_spans(s, d), frames(s, d), "eot", 0.9, 20, 15),
-    f"""WITH {SEG}, {FR}, {_SPANS}, hit AS (SELECT conv_id, speaker, i FROM fr WHERE eot >= 0.9), x AS (SELECT *, end_i AS a, end_i + 20 AS b FROM sp),
-    f AS (SELECT *, coalesce({_FIRST}, b) AS at_ FROM x) SELECT DISTINCT conv_id, speaker, at_ AS i FROM f WHERE NOT coalesce(next_i <= at_ AND next_i - a <= 15, false)""",
-)
-register(
-    "C06_int_policy",
-    lambda s, d: C.int_policy(_spans(s, d), frames(s, d), "int", 0.7, 13),
-    f"""WITH {SEG}, {FR}, {_SPANS}, hit AS (SELECT conv_id, speaker, i FROM fr WHERE int >= 0.7), x AS (SELECT *, start_i - 1 AS a, end_i - 1 AS b FROM sp),
-    f AS (SELECT *, coalesce({_FIRST}, CASE WHEN b - a >= 13 THEN a + 13 END) AS i FROM x) SELECT conv_id, speaker, i FROM f WHERE i IS NOT NULL""",
-)
 register(
     "C07_first_above",
     lambda s, d: C.first_above(frames(s, d), _spans(s, d).select("conv_id", "speaker", F.col("end_i").alias("from_i"), (F.col("end_i") + 12).alias("to_i")), "eot", 0.95),

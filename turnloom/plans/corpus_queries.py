@@ -17,8 +17,8 @@ def _seg(s, d, *cols):
     return segments(s, d).select(*_SEGK, *cols)
 
 
-_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\[[^\]]*\]', ' ', 'g'), '[!-&(-,./:-@\[-`{-~]', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"""
-register("F02_norm_text", lambda s, d: _seg(s, d, T.norm_text(F.col("text")).alias("norm")), f"WITH {SEG} SELECT conv_id, turn, k, {_NORM} AS norm FROM seg")
+NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\[[^\]]*\]', ' ', 'g'), '[!-&(-,./:-@\[-`{-~]', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))"""
+register("F02_norm_text", lambda s, d: _seg(s, d, T.norm_text(F.col("text")).alias("norm")), f"WITH {SEG} SELECT conv_id, turn, k, {NORM} AS norm FROM seg")
 register(
     "F03_error_units",
     lambda s, d: table(s, d, "documents").select("doc_id", F.size(T.error_units(F.col("text"), F.when(F.col("lang") == "fr", "ja").otherwise(F.col("lang")))).cast("long").alias("n")),
@@ -26,25 +26,28 @@ register(
 )
 
 
-def _pairs(s, d, most: int | None = None):
-    """Neighbouring pieces of a turn as words (w, v) and texts (t, u): whole, or their first `most` words."""
+def _pairs(s, d):
+    """Neighbouring pieces of a turn as words (w, v) and texts (t, u), whole."""
     w = T.words(T.norm_text(F.col("text")))
-    w = F.slice(w, 1, most) if most else w
     seg = segments(s, d).select("conv_id", "turn", "k", w.alias("w"), F.concat_ws(" ", w).alias("t"))
     nxt = seg.select("conv_id", "turn", (F.col("k") - 1).alias("k"), F.col("w").alias("v"), F.col("t").alias("u"))
     return seg.join(nxt, _SEGK)
 
 
-#: Words of a piece in the queries that have SQL, which makes the same cut; those named `whole` make none.
-_FIRST = 12
-_PAIRS = rf"""wd AS (SELECT conv_id, turn, k, list_slice(regexp_extract_all({_NORM}, '[^ \t\n\r\f]+'), 1, 12) AS w FROM seg), pq AS (SELECT a.conv_id, a.turn, a.k, a.w, b.w AS v FROM wd a JOIN wd b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.k = a.k + 1)"""
+_PAIRS = rf"""wd AS (SELECT conv_id, turn, k, regexp_extract_all({NORM}, '[^ \t\n\r\f]+') AS w FROM seg),
+pq AS (SELECT a.conv_id, a.turn, a.k, a.w, b.w AS v FROM wd a JOIN wd b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.k = a.k + 1)"""
+# The distances have no SQL: DuckDB has none of lists, and its levenshtein() counts bytes.
 register("F04_edit_distance", lambda s, d: _pairs(s, d).select(*_SEGK, T.edit_distance(F.col("w"), F.col("v")).alias("words")))
-register(
-    "F04_char_distance",
-    lambda s, d: _pairs(s, d, _FIRST).select(*_SEGK, F.levenshtein("t", "u").cast("long").alias("chars")).join(_pairs(s, d, _FIRST).where(F.octet_length(F.concat("t", "u")) == F.length(F.concat("t", "u"))).select(*_SEGK), _SEGK),
-    rf"WITH {SEG}, {_PAIRS}, st AS (SELECT conv_id, turn, k, array_to_string(w, ' ') AS t, array_to_string(v, ' ') AS u FROM pq) SELECT conv_id, turn, k, levenshtein(t, u) AS chars FROM st WHERE regexp_full_match(t || u, '[\x00-\x7f]*')",
-)
-register("F04_char_distance_whole", lambda s, d: _pairs(s, d).select(*_SEGK, F.levenshtein("t", "u").cast("long").alias("chars")))
+register("F04_char_distance", lambda s, d: _pairs(s, d).select(*_SEGK, F.levenshtein("t", "u").cast("long").alias("chars")))
+
+
+def error_rate(s, d):
+    """Word errors of each conversation's neighbouring pieces, over the words of the first of each."""
+    pairs = _pairs(s, d).select("conv_id", T.edit_distance(F.col("w"), F.col("v")).alias("errors"), F.size("w").alias("n"))
+    return pairs.groupBy("conv_id").agg(F.sum("errors").alias("errors"), F.sum("n").alias("words"), F.try_divide(F.sum("errors").cast("double"), F.sum("n")).alias("rate"))
+
+
+register("F04_error_rate", error_rate)
 
 
 def _jaccard(pairs):
@@ -57,27 +60,22 @@ def _quote(pairs):
 
 register(
     "F05_jaccard",
-    lambda s, d: _jaccard(_pairs(s, d, _FIRST)),
+    lambda s, d: _jaccard(_pairs(s, d)),
     f"WITH {SEG}, {_PAIRS} SELECT conv_id, turn, k, len(list_intersect(w, v))::DOUBLE / greatest(len(list_distinct(list_concat(w, v))), 1) AS j FROM pq",
 )
-register("F05_jaccard_whole", lambda s, d: _jaccard(_pairs(s, d)))
 register(
     "F06_last_words",
     lambda s, d: _seg(s, d, F.concat_ws(" ", T.last_words(F.col("text"), 3)).alias("tail"), T.ends_with_function_word(F.col("text")).alias("fw")),
-    rf"""WITH {SEG}, w AS (SELECT *, regexp_extract_all(text, '[^ \t\n\r\f]+') AS ws, regexp_extract_all({_NORM}, '[^ \t\n\r\f]+') AS nw FROM seg)
+    rf"""WITH {SEG}, w AS (SELECT *, regexp_extract_all(text, '[^ \t\n\r\f]+') AS ws, regexp_extract_all({NORM}, '[^ \t\n\r\f]+') AS nw FROM seg)
     SELECT conv_id, turn, k, array_to_string(ws[greatest(len(ws) - 2, 1):], ' ') AS tail, coalesce(list_contains({T.FUNCTION_WORDS}, nw[-1]), false) AS fw FROM w""",
 )
-register("F07_lexical_class", lambda s, d: _seg(s, d, T.lexical_class(F.concat(F.expr("array('', 'um', 'mhm', 'oh ', 'ok ')")[F.expr("cast((conv_id + turn + k) % 5 as int)")], F.lit(" "), F.expr("array('', 'yes', '[x]', 'the')")[F.expr("cast(k % 4 as int)")])).alias("cls")),
-    f"""WITH {SEG} SELECT conv_id, turn, k, CASE (k % 4) WHEN 3 THEN 'other' ELSE CASE (conv_id + turn + k) % 5 WHEN 0 THEN CASE WHEN k % 4 = 1 THEN 'ack' ELSE 'empty' END
-    WHEN 1 THEN CASE WHEN k % 4 = 1 THEN 'ack' ELSE 'filler' END WHEN 2 THEN 'continuer' WHEN 3 THEN 'reaction' ELSE 'ack' END END AS cls FROM seg""")
 register("F08_hash_unit", lambda s, d: table(s, d, "documents").select("doc_id", T.hash_unit(F.col("doc_id"), "x").alias("u")),
     "SELECT doc_id, ('0x' || substr(sha256('x:' || doc_id), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE AS u FROM documents")
 register("F09_hash_order", lambda s, d: table(s, d, "documents").select("doc_id", F.row_number().over(W.partitionBy("source").orderBy(T.hash_order(F.col("doc_id"), "o"))).alias("r")),
     "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('o:' || doc_id)) AS r FROM documents")
-register("F10_quote", lambda s, d: _quote(_pairs(s, d, _FIRST)),
+register("F10_quote", lambda s, d: _quote(_pairs(s, d)),
     f"""WITH {SEG}, {_PAIRS}, x AS (SELECT *, list_concat(list_concat(w, ['.', '!']), v) AS a, w[greatest(len(w) - 1, 1):] AS q FROM pq), p AS (SELECT *, list_filter(generate_series(1, len(a) - len(q) + 1), lambda i: a[i:i + len(q) - 1] = q)[1] + len(q) - 1 AS e FROM x)
     SELECT conv_id, turn, k, CASE WHEN e = len(w) THEN e + 2 ELSE e END AS at FROM p""")
-register("F10_quote_whole", lambda s, d: _quote(_pairs(s, d)))
 _REPLY = "concat('1: ', (conv_id * 31 + k * 7) % 13, chr(10), 'noise', chr(10), ' 2: good', chr(10), CASE WHEN k % 3 = 0 THEN '' ELSE '3: 4' END)"
 register("F11_numbered", lambda s, d: segments(s, d).select(*_SEGK, T.parse_numbered(F.expr(_REPLY.replace("chr(10)", "char(10)")), F.lit(3)).alias("rows")).select(*_SEGK, F.explode("rows").alias("r")).select(*_SEGK, "r.no", "r.answer", "r.score"),
     f"""WITH {SEG} SELECT conv_id, turn, k, n_ AS no, CASE n_ WHEN 1 THEN ((conv_id * 31 + k * 7) % 13)::VARCHAR WHEN 2 THEN 'good' ELSE '4' END AS answer, CASE n_ WHEN 1 THEN least((conv_id * 31 + k * 7) % 13, 10)::INT WHEN 3 THEN 4 END AS score

@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The third annotator's labels, where they are not the first's: those that the first never gives.
+_LABEL_C = " ".join(
+    f"WHEN (conv_id * 5 + turn * 3 + k) % 29 = {n} THEN '{label}'"
+    for n, label in enumerate([
+        "Floor-taking Cooperative Interruption", "Non-floor Taking Competitive Interruption", "Regular Turn", "Strong Floor Hold", "Bounded Response", "Filler", "Reaction Backchannel",
+        "Speech, Non-Linguistic", "Channel Bleed", "Awkward Silence", "Made Up",
+    ])
+)
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, k, speaker, start_ms, end_ms, n, label, label_b, label_c, text: pieces of turns, one after another."""
     talk = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
@@ -31,7 +41,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(conv_id + turn + k) % 7 = 0").alias("b_differs"), F.expr("(conv_id + turn + k) % 11 = 0").alias("c_differs"), "text",
     ).select(
         "*", F.when(F.col("b_differs"), F.lit("Continuer Backchannel")).otherwise(F.col("label")).alias("label_b"),
-        F.when(F.col("c_differs"), F.lit("Overlap")).otherwise(F.col("label")).alias("label_c"),
+        F.expr(f"CASE WHEN c_differs THEN 'Overlap' {_LABEL_C} ELSE label END").alias("label_c"),
     ).drop("b_differs", "c_differs")
 
 
@@ -54,7 +64,7 @@ seg0 AS (
               ELSE 'Normal Turn' END AS label FROM timed),
 seg AS (
   SELECT *, CASE WHEN (conv_id + turn + k) % 7 = 0 THEN 'Continuer Backchannel' ELSE label END AS label_b,
-         CASE WHEN (conv_id + turn + k) % 11 = 0 THEN 'Overlap' ELSE label END AS label_c FROM seg0),
+         CASE WHEN (conv_id + turn + k) % 11 = 0 THEN 'Overlap' """ + _LABEL_C + r""" ELSE label END AS label_c FROM seg0),
 canon AS (
   SELECT *, CASE label WHEN 'Normal Turn' THEN 'Turn' WHEN 'Floor-taking Competitive Interruption' THEN 'Interruption'
             WHEN 'Non-floor Taking Cooperative Interruption' THEN 'NonFloorTakingInterruption' WHEN 'Acknowledgement Backchannel' THEN 'Backchannel'

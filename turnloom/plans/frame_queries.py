@@ -23,8 +23,8 @@ def active(s, d):
 
 
 register("R01_rasterize", active, f"WITH {SEG}, {_ACT} SELECT * FROM act")
-_FINE = """CASE label WHEN 'Normal Turn' THEN 1 WHEN 'Floor-taking Competitive Interruption' THEN 2 WHEN 'Non-floor Taking Cooperative Interruption' THEN 5
-  WHEN 'Acknowledgement Backchannel' THEN 7 WHEN 'Laughter' THEN 9 WHEN 'Non-Speech Noise' THEN 10 END"""
+_FINE = """CASE label WHEN 'Floor-taking Competitive Interruption' THEN 1 WHEN 'Non-floor Taking Cooperative Interruption' THEN 4 WHEN 'Normal Turn' THEN 5
+  WHEN 'Acknowledgement Backchannel' THEN 11 WHEN 'Laughter' THEN 13 WHEN 'Non-Speech Noise' THEN 15 END"""
 register(
     "R02_fine_acts",
     lambda s, d: R.fine_acts(segments(s, d), vocab.fine_index(F.col("label")), 80),
@@ -84,10 +84,11 @@ register(
 )
 register(
     "R12_onset_label",
-    lambda s, d: R.onset_label(_spans(s, d).select("conv_id", "speaker", F.col("start_i").alias("i")).distinct(), R.fine_acts(segments(s, d), vocab.fine_index(F.col("label")), 80), 12),
+    lambda s, d: R.onset_label(_spans(s, d).select("conv_id", "speaker", F.col("start_i").alias("i")).distinct(), R.fine_acts(segments(s, d), vocab.fine_index(F.col("label")), 80), 12).withColumn("grp", vocab.group_of_index(F.col("onset_fine"))),
     f"""WITH {SEG}, {_ACT}, p AS (SELECT conv_id, speaker, i, min({_FINE}) AS fine FROM tc GROUP BY ALL), o AS (SELECT DISTINCT conv_id, speaker, start_ms // 80 AS i FROM seg),
-    c AS (SELECT o.conv_id, o.speaker, o.i, fine, count(*) AS n FROM o JOIN p ON p.conv_id = o.conv_id AND p.speaker = o.speaker AND p.i BETWEEN o.i AND o.i + 11 GROUP BY ALL)
-    SELECT conv_id, speaker, i, arg_min(fine, row(-n, fine)) AS onset_fine FROM c GROUP BY conv_id, speaker, i""",
+    c AS (SELECT o.conv_id, o.speaker, o.i, fine, count(*) AS n FROM o JOIN p ON p.conv_id = o.conv_id AND p.speaker = o.speaker AND p.i BETWEEN o.i AND o.i + 11 GROUP BY ALL),
+    t AS (SELECT conv_id, speaker, i, arg_min(fine, row(-n, fine)) AS onset_fine FROM c GROUP BY conv_id, speaker, i)
+    SELECT *, CASE onset_fine WHEN 1 THEN 'floor_taking' WHEN 4 THEN 'attempt' WHEN 5 THEN 'turn' WHEN 11 THEN 'backchannel' ELSE 'noncontent' END AS grp FROM t""",
 )
 register(
     "R13_class_weights",

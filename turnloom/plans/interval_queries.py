@@ -10,6 +10,13 @@ from turnloom.plans.fixtures import SEG, segments
 from turnloom.plans.registry import register
 
 KEY = ["conv_id", "speaker"]
+# Fixed values, as the reference lists them: fine label, canonical label, group, place in the order of priority.
+LABELS = """('Floor-taking Competitive Interruption', 'Interruption', 'floor_taking', 1), ('Floor-taking Cooperative Interruption', 'Interruption', 'floor_taking', 2),
+('Non-floor Taking Competitive Interruption', 'NonFloorTakingInterruption', 'attempt', 3), ('Non-floor Taking Cooperative Interruption', 'NonFloorTakingInterruption', 'attempt', 4),
+('Normal Turn', 'Turn', 'turn', 5), ('Strong Floor Hold', 'Turn', 'turn', 6), ('Bounded Response', 'Turn', 'turn', 7), ('Overlap', 'Turn', 'turn', 8), ('Filler', 'Turn', 'turn', 9),
+('Reaction Backchannel', 'Backchannel', 'backchannel', 10), ('Acknowledgement Backchannel', 'Backchannel', 'backchannel', 11), ('Continuer Backchannel', 'Backchannel', 'backchannel', 12),
+('Laughter', 'Laughter', 'noncontent', 13), ('Speech, Non-Linguistic', 'NonContent', 'noncontent', 14), ('Non-Speech Noise', 'NonContent', 'noncontent', 15),
+('Channel Bleed', 'NonContent', 'noncontent', 16), ('Awkward Silence', 'AwkwardSilence', NULL, 17)"""
 
 
 def _turns(s, d):
@@ -18,12 +25,11 @@ def _turns(s, d):
 
 register(
     "F01_labels",
-    lambda s, d: segments(s, d).select("conv_id", "turn", "k", vocab.canonical(F.col("label")).alias("canonical"), vocab.group(F.col("label_b")).alias("grp"), vocab.fine_index(F.col("label_c")).cast("long").alias("fine")),
-    f"""WITH {SEG} SELECT conv_id, turn, k, canonical,
-    CASE label_b WHEN 'Normal Turn' THEN 'turn' WHEN 'Floor-taking Competitive Interruption' THEN 'floor_taking' WHEN 'Non-floor Taking Cooperative Interruption' THEN 'attempt'
-      WHEN 'Acknowledgement Backchannel' THEN 'backchannel' WHEN 'Continuer Backchannel' THEN 'backchannel' ELSE 'noncontent' END AS grp,
-    CASE label_c WHEN 'Normal Turn' THEN 1 WHEN 'Floor-taking Competitive Interruption' THEN 2 WHEN 'Non-floor Taking Cooperative Interruption' THEN 5 WHEN 'Overlap' THEN 6
-      WHEN 'Acknowledgement Backchannel' THEN 7 WHEN 'Laughter' THEN 9 WHEN 'Non-Speech Noise' THEN 10 END::BIGINT AS fine FROM canon""",
+    lambda s, d: segments(s, d).select("conv_id", "turn", "k", vocab.canonical(F.col("label")).alias("canonical"), vocab.group(F.col("label_b")).alias("grp"), vocab.fine_index(F.col("label_c")).cast("long").alias("fine"), vocab.act(F.col("label_c")).alias("act"), vocab.group(F.col("label_c")).alias("grp_c")),
+    f"""WITH {SEG}, fl(name, canonical_, grp, fine) AS (VALUES {LABELS}, ('Regular Turn', 'Turn', 'turn', 5))
+    SELECT conv_id, turn, k, x.canonical_ AS canonical, y.grp, coalesce(z.fine, 0)::BIGINT AS fine, CASE WHEN z.canonical_ IN ('Turn', 'Interruption', 'NonFloorTakingInterruption') THEN 'CLAIM'
+      WHEN z.canonical_ = 'Backchannel' THEN 'BACKCHANNEL' WHEN z.canonical_ = 'Laughter' THEN 'LAUGHTER' WHEN z.canonical_ = 'NonContent' THEN 'NONCONTENT' ELSE 'SILENT' END AS act, z.grp AS grp_c
+    FROM seg LEFT JOIN fl x ON x.name = label LEFT JOIN fl y ON y.name = label_b LEFT JOIN fl z ON z.name = label_c""",
 )
 _UNION = """m AS (SELECT *, max(end_ms) OVER (PARTITION BY conv_id, speaker ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg),
 r AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms - reach > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, speaker ORDER BY start_ms, end_ms) AS run FROM m),
