@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm._arrow import ALNUM_BYTES, LOWER_BYTES, chunks, hashes, lists, spans
+from turnloom.llm._arrow import ALNUM_BYTES, LOWER_BYTES, chunks, hashes, lists, spans, window_hashes
+from turnloom.llm._spark import settle
 
 WINDOW = 10
-#: Bytes of benchmark text that go to the tasks at once. A larger benchmark is searched in several blocks, one after another.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that go to the tasks at once, as an index of about five times the size. A larger benchmark is searched in several
+#: blocks, one after another.
+BLOCK_BYTES = 8 << 20
 #: Every so manieth suffix position is kept.
 SAMPLE = 16
 
@@ -79,13 +81,13 @@ class FMIndex:
         """Rows before which the suffixes with one more symbol in front begin."""
         return self.first[symbol] + self._down(symbol, i) - self.base[symbol]
 
-    def search(self, phrases: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward search of phrases (one a line, to the right, padded on the left): (phrase, low, high) of those that occur."""
-        live = np.arange(len(phrases))
+    def search(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward search of phrases (places in symbols, and lengths): (phrase, low, high) of those that occur."""
+        live = np.arange(len(start))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
-        for j in range(phrases.shape[1]):
-            symbol = phrases[live, phrases.shape[1] - 1 - j]
+        for j in range(int(length.max(initial=0))):
             more = j < length[live]
+            symbol = symbols[np.where(more, start[live] + length[live] - 1 - j, 0)].astype(np.int64)
             low = np.where(more, self.step(symbol, low), low)
             high = np.where(more, self.step(symbol, high), high)
             keep = low < high
@@ -113,36 +115,58 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items: distinct ones as lines of symbols, and the items that hold each."""
+    """The windows of benchmark items: the items' words as one sequence of symbols, the place and length of each distinct window in it, and the
+    items that hold each. About 30 bytes for each word, whatever the windows overlap."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
         self.names = [str(i) for i, _ in items]
         table = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in items], pa.string())})
-        words, lines = [], {}
-        at = 0
-        for _, data, offsets in chunks(iter([table])):
+        words, rows, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for part, data, offsets in chunks(iter([table])):
             start, end, row = spans(ALNUM_BYTES[data], offsets)
-            words += np.split(hashes(LOWER_BYTES[data], start, end), lists(row, len(offsets) - 1)[1:-1])
-        self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
+            words.append(hashes(LOWER_BYTES[data], start, end))
+            rows.append(row + before)
+            before += part.num_rows
+        h, row = np.concatenate(words), np.concatenate(rows)
+        self.vocabulary = np.unique(h)
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
-        for at, w in enumerate(words):
-            symbols = (np.searchsorted(self.vocabulary, w) + 2).tolist()
-            for k in range(max(1, len(symbols) - WINDOW + 1) if symbols else 0):
-                lines.setdefault(tuple(symbols[k : k + WINDOW]), set()).add(at)
-        self.length = np.array([len(x) for x in lines], np.int64)
-        self.lines = np.zeros((len(lines), WINDOW), np.int64)
-        for k, x in enumerate(lines):
-            self.lines[k, WINDOW - len(x) :] = x
-        self.owner = np.array([i for x in lines.values() for i in sorted(x)], np.int64)
-        self.owners = np.r_[0, np.cumsum([len(x) for x in lines.values()])].astype(np.int64)
+        self.symbols = (np.searchsorted(self.vocabulary, h) + 2).astype(np.int32)
+        # Windows by their hash; an item of fewer words is one window of all of them.
+        keys, at = window_hashes(h, row, WINDOW)
+        keys, starts, lengths = [keys], [at], [np.full(len(at), WINDOW)]
+        held = np.bincount(row, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
+        first = np.r_[0, np.cumsum(held)]
+        for k in range(1, WINDOW):
+            short = np.flatnonzero(held == k)
+            if len(short):
+                found, _ = window_hashes(h[np.concatenate([np.arange(first[i], first[i] + k) for i in short])], np.repeat(short, k), k)
+                keys.append(found)
+                starts.append(first[short])
+                lengths.append(np.full(len(short), k))
+        keys, starts, lengths = (np.concatenate(x) for x in (keys, starts, lengths))
+        order = np.lexsort((starts, keys, lengths))
+        keys, starts, lengths = keys[order], starts[order], lengths[order]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (lengths[1:] != lengths[:-1])][: len(keys)]
+        line = np.cumsum(new) - 1
+        self.start, self.length = starts[new].astype(np.int32), lengths[new].astype(np.int64)
+        pairs = np.unique(np.c_[line, row[starts]], axis=0) if len(line) else np.zeros((0, 2), np.int64)
+        self.owner = pairs[:, 1].astype(np.int32)
+        self.owners = np.searchsorted(pairs[:, 0], np.arange(len(self.start) + 1))
 
     def hits(self, h: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """For words h of rows: which words are hit, and (row, item) pairs, distinct and in order."""
         none = np.zeros(len(h), bool), np.zeros((0, 2), np.int64)
-        if not len(h) or not len(self.lines):
+        if not len(h) or not len(self.start):
             return none
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         symbol = np.where(self.vocabulary[at] == h, at + 2, 1)
+        # Phrases with a word that the shard has not are not searched for.
+        here = np.zeros(len(self.vocabulary) + 2, bool)
+        here[symbol] = True
+        missing = np.r_[0, np.cumsum(~here[self.symbols])]
+        asked = np.flatnonzero(missing[self.start + self.length] == missing[self.start])
+        if not len(asked):
+            return none
         # A separator goes before each row, and runs of words that no phrase holds count as one: no phrase spans them.
         place = np.arange(len(h)) + row + 1
         t, word = np.ones(len(h) + n_rows, np.int64), np.full(len(h) + n_rows, -1, np.int64)
@@ -150,17 +174,20 @@ class Phrases:
         keep = (t != 1) | np.r_[True, t[:-1] != 1]
         t, word = t[keep], word[keep]
         index = FMIndex(t, self.bits)
-        line, low, high = index.search(self.lines, self.length)
+        line, low, high = index.search(self.symbols, self.start[asked], self.length[asked])
         if not len(line):
             return none
+        line = asked[line]
         many = high - low
         rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         line = np.repeat(line, many)
         first = word[index.locate(rows)]
         change = np.bincount(first, minlength=len(h) + 1) - np.bincount(first + self.length[line], minlength=len(h) + 1)
-        owners = self.owners[line + 1] - self.owners[line]
-        item = self.owner[np.repeat(self.owners[line], owners) + np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners)]
-        return np.cumsum(change[:-1]) > 0, np.unique(np.c_[np.repeat(row[first], owners), item], axis=0)
+        # A row and a phrase once, however often it stands there, before the phrase's items.
+        met = np.unique(np.c_[row[first], line], axis=0)
+        owners = self.owners[met[:, 1] + 1] - self.owners[met[:, 1]]
+        item = self.owner[np.repeat(self.owners[met[:, 1]], owners) + np.arange(owners.sum()) - np.repeat(np.cumsum(owners) - owners, owners)]
+        return np.cumsum(change[:-1]) > 0, np.unique(np.c_[np.repeat(met[:, 0], owners), item], axis=0)
 
 
 def _search(phrases: Phrases, out: pa.Schema, last: bool):
@@ -223,17 +250,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
     new = [f.name for f in StructType.fromDDL(FOUND)]
     kept = [c for c in (keep or docs.columns) if c not in new]
     out = docs.select(*dict.fromkeys([*kept, "text"]))
-    blocks = list(_blocks(benchmark)) or [[]]
-    for k, items in enumerate(blocks):
-        last = k == len(blocks) - 1
+    blocks = _blocks(benchmark)
+    items = next(blocks, [])
+    while True:
+        following = next(blocks, None)
+        last = following is None
         have = StructType([f for f in out.schema if f.name in (kept if last else [*kept, "text"])])
         to = StructType([*have, *StructType.fromDDL(FOUND if last else "__hit array<long>, __items array<string>")])
         out = out.mapInArrow(_search(Phrases(items), to_arrow_schema(to), last), to)
-    return out
+        if last:
+            return out
+        # Each block's index goes when its pass is done.
+        out, items = settle(out, "benchmark-block"), following
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:
-    """Items in blocks of bounded size. The driver holds a block at a time while it is cut."""
+    """Items in blocks of bounded size. The driver holds two blocks at a time."""
     block, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         n = len((r["text"] or "").encode())
