@@ -1,4 +1,4 @@
-"""Quality rules: divergence of a document's character classes and common words from its language's."""
+"""Quality rules: Jensen-Shannon distance of a document's character classes and common words from its language's."""
 
 from __future__ import annotations
 
@@ -16,24 +16,27 @@ from turnloom.llm._spark import settle
 
 #: Common words of a language that have a bin each; all others share one.
 COMMON_WORDS = 50
-#: Character classes of UTF-8 bytes: a-z, A-Z, 0-9, space, line ends, . and comma, other marks of prose, symbols, brackets and
-#: slashes, first bytes of longer characters (their other bytes count nowhere), the rest.
-CLASSES = 10
-#: Largest divergence in bits (0 to 1), and the least length at which it is looked at.
-MAX_CLASS_DIVERGENCE, MIN_WORD_CHARS = 0.10, 200
-MAX_WORD_DIVERGENCE, MIN_WORDS = 0.22, 150
+#: Character classes, by the first byte of a character in UTF-8: a-z, A-Z, 0-9, space, line ends, . and comma, other marks of prose, symbols, brackets
+#: and slashes, control characters and the rest of ASCII; then Latin with marks (U+0080 to U+02FF), Greek to Cyrillic and Armenian (to U+057F),
+#: Hebrew, Arabic and others of two bytes (to U+07FF), scripts and marks of three bytes up to U+2FFF, kana and Han (to U+9FFF), Hangul and
+#: what else has three bytes, and four bytes. The other bytes of a character count nowhere.
+CLASSES = 17
+#: Largest Jensen-Shannon distance (0 to 1, the root of the divergence in bits), and the least length at which it is looked at.
+MAX_CLASS_DISTANCE, MIN_WORD_CHARS = 0.32, 200
+MAX_WORD_DISTANCE, MIN_WORDS = 0.47, 150
 
 _CLASS = np.full(256, 9, np.int64)
 for _n, _bytes in enumerate([range(97, 123), range(65, 91), range(48, 58), [32], [10, 13], b".,", b"!?:;'\"-", b"#*$%&|<>", b"()[]{}/\\_=+~^@`"]):
     _CLASS[list(_bytes)] = _n
 _CLASS[0x80:0xC0] = CLASSES
-_CLASS[0xC0:] = 9
+for _n, _first, _last in [(10, 0xC0, 0xCB), (11, 0xCC, 0xD5), (12, 0xD6, 0xDF), (13, 0xE0, 0xE2), (14, 0xE3, 0xE9), (15, 0xEA, 0xEF), (16, 0xF0, 0xFF)]:
+    _CLASS[_first : _last + 1] = _n
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 _COUNTED = "lang string, word long, n long"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-VERDICT = "class_divergence double, word_divergence double, base_failed boolean, kept boolean"
+VERDICT = "class_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,13 +91,13 @@ def language_references(docs: DataFrame) -> DataFrame:
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Divergence of each line of p from the same of q, in bits: 0 for equal ones, 1 for disjoint ones."""
+    """Distance of each line of p from the same of q, the root of the divergence in bits: 0 for equal ones, 1 for disjoint ones."""
     m = (p + q) / 2
 
     def part(a: np.ndarray) -> np.ndarray:
         return np.where(a > 0, a * np.log2(np.where(a > 0, a, 1) / np.where(m > 0, m, 1)), 0.0).sum(axis=1)
 
-    return np.clip((part(p) + part(q)) / 2, 0.0, 1.0)
+    return np.sqrt(np.clip((part(p) + part(q)) / 2, 0.0, 1.0))
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -161,11 +164,11 @@ def _judge(out: pa.Schema):
                 h = np.bincount(row[ours] * (len(top) + 1) + k, minlength=n * (len(top) + 1)).reshape(n, len(top) + 1)[mine]
                 word_div[mine] = jensen_shannon(h / np.maximum(h.sum(axis=1, keepdims=True), 1), shares[None, :])
             failed = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
-            far = (counts["word_chars"] >= MIN_WORD_CHARS) & (class_div > MAX_CLASS_DIVERGENCE)
-            far |= (counts["n_words"] >= MIN_WORDS) & (word_div > MAX_WORD_DIVERGENCE)
+            far = (counts["word_chars"] >= MIN_WORD_CHARS) & (class_div > MAX_CLASS_DISTANCE)
+            far |= (counts["n_words"] >= MIN_WORDS) & (word_div > MAX_WORD_DISTANCE)
             made = {k: pa.array(v.astype(np.int64)) for k, v in counts.items()} | {
-                "class_divergence": pa.array(class_div, from_pandas=True),
-                "word_divergence": pa.array(word_div, from_pandas=True),
+                "class_distance": pa.array(class_div, from_pandas=True),
+                "word_distance": pa.array(word_div, from_pandas=True),
                 "base_failed": pa.array(failed),
                 "kept": pa.array(~failed & ~far),
             }
@@ -179,7 +182,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     A document fails the base rules with fewer than 10 words or over 20 % of words in repeated windows of five. It is rejected
     too if it is long enough (MIN_WORD_CHARS, MIN_WORDS) and its histogram of character classes or of its language's common
-    words diverges from the language's by more than the limits. References come from all documents; a language's is a row of
+    words is farther from the language's than the limits. References come from all documents; a language's is a row of
     bounded size, joined to the documents (broadcast by the planner as long as the measured table is small).
     Nulls: a null text has no words; a null lang is a language of its own. Repeated rows pass through; an empty table gives no
     rows. Columns of docs named as the new ones are replaced. Long texts are counted whole.
