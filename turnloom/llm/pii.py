@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from turnloom.llm._spark import settle
+
 # Fixed values of the contract: kinds in their order and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
 BASE = {
@@ -38,7 +40,7 @@ CUES = {
 NEEDS = {"email": re.compile(r"@|[(\[]at[)\]]"), "ip": re.compile(r"[0-9][.,][0-9]"), "card": re.compile(r"[0-9]"), "phone": re.compile(r"[0-9]")}
 
 FEATURES = 17
-#: Labelled candidates that the trees are fit on: the first in the order of a hash of text and place. Half of them calibrate.
+#: Labelled candidates that the trees are fit on at most: the first in the order of a hash of text and place. Half of them calibrate.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 16
 #: Precision that a kind's threshold must reach on the calibration half.
@@ -261,8 +263,13 @@ def calibrate(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame) -> tuple[Boosted, np.ndarray]:
-    """Trees and a threshold for each kind. All documents' candidates are labelled; SAMPLE of them at most reach the driver."""
-    rows = docs.select("text").mapInArrow(_labelled, _SAMPLED).orderBy("by", "y", "x").limit(SAMPLE).collect()
+    """Trees and a threshold for each kind. All documents' candidates are labelled and counted; of these, those with the least hashes are the
+    sample. A first cut by hash leaves about twice SAMPLE, so what the tasks send does not grow with their number."""
+    labelled = settle(docs.select("text").mapInArrow(_labelled, _SAMPLED), "pii-labelled")
+    many = labelled.count()
+    if many > 2 * SAMPLE:
+        labelled = labelled.where(F.col("by") < -(1 << 63) + int(2 * SAMPLE / many * float(1 << 64)))
+    rows = labelled.orderBy("by", "y", "x").limit(SAMPLE).collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, FEATURES)
     y = np.array([r["y"] for r in rows], np.float64)
     half = np.arange(len(y)) % 2 == 0
@@ -271,6 +278,15 @@ def fit(docs: DataFrame) -> tuple[Boosted, np.ndarray]:
     return model, np.array([calibrate(p[x[~half, 0] == k], y[~half][x[~half, 0] == k]) for k in range(len(KINDS))])
 
 
+def selected(spans: list[tuple[int, int, int]], p: list[float]) -> list[tuple[int, int, int]]:
+    """Of accepted candidates that overlap, the most probable; of equals the first."""
+    kept: list[tuple[int, int, int]] = []
+    for _, (a, k, e) in sorted(zip([-v for v in p], spans, strict=True)):
+        if not any(a < to and start < e for start, _, to in kept):
+            kept.append((a, k, e))
+    return sorted(kept)
+
+
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<start:int,end:int,kind:string,base:boolean>>"
 
 
@@ -292,11 +308,12 @@ def _scan(model: Boosted, thresholds: np.ndarray, out: pa.Schema):
                     x.append(features(text, kind, start, end, base[i]))
                     owner.append(i)
             x = np.array(x).reshape(-1, FEATURES)
-            keep = model.probability(x) >= thresholds[x[:, 0].astype(int)]
-            more: list[list] = [[] for _ in base]
-            for i, span, k in zip(owner, broad, keep, strict=True):
+            p = model.probability(x)
+            accepted: list[list] = [[] for _ in base]
+            for i, span, v, k in zip(owner, broad, p.tolist(), p >= thresholds[x[:, 0].astype(int)], strict=True):
                 if k:
-                    more[i].append(span)
+                    accepted[i].append((span, v))
+            more = [selected([s for s, _ in found], [v for _, v in found]) for found in accepted]
             made = {
                 **{f"n_{kind}": pa.array([sum(s[1] == k for s in b) for b in base], pa.int64()) for k, kind in enumerate(KINDS)},
                 "base_sha256": pa.array([hashlib.sha256(_spelled(b).encode()).hexdigest() for b in base], pa.string()),
@@ -313,7 +330,8 @@ def _scan(model: Boosted, thresholds: np.ndarray, out: pa.Schema):
 
 def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (all by default) with the counts of base spans, their digest, and all spans (places in code points,
-    end exclusive): base ones and candidates that touch none of their own kind and that the trees accept.
+    end exclusive): base ones and candidates that touch none of their own kind and that the trees accept; of accepted ones that overlap, the
+    most probable.
 
     Nulls and empty texts have no spans; repeated rows pass through; an empty table gives no rows (and trees that accept nothing).
     Columns of docs named as the new ones are replaced. Texts are searched whole; no shuffle but for the sample.
@@ -328,19 +346,26 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span of personal data in text replaced by its kind in brackets; of overlapping ones the first counts."""
+    """docs with personal data in text replaced by its kinds in brackets. Spans that overlap are one: all of what any of them covers goes, under the
+    names of all of them."""
     found = find_pii(docs)
     t = F.col("text")
+    none = "CAST(array() AS array<struct<start:int,end:int,kinds:array<string>>>)"
+
+    def merge(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.array_union(last["kinds"], F.array(s["kind"])).alias("kinds"))
+        new = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array(s["kind"]).alias("kinds"))
+        return F.when(last.isNotNull() & (s["start"] < last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(new)))
+
+    spans = F.aggregate("found", F.expr(none), merge)
     cut = F.aggregate(
-        F.col("found"),
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            ),
-        ).otherwise(acc),
+        lambda acc, s: F.struct(
+            s["end"].alias("at"),
+            F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(F.array_join(s["kinds"], "/")), F.lit("]")).alias("out"),
+        ),
         lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t) - acc["at"])),
     )
     return found.withColumn("text", F.when(F.size("found") > 0, cut).otherwise(t)).select(*docs.columns)
