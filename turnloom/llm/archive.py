@@ -28,6 +28,8 @@ ARC_LEGEND = {
 }
 ARC_FILE = "filedesc://"
 EPOCH = "20240101000000"
+#: What an ARC line says where no address is known.
+NO_ADDRESS = "0.0.0.0"
 
 
 def sha1_base32(data: bytes) -> str:
@@ -44,7 +46,7 @@ def arc_record(url: str, ip: str, date: str, kind: str, body: bytes, version: st
 def arc_head(name: str, version: str = "1") -> bytes:
     """The version block that an ARC file begins with."""
     body = f"{version} 0 turnloom\n{ARC_LEGEND[version]}\n".encode()
-    return arc_record(f"{ARC_FILE}{name}", "0.0.0.0", EPOCH, "text/plain", body, version)
+    return arc_record(f"{ARC_FILE}{name}", NO_ADDRESS, EPOCH, "text/plain", body, version)
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
@@ -148,7 +150,7 @@ def _arc_lines(version: str):
             for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 body = (html or "").encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'-' if page is None else page}\r\nContent-Length: {len(body)}\r\n\r\n"
-                out.append(arc_record(url or "-", "0.0.0.0", EPOCH, "text/html", http.encode() + body, version).decode())
+                out.append(arc_record(url or "-", NO_ADDRESS, EPOCH, "text/html", http.encode() + body, version).decode())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], schema=_LINE)
 
     return run
@@ -190,27 +192,34 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_arc_records, _RECORDS_DDL)
 
 
+def _record_id(r: dict) -> str:
+    return record_id("record", r["url"], r["date"], "-" if r["page_id"] is None else str(r["page_id"]), r["payload_digest"])
+
+
 def _warc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for r in b.to_pylist():
-            if r["type"] == "warcinfo":
+            headers = {"WARC-Type": r["kind"], "WARC-Record-ID": _record_id(r), "WARC-Date": r["date"]}
+            if r["kind"] == "warcinfo":
+                # The ARC file's own record becomes the description of the WARC file.
+                body = f"software: turnloom\r\nformat: WARC File Format 1.1\r\ndescription: converted from {r['url'].removeprefix(ARC_FILE)}\r\n".encode()
+                out.append(warc_record(headers | {"Content-Type": "application/warc-fields", "WARC-Block-Digest": f"sha1:{sha1_base32(body)}"}, body).decode())
                 continue
-            page = "-" if r["page_id"] is None else str(r["page_id"])
-            headers = {
-                "WARC-Type": r["kind"],
-                "WARC-Record-ID": record_id("record", r["url"], r["date"], page, r["payload_digest"]),
-                "WARC-Date": r["date"],
-                "WARC-Target-URI": r["url"],
-                "WARC-IP-Address": r["ip"],
-                "WARC-Payload-Digest": f"sha1:{r['payload_digest']}",
-            }
+            headers["WARC-Target-URI"] = r["url"]
+            if r["ip"] not in ("", "-", NO_ADDRESS):
+                headers["WARC-IP-Address"] = r["ip"]
+            headers["WARC-Payload-Digest"] = f"sha1:{r['payload_digest']}"
             block = r["http"] or b""
             if r["kind"] == "revisit":
-                headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page": str(r["refers_to"])}
+                first = {"page_id": r["refers_to"], "url": r["refers_url"], "date": r["refers_date"], "payload_digest": r["payload_digest"]}
+                headers |= {
+                    "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _record_id(first),
+                    "WARC-Refers-To-Target-URI": r["refers_url"], "WARC-Refers-To-Date": r["refers_date"], "X-Refers-To-Page": str(r["refers_to"]),
+                }
             else:
                 block += r["payload"] or b""
-                headers["WARC-Block-Digest"] = f"sha1:{sha1_base32(block)}"
+            headers["WARC-Block-Digest"] = f"sha1:{sha1_base32(block)}"
             headers["Content-Type"] = "application/http; msgtype=response" if r["http"] else r["content_type"]
             out.append(warc_record(headers, block).decode())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], schema=_LINE)
@@ -218,16 +227,18 @@ def _warc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def convert(records: DataFrame, path: str, least_bytes: int = 0) -> None:
     """ARC records as gzipped WARC files. Of records with equal payloads of at least least_bytes bytes, that with the least page_id
-    is stored and the others become revisit records. Only digests and ids are grouped and joined, so a payload that a third
-    of all records have costs no more than others; records without page_id are stored.
+    is stored and the others become revisit records, which name its record, address and date. Only digests, ids and addresses are grouped and
+    joined, so a payload that a third of all records have costs no more than others; records without page_id are stored.
     """
     firsts = records.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull() & (F.col("type") != "warcinfo"))
-    firsts = settle(firsts.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "archive-firsts")
-    told = records.join(firsts.withColumnRenamed("payload_digest", "digest"), (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= least_bytes), "left")
-    revisit = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
+    firsts = firsts.groupBy(F.col("payload_digest").alias("digest")).agg(F.min(F.struct("page_id", "url", "date")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = settle(firsts, "archive-firsts")
+    told = records.join(firsts, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= least_bytes) & (F.col("type") != "warcinfo"), "left")
+    revisit = F.col("first").isNotNull() & (F.col("page_id") != F.col("first.page_id"))
     told = told.select(
-        *records.columns, F.when(revisit, F.col("first")).alias("refers_to"), F.when(revisit, F.lit("revisit")).otherwise(F.col("type")).alias("kind")
-    )
+        *records.columns, *[F.when(revisit, F.col(f"first.{c}")).alias(n) for c, n in (("page_id", "refers_to"), ("url", "refers_url"), ("date", "refers_date"))],
+        F.when(revisit, F.lit("revisit")).otherwise(F.col("type")).alias("kind"),
+    )
     told.mapInArrow(_warc_lines, "line string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
@@ -236,6 +247,8 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in b.column("content").to_pylist():
             rows = []
             for headers, block in parse_warc(_unzipped(data)):
+                if headers["warc-type"] == "warcinfo":
+                    continue
                 http, payload = split_http(block)
                 page = re.search(rb"\r\nX-Page-Id: (-?[0-9]+)\r\n", http)
                 size = re.search(rb"\r\nContent-Length: ([0-9]+)\r\n", http)
