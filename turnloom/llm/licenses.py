@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm._spark import ALNUM_WORD, LOWER, UPPER, word_count
+from turnloom.llm._spark import ALNUM_WORD, ascii_lower
 
 # Fixed values of the contract: phrases that stand for a license, and their labels.
 BASE_PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-#: Templates: what notices say, in lower case, and the label of each.
+#: The templates of the query: what notices say, in lower case, and the label of each. Others may be given as a list or a table.
 TEMPLATES = [
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
@@ -31,8 +33,8 @@ TEMPLATES = [
 CONTAINMENT = 0.8
 #: A run of more than so many times the longest template's words says something else; in a longer block every run of that length is judged.
 BLOCK_STRETCH = 3
-#: ALNUM_WORD before lower-casing.
-ALNUM_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters that all templates may have together: they go to every task.
+MOST_TEMPLATE_CHARS = 4 << 20
 #: Blocks are sentences and paragraphs; a single line break is a space.
 BLOCK_END = r"[!?;]|\.(?![0-9])|\n[\x20\t\r]*\n"
 
@@ -41,33 +43,44 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ALNUM_WORD), F.lit(0))
 
 
-def token_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """In how many documents each template word stands, also within longer words: the global order needs no more, and a
-    substring search is far cheaper than cutting every text into words. One row, whatever the input."""
-    vocabulary = sorted({w for t, _ in TEMPLATES for w in t.split()})
-    low = docs.select(F.lower(F.col(text)).alias("low"))
-    counts = low.agg(*[F.count_if(F.contains("low", F.lit(w))).alias(w) for w in vocabulary]).first()
-    return {w: counts[w] or 0 for w in vocabulary}
+def listed_templates(templates: Sequence[tuple[str, str]] | DataFrame) -> list[tuple[str, str]]:
+    """(text, label) of a list or a table (text, label), in order; an error where they are too large to be sent to all tasks."""
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.coalesce(F.sum(F.length("text") + F.length("label")), F.lit(0))).first()[0]
+        if size > MOST_TEMPLATE_CHARS:
+            raise ValueError(f"{size} characters of templates are more than {MOST_TEMPLATE_CHARS}")
+        templates = [(r["text"], r["label"]) for r in templates.select("text", "label").where("text IS NOT NULL AND label IS NOT NULL").orderBy("label", "text").collect()]
+    return [(t, label) for t, label in templates if t.split()]
 
 
-def ordered_templates(frequencies: dict[str, int]) -> list[dict]:
+def token_frequencies(words: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
+    """In how many documents (rows with `words`) each word of the vocabulary stands. At most as many rows as the vocabulary has words."""
+    held = words.select(F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]))).alias("w")).groupBy("w").count()
+    return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in held.collect()}
+
+
+def ordered_templates(templates: Sequence[tuple[str, str]], frequencies: dict[str, int]) -> list[dict]:
     """Templates as word sets in global order (rarest first), with what the filters need.
 
     A block that holds at least `least` of a template's n words holds one of its first n - least + 1: that is the prefix.
     Where another label's template alone would meet one, `apart` has the words that tell them apart; one of them must be there.
     """
     out = []
-    for template, label in TEMPLATES:
-        words = sorted(set(template.split()), key=lambda w: (frequencies[w], w))
+    sets = [(set(t.split()), label) for t, label in templates]
+    for own, label in sets:
+        words = sorted(own, key=lambda w: (frequencies[w], w))
         least = math.ceil(CONTAINMENT * len(words) - 1e-9)
-        rivals = [set(u.split()) for u, other in TEMPLATES if other != label]
-        apart = [sorted(set(words) - u) for u in rivals if len(u.intersection(words)) >= least]
-        out.append({"label": label, "words": words, "least": least, "prefix": words[: len(words) - least + 1], "apart": apart})
+        rivals = [u for u, other in sets if other != label and len(u & own) >= least]
+        out.append({"label": label, "words": words, "n": len(words), "least": least, "prefix": words[: len(words) - least + 1], "apart": [sorted(own - u) for u in rivals]})
     return out
 
 
-def _first(prefix: Column, block: Column) -> Column:
-    return F.array_min(F.transform(F.array_intersect(prefix, block), lambda w: F.array_position(prefix, w))).cast("int")
+_TEMPLATE = "struct<label:string,words:array<string>,n:int,least:int,prefix:array<string>,apart:array<array<string>>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def phrase_starts(words: Column, phrase: str, label: str) -> Column:
@@ -81,78 +94,70 @@ def phrase_starts(words: Column, phrase: str, label: str) -> Column:
     return F.when(F.array_contains(words, p[0]), F.transform(starts, lambda i: F.struct((i - 1).alias("word"), F.lit(label).alias("label"))))
 
 
-def _score(part: Column, listed: Column, t: dict) -> Column:
-    """Share of the template's words in part, if that meets it."""
-    shared = F.size(F.array_intersect(listed, part))
-    ok = shared >= t["least"]
-    for words in t["apart"]:
-        ok = ok & F.arrays_overlap(part, F.array(*[F.lit(w) for w in words]))
-    return F.when(ok, shared / F.lit(float(len(t["words"]))))
-
-
-def _met(run: Column, block: Column, templates: list[dict], longest: int) -> Column:
-    """array<struct<score,label>> of all templates that some `longest` words of run (its distinct words: block) meet."""
-    found = []
-    for t in templates:
-        listed = F.array(*[F.lit(w) for w in t["words"]])
-        prefix = F.array(*[F.lit(w) for w in t["prefix"]])
-        n, least = len(t["words"]), t["least"]
-        # Length: the block has `least` words at least. Prefix: they share a word of the prefix. Position: if the first shared
-        # word stands at p in global order, n - p words can still be shared.
-        first = _first(prefix, block)
-        near = (F.size(block) >= least) & F.arrays_overlap(block, prefix)
-        may = near & (F.lit(n) - first + 1 >= least)
-        starts = F.sequence(F.lit(1), F.greatest(F.size(run) - longest + 1, F.lit(1)))
-        best = F.array_max(F.transform(starts, lambda i: _score(F.slice(run, i, longest), listed, t)))
-        found.append(F.when(may, F.when(F.size(F.array_intersect(listed, block)) >= least, F.struct(best.alias("score"), F.lit(t["label"]).alias("label")))))
-    return F.filter(F.array(*found), lambda x: x["score"].isNotNull())
-
-
-def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
+def _score(part: Column, t: Column) -> Column:
+    """Share of template t's words in part, if that meets it; else null."""
+    shared = F.size(F.array_intersect(t["words"], part))
+    told = F.forall(t["apart"], lambda words: F.arrays_overlap(part, words))
+    return F.when((shared >= t["least"]) & told, shared / t["n"].cast("double"))
+
+
+def _met(run: Column, block: Column, templates: Column, index: Column, prefixes: Column, longest: int) -> Column:
+    """array<struct<score,label>> of all templates that some `longest` words of run (its distinct words: block) meet.
+
+    The index leads from the words of the block that stand in a prefix to the templates that it may meet. Length: the block has a template's `least` words
+    at least. Position: if the first shared word stands at p in global order, n - p words can still be shared.
+    """
+    asked = F.array_distinct(F.flatten(F.transform(F.array_intersect(block, prefixes), lambda w: F.element_at(index, w))))
+    first = lambda t: F.array_min(F.transform(F.array_intersect(t["prefix"], block), lambda w: F.array_position(t["prefix"], w)))
+    may = lambda t: (F.size(block) >= t["least"]) & (t["n"] - first(t) + 1 >= t["least"]) & (F.size(F.array_intersect(t["words"], block)) >= t["least"])
+    starts = F.sequence(F.lit(1), F.greatest(F.size(run) - longest + 1, F.lit(1)))
+    best = lambda t: F.array_max(F.transform(starts, lambda i: _score(F.slice(run, i, longest), t)))
+    found = F.transform(F.filter(F.transform(asked, lambda k: F.get(templates, k)), may), lambda t: F.struct(best(t).alias("score"), t["label"].alias("label")))
+    return F.filter(found, lambda x: x["score"].isNotNull())
+
+
+def find_licenses(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str]] | DataFrame = TEMPLATES) -> DataFrame:
     """docs with n_words, places (array<struct<word,label>> of base phrases, by word), matches (array<struct<score,label>> of
-    template matches) of every whole text.
+    template matches) of every whole text. templates: (text, label), in lower case.
+
+    A set-similarity join of the blocks of text with the templates: words have one global order, by the documents that hold them; the templates'
+    prefixes are indexed by word, the index goes to every task (its size is checked), and a block looks up its words. The side of the documents is not
+    shuffled, so a common word costs no more than its occurrences.
 
     Blocks are sentences (and paragraphs); of a block of more words than BLOCK_STRETCH times the longest template every run of
     that many words is judged: windows of twice the length overlap by half, so each run stands whole in one, and those that
     hold enough of a template are gone through word by word. Nulls and empty texts have no words; repeated
-    rows pass through; an empty table gives no rows. Columns of docs with one of the three names are replaced.
+    rows pass through; an empty table gives no rows. Columns of docs with one of the three names are replaced. Without templates, only base phrases count.
     """
-    templates = ordered_templates(token_frequencies(docs, text))
-    rare = sorted({w for t in templates for w in t["prefix"]})
-    hint = r"(?<![0-9a-z])(?:" + "|".join(rare) + r")(?![0-9a-z])"
-    # lower() lower-cases beyond A-Z, which only lets more texts through; what counts is lower-cased exactly.
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    candidate = F.contains("__any", F.lit(rare[0]))
-    for w in rare[1:]:
-        candidate = candidate | F.contains("__any", F.lit(w))
-    lowered = docs.withColumn("__any", low).withColumns({
-        "__phrase": F.contains("__any", F.lit("license")) | F.regexp_like("__any", F.lit(r"cc[^0-9a-z]+by[^0-9a-z]+nc")),
-        "__block": candidate,
-    })
-    exact = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    lowered = lowered.withColumn("__low", F.when(F.col("__phrase") | F.col("__block"), exact))
-    lowered = lowered.withColumn("__words", F.when(F.col("__phrase"), words_of(F.col("__low"))))
+    given = listed_templates(templates)
+    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    vocabulary = sorted({w for t, _ in given for w in t.split()})
+    ordered = ordered_templates(given, token_frequencies(docs.select(words_of(low).alias("words")), vocabulary) if vocabulary else {})
+    index: dict[str, list[int]] = {}
+    for k, t in enumerate(ordered):
+        for w in t["prefix"]:
+            index.setdefault(w, []).append(k)
+    prefixes = F.from_json(F.lit(json.dumps(sorted(index))), "array<string>")
+    lookup = F.from_json(F.lit(json.dumps(index)), "map<string,array<int>>")
+    known = F.from_json(F.lit(json.dumps(ordered)), f"array<{_TEMPLATE}>")
+    longest = BLOCK_STRETCH * max((len(t["words"]) for t in ordered), default=1)
+
+    lowered = docs.withColumn("__low", low).withColumn("__words", words_of(F.col("__low")))
     words = F.col("__words")
     hits = [phrase_starts(words, phrase, label) for phrase, label in BASE_PHRASES]
     none = "CAST(array() AS array<struct<word:int,label:string>>)"
     places = F.array_sort(F.flatten(F.array(*[F.coalesce(h, F.expr(none)) for h in hits])))
-    longest = BLOCK_STRETCH * max(len(t["words"]) for t in templates)
-    blocks = F.filter(F.split("__low", BLOCK_END), lambda b: F.regexp_like(b, F.lit(hint)))
-    blocks = F.transform(blocks, words_of)
-    windows = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(b) - longest + 1, F.lit(1)), F.lit(longest)),
-                lambda i: F.struct(F.slice(b, i, 2 * longest).alias("run"), F.array_distinct(F.slice(b, i, 2 * longest)).alias("words")),
-            ),
-        )
-    )
+
+    def windows(b: Column) -> Column:
+        cut = lambda i: _let(F.slice(b, i, 2 * longest), lambda run: F.struct(run.alias("run"), F.array_distinct(run).alias("words")))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(b) - longest + 1, F.lit(1)), F.lit(longest)), cut)
+
+    blocks = F.filter(F.transform(F.split("__low", BLOCK_END), words_of), lambda b: F.arrays_overlap(b, prefixes))
+    met = F.flatten(F.transform(F.flatten(F.transform(blocks, windows)), lambda b: _met(b["run"], b["words"], known, lookup, prefixes, longest)))
     empty = "CAST(array() AS array<struct<score:double,label:string>>)"
-    met = F.when(F.col("__block"), F.flatten(F.transform(windows, lambda b: _met(b["run"], b["words"], templates, longest)))).otherwise(F.expr(empty))
     return (
-        lowered.withColumn("n_words", word_count(F.col(text), ALNUM_WORD_ANY_CASE))
+        lowered.withColumn("n_words", F.size("__words").cast("long"))
         .withColumn("places", places)
-        .withColumn("matches", met)
+        .withColumn("matches", F.when(F.arrays_overlap(words, prefixes), met).otherwise(F.expr(empty)))
         .select(*[c for c in docs.columns if c not in ("n_words", "places", "matches")], "n_words", "places", "matches")
     )
