@@ -142,7 +142,7 @@ def test_fm_index_against_search():
         index = decontaminate.FMIndex(t, 3)
         p = r.integers(1, 6, (6, 4))
         length = r.integers(1, 5, 6)
-        live, low, high = index.search(p, length)
+        live, low, high = index.search(p.ravel(), 4 * np.arange(1, 7) - length, length)
         found = {int(k): set(index.locate(np.arange(a, b)).tolist()) for k, a, b in zip(live, low, high, strict=True)}
         for k in range(6):
             x = p[k, 4 - length[k] :]
@@ -208,6 +208,7 @@ def test_quality_rejects_what_is_far_and_keeps_the_rest(spark, nothing):
 def test_jensen_shannon():
     a = np.array([[0.5, 0.5, 0.0], [1.0, 0.0, 0.0]])
     assert np.allclose(quality.jensen_shannon(a, a), 0) and np.isclose(quality.jensen_shannon(a[1:], np.array([[0, 1.0, 0]]))[0], 1)
+    assert np.isclose(quality.jensen_shannon(a[:1], a[1:])[0], math.sqrt(0.5 * (0.5 * math.log2(0.5 / 0.75) + 0.5 * math.log2(0.5 / 0.25)) + 0.5 * math.log2(1 / 0.75)))
 
 
 # 5. N-gram Jaccard
