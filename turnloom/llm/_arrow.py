@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone. Bounds a task's memory whatever the batch holds.
 CHUNK_BYTES = 4 << 20
+#: Rows handled at once: two bytes can number them.
+CHUNK_ROWS = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -28,7 +30,7 @@ LOWER_BYTES[65:91] += 32
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes of their texts, offsets) of slices with about `size` bytes of text; nulls are empty."""
+    """(rows, bytes of their texts, offsets) of slices with about `size` bytes of text and CHUNK_ROWS rows at most; nulls are empty."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
         column = batch.column(at)
@@ -39,7 +41,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
         data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
         i = 0
         while i < len(column):
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+            j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1), i + CHUNK_ROWS)
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
 

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm._spark import ALNUM_WORD, ascii_lower
+from turnloom.llm._spark import ALNUM_GAP, ascii_lower, words_between
 
 # Fixed values of the contract: phrases that stand for a license, and their labels.
 BASE_PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -40,7 +40,7 @@ BLOCK_END = r"[!?;]|\.(?![0-9])|\n[\x20\t\r]*\n"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ALNUM_WORD), F.lit(0))
+    return words_between(text, ALNUM_GAP)
 
 
 def listed_templates(templates: Sequence[tuple[str, str]] | DataFrame) -> list[tuple[str, str]]:
