@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnloom.operators.commit import apart
 from turnloom.operators.intervals import range_join
+from turnloom.sources.settle import settle
 
 CHANNEL = ["conv_id", "speaker"]
 BEFORE_MS, AFTER_MS = 250, 3000
@@ -42,15 +44,18 @@ def score_events(gold: DataFrame, preds: DataFrame, keys: tuple[str, ...] = ())
     preds (keys…, conv_id, task, speaker, t_ms). Predictions in an excluded span are dropped. In the order of time each positive claims the first
     prediction in its window that none before has claimed: TP with its latency, else FN. A negative span with a prediction in it that lies in no
     positive's window is FP, else TN. Windows of a channel only touch their neighbours, so a fold over the channel's anchors settles all claims.
+    What is read more than once is written once: predictions, gold, windows and the pairs of both. With keys (policies, thresholds), a gold event
+    has a row for each of their values, so there are as many rows as events times policies.
     """
     on = ["conv_id", "task", "speaker"]
+    gold, preds = settle(gold, "gold"), settle(preds, "preds")
     runs = preds.select(*keys).distinct() if keys else None
     point = preds.withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")}).distinct()
     excluded = gold.where("kind = 'excl'").select(*on, "start_ms", "end_ms")
     point = point.join(range_join(point, excluded, on).select(*keys, *on, "t_ms").distinct(), [*keys, *on, "t_ms"], "left_anti")
-    windows = match_windows(gold)
+    windows = settle(match_windows(gold), "windows")
     spans = windows.select(*on, F.col("t_ms").alias("anchor"), F.col("lo_ms").alias("start_ms"), F.col("hi_ms").alias("end_ms"))
-    near = range_join(point, spans, on).select(*keys, *on, "t_ms", F.col("b_anchor").alias("anchor"))
+    near = settle(range_join(point, spans, on).select(*keys, *on, "t_ms", F.col("b_anchor").alias("anchor")), "near")
     anchors = near.groupBy(*keys, *on, "anchor").agg(F.array_sort(F.collect_set("t_ms")).alias("seen"))
     folded = anchors.groupBy(*keys, *on).agg(F.array_sort(F.collect_list(F.struct("anchor", "seen"))).alias("all"))
     none = "CAST(array() AS array<struct<anchor:long,hit:long>>)"
@@ -62,14 +67,14 @@ def score_events(gold: DataFrame, preds: DataFrame, keys: tuple[str, ...] = ())
     )
     claimed = folded.select(*keys, *on, F.explode(claims).alias("c")).select(*keys, *on, F.col("c.anchor").alias("anchor"), F.col("c.hit").alias("hit"))
     wanted = windows.withColumnRenamed("t_ms", "anchor")
-    wanted = wanted.crossJoin(F.broadcast(runs)) if keys else wanted
+    wanted = wanted.crossJoin(runs) if keys else wanted
     pos = wanted.join(claimed, [*keys, *on, "anchor"], "left").select(
         *keys, *on, F.when(F.col("hit").isNotNull(), "TP").otherwise("FN").alias("outcome"), F.col("anchor").alias("t_ms"), (F.col("hit") - F.col("anchor")).alias("latency_ms")
     )
     free = point.join(near.select(*keys, *on, "t_ms").distinct(), [*keys, *on, "t_ms"], "left_anti")
     neg = gold.where("kind = 'neg'").select(*on, "start_ms", "end_ms")
     hit = range_join(free.select(*keys, *on, "start_ms", "end_ms"), neg, on).select(*keys, *on, F.col("b_start_ms").alias("start_ms"), F.col("b_end_ms").alias("end_ms")).distinct()
-    neg = neg.crossJoin(F.broadcast(runs)) if keys else neg
+    neg = neg.crossJoin(runs) if keys else neg
     neg = neg.join(hit.withColumn("fp", F.lit(True)), [*keys, *on, "start_ms", "end_ms"], "left")
     neg = neg.select(*keys, *on, F.when(F.col("fp"), "FP").otherwise("TN").alias("outcome"), F.col("start_ms").alias("t_ms"), F.lit(None).cast("long").alias("latency_ms"))
     return pos.unionByName(neg)
@@ -105,9 +110,27 @@ def score_by_channel(scores: DataFrame) -> DataFrame:
 
 
 def theta_grid(scores: DataFrame, score: str, n: int) -> DataFrame:
-    """Thresholds: n quantiles of the positive scores and 0.01 to 0.99, distinct."""
-    q = scores.where(F.col(score) > 0).agg(F.percentile(score, [k / (n - 1) for k in range(n)]).alias("q"))
-    return q.select(F.explode(F.array_union("q", F.array(*[F.lit(k / 100) for k in range(1, 100)]))).alias("theta")).distinct()
+    """Thresholds: n quantiles of the positive scores and 0.01 to 0.99, distinct.
+
+    Scores are counted first; a quantile lies between the two distinct scores whose ranks enclose its own, found by ranges of scores with the counts of the
+    ranges before, so no task orders all scores.
+    """
+    counts = settle(scores.where(F.col(score) > 0).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col("v") * 256)), "score-counts")
+    cells = counts.groupBy("cell").agg(F.sum("n").alias("held"), F.max("v").alias("top"))
+    before = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.select("cell", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.min("cell").over(W.orderBy("cell").rowsBetween(1, 1)).alias("following"))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.join(cells, "cell").withColumn("upto", upto)
+    least = counts.groupBy(F.col("cell").alias("following")).agg(F.min("v").alias("first_after"))
+    after = F.coalesce(F.lead("v").over(W.partitionBy("cell").orderBy("v")), F.col("first_after"))
+    ranked = ranked.join(least, "following", "left").withColumn("next", F.coalesce(after, F.col("v"))).select("v", "n", "upto", "next")
+    total = counts.agg(F.sum("n").alias("total"))
+    asked = total.select("total", F.explode(F.array(*[F.lit(k / (n - 1)) for k in range(n)])).alias("q")).withColumn("at", F.col("q") * (F.col("total") - 1))
+    # Rank floor(at) is held by v; the next rank by v too, or by the next score.
+    met = asked.join(ranked, (F.floor("at") < F.col("upto")) & (F.floor("at") >= F.col("upto") - F.col("n")))
+    low, part = F.col("v"), F.col("at") - F.floor("at")
+    high = F.when(F.floor("at") + 1 < F.col("upto"), F.col("v")).otherwise(F.col("next"))
+    return met.select((low + part * (high - low)).alias("theta")).unionByName(total.select(F.explode(F.array(*[F.lit(k / 100) for k in range(1, 100)])).alias("theta"))).distinct()
 
 
 def sweep_edges(track: DataFrame, score: str, thetas: DataFrame) -> DataFrame:
@@ -120,10 +143,54 @@ def sweep_edges(track: DataFrame, score: str, thetas: DataFrame) -> DataFrame:
     return cells.join(grid, "cell").where("theta >= lo AND theta < hi").select("theta", *CHANNEL, "i")
 
 
+def sweep_fires(track: DataFrame, score: str, thetas: DataFrame, refractories: list[int], recommits: list[int]) -> DataFrame:
+    """(theta, refractory, recommit, conv_id, speaker, i): the commits for each setting; recommit 0 is none.
+
+    Edges are found once for all thresholds, kept apart once for each refractory; a commit fires again where the least score of the frames up to then is above
+    its threshold, by a join on its frame alone.
+    """
+    edges = settle(sweep_edges(track, score, thetas), "edges")
+    kept = None
+    for r in refractories:
+        one = apart(edges, ["theta", *CHANNEL], "i", r).withColumn("refractory", F.lit(r))
+        kept = one if kept is None else kept.unionByName(one)
+    kept = settle(kept, "commits")
+    columns = ["theta", "refractory", "recommit", *CHANNEL, "i"]
+    out = kept.withColumn("recommit", F.explode(F.array(*[F.lit(k) for k in recommits]))).select(*columns)
+    w = W.partitionBy(*CHANNEL).orderBy("i")
+    for k in [k for k in recommits if k]:
+        ahead = w.rowsBetween(0, k)
+        low = track.select(*CHANNEL, "i", F.min(score).over(ahead).alias("low"), F.count("*").over(ahead).alias("many")).where(f"many = {k + 1}")
+        again = kept.join(low, [*CHANNEL, "i"]).where("low > theta").withColumn("i", F.col("i") + k).withColumn("recommit", F.lit(k))
+        out = out.unionByName(again.select(*columns))
+    return out.distinct()
+
+
 def operating_point(sweep: DataFrame, keys: list[str], budget: float) -> DataFrame:
     """For each key the row with the highest recall and fp_rate <= budget; ties by lower p50_ms, then theta."""
-    w = W.partitionBy(*keys).orderBy(F.desc("recall"), F.asc_nulls_last("p50_ms"), "theta")
-    return sweep.where(F.col("fp_rate") <= budget).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return _best(sweep.where(F.col("fp_rate") <= budget), keys, F.desc("recall"), F.asc_nulls_last("p50_ms"), F.asc("theta"))
+
+
+def at_theta(sweep: DataFrame, keys: list[str], theta: float) -> DataFrame:
+    """For each key the row with the nearest threshold, the lower of two equally near."""
+    return _best(sweep, keys, F.abs(F.col("theta") - theta).asc(), F.asc("theta"))
+
+
+def fp_at_recall(sweep: DataFrame, keys: list[str], recall: float) -> DataFrame:
+    """For each key the row with the lowest fp_rate of those that reach the recall; ties by lower p50_ms, then theta."""
+    return _best(sweep.where((F.col("recall") >= recall) & F.col("fp_rate").isNotNull()), keys, F.asc("fp_rate"), F.asc_nulls_last("p50_ms"), F.asc("theta"))
+
+
+def selection_rank(sweep: DataFrame, keys: list[str], ceiling: float = 0.1) -> DataFrame:
+    """sweep with rank: first what keeps fp_rate to the ceiling, by recall; then by lower fp_rate, lower p50_ms, and theta."""
+    ok = F.coalesce(F.col("fp_rate") <= ceiling, F.lit(False))
+    recall = F.when(ok, F.coalesce("recall", F.lit(-1.0))).otherwise(-1.0)
+    order = [ok.desc(), recall.desc(), F.asc_nulls_last("fp_rate"), F.coalesce("p50_ms", F.lit(0.0)).asc(), F.asc("theta")]
+    return sweep.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
+def _best(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    return rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
 
 
 def greedy_match(pred: DataFrame, gold: DataFrame, keys: list[str], tol: int) -> DataFrame:
@@ -151,10 +218,30 @@ def paired_outcomes(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(~F.col("in_a") & F.col("in_b")).alias("gained"),
         F.count_if(F.col("in_a") & ~F.col("in_b")).alias("lost"),
         F.count_if(~F.col("in_a") & ~F.col("in_b")).alias("missed"),
-        F.median(F.col("la") - F.col("lb")).alias("gain_ms"),
+        F.median(F.when(F.col("in_a") & F.col("in_b"), F.col("la") - F.col("lb"))).alias("gain_ms"),
+        F.avg(F.when(F.col("in_a") & F.col("in_b"), F.col("la") - F.col("lb"))).alias("mean_gain_ms"),
     )
 
 
+def advancement(a: DataFrame, b: DataFrame, paired: DataFrame, fp_most: float = 0.1, loss_most: float = 0.005, gain_least: float = 16.0) -> DataFrame:
+    """Whether system b may take the place of a, by task: summaries of both (summarize()) and their paired outcomes. Each criterion, and all of them."""
+    x = a.select("task", F.col("recall").alias("recall_a"))
+    y = b.select("task", F.col("recall").alias("recall_b"), F.col("fp_rate").alias("fp_b"))
+    out = x.join(y, "task").join(paired.select("task", "gain_ms"), "task").select(
+        "task", F.coalesce(F.col("fp_b") <= fp_most, F.lit(False)).alias("fp_ok"), F.coalesce(F.col("recall_b") >= F.col("recall_a") - loss_most, F.lit(False)).alias("recall_ok"),
+        F.coalesce(F.col("gain_ms") >= gain_least, F.lit(False)).alias("gain_ok"), (F.col("recall_b") - F.col("recall_a")).alias("recall_delta"),
+    )
+    return out.withColumn("passed", F.col("fp_ok") & F.col("recall_ok") & F.col("gain_ok"))
+
+
+def fpr_at_tpr(df: DataFrame, y: str, s: str, tpr: float = 0.9, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The share of negatives at or above the score that `tpr` of the positives reach; null with one class."""
+    cut = df.where(F.col(y) == 1).groupBy(*keys).agg(F.percentile(s, 1 - tpr).alias("cut")) if keys else df.where(F.col(y) == 1).agg(F.percentile(s, 1 - tpr).alias("cut"))
+    met = df.join(cut, list(keys)) if keys else df.crossJoin(cut)
+    share = F.avg(F.when(F.col(y) == 0, (F.col(s) >= F.col("cut")).cast("double"))).alias("fpr")
+    return met.groupBy(*keys).agg(share) if keys else met.agg(share)
+
+
 def auc(df: DataFrame, y: str, s: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve with average ranks of ties; null with one class. Scores are counted first, so the window holds distinct ones."""
     counts = df.groupBy(*keys, s).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
@@ -165,17 +252,26 @@ def auc(df: DataFrame, y: str, s: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return ranked.groupBy(*keys).agg(value.alias("auc"), n.alias("n"), p.alias("positives"))
 
 
-def cluster_bootstrap(scores: DataFrame, group: str, system: str, n: int, least_groups: int = 5) -> DataFrame:
-    """Recall of each system (group, system, tp, fn) over n resamples of groups with replacement, the same draws for all: 2.5 and 97.5 %.
+def cluster_bootstrap(scores: DataFrame, group: str, system: str, n: int, least_groups: int = 5, against: object = None) -> DataFrame:
+    """Recall of each system (group, system, tp, fn) over n resamples of groups with replacement, the same draws for all: 2.5 and 97.5 %. With
+    `against`, of each other system's difference to that one too, resample by resample (low_diff, high_diff).
 
-    Draw k of a resample picks the group whose number is a hash of resample and draw; no rows with fewer than least_groups groups.
+    Groups are numbered in ranges of their hash; draw k of a resample picks the group whose number is a hash of resample and draw, so a draw is a row and
+    n times the groups of them are made. No rows with fewer than least_groups groups.
     """
-    groups = scores.select(group).distinct().withColumn("no", F.row_number().over(W.orderBy(group)) - 1)
-    total = F.count("*").over(W.partitionBy(F.lit(1)))
-    groups = groups.withColumn("all", total).where(F.col("all") >= least_groups)
-    draws = groups.crossJoin(F.broadcast(scores.sparkSession.range(n).withColumnRenamed("id", "rep")))
+    ranged = scores.select(group).distinct().withColumn("__by", F.xxhash64(group)).withColumn("__range", F.shiftright("__by", 56))
+    ranges = ranged.groupBy("__range").agg(F.count("*").alias("held"))
+    ranges = ranges.select("__range", F.coalesce(F.sum("held").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("held").over(W.partitionBy(F.lit(1))).alias("all"))
+    no = F.col("before") + F.row_number().over(W.partitionBy("__range").orderBy("__by", group)) - 1
+    groups = settle(ranged.join(ranges, "__range").select(group, no.alias("no"), "all").where(F.col("all") >= least_groups), "groups")
+    draws = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "no")), 1, 8), 16, 10).cast("long")
     draws = draws.select("rep", F.pmod(unit, F.col("all")).alias("pick"))
     picked = draws.groupBy("rep", "pick").count().join(groups.select(F.col("no").alias("pick"), group), "pick").join(scores, group)
     rates = picked.groupBy("rep", system).agg(F.try_divide(F.sum(F.col("count") * F.col("tp")).cast("double"), F.sum(F.col("count") * (F.col("tp") + F.col("fn")))).alias("recall"))
-    return rates.groupBy(system).agg(F.percentile("recall", 0.025).alias("low"), F.percentile("recall", 0.975).alias("high"), F.count("*").alias("n"))
+    told = [F.percentile("recall", 0.025).alias("low"), F.percentile("recall", 0.975).alias("high"), F.count("*").alias("n")]
+    if against is None:
+        return rates.groupBy(system).agg(*told)
+    base = rates.where(F.col(system) == F.lit(against)).select("rep", F.col("recall").alias("base"))
+    both = rates.join(base, "rep").withColumn("diff", F.col("recall") - F.col("base"))
+    return both.groupBy(system).agg(*told, F.percentile("diff", 0.025).alias("low_diff"), F.percentile("diff", 0.975).alias("high_diff"))

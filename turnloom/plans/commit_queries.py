@@ -167,12 +167,42 @@ register(
 THETAS = [0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 
 
+REFRACTORIES, RECOMMITS = [6, 25], [0, 12]
+
+
 def sweep(s, d) -> DataFrame:
+    """Every threshold with every refractory and re-commit, on the turn ends."""
     thetas = s.createDataFrame([(t,) for t in THETAS], "theta double")
-    edges = M.sweep_edges(frames(s, d), "eot", thetas)
-    fires = C.apart(edges, ["theta", "conv_id", "speaker"], "i", 6)
-    told = fires.select("theta", "conv_id", F.lit("eot").alias("task"), "speaker", ((F.col("i") + 1) * STEP).alias("t_ms"))
-    return M.summarize(M.score_events(gold(s, d).where("task = 'eot'"), told, ("theta",)), ["theta"])
+    fires = M.sweep_fires(frames(s, d), "eot", thetas, REFRACTORIES, RECOMMITS)
+    told = fires.select("theta", "refractory", "recommit", "conv_id", F.lit("eot").alias("task"), "speaker", ((F.col("i") + 1) * STEP).alias("t_ms"))
+    setting = ("theta", "refractory", "recommit")
+    return M.summarize(M.score_events(gold(s, d).where("task = 'eot'"), told, setting), list(setting))
+
+
+# The sweep in SQL: fires of all settings, then claims anchor by anchor.
+_SWEEP = f"""WITH RECURSIVE {SEG}, {FR}, {GOLD}, {WINDOWS},
+sb AS (SELECT conv_id, speaker, i, eot, coalesce(lag(eot) OVER ({CH}), 0) AS b, min(eot) OVER ({CH} ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS low, count(*) OVER ({CH} ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS many FROM fr),
+se AS MATERIALIZED (SELECT theta, refractory, conv_id, speaker, i, low, many FROM sb, (SELECT unnest({THETAS})::DOUBLE AS theta), (SELECT unnest({REFRACTORIES}) AS refractory) WHERE eot > theta AND NOT b > theta),
+sn AS MATERIALIZED (SELECT a.theta, a.refractory, a.conv_id, a.speaker, a.i, min(n.i) AS nxt FROM se a JOIN se n ON a.theta = n.theta AND a.refractory = n.refractory AND a.conv_id = n.conv_id AND a.speaker = n.speaker AND n.i >= a.i + a.refractory GROUP BY ALL),
+sc0 AS (SELECT theta, refractory, conv_id, speaker, min(i) AS i FROM se GROUP BY ALL UNION ALL SELECT c.theta, c.refractory, c.conv_id, c.speaker, n.nxt FROM sc0 c JOIN sn n USING (theta, refractory, conv_id, speaker, i) WHERE n.nxt IS NOT NULL),
+sf AS (SELECT theta, refractory, recommit, conv_id, speaker, i FROM sc0, (VALUES (0), (12)) v(recommit)
+       UNION SELECT theta, refractory, 12, conv_id, speaker, i + 12 FROM sc0 JOIN se USING (theta, refractory, conv_id, speaker, i) WHERE low > theta AND many = 13),
+sp AS MATERIALIZED (SELECT theta, refractory, recommit, conv_id, speaker, (i + 1) * 80 AS t_ms FROM sf),
+st AS (SELECT DISTINCT theta, refractory, recommit FROM sp),
+aw AS (SELECT *, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY t_ms) AS nth FROM win WHERE task = 'eot'),
+ca AS MATERIALIZED (SELECT theta, refractory, recommit, a.conv_id, a.speaker, nth, a.t_ms AS anchor, list_sort(list(p.t_ms) FILTER (p.t_ms IS NOT NULL)) AS seen FROM aw a CROSS JOIN st
+       LEFT JOIN sp p USING (theta, refractory, recommit) WHERE p.conv_id = a.conv_id AND p.speaker = a.speaker AND p.t_ms BETWEEN a.lo_ms AND a.hi_ms GROUP BY ALL),
+cb AS MATERIALIZED (SELECT st.*, aw.conv_id, aw.speaker, aw.nth, aw.t_ms AS anchor, seen FROM aw CROSS JOIN st LEFT JOIN ca USING (theta, refractory, recommit, conv_id, speaker, nth)),
+cl AS (SELECT theta, refractory, recommit, conv_id, speaker, 0::BIGINT AS nth, NULL::BIGINT AS anchor, NULL::BIGINT AS hit, -1000000::BIGINT AS last_ FROM (SELECT DISTINCT theta, refractory, recommit, conv_id, speaker FROM cb)
+       UNION ALL SELECT theta, refractory, recommit, conv_id, speaker, nth, anchor, hit, coalesce(hit, last_) FROM (SELECT c.theta, c.refractory, c.recommit, c.conv_id, c.speaker, b.nth, b.anchor, c.last_,
+         list_filter(b.seen, lambda t: t > c.last_)[1] AS hit FROM cl c JOIN cb b ON b.theta = c.theta AND b.refractory = c.refractory AND b.recommit = c.recommit AND b.conv_id = c.conv_id AND b.speaker = c.speaker AND b.nth = c.nth + 1)),
+fa AS (SELECT sp.* FROM sp WHERE NOT EXISTS (SELECT 1 FROM aw a WHERE a.conv_id = sp.conv_id AND a.speaker = sp.speaker AND sp.t_ms BETWEEN a.lo_ms AND a.hi_ms)),
+fh AS (SELECT DISTINCT fa.theta, fa.refractory, fa.recommit, g.conv_id, g.speaker, g.start_ms, g.end_ms FROM fa JOIN gold g ON g.task = 'eot' AND g.kind = 'neg' AND g.conv_id = fa.conv_id AND g.speaker = fa.speaker AND fa.t_ms BETWEEN g.start_ms AND g.end_ms),
+sc AS (SELECT theta, refractory, recommit, CASE WHEN hit IS NULL THEN 'FN' ELSE 'TP' END AS outcome, hit - anchor AS latency_ms FROM cl WHERE nth > 0
+       UNION ALL SELECT st.*, CASE WHEN fh.conv_id IS NULL THEN 'TN' ELSE 'FP' END, NULL FROM (SELECT * FROM gold WHERE task = 'eot' AND kind = 'neg') g CROSS JOIN st
+         LEFT JOIN fh ON fh.theta = st.theta AND fh.refractory = st.refractory AND fh.recommit = st.recommit AND fh.conv_id = g.conv_id AND fh.speaker = g.speaker AND fh.start_ms = g.start_ms AND fh.end_ms = g.end_ms),
+sw AS (SELECT theta, refractory, recommit, {RATES} FROM sc GROUP BY theta, refractory, recommit)"""
+_SETTING = ["refractory", "recommit"]
 
 
 register(
@@ -180,8 +210,17 @@ register(
     lambda s, d: M.sweep_edges(frames(s, d), "eot", s.createDataFrame([(t,) for t in THETAS], "theta double")).groupBy("theta").agg(F.count("*").alias("n"), F.sum("i").alias("at")),
     f"""WITH {SEG}, {FR}, b AS (SELECT *, coalesce(lag(eot) OVER ({CH}), 0) AS b FROM fr) SELECT theta, count(*) AS n, sum(i)::BIGINT AS at FROM b, (SELECT unnest({THETAS})::DOUBLE AS theta) WHERE eot > theta AND NOT b > theta GROUP BY theta""",
 )
-register("M09_sweep", sweep)
-register("M10_operating_point", lambda s, d: M.operating_point(sweep(s, d).withColumn("task", F.lit("eot")), ["task"], 0.5))
+register("M09_sweep", sweep, f"{_SWEEP} SELECT * FROM sw")
+_PICK = "QUALIFY row_number() OVER (PARTITION BY refractory, recommit ORDER BY {}) = 1"
+register("M10_operating_point", lambda s, d: M.operating_point(sweep(s, d), _SETTING, 0.5), f"{_SWEEP} SELECT * FROM sw WHERE fp_rate <= 0.5 {_PICK.format('recall DESC, p50_ms NULLS LAST, theta')}")
+register("M10_at_theta", lambda s, d: M.at_theta(sweep(s, d), _SETTING, 0.66), f"{_SWEEP} SELECT * FROM sw {_PICK.format('abs(theta - 0.66::DOUBLE), theta')}")
+register("M10_fp_at_recall", lambda s, d: M.fp_at_recall(sweep(s, d), _SETTING, 0.6), f"{_SWEEP} SELECT * FROM sw WHERE recall >= 0.6 AND fp_rate IS NOT NULL {_PICK.format('fp_rate, p50_ms NULLS LAST, theta')}")
+register(
+    "M10_selection_rank",
+    lambda s, d: M.selection_rank(sweep(s, d), _SETTING, 0.3),
+    f"""{_SWEEP} SELECT *, row_number() OVER (PARTITION BY refractory, recommit ORDER BY coalesce(fp_rate <= 0.3, false) DESC, CASE WHEN coalesce(fp_rate <= 0.3, false) THEN coalesce(recall, -1.0) ELSE -1.0 END DESC,
+    fp_rate NULLS LAST, coalesce(p50_ms, 0), theta) AS rank FROM sw""",
+)
 register(
     "M05_greedy_match",
     lambda s, d: M.greedy_match(preds(s, d).select("conv_id", "speaker", "t_ms"), gold(s, d).where("task = 'eot' AND kind = 'pos'").select("conv_id", "speaker", F.col("start_ms").alias("g_ms")), ["conv_id", "speaker"], 300),
@@ -189,6 +228,14 @@ register(
 register("M14_paired", lambda s, d: M.paired_outcomes(scores(s, d, 0.6), scores(s, d, 0.8), ["conv_id", "task", "speaker", "t_ms"]))
 
 
+def advancement(s, d) -> DataFrame:
+    a, b = scores(s, d, 0.6), scores(s, d, 0.8)
+    return M.advancement(M.summarize(a, ["task"]), M.summarize(b, ["task"]), M.paired_outcomes(a, b, ["conv_id", "task", "speaker", "t_ms"]))
+
+
+register("M14_advancement", advancement)
+
+
 def _labelled(s, d):
     return table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
 
@@ -202,9 +249,17 @@ register(
 )
 
 
+register(
+    "M15_fpr_at_tpr",
+    lambda s, d: M.fpr_at_tpr(_labelled(s, d), "quality", "n_chars", 0.9, ("lang",)),
+    """WITH j AS (SELECT lang, quality, n_chars FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, quantile_cont(n_chars::DOUBLE, 0.1) AS cut FROM j WHERE quality = 1 GROUP BY lang)
+    SELECT lang, avg(CASE WHEN quality = 0 THEN (n_chars >= cut)::INT END) AS fpr FROM j JOIN c USING (lang) GROUP BY lang""",
+)
+
+
 def _by_group(s, d):
     rows = scores(s, d).where("outcome IN ('TP', 'FN')").withColumn("grp", F.pmod("conv_id", F.lit(20)))
     return rows.groupBy("grp", F.col("speaker").alias("system")).agg(F.count_if(F.col("outcome") == "TP").alias("tp"), F.count_if(F.col("outcome") == "FN").alias("fn"))
 
 
-register("M13_bootstrap", lambda s, d: M.cluster_bootstrap(_by_group(s, d), "grp", "system", 200))
+register("M13_bootstrap", lambda s, d: M.cluster_bootstrap(_by_group(s, d), "grp", "system", 200, against=1))

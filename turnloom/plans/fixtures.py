@@ -72,20 +72,23 @@ canon AS (
 
 
 def frames(spark: SparkSession, sf_dir: str, step_ms: int = 80) -> DataFrame:
-    """conv_id, speaker, i, own, vad, eot, int: frames of step_ms up to the conversation's end. own: the frame's centre is in own speech."""
+    """conv_id, speaker, i, own, vad, eot, int: frames of step_ms up to the conversation's end. own: the frame's centre is in own speech.
+
+    Grid and marks are one table with one row for each frame that something says something of; one shuffle by channel serves the aggregate by frame
+    and the windows by channel that come after.
+    """
     seg = segments(spark, sf_dir)
     last = seg.groupBy("conv_id").agg(F.max("end_ms").alias("last"))
-    grid = last.select("conv_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("speaker"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / step_ms) - 1)).alias("i"))
+    flags = ["grid", "own", "other", "after", "early"]
+    said = lambda **on: [on.get(c, F.lit(False)).alias(c) for c in flags]
+    grid = last.select("conv_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("speaker"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / step_ms) - 1)).alias("i"), *said(grid=F.lit(True)))
     marks = seg.select(
         "conv_id", "speaker", F.explode(F.expr(f"sequence(start_ms div {step_ms}, (end_ms + 2000) div {step_ms})")).alias("i"), "start_ms", "end_ms"
     ).withColumn("c", F.col("i") * step_ms + step_ms // 2)
-    marks = marks.groupBy("conv_id", "speaker", "i").agg(
-        F.max(F.expr("start_ms <= c AND c < end_ms")).alias("own"),
-        F.max(F.expr("end_ms <= c AND c < end_ms + 2000")).alias("after"),
-        F.max(F.expr("start_ms <= c AND c < least(end_ms, start_ms + 1000)")).alias("early"),
-    )
-    other = marks.where("own").select("conv_id", (3 - F.col("speaker")).alias("speaker"), "i", F.lit(True).alias("other"))
-    out = grid.join(marks, ["conv_id", "speaker", "i"], "left").join(other, ["conv_id", "speaker", "i"], "left").na.fill(False)
+    inside = F.expr("start_ms <= c AND c < end_ms")
+    own = marks.select("conv_id", "speaker", "i", *said(own=inside, after=F.expr("end_ms <= c AND c < end_ms + 2000"), early=F.expr("start_ms <= c AND c < least(end_ms, start_ms + 1000)")))
+    other = marks.where(inside).select("conv_id", (3 - F.col("speaker")).alias("speaker"), "i", *said(other=F.lit(True)))
+    out = grid.unionByName(own).unionByName(other).repartition("conv_id", "speaker").groupBy("conv_id", "speaker", "i").agg(*[F.max(c).alias(c) for c in flags]).where("grid")
     u = F.expr("((conv_id * 7919 + speaker * 104729 + i * 1299709) % 1000) / 1000.0D")
     return out.withColumn("u", u).select(
         "conv_id", "speaker", "i", "own", "other",
