@@ -13,7 +13,6 @@ from turnloom.plans.frame_queries import _ACT, active
 from turnloom.plans.registry import register
 from turnloom.sources import io
 from turnloom.sources.settle import shared_path
-from turnloom.streaming import commits as X
 
 FR = frames_sql()
 CH = "PARTITION BY conv_id, speaker ORDER BY i"
@@ -203,28 +202,3 @@ register(
     SELECT c.conv_id, coalesce(string_agg(CASE WHEN speaker = 1 THEN t_ms END, ',' ORDER BY t_ms), '') AS speaker_1, coalesce(string_agg(CASE WHEN speaker = 2 THEN t_ms END, ',' ORDER BY t_ms), '') AS speaker_2
     FROM c LEFT JOIN pr p ON p.conv_id = c.conv_id AND p.t_ms >= 0 AND p.t_ms <= dur GROUP BY c.conv_id""",
 )
-
-
-def _stream(s, d):
-    """Frames written as files in the order of time, and read as a stream."""
-    f = frames(s, d).select("conv_id", F.col("speaker").cast("int").alias("speaker"), "i", "vad", "eot", F.timestamp_millis(F.lit(1704067200000) + F.col("conv_id") * 3600000 + F.col("i") * 80).alias("ts"))
-    f.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path := _folder(s))
-    return s.readStream.schema(f.schema).parquet(path)
-
-
-def _ran(s, stream, name):
-    return X.drained(stream, name, _folder(s), _folder(s))
-
-
-_EDGES = f"ed AS (SELECT conv_id, speaker, i FROM (SELECT *, coalesce(lag(eot) OVER ({CH}), 0) AS b FROM fr) WHERE eot > 0.6 AND NOT b > 0.6)"
-register(
-    "X01_stream_commit",
-    lambda s, d: _ran(s, X.rising_edge_commit(_stream(s, d), "eot", 0.6, 25), "x01"),
-    f"""WITH RECURSIVE {SEG}, {FR}, {_EDGES}, cm AS (SELECT conv_id, speaker, min(i) AS i FROM ed GROUP BY ALL UNION ALL SELECT * FROM (SELECT c.conv_id, c.speaker, (SELECT min(e.i) FROM ed e WHERE e.conv_id = c.conv_id AND e.speaker = c.speaker AND e.i >= c.i + 25) AS i FROM cm c) WHERE i IS NOT NULL)
-    SELECT * FROM cm""",
-)
-register("X02_stream_quiet_armed", lambda s, d: _ran(s, X.quiet_armed_commit(_stream(s, d), "vad", "eot", 0.7, 20), "x02"))
-register("X03_stream_blocks", lambda s, d: _ran(s, X.block_reduce(_stream(s, d), "eot", 80, 5), "x03"))
-register("X04_stream_speech", lambda s, d: _ran(s, X.speech_segments(_stream(s, d), "vad", 0.5, 80, 4), "x04"))
-register("X06_stream_trailing", lambda s, d: _ran(s, X.trailing_mean(_stream(s, d), "vad", 16), "x06"))
-register("X07_prefix", lambda s, d: X.prefix_differences(lambda f: C.rising_edge_commit(f, "eot", 0.6, 25), frames(s, d), 700), "SELECT 1::BIGINT AS conv_id, 1 AS speaker, 1::BIGINT AS i WHERE false")

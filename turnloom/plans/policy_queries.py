@@ -34,9 +34,9 @@ vo AS (SELECT conv_id, speaker, min(start_ms) AS a, max(end_ms) AS b FROM vr GRO
 du AS (SELECT conv_id, max(end_ms) AS dur FROM seg GROUP BY conv_id)"""
 
 
-def eot_sql(theta: float, deadline: int = 2500, confirm: int = 2500) -> str:
+def eot_sql(theta: float, deadline: int = 2500, confirm: int = 2500, voices: str = VOICES) -> str:
     """The rule as it is told: a resumption that lasts 500 ms cancels, the other's 200 ms of voice or the score commit early. A theta above 1 is no score."""
-    return f"""{VOICES}, hit AS (SELECT conv_id, speaker, (i + 1) * 80 AS seen FROM fr WHERE eot >= {theta}),
+    return f"""{voices}, hit AS (SELECT conv_id, speaker, (i + 1) * 80 AS seen FROM fr WHERE eot >= {theta}),
 c0 AS (SELECT v.conv_id, v.speaker, v.b AS t, min(n.a) + 500 AS cancel FROM vo v LEFT JOIN vo n ON n.conv_id = v.conv_id AND n.speaker = v.speaker AND n.a > v.b
        AND n.a - v.b <= {max(deadline, confirm)} AND n.a + 500 <= n.b + 200 GROUP BY ALL),
 c1 AS (SELECT c0.*, min(greatest(o.a + 200, t + 800)) FILTER (o.a IS NOT NULL) AS taken FROM c0 LEFT JOIN vo o ON o.conv_id = c0.conv_id AND o.speaker = 3 - c0.speaker
