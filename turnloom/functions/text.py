@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Short utterances by what they do; fillers before continuers before reactions before acknowledgements.
@@ -168,10 +169,26 @@ def clip01(x: Column) -> Column:
     return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
 
 
-def score_variants(held_own: Column, held_other: Column, open_: Column, silent: Column) -> dict[str, Column]:
-    """Ways to score an end of turn from floor probabilities and that of silence."""
-    released = open_ + held_other
-    return {
-        "released": clip01(released), "holds": clip01(1 - held_own), "mix": clip01((released + 1 - held_own) / 2),
-        "released_silent": clip01(released * silent), "released_sqrt_silent": clip01(released * F.sqrt(silent)),
+def score_variants(now: list[Column], f04: list[Column], f08: list[Column], f16: list[Column], silent: Column, own: dict[str, Column], other: dict[str, Column], order: W) -> dict[str, Column]:
+    """Ways to score an end of turn (eot…) or an interruption (int…) of a channel, all in [0, 1].
+
+    now, f04, f08, f16: probabilities of the floor now and 0.4, 0.8 and 1.6 s ahead: held by the channel, held by the other, open, contested. silent: that
+    the channel is. own and other: those of the label groups (backchannel, noncontent, floor_taking, turn) of both channels. order: the channel's
+    frames in time; transition scores ask who held the floor in the frames before.
+    """
+    def released(p: list[Column]) -> Column:
+        return p[2] + p[1]
+    def before(x: Column, n: int) -> Column:
+        return F.coalesce(F.max(x).over(order.rowsBetween(-n, -1)), F.lit(0.0))
+    eot, ahead = released(now), released(f04)
+    mix = (eot + ahead) / 2
+    not_listening = clip01(1 - own["backchannel"] - own["noncontent"])
+    out = {"eot": eot, "eot_f04": ahead, "eot_mix": mix, "int": f08[0], "int_f04": f04[0], "int_f16": f16[0], "int_mix": (f04[0] + f08[0] + f16[0]) / 3}
+    for n in (5, 10, 20):
+        out |= {f"eot_tr{n}": eot * before(now[0], n), f"eot_f04_tr{n}": ahead * before(now[0], n)}
+    out |= {
+        "int_tr10": f08[0] * before(now[1], 10), "eot_q": eot * silent, "eot_f04_q": ahead * silent, "eot_mix_q": mix * silent, "eot_q_sqrt": eot * F.sqrt(silent), "int_spk": f04[0] * (1 - silent),
+        "int_nobc": f04[0] * (1 - silent) * not_listening, "int_ft": own["floor_taking"], "int_claim": f04[0] * (own["floor_taking"] + own["turn"]),
+        "eot_nobc": eot * silent * clip01(1 - other["backchannel"] - other["noncontent"]),
     }
+    return {k: clip01(v) for k, v in out.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnloom.functions.text import hash_order
+from turnloom.functions.text import hash_order, spoken
 from turnloom.operators.intervals import range_join
 
 
@@ -15,41 +15,95 @@ def rate_table(items: DataFrame, key: Column, flag: Column) -> DataFrame:
     return items.groupBy(key.alias("level")).agg(F.count("*").alias("n"), F.avg(flag.cast("double")).alias("rate"))
 
 
-def residual_rows(scores: DataFrame, segments: DataFrame, tol_ms: int) -> DataFrame:
-    """Each scored event with the gap to the channel's next segment start and the number of other-speaker segments within tol_ms."""
+def turn_end_residuals(scores: DataFrame, windows: DataFrame, preds: DataFrame, track: DataFrame, score: str, segments: DataFrame, annotators: list[str], step_ms: int) -> DataFrame:
+    """A row for each positive turn end (conv_id, task, speaker, t_ms, outcome, latency_ms as of score_events): peak, the greatest score in its window;
+    fired_before, a prediction in the 3 s before the window; label, dur_ms and last (two words) of the own segment that ends nearest within 0.5 s, of the
+    first annotator who has one; agree, how many have one within 0.25 s; gap_ms, from the end to the other's first turn that begins after t - 3 s and ends after t.
+
+    segments: (conv_id, annotator, speaker, start_ms, end_ms, label, canonical, text).
+    """
+    on = ["conv_id", "speaker", "t_ms"]
+    pos = scores.where("outcome IN ('TP', 'FN')").join(windows.select(*on, "lo_ms", "hi_ms"), on)
+    frames = pos.withColumn("i", F.explode(F.expr(f"sequence(greatest(lo_ms, 0) div {step_ms}, greatest(hi_ms, 0) div {step_ms})")))
+    peak = frames.join(track.select("conv_id", "speaker", "i", score), ["conv_id", "speaker", "i"]).groupBy(*on).agg(F.max(score).alias("peak"))
+
+    point = pos.select(*on).withColumns({"start_ms": F.col("t_ms") - 3000, "end_ms": F.col("t_ms") - 251})
+    fired = preds.select("conv_id", "speaker", F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
+    before = range_join(point, fired, ["conv_id", "speaker"]).select(*on).distinct().withColumn("fired_before", F.lit(True))
+
+    at = pos.select(*on).withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")})
+    ends = segments.select("conv_id", "speaker", "annotator", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("start_ms"), "end_ms", "label", "text")
+    near = range_join(at, ends, ["conv_id", "speaker"], pad_ms=500)
+    off = F.abs(F.col("b_end_ms") - F.col("t_ms"))
+    best = F.min(F.struct(F.array_position(F.array(*[F.lit(x) for x in annotators]), F.col("b_annotator")).alias("who"), off.alias("off"), F.col("b_from_ms").alias("a"), F.col("b_end_ms").alias("b"), F.col("b_label").alias("label"), F.col("b_text").alias("text")))
+    near = near.groupBy(*on).agg(best.alias("m"), F.count_distinct(F.when(off <= 250, F.col("b_annotator"))).alias("agree"))
+    near = near.select(*on, "m.label", (F.col("m.b") - F.col("m.a")).alias("dur_ms"), F.concat_ws(" ", F.slice(spoken(F.col("m.text")), F.greatest(F.size(spoken(F.col("m.text"))) - 1, F.lit(1)), F.lit(2))).alias("last"), "agree")
+
+    turns = segments.where((F.col("annotator") == annotators[0]) & F.col("canonical").isin("Turn", "Interruption")).select("conv_id", (3 - F.col("speaker")).cast("int").alias("speaker"), "start_ms", "end_ms")
+    # The first turn that is not over at t: over channels in order, the least start of those that end later.
+    w = W.partitionBy("conv_id", "speaker").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
+    asks = pos.select(*on).select("conv_id", "speaker", F.col("t_ms").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("s"))
+    later = turns.select("conv_id", "speaker", F.col("end_ms").alias("at"), F.lit(0).alias("kind"), F.col("start_ms").alias("s"))
+    # A turn that began over 3 s before and still goes on is left out, so starts are taken by the window and tested after.
+    nxt = asks.unionByName(later).withColumn("nxt", F.min("s").over(w)).where("kind = 1").select("conv_id", "speaker", F.col("at").alias("t_ms"), "nxt").distinct()
+    long_ago = nxt.where("nxt <= t_ms - 3000").select(*on).withColumns({"start_ms": F.col("t_ms") - 2999, "end_ms": F.col("t_ms") + 600_000})
+    again = range_join(long_ago, turns.select("conv_id", "speaker", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("to_ms")), ["conv_id", "speaker"]).where("b_to_ms > t_ms")
+    again = again.groupBy(*on).agg(F.min("b_start_ms").alias("again"))
+    gap = nxt.join(again, on, "left").select(*on, (F.when(F.col("nxt") > F.col("t_ms") - 3000, F.col("nxt")).otherwise(F.col("again")) - F.col("t_ms")).alias("gap_ms"))
+
+    out = pos.join(peak, on, "left").join(before, on, "left").join(near, on, "left").join(gap, on, "left").na.fill(0, ["agree", "peak"]).na.fill(False, ["fired_before"])
+    return out.drop("lo_ms", "hi_ms")
+
+
+def pause_residuals(scores: DataFrame, gold: DataFrame, preds: DataFrame, segments: DataFrame) -> DataFrame:
+    """A row for each annotated pause (negative span): fired, dur_ms, fire_after_ms, prev_label (own segment that ends nearest within 0.3 s of its
+    start), other_backchannel (one of the other's touches it). segments: (conv_id, speaker, start_ms, end_ms, label, canonical)."""
     on = ["conv_id", "speaker"]
-    p = scores.withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")})
-    near = range_join(p, segments.select("conv_id", (3 - F.col("speaker")).alias("speaker"), "start_ms", "end_ms"), on, pad_ms=tol_ms)
-    near = near.groupBy(*on, "t_ms", "outcome").agg(F.count("*").alias("others"))
-    own = range_join(p, segments.select(*on, "start_ms", F.col("start_ms").alias("end_ms")), on, pad_ms=tol_ms).where("b_start_ms > t_ms")
-    own = own.groupBy(*on, "t_ms", "outcome").agg((F.min("b_start_ms") - F.first("t_ms")).alias("gap_ms"))
-    keys = [*on, "t_ms", "outcome"]
-    return scores.join(near, keys, "left").join(own, keys, "left").na.fill(0, ["others"])
-
-
-def miss_causes(scores: DataFrame, preds: DataFrame, before_ms: int, refractory_ms: int) -> DataFrame:
-    """Positives by cause: hit; prefired (a prediction within before_ms before the window); refractory (one within refractory_ms); never."""
-    on = ["conv_id", "task", "speaker"]
-    p = scores.where("outcome IN ('TP', 'FN')").withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")})
+    neg = gold.where("kind = 'neg'").select(*on, "start_ms", "end_ms").distinct()
+    at = [*on, "start_ms", "end_ms"]
     fired = preds.select(*on, F.col("t_ms").alias("start_ms"), F.col("t_ms").alias("end_ms"))
-    near = range_join(p, fired, on, pad_ms=max(before_ms, refractory_ms)).where("b_start_ms < t_ms")
-    near = near.groupBy(*on, "t_ms").agg(F.max("b_start_ms").alias("last"))
-    out = p.join(near, [*on, "t_ms"], "left")
-    ago = F.col("t_ms") - F.col("last")
-    cause = F.when(F.col("outcome") == "TP", "hit").when(ago <= refractory_ms, "refractory").when(ago <= before_ms, "prefired").otherwise("never")
-    return out.groupBy("task", cause.alias("cause")).agg(F.count("*").alias("n"))
+    first = range_join(neg, fired, on).groupBy(*at).agg((F.min("b_start_ms") - F.col("start_ms")).alias("fire_after_ms"))
+    point = neg.select(*at).withColumn("to_ms", F.col("end_ms")).withColumn("end_ms", F.col("start_ms"))
+    ends = segments.select(*on, F.col("end_ms").alias("start_ms"), "end_ms", "label")
+    prev = range_join(point, ends, on, pad_ms=300).groupBy(*on, "start_ms", "to_ms").agg(F.min(F.struct(F.abs(F.col("b_end_ms") - F.col("start_ms")).alias("off"), F.col("b_end_ms").alias("e"), F.col("b_label").alias("label")))["label"].alias("prev_label"))
+    prev = prev.withColumnRenamed("to_ms", "end_ms")
+    bc = segments.where("canonical = 'Backchannel'").select("conv_id", (3 - F.col("speaker")).cast("int").alias("speaker"), "start_ms", "end_ms")
+    bc = range_join(neg, bc, on).where("b_start_ms < end_ms AND b_end_ms > start_ms").select(*at).distinct().withColumn("other_backchannel", F.lit(True))
+    out = neg.join(first, at, "left").join(prev, at, "left").join(bc, at, "left").na.fill(False, ["other_backchannel"])
+    return out.select(*at, F.col("fire_after_ms").isNotNull().alias("fired"), (F.col("end_ms") - F.col("start_ms")).alias("dur_ms"), "fire_after_ms", "prev_label", "other_backchannel")
+
+
+def miss_causes(scores: DataFrame, windows: DataFrame, track: DataFrame, score: str, theta: float, step_ms: int) -> DataFrame:
+    """(task, cause, n, peak_10 … peak_90) of the positives: hit; prefired, the score was above theta before the window and still is; refractory, it rises
+    in the window and nothing fired; never, with quantiles of the greatest score in the window."""
+    on = ["conv_id", "task", "speaker", "t_ms"]
+    pos = scores.where("outcome IN ('TP', 'FN')").join(windows.select(*on, "lo_ms", "hi_ms"), on)
+    first = F.expr(f"greatest(lo_ms, 0) div {step_ms}")
+    seen = pos.withColumn("first", first).withColumn("i", F.explode(F.expr(f"sequence(greatest(first - 1, 0), cast(ceil(hi_ms / {step_ms}) as long) - 1)")))
+    seen = seen.join(track.select("conv_id", "speaker", "i", score), ["conv_id", "speaker", "i"])
+    inside = F.col("i") >= F.col("first")
+    each = seen.groupBy(*on, "outcome").agg(
+        F.max(F.when(inside, F.col(score))).alias("peak"), F.max(F.when(F.col("i") == F.col("first"), F.col(score))).alias("begins"), F.max(F.when(F.col("i") == F.col("first") - 1, F.col(score))).alias("before")
+    )
+    cause = F.when(F.col("outcome") == "TP", "hit").when((F.col("begins") > theta) & (F.col("before") > theta), "prefired").when(F.col("peak") > theta, "refractory").otherwise("never")
+    never = F.when(F.col("cause") == "never", F.col("peak"))
+    return each.where("peak IS NOT NULL").withColumn("cause", cause).groupBy("task", "cause").agg(F.count("*").alias("n"), *[F.percentile(never, q / 100).alias(f"peak_{q}") for q in (10, 25, 50, 75, 90)])
 
 
-def anatomy_by_type(scores: DataFrame, meta: DataFrame) -> DataFrame:
-    return scores.join(meta, "conv_id").groupBy("type", "outcome").agg(F.count("*").alias("n"), F.percentile("latency_ms", 0.5).alias("p50_ms"))
+def anatomy_by_type(scores: DataFrame, spans: DataFrame, meta: DataFrame) -> DataFrame:
+    """For each type and outcome: n, median latency, and for pauses the 10, 50 and 90 % quantiles of their length. spans: (conv_id, speaker, t_ms, dur_ms)."""
+    told = scores.join(spans, ["conv_id", "speaker", "t_ms"], "left").withColumn("dur_ms", F.when(F.col("outcome").isin("FP", "TN"), F.col("dur_ms")))
+    return told.join(meta, "conv_id").groupBy("type", "outcome").agg(
+        F.count("*").alias("n"), F.percentile("latency_ms", 0.5).alias("p50_ms"), *[F.percentile("dur_ms", q / 100).alias(f"dur_{q}") for q in (10, 50, 90)]
+    )
 
 
-def corpus_stats(gold: DataFrame, durations: DataFrame, meta: DataFrame) -> DataFrame:
-    """Conversations, minutes, positives and positives per minute of each type."""
+def corpus_stats(gold: DataFrame, durations: DataFrame, meta: DataFrame, agreement: DataFrame) -> DataFrame:
+    """Conversations, minutes, positives, positives per minute and mean agreement (conv_id, agreement) of each type."""
     pos = gold.where("kind = 'pos'").groupBy("conv_id").agg(F.count("*").alias("events"))
-    each = durations.join(meta, "conv_id").join(pos, "conv_id", "left").na.fill(0, ["events"])
+    each = durations.join(meta, "conv_id").join(agreement, "conv_id", "left").join(pos, "conv_id", "left").na.fill(0, ["events"])
     minutes = F.sum("duration_ms") / 60000.0
-    return each.groupBy("type").agg(F.count("*").alias("conversations"), minutes.alias("minutes"), F.sum("events").alias("events"), F.try_divide(F.sum("events"), minutes).alias("per_minute"))
+    return each.groupBy("type").agg(F.count("*").alias("conversations"), minutes.alias("minutes"), F.sum("events").alias("events"), F.try_divide(F.sum("events"), minutes).alias("per_minute"), F.avg("agreement").alias("agreement"))
 
 
 def report_card(results: DataFrame, clean: str) -> DataFrame:
@@ -112,22 +166,52 @@ def consensus(labels: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
     return best.select(*keys, F.when(F.col("m.n") >= k, F.col("m.label")).alias("label"), (F.col("m.n") / F.col("all")).alias("agreement"))
 
 
-def pause_sweep(preds: DataFrame, thetas: list[float], timeouts: list[int]) -> DataFrame:
-    """preds (span, silence_ms, p, label in hold, eot): for each threshold and timeout the share of holds that are cut off, and the mean latency at ends.
+def pause_fires(preds: DataFrame, thetas: int, delays: list[int]) -> DataFrame:
+    """(rule, span, label, lasts, k, delay, at): when each span (span, silence_ms, p, label in hold, eot) would be told an end, for thresholds k / thetas.
 
-    A span fires at the first time its score reaches the threshold, or at the timeout if it lasts that long.
+    first: the first time p >= theta at the delay or later. harness: the first time p > theta at all, acted on at the delay at the earliest. A time tells
+    the thresholds between the greatest score before it and its own, so no time is paired with the others. Holds outside 0.2 to 5 s are left out.
     """
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thetas]))
-    hit = preds.withColumn("theta", grid).where("p >= theta").groupBy("span", "theta").agg(F.min("silence_ms").alias("at"))
-    spans = preds.groupBy("span").agg(F.max("silence_ms").alias("lasts"), F.first("label").alias("label")).withColumn("theta", grid)
-    each = spans.join(hit, ["span", "theta"], "left").withColumn("timeout", F.explode(F.array(*[F.lit(t) for t in timeouts])))
-    fires = F.least(F.coalesce("at", "timeout"), "timeout")
-    each = each.withColumn("fires", F.when((F.col("label") == "eot") | (fires <= F.col("lasts")), fires))
-    holds = F.count_if(F.col("label") == "hold")
-    return each.groupBy("theta", "timeout").agg(
-        F.try_divide(F.count_if((F.col("label") == "hold") & F.col("fires").isNotNull()).cast("double"), holds).alias("cutoff"),
-        F.avg(F.when(F.col("label") == "eot", F.col("fires"))).alias("latency_ms"),
-    )
+    span = W.partitionBy("span")
+    rows = preds.withColumn("lasts", F.max("silence_ms").over(span)).where("label = 'eot' OR lasts BETWEEN 200 AND 5000")
+    delayed = rows.withColumn("delay", F.explode(F.array(*[F.lit(d) for d in delays])))
+    before = F.coalesce(F.max("p").over(W.partitionBy("span", "delay").orderBy("silence_ms").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1.0))
+    late = delayed.where("silence_ms >= delay").withColumn("low", before).where("p > low").withColumn("rule", F.lit("first"))
+    late = late.withColumns({"a": F.greatest(F.ceil(F.col("low") * thetas + 1e-7), F.lit(0)), "b": F.least(F.floor(F.col("p") * thetas + 1e-7), F.lit(thetas))})
+    late = late.withColumn("a", F.when(F.floor(F.col("low") * thetas + 1e-7) >= F.col("a"), F.col("a") + 1).otherwise(F.col("a")))
+    early = F.coalesce(F.max("p").over(span.orderBy("silence_ms").rowsBetween(W.unboundedPreceding, -1)), F.lit(-1.0))
+    any_ = rows.withColumn("low", early).where("p > low").withColumn("rule", F.lit("harness")).withColumn("delay", F.explode(F.array(*[F.lit(d) for d in delays])))
+    any_ = any_.withColumns({"a": F.greatest(F.ceil(F.col("low") * thetas - 1e-7), F.lit(0)), "b": F.least(F.ceil(F.col("p") * thetas - 1e-7) - 1, F.lit(thetas))})
+    told = late.unionByName(any_).where("a <= b").withColumn("k", F.explode(F.expr("sequence(cast(a as int), cast(b as int))")))
+    return told.select("rule", "span", "label", "lasts", "k", "delay", F.when(F.col("rule") == "harness", F.greatest("delay", "silence_ms")).otherwise(F.col("silence_ms")).alias("at"))
+
+
+def pause_sweep(preds: DataFrame, thetas: int, delays: list[int], timeouts: list[int]) -> DataFrame:
+    """(rule, k, delay, timeout, cutoff, latency_ms) for thresholds k / thetas: the share of holds that are cut off, by the score or by the timeout, and the
+    mean latency at ends, which the timeout bounds. Timeouts below the delay are left out.
+
+    Spans without a fire are counted from the spans alone: a setting's sums are those of the fires added to what no fire would give.
+    """
+    fires = pause_fires(preds, thetas, delays)
+    spans = preds.groupBy("span").agg(F.max("silence_ms").alias("lasts"), F.first("label").alias("label")).where("label = 'eot' OR lasts BETWEEN 200 AND 5000")
+    hold, eot = F.col("label") == "hold", F.col("label") == "eot"
+    alone = spans.agg(F.count_if(hold).alias("holds"), F.count_if(eot).alias("ends"), *[F.count_if(hold & (F.col("lasts") > t)).alias(f"cut_{t}") for t in timeouts])
+    gains = []
+    for t in timeouts:
+        gains.append(F.count_if(hold & (F.col("lasts") <= t) & (F.col("lasts") > F.col("at"))).alias(f"more_{t}"))
+        gains.append(F.coalesce(F.sum(F.when(eot & (F.col("at") <= t), t - F.col("at"))), F.lit(0)).alias(f"less_{t}"))
+    told = fires.groupBy("rule", "k", "delay").agg(*gains)
+    grid = alone.select("*", F.explode(F.array(F.lit("first"), F.lit("harness"))).alias("rule")).select("*", F.explode(F.sequence(F.lit(0), F.lit(thetas))).alias("k"))
+    grid = grid.select("*", F.explode(F.array(*[F.lit(d) for d in delays])).alias("delay")).join(told, ["rule", "k", "delay"], "left").na.fill(0)
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("timeout"), F.try_divide((F.col(f"cut_{t}") + F.col(f"more_{t}")).cast("double"), F.col("holds")).alias("cutoff"), F.try_divide((F.col("ends") * t - F.col(f"less_{t}")).cast("double"), F.col("ends")).alias("latency_ms")) for t in timeouts])).alias("x")
+    return grid.select("rule", "k", "delay", rows).select("rule", "k", "delay", "x.*").where("timeout >= delay")
+
+
+def pause_points(sweep: DataFrame, cutoffs: list[float], latencies: list[int]) -> DataFrame:
+    """(rule, what, value): the least latency within each cut-off rate, and the least cut-off rate within each latency."""
+    best = [F.min(F.when(F.col("cutoff") <= c + 1e-9, F.col("latency_ms"))).alias(f"latency@{round(100 * c)}%") for c in cutoffs]
+    best += [F.min(F.when(F.col("latency_ms") <= t + 1e-9, F.col("cutoff"))).alias(f"cutoff@{t}ms") for t in latencies]
+    return sweep.groupBy("rule").agg(*best).unpivot("rule", None, "what", "value")
 
 
 def validity_join(queries: DataFrame, frames: DataFrame, step_ms: int) -> DataFrame:
@@ -139,10 +223,41 @@ def validity_join(queries: DataFrame, frames: DataFrame, step_ms: int) -> DataFr
     return ticks.unionByName(asks).withColumn("live", live).where("kind = 1").select(*on, "i", "live")
 
 
+def validity_spans(queries: DataFrame, frames: DataFrame, step_ms: int) -> DataFrame:
+    """frames with the value that is live at their end: queries (conv_id, speaker, t_ms, until_ms, value) hold from t to before until, and where several
+    do, the latest counts. Each query meets the frames of its span only."""
+    on = ["conv_id", "speaker"]
+    span = F.expr(f"sequence(greatest(cast(ceil(t_ms / {step_ms}) as long) - 1, 0), cast(ceil(until_ms / {step_ms}) as long) - 2)")
+    held = queries.where(f"cast(ceil(until_ms / {step_ms}) as long) - 2 >= greatest(cast(ceil(t_ms / {step_ms}) as long) - 1, 0)").withColumn("i", F.explode(span))
+    live = held.groupBy(*on, "i").agg(F.max(F.struct("t_ms", "value"))["value"].alias("live"))
+    return frames.select(*on, "i").join(live, [*on, "i"], "left")
+
+
 def text_context(words: DataFrame, points: DataFrame, key: str, lag_ms: int, n: int) -> DataFrame:
-    """points (key, t_ms) with the last n words (key, end_ms, word) that end at least lag_ms before t."""
-    p = points.withColumns({"start_ms": F.col("t_ms") - 60_000, "end_ms": F.col("t_ms") - lag_ms})
-    said = words.withColumn("start_ms", F.col("end_ms"))
-    met = range_join(p, said, [key]).groupBy(key, "t_ms").agg(F.array_sort(F.collect_list(F.struct("b_end_ms", "b_word"))).alias("w"))
-    tail = F.when(F.size("w") > n, F.slice("w", -n, n)).otherwise(F.col("w"))
-    return points.join(met.select(key, "t_ms", F.array_join(F.transform(tail, lambda x: x["b_word"]), " ").alias("context")), [key, "t_ms"], "left")
+    """points (key, t_ms) with the last n words (key, end_ms, word) that end at least lag_ms before t, however long ago.
+
+    Words are numbered in their order; a point learns the number of the last one it may see from a union in time, and looks up the n before by number.
+    """
+    numbered = words.withColumn("no", F.row_number().over(W.partitionBy(key).orderBy("end_ms", "word")))
+    asks = points.select(key, "t_ms", (F.col("t_ms") - lag_ms).alias("at"), F.lit(None).cast("int").alias("no"), F.lit(1).alias("kind"))
+    said = numbered.select(key, F.lit(None).cast("long").alias("t_ms"), F.col("end_ms").alias("at"), "no", F.lit(0).alias("kind"))
+    last = F.max("no").over(W.partitionBy(key).orderBy("at", "kind"))
+    seen = asks.unionByName(said).withColumn("last", last).where("kind = 1 AND last IS NOT NULL").select(key, "t_ms", F.explode(F.sequence(F.greatest(F.col("last") - (n - 1), F.lit(1)), F.col("last"))).alias("no"))
+    met = seen.join(numbered.select(key, "no", "word"), [key, "no"]).groupBy(key, "t_ms").agg(F.array_sort(F.collect_list(F.struct("no", "word"))).alias("w"))
+    return points.join(met.select(key, "t_ms", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("context")), [key, "t_ms"], "left")
+
+
+def other_turn_context(words: DataFrame, points: DataFrame, n: int) -> DataFrame:
+    """points (conv_id, speaker, t_ms) with the last n words that the other speaker has said by t in the latest turn that began before.
+
+    words: (conv_id, speaker, turn_start_ms, end_ms, word). A point meets the words of one turn.
+    """
+    turns = words.select("conv_id", (3 - F.col("speaker")).cast("int").alias("speaker"), F.col("turn_start_ms").alias("at")).distinct()
+    asks = points.select("conv_id", "speaker", F.col("t_ms").alias("at"), F.col("t_ms"), F.lit(0).alias("kind"))
+    both = asks.unionByName(turns.withColumns({"t_ms": F.lit(None).cast("long"), "kind": F.lit(1)}))
+    began = F.last(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(W.partitionBy("conv_id", "speaker").orderBy("at", "kind"))
+    latest = both.withColumn("turn_start_ms", began).where("kind = 0 AND turn_start_ms IS NOT NULL").select("conv_id", "speaker", "t_ms", "turn_start_ms").distinct()
+    said = words.select("conv_id", (3 - F.col("speaker")).cast("int").alias("speaker"), "turn_start_ms", "end_ms", "word")
+    met = latest.join(said, ["conv_id", "speaker", "turn_start_ms"]).where("end_ms <= t_ms").groupBy("conv_id", "speaker", "t_ms").agg(F.array_sort(F.collect_list(F.struct("end_ms", "word"))).alias("w"))
+    tail = F.slice("w", F.greatest(F.size("w") - (n - 1), F.lit(1)), F.lit(n))
+    return points.join(met.select("conv_id", "speaker", "t_ms", F.array_join(F.transform(tail, lambda x: x["word"]), " ").alias("context")), ["conv_id", "speaker", "t_ms"], "left")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import hash_order, hash_unit
+from turnloom.operators.components import components
+from turnloom.sources.settle import settle
 
 
 def actor_split(meta: DataFrame, shares: dict[str, float], salt: str) -> DataFrame:
@@ -29,41 +31,39 @@ def recover_cross_partition(split: DataFrame, gate: str) -> DataFrame:
     return split.where((F.col("split") == "excluded") & (F.col("split_1") != gate) & (F.col("split_2") != gate)).select("conv_id")
 
 
-def leakage_report(manifest: DataFrame, plan: DataFrame, revision: str) -> DataFrame:
-    """(problem, id): records (id, split, revision, actor_1, actor_2) of another revision, not as planned (id, split), doubled, and
-    actors that stand in several splits."""
-    rows = manifest.where(F.col("revision") != revision).select(F.lit("revision").alias("problem"), F.col("id").cast("string"))
-    planned = plan.select("id", F.col("split").alias("planned"))
-    wrong = manifest.join(planned, "id", "left").where("planned IS NULL OR planned != split")
-    rows = rows.unionByName(wrong.select(F.lit("split").alias("problem"), F.col("id").cast("string")))
-    doubled = manifest.groupBy("id").count().where("count > 1")
-    rows = rows.unionByName(doubled.select(F.lit("doubled").alias("problem"), F.col("id").cast("string")))
-    actors = manifest.select("split", F.explode(F.array("actor_1", "actor_2")).alias("actor")).where("actor IS NOT NULL").groupBy("actor")
-    shared = actors.agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a != b")
-    return rows.unionByName(shared.select(F.lit("shared_actor").alias("problem"), F.col("actor").alias("id")))
-
-
-def actor_components(meta: DataFrame, passes: int = 50) -> DataFrame:
-    """(conv_id, component): conversations that share actors, by the least conv_id of each component.
+def leakage_report(manifest: DataFrame, plan: DataFrame, assignments: DataFrame, source: str, revision: str) -> DataFrame:
+    """(problem, id): records (id, split, source, revision, actor_1, actor_2) of another source or revision, not in the plan (id, split) or planned
+    for another split, doubled, whose actors are assigned (actor, split) to another split or to none; and actors that stand in several splits."""
+    def named(df: DataFrame, name: str, column: str = "id") -> DataFrame:
+        return df.select(F.lit(name).alias("problem"), F.col(column).cast("string").alias("id"))
+    rows = named(manifest.where(~F.col("source").eqNullSafe(F.lit(source))), "source").unionByName(named(manifest.where(~F.col("revision").eqNullSafe(F.lit(revision))), "revision"))
+    planned = manifest.join(plan.select("id", F.col("split").alias("planned")), "id", "left")
+    rows = rows.unionByName(named(planned.where("planned IS NULL"), "not_planned")).unionByName(named(planned.where("planned != split"), "split"))
+    rows = rows.unionByName(named(manifest.groupBy("id").count().where("count > 1"), "doubled"))
+    each = manifest.select("id", "split", F.explode(F.array("actor_1", "actor_2")).alias("actor")).where("actor IS NOT NULL")
+    dealt = each.join(assignments.select("actor", F.col("split").alias("dealt")), "actor", "left").where("NOT dealt <=> split")
+    rows = rows.unionByName(named(dealt.select("id").distinct(), "actor_elsewhere"))
+    shared = each.groupBy("actor").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a != b")
+    return rows.unionByName(named(shared, "shared_actor", "actor"))
+
+
+def actor_components(meta: DataFrame) -> DataFrame:
+    """(conv_id, component): conversations that share actors, by the least conv_id of each component. Each conversation is linked to the least one of each
+    of its actors; stars are contracted until nothing hangs from two, so a chain of any length ends."""
+    member = meta.select("conv_id", F.explode(F.array("actor_1", "actor_2")).alias("actor")).where("actor IS NOT NULL").distinct()
+    least = member.groupBy("actor").agg(F.min("conv_id").alias("b"))
+    links = settle(member.join(least, "actor").select(F.col("conv_id").alias("a"), "b").distinct(), "actors")
+    found = components(links).select(F.col("a").alias("conv_id"), F.col("b").alias("root"))
+    return meta.select("conv_id").distinct().join(found, "conv_id", "left").select("conv_id", F.coalesce("root", "conv_id").alias("component"))
 
-    The least label goes from conversations to their actors and back until nothing changes; each pass is checkpointed to the shared folder.
-    """
-    spark = meta.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="turnloom-"))
-    member = meta.select("conv_id", F.explode(F.array("actor_1", "actor_2")).alias("actor")).where("actor IS NOT NULL").distinct()
-    labels = meta.select("conv_id", F.col("conv_id").alias("component")).distinct()
-    for _ in range(passes):
-        by_actor = member.join(labels, "conv_id").groupBy("actor").agg(F.min("component").alias("least"))
-        heard = member.join(by_actor, "actor").groupBy("conv_id").agg(F.min("least").alias("least"))
-        new = labels.join(heard, "conv_id", "left").select("conv_id", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("old")).checkpoint()
-        changed = new.where("component != old").limit(1).count()
-        labels = new.drop("old")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {passes} passes")
+def numbered(rows: DataFrame, cell: Column, order: list, name: str = "no") -> DataFrame:
+    """rows with their number from 0 in the order of cell, then `order`: counted in each cell, with the counts of the cells before, so no task orders all."""
+    out = rows.withColumn("__cell", cell)
+    held = out.groupBy("__cell").agg(F.count("*").alias("__n"))
+    held = held.select("__cell", F.coalesce(F.sum("__n").over(W.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    no = F.col("__before") + F.row_number().over(W.partitionBy("__cell").orderBy(*order)) - 1
+    return out.join(held, "__cell").withColumn(name, no).drop("__cell", "__before")
 
 
 def select_clips(manifest: DataFrame, seconds: float, feed_cap: float, episode_cap: float, salt: str, least: float, most: float) -> DataFrame:
@@ -86,30 +86,61 @@ def select_clips(manifest: DataFrame, seconds: float, feed_cap: float, episode_c
     return kept.join(sums, "range").withColumn("at", running).where(F.col("at") < seconds).select("feed", "episode", "clip", "seconds")
 
 
-def donor_plan(ids: DataFrame, key: str, n: int, salt: str) -> DataFrame:
-    """For each id n others, distinct and never itself: the next ones in a hash order, around the end. Offsets on ranks, so no pairs of all."""
-    ranked = ids.select(key).distinct().withColumn("rank", F.row_number().over(W.orderBy(hash_order(F.col(key), salt))) - 1).withColumn("all", F.count("*").over(W.partitionBy(F.lit(1))))
-    asked = ranked.withColumn("nth", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("all") - 1)))).where("all > 1")
-    asked = asked.withColumn("pick", F.pmod(F.col("rank") + F.col("nth"), F.col("all")))
-    return asked.join(ranked.select(F.col("rank").alias("pick"), F.col(key).alias("donor")), "pick").select(key, "nth", "donor")
-
-
-def dialogue_filter(items: DataFrame, least_turns: int = 4, longest: int = 80, most_run: int = 4, least_share: float = 0.15) -> DataFrame:
-    """(script_id, reasons) of scripts (script_id, pos, speaker, kind, text) that break a rule; reasons sorted."""
-    n = F.regexp_count("text", F.lit(r"\S+"))
+def donor_plan(ids: DataFrame, key: str, n: int, salt: str, styles: dict[str, float] | None = None, snr: tuple[float, float] = (0.0, 20.0)) -> DataFrame:
+    """For each id a channel (1 or 2) and n others, distinct and never itself: the next ones in a hash order, around the end; with a style drawn by
+    weight and a level drawn in a range. Offsets on numbers, so no pairs of all; every draw is a hash of the id."""
+    each = ids.select(key).distinct()
+    by = hash_order(F.col(key), salt)
+    ranked = settle(numbered(each.withColumn("by", by), F.substring("by", 1, 3), ["by"], "rank"), "donors")
+    total = ranked.count()
+    if total < 2:
+        return ranked.select(key, F.lit(1).alias("channel"), F.lit(1).alias("nth"), F.col(key).alias("donor"), F.lit("").alias("style"), F.lit(0.0).alias("snr")).where("false")
+    unit = lambda what: hash_unit(F.concat_ws("/", F.lit(what), F.col(key).cast("string")), salt)
+    weights, upto, style = styles or {"speech": 1.0}, 0.0, None
+    for name, weight in weights.items():
+        upto += weight / sum(weights.values())
+        style = F.when(unit("style") < upto, name) if style is None else style.when(unit("style") < upto, name)
+    asked = ranked.select(
+        key, "rank", (F.floor(unit("channel") * 2) + 1).cast("int").alias("channel"), F.coalesce(style, F.lit(list(weights)[-1])).alias("style"),
+        F.round(snr[0] + unit("snr") * (snr[1] - snr[0]), 6).alias("snr"), F.explode(F.sequence(F.lit(1), F.lit(min(n, total - 1)))).alias("nth"),
+    )
+    asked = asked.withColumn("pick", F.pmod(F.col("rank") + F.col("nth"), F.lit(total)))
+    return asked.join(ranked.select(F.col("rank").alias("pick"), F.col(key).alias("donor")), "pick").select(key, "channel", "nth", "donor", "style", "snr")
+
+
+#: A pause mark in a script.
+PAUSE = r"<pause\s+[0-9.]+\s*>"
+
+
+def dialogue_filter(items: DataFrame, least_items: int = 20, longest: int = 120, longest_backchannel: int = 4, most_run: int = 4, least_share: float = 0.15) -> DataFrame:
+    """(script_id, reasons) of scripts (script_id, pos, id, speaker, kind, text, host, after_word, takes_floor, language) that break a rule; reasons sorted.
+
+    too_short, long_backchannel, long_turn; monologue_run, of items that hold the floor; participation of either of the two speakers; verbatim_repeat of a turn
+    by the next item; stage_direction; role_break; no_pauses in floor items; unsegmented, words of over 3.5 characters on average where words are not
+    spaced; weak_interruption, where the host has under six words left or the interrupter under five. Pause marks are not words.
+    """
+    clean = F.regexp_replace("text", PAUSE, " ")
     w = W.partitionBy("script_id").orderBy("pos")
-    change = F.coalesce((F.col("speaker") != F.lag("speaker").over(w)).cast("int"), F.lit(1))
-    x = items.withColumns({"n": n, "__c": change}).withColumn("run", F.sum("__c").over(w))
-    run = x.groupBy("script_id", "run").agg(F.count_if(F.col("kind") == "turn").alias("k")).groupBy("script_id").agg(F.max("k").alias("longest_run"))
-    said = x.groupBy("script_id", "speaker").agg(F.sum("n").alias("w")).groupBy("script_id").agg((F.min("w") / F.sum("w")).alias("share"), F.count("*").alias("speakers"))
-    same = x.where("n > 3").groupBy("script_id", F.lower("text").alias("t")).count().groupBy("script_id").agg(F.max("count").alias("repeats"))
+    x = items.withColumns({"clean": clean, "paused": F.regexp_like("text", F.lit(PAUSE)), "floor": (F.col("kind") == "turn") | ((F.col("kind") == "interruption") & F.coalesce("takes_floor", F.lit(False)))})
+    x = x.withColumn("n", F.regexp_count("clean", F.lit(r"[^ \t\n\r\f]+")))
+    same = F.lower(F.trim("text")).eqNullSafe(F.lag(F.lower(F.trim("text"))).over(w)) & (F.col("kind") == "turn") & (F.lag("kind").over(w) == "turn")
+    x = x.withColumn("again", F.coalesce(same, F.lit(False)))
+    held = x.where("floor").withColumn("c", F.coalesce((F.col("speaker") != F.lag("speaker").over(w)).cast("int"), F.lit(1))).withColumn("run", F.sum("c").over(w))
+    runs = held.groupBy("script_id", "run").count().groupBy("script_id").agg(F.max("count").alias("run"))
+    said = x.groupBy("script_id", "speaker").agg(F.sum("n").alias("w")).groupBy("script_id").agg(F.try_divide(F.min("w").cast("double"), F.sum("w")).alias("share"), F.count("*").alias("speakers"))
+    hosts = x.select("script_id", F.col("id").alias("host"), F.col("n").alias("host_n")).groupBy("script_id", "host").agg(F.min("host_n").alias("host_n"))
+    weak = x.where("kind = 'interruption' AND takes_floor").join(hosts, ["script_id", "host"]).where("host_n - after_word < 6 OR n < 5").select("script_id").distinct().withColumn("weak", F.lit(True))
     flags = x.groupBy("script_id").agg(
-        F.count("*").alias("turns"), F.max(F.when(F.col("kind") == "backchannel", F.col("n"))).alias("bc"), F.max("n").alias("longest"), F.max(F.regexp_like("text", F.lit(r"[*(\[]")).cast("int")).alias("stage")
-    )
-    flags = flags.join(run, "script_id").join(said, "script_id").join(same, "script_id", "left")
+        F.count("*").alias("items"), F.max(F.when(F.col("kind") == "backchannel", F.col("n"))).alias("bc"), F.max(F.when(F.col("kind") == "turn", F.col("n"))).alias("turn"), F.max("again").alias("again"),
+        F.max(F.regexp_like("clean", F.lit(r"[\[(*].*?[\])*]"))).alias("stage"), F.max(F.regexp_like(F.lower("clean"), F.lit(r"\bas an ai\b"))).alias("role"),
+        F.max(F.col("floor") & F.col("paused")).alias("pauses"), F.max(F.col("language").isin("ja", "zh")).alias("unspaced"),
+        F.try_divide(F.sum(F.length(F.regexp_replace("clean", r"[ \t\n\r\f]+", ""))).cast("double"), F.greatest(F.sum("n"), F.lit(1))).alias("chars"),
+    )
+    flags = flags.join(runs, "script_id", "left").join(said, "script_id").join(weak, "script_id", "left")
     rules = {
-        "too_short": F.col("turns") < least_turns, "long_backchannel": F.col("bc") > 3, "long_turn": F.col("longest") > longest, "monologue_run": F.col("longest_run") > most_run,
-        "participation": (F.col("share") < least_share) | (F.col("speakers") < 2), "verbatim_repeat": F.col("repeats") > 1, "stage_direction": F.col("stage") == 1,
+        "too_short": F.col("items") < least_items, "long_backchannel": F.col("bc") > longest_backchannel, "long_turn": F.col("turn") > longest, "monologue_run": F.col("run") > most_run,
+        "participation": (F.col("share") < least_share) | (F.col("speakers") < 2) | F.col("share").isNull(), "verbatim_repeat": F.col("again"), "stage_direction": F.col("stage"), "role_break": F.col("role"),
+        "no_pauses": ~F.col("pauses"), "unsegmented": F.col("unspaced") & (F.col("chars") > 3.5), "weak_interruption": F.col("weak"),
     }
     reasons = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()])))
     return flags.select("script_id", F.array_join(reasons, ",").alias("reasons")).where("reasons != ''")
@@ -133,8 +164,11 @@ def dedupe_prompts(queries: DataFrame, what: list[str], use: str) -> DataFrame:
 
 
 def folds(ids: DataFrame, key: str, k: int) -> DataFrame:
-    """ids in folds by turns in the order of id: 0 to k - 1."""
-    return ids.select(key).distinct().withColumn("fold", F.pmod(F.row_number().over(W.orderBy(key)) - 1, F.lit(k)))
+    """ids (longs) in folds by turns in the order of id: 0 to k - 1. Numbered in 1024 equal ranges of ids."""
+    each = ids.select(key).distinct()
+    lo, hi = each.agg(F.min(key), F.max(key)).first()
+    cell = F.floor((F.col(key) - (lo or 0)) / max(1, -(-((hi or 0) - (lo or 0) + 1) // 1024)))
+    return numbered(each, cell, [key]).select(key, F.pmod(F.col("no"), F.lit(k)).alias("fold"))
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str, result: str) -> DataFrame:
@@ -142,12 +176,18 @@ def pending(todo: DataFrame, done: DataFrame, key: str, result: str) -> DataFram
     return todo.join(done.where(F.col(result).isNotNull()), key, "left_anti")
 
 
-def merge_runs(runs: list[DataFrame], key: str) -> DataFrame:
-    """Outputs of runs as one; for equal keys the first run's."""
+def merge_runs(runs: list[DataFrame], key: str, keep: DataFrame | None = None, split: str | None = None, own: str | None = None, kept: str | None = None) -> DataFrame:
+    """Outputs of runs as one; for equal keys the first run's. Where the column `split` is given: of several runs, rows of split `own` go (no threshold
+    fits all of them), and rows of split `kept` stay if their key is in keep."""
     every = None
     for n, r in enumerate(runs):
         r = r.withColumn("__run", F.lit(n))
         every = r if every is None else every.unionByName(r, allowMissingColumns=True)
+    if split and own and len(runs) > 1:
+        every = every.where(~F.col(split).eqNullSafe(F.lit(own)))
+    if split and keep is not None:
+        listed = keep.select(key).distinct().withColumn("__keep", F.lit(True))
+        every = every.join(listed, key, "left").where(~F.col(split).eqNullSafe(F.lit(kept)) | F.col("__keep")).drop("__keep")
     return every.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy("__run"))).where("__r = 1").drop("__r", "__run")
 
 

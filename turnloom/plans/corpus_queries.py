@@ -94,8 +94,30 @@ def _post(s, d):
 
 
 _POST = "po AS (SELECT vec_id, exp(embedding[1]::DOUBLE) / t AS own, exp(embedding[2]::DOUBLE) / t AS oth, exp(embedding[3]::DOUBLE) / t AS op, 1 / (1 + exp(-embedding[17]::DOUBLE)) AS si FROM (SELECT *, exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE) + exp(embedding[3]::DOUBLE) + exp(embedding[4]::DOUBLE) AS t FROM embeddings))"
-register("F14_variants", lambda s, d: _post(s, d).select("vec_id", *[c.alias(k) for k, c in T.score_variants(F.col("own"), F.col("oth"), F.col("op"), F.col("si")).items()]),
-    f"WITH {_POST} SELECT vec_id, greatest(least(op + oth, 1.0), 0.0) AS released, 1 - own AS holds, (op + oth + 1 - own) / 2 AS mix, (op + oth) * si AS released_silent, (op + oth) * sqrt(si) AS released_sqrt_silent FROM po")
+_GROUPS = ["backchannel", "noncontent", "floor_taking", "turn", "attempt"]
+
+
+def _variants(s, d):
+    soft = lambda first, n: [F.exp(F.element_at("embedding", first + k).cast("double")) / sum((F.exp(F.element_at("embedding", first + j).cast("double")) for j in range(1, n)), F.exp(F.element_at("embedding", first).cast("double"))) for k in range(n)]
+    e = table(s, d, "embeddings").withColumns({"channel": F.col("vec_id") % 20} | {f"p{h}_{k}": c for h in range(4) for k, c in enumerate(soft(1 + 4 * h, 4))} | {f"g{o}_{k}": c for o in range(2) for k, c in enumerate(soft(18 + 5 * o, 5))})
+    e = e.withColumn("si", 1 / (1 + F.exp(-F.element_at("embedding", 17).cast("double"))))
+    at = [[F.col(f"p{h}_{k}") for k in range(4)] for h in range(4)]
+    told = T.score_variants(*at, F.col("si"), *[{g: F.col(f"g{o}_{k}") for k, g in enumerate(_GROUPS)} for o in range(2)], W.partitionBy("channel").orderBy("vec_id"))
+    return e.select("vec_id", *[F.round(c, 9).alias(k) for k, c in told.items()])
+
+
+def _variants_sql() -> str:
+    soft = lambda first, n, name: ", ".join(f"exp(embedding[{first + k}]::DOUBLE) / ({' + '.join(f'exp(embedding[{first + j}]::DOUBLE)' for j in range(n))}) AS {name}_{k}" for k in range(n))
+    ex = ", ".join([*[soft(1 + 4 * h, 4, f"p{h}") for h in range(4)], *[soft(18 + 5 * o, 5, f"g{o}") for o in range(2)]])
+    past = lambda c, n: f"coalesce(max({c}) OVER (PARTITION BY vec_id % 20 ORDER BY vec_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0)"
+    v = {"eot": "p0_2 + p0_1", "eot_f04": "p1_2 + p1_1", "eot_mix": "(p0_2 + p0_1 + p1_2 + p1_1) / 2", "int": "p2_0", "int_f04": "p1_0", "int_f16": "p3_0", "int_mix": "(p1_0 + p2_0 + p3_0) / 3"}
+    v |= {f"eot_tr{n}": f"(p0_2 + p0_1) * {past('p0_0', n)}" for n in (5, 10, 20)} | {f"eot_f04_tr{n}": f"(p1_2 + p1_1) * {past('p0_0', n)}" for n in (5, 10, 20)}
+    v |= {"int_tr10": f"p2_0 * {past('p0_1', 10)}", "eot_q": "(p0_2 + p0_1) * si", "eot_f04_q": "(p1_2 + p1_1) * si", "eot_mix_q": "(p0_2 + p0_1 + p1_2 + p1_1) / 2 * si", "eot_q_sqrt": "(p0_2 + p0_1) * sqrt(si)",
+          "int_spk": "p1_0 * (1 - si)", "int_nobc": "p1_0 * (1 - si) * greatest(least(1 - g0_0 - g0_1, 1), 0)", "int_ft": "g0_2", "int_claim": "p1_0 * (g0_2 + g0_3)", "eot_nobc": "(p0_2 + p0_1) * si * greatest(least(1 - g1_0 - g1_1, 1), 0)"}
+    return f"WITH e AS (SELECT vec_id, {ex}, 1 / (1 + exp(-embedding[17]::DOUBLE)) AS si FROM embeddings) SELECT vec_id, {', '.join(f'round(greatest(least({x}, 1.0::DOUBLE), 0.0::DOUBLE), 9) AS {k}' for k, x in v.items())} FROM e"
+
+
+register("F14_variants", _variants, _variants_sql())
 register("F15_fuse", lambda s, d: _post(s, d).select("vec_id", T.fuse_geometric(F.col("own"), F.when(F.col("vec_id") % 3 != 0, F.col("si")), 0.3).alias("g"), T.fuse_logit(F.col("own"), F.col("si"), 0.3).alias("l")),
     f"WITH {_POST} SELECT vec_id, power(own, 0.7::DOUBLE) * power(CASE WHEN vec_id % 3 <> 0 THEN si ELSE 0.5::DOUBLE END, 0.3::DOUBLE) AS g, 1 / (1 + exp(-(0.7::DOUBLE * ln(own / (1 - own)) + 0.3::DOUBLE * ln(si / (1 - si))))) AS l FROM po")
 register("F16_yes", lambda s, d: _post(s, d).select("vec_id", T.yes_probability(F.array(F.struct(F.lit(" Yes").alias("token"), F.log("own").alias("logprob")), F.struct(F.lit("no").alias("token"), F.log("oth").alias("logprob")), F.struct(F.lit("maybe").alias("token"), F.log("op").alias("logprob")))).alias("p")),
@@ -125,53 +147,88 @@ register("K02_recover", lambda s, d: K.recover_cross_partition(split(s, d), "gat
 
 
 def _manifest(s, d):
-    m = split(s, d).select(F.col("conv_id").alias("id"), "split", "actor_1", "actor_2", F.when(F.col("conv_id") % 97 == 0, "old").otherwise("new").alias("revision"))
+    m = split(s, d).select(
+        F.col("conv_id").alias("id"), "split", F.when(F.col("conv_id") % 101 == 0, "other").otherwise("main").alias("source"), "actor_1", "actor_2",
+        F.when(F.col("conv_id") % 97 == 0, "old").otherwise("new").alias("revision"),
+    )
     return m.unionByName(m.where("id % 89 = 0"))
 
 
+def leakage(s, d):
+    plan = split(s, d).where("conv_id % 79 <> 0").select(F.col("conv_id").alias("id"), F.when(F.col("conv_id") % 83 == 0, "dev").otherwise(F.col("split")).alias("split"))
+    dealt = split(s, d).select(F.explode(F.array(*[F.struct(F.col(f"actor_{k}").alias("actor"), F.col(f"split_{k}").alias("split")) for k in (1, 2)])).alias("x")).select("x.*").distinct()
+    return K.leakage_report(_manifest(s, d), plan, dealt.where(f"NOT ({_left_out('actor')})"), "main", "new")
+
+
+def _left_out(actor: str) -> str:
+    """Actors that the assignments leave out."""
+    return f"right({actor}, 2) = '07'"
+
+
 register(
     "K03_leakage",
-    lambda s, d: K.leakage_report(_manifest(s, d), split(s, d).select(F.col("conv_id").alias("id"), F.when(F.col("conv_id") % 83 == 0, "dev").otherwise(F.col("split")).alias("split")), "new"),
-    f"""WITH {_SPLIT}, mf AS (SELECT conv_id AS id, split, actor_1, actor_2, CASE WHEN conv_id % 97 = 0 THEN 'old' ELSE 'new' END AS revision FROM sl), m2 AS (SELECT * FROM mf UNION ALL SELECT * FROM mf WHERE id % 89 = 0),
-    pl AS (SELECT conv_id AS id, CASE WHEN conv_id % 83 = 0 THEN 'dev' ELSE split END AS planned FROM sl)
-    SELECT 'revision' AS problem, id::VARCHAR AS id FROM m2 WHERE revision <> 'new' UNION ALL SELECT 'split', id::VARCHAR FROM m2 JOIN pl USING (id) WHERE split <> planned
+    lambda s, d: leakage(s, d),
+    f"""WITH {_SPLIT}, mf AS (SELECT conv_id AS id, split, CASE WHEN conv_id % 101 = 0 THEN 'other' ELSE 'main' END AS source, actor_1, actor_2, CASE WHEN conv_id % 97 = 0 THEN 'old' ELSE 'new' END AS revision FROM sl),
+    m2 AS (SELECT * FROM mf UNION ALL SELECT * FROM mf WHERE id % 89 = 0), pl AS (SELECT conv_id AS id, CASE WHEN conv_id % 83 = 0 THEN 'dev' ELSE split END AS planned FROM sl WHERE conv_id % 79 <> 0),
+    ea AS (SELECT id, split, actor_1 AS actor FROM m2 UNION ALL SELECT id, split, actor_2 FROM m2)
+    SELECT 'source' AS problem, id::VARCHAR AS id FROM m2 WHERE source <> 'main' UNION ALL SELECT 'revision', id::VARCHAR FROM m2 WHERE revision <> 'new'
+    UNION ALL SELECT 'not_planned', id::VARCHAR FROM m2 WHERE id NOT IN (SELECT id FROM pl) UNION ALL SELECT 'split', id::VARCHAR FROM m2 JOIN pl USING (id) WHERE split <> planned
     UNION ALL SELECT 'doubled', id::VARCHAR FROM m2 GROUP BY id HAVING count(*) > 1
-    UNION ALL SELECT 'shared_actor', actor FROM (SELECT split, actor_1 AS actor FROM m2 UNION ALL SELECT split, actor_2 FROM m2) GROUP BY actor HAVING min(split) <> max(split)""",
+    UNION ALL SELECT DISTINCT 'actor_elsewhere', id::VARCHAR FROM ea LEFT JOIN dl ON dl.actor = ea.actor AND NOT ({_left_out('dl.actor')}) WHERE dl.split IS DISTINCT FROM ea.split
+    UNION ALL SELECT 'shared_actor', actor FROM ea GROUP BY actor HAVING min(split) <> max(split)""",
 )
 register(
     "K04_components",
     lambda s, d: K.actor_components(meta(s, d)),
+    f"""WITH RECURSIVE {META}, ea AS (SELECT conv_id, actor_1 AS actor FROM mt UNION SELECT conv_id, actor_2 FROM mt), le AS (SELECT actor, min(conv_id) AS least FROM ea GROUP BY actor),
+    ed AS MATERIALIZED (SELECT DISTINCT conv_id AS a, least AS b FROM ea JOIN le USING (actor) WHERE conv_id <> least), bo AS MATERIALIZED (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+    -- From the least of each actor's conversations along the links, with labels only going down.
+    rc AS (SELECT conv_id AS n, conv_id AS l, 0 AS step FROM mt UNION ALL SELECT n, min(l) AS l, max(step) AS step FROM (SELECT bo.b AS n, rc.l, step + 1 AS step FROM rc JOIN bo ON bo.a = rc.n WHERE rc.l < bo.b AND step < 12) GROUP BY n)
+    SELECT n AS conv_id, min(l) AS component FROM rc GROUP BY n""",
 )
 register(
     "K05_select_clips",
     lambda s, d: K.select_clips(table(s, d, "documents").select(F.col("source").alias("feed"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id") % 50).alias("episode"), F.col("doc_id").alias("clip"), (F.col("n_chars") / 15.0).alias("seconds")), 36000.0, 3000.0, 600.0, "c", 5.0, 900.0),
 )
+_UNIT = "('0x' || substr(sha256('d:{}/' || conv_id), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE"
 register(
     "K06_donors",
-    lambda s, d: K.donor_plan(table(s, d, "conversations"), "conv_id", 3, "d"),
-    """WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('d:' || conv_id)) - 1 AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations))
-    SELECT a.conv_id, k::INT AS nth, b.conv_id AS donor FROM r a, (SELECT unnest([1, 2, 3]) AS k), r b WHERE b.rk = (a.rk + k) % a.n""",
+    lambda s, d: K.donor_plan(table(s, d, "conversations"), "conv_id", 3, "d", {"babble": 0.5, "music": 0.3, "near": 0.2}, (5.0, 20.0)),
+    f"""WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('d:' || conv_id)) - 1 AS rk, count(*) OVER () AS n, floor({_UNIT.format('channel')} * 2)::INT + 1 AS channel,
+      CASE WHEN {_UNIT.format('style')} < 0.5 THEN 'babble' WHEN {_UNIT.format('style')} < 0.8 THEN 'music' ELSE 'near' END AS style, round(5 + {_UNIT.format('snr')} * 15, 6) AS snr FROM (SELECT DISTINCT conv_id FROM conversations))
+    SELECT a.conv_id, a.channel, k::INT AS nth, b.conv_id AS donor, a.style, a.snr FROM r a, (SELECT unnest([1, 2, 3]) AS k), r b WHERE b.rk = (a.rk + k) % a.n""",
 )
 
 
 def _script(s, d):
-    kind = F.when(F.regexp_count("text", F.lit(r"\S+")) <= 2, "backchannel").otherwise("turn")
-    return table(s, d, "conversations").where("role != 'system'").select(F.col("conv_id").alias("script_id"), F.col("turn").alias("pos"), F.col("role").alias("speaker"), kind.alias("kind"), "text")
+    """Turns as script items: pauses, roles, languages and interruptions by their numbers."""
+    talk = table(s, d, "conversations").where("role != 'system'")
+    kind = F.expr(r"CASE WHEN regexp_count(text, '\\S+') <= 2 THEN 'backchannel' WHEN (conv_id + turn) % 4 = 0 THEN 'interruption' ELSE 'turn' END")
+    text = F.expr("concat(text, CASE WHEN conv_id % 3 = 0 THEN ' <pause 0.5>' ELSE '' END, CASE WHEN conv_id % 17 = 5 AND turn = 2 THEN ' As an AI I' ELSE '' END)")
+    return talk.select(
+        F.col("conv_id").alias("script_id"), F.col("turn").alias("pos"), F.col("turn").alias("id"), F.col("role").alias("speaker"), kind.alias("kind"), text.alias("text"), (F.col("turn") - 1).alias("host"),
+        F.expr("(conv_id * 7 + turn) % 15").alias("after_word"), F.expr("turn % 2 = 0").alias("takes_floor"), F.expr("CASE WHEN conv_id % 5 = 0 THEN 'ja' ELSE 'en' END").alias("language"),
+    )
 
 
 register(
     "K08_dialogue_filter",
-    lambda s, d: K.dialogue_filter(_script(s, d)),
-    r"""WITH i AS (SELECT conv_id AS script_id, turn AS pos, role AS speaker, text, len(regexp_extract_all(text, '\S+')) AS n FROM conversations WHERE role <> 'system'),
-    x AS (SELECT *, CASE WHEN n <= 2 THEN 'backchannel' ELSE 'turn' END AS kind, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY script_id ORDER BY pos) THEN 0 ELSE 1 END AS c FROM i),
-    y AS (SELECT *, sum(c) OVER (PARTITION BY script_id ORDER BY pos) AS run FROM x),
-    r AS (SELECT script_id, max(k) AS longest_run FROM (SELECT script_id, run, count(*) FILTER (kind = 'turn') AS k FROM y GROUP BY ALL) GROUP BY 1),
-    sh AS (SELECT script_id, min(w)::DOUBLE / sum(w) AS share, count(*) AS speakers FROM (SELECT script_id, speaker, sum(n) AS w FROM y GROUP BY ALL) GROUP BY 1),
-    rp AS (SELECT script_id, max(c) AS repeats FROM (SELECT script_id, lower(text) AS t, count(*) AS c FROM y WHERE n > 3 GROUP BY ALL) GROUP BY 1),
-    f AS (SELECT script_id, count(*) AS turns, max(CASE WHEN kind = 'backchannel' THEN n END) AS bc, max(n) AS longest, bool_or(regexp_matches(text, '[*(\[]')) AS stage FROM y GROUP BY 1),
-    o AS (SELECT script_id, array_to_string(list_filter([CASE WHEN bc > 3 THEN 'long_backchannel' END, CASE WHEN longest > 80 THEN 'long_turn' END, CASE WHEN longest_run > 4 THEN 'monologue_run' END,
-      CASE WHEN share < 0.15 OR speakers < 2 THEN 'participation' END, CASE WHEN stage THEN 'stage_direction' END, CASE WHEN turns < 4 THEN 'too_short' END, CASE WHEN repeats > 1 THEN 'verbatim_repeat' END], lambda v: v IS NOT NULL), ',') AS reasons
-      FROM f JOIN r USING (script_id) JOIN sh USING (script_id) LEFT JOIN rp USING (script_id)) SELECT * FROM o WHERE reasons <> ''""",
+    lambda s, d: K.dialogue_filter(_script(s, d), least_items=6),
+    r"""WITH i0 AS (SELECT conv_id AS script_id, turn AS pos, role AS speaker, text || CASE WHEN conv_id % 3 = 0 THEN ' <pause 0.5>' ELSE '' END || CASE WHEN conv_id % 17 = 5 AND turn = 2 THEN ' As an AI I' ELSE '' END AS text,
+      CASE WHEN len(regexp_extract_all(text, '\S+')) <= 2 THEN 'backchannel' WHEN (conv_id + turn) % 4 = 0 THEN 'interruption' ELSE 'turn' END AS kind, turn - 1 AS host, (conv_id * 7 + turn) % 15 AS after_word, turn % 2 = 0 AS takes_floor, conv_id % 5 = 0 AS ja
+      FROM conversations WHERE role <> 'system'),
+    i AS (SELECT *, regexp_replace(text, '<pause\s+[0-9.]+\s*>', ' ', 'g') AS cl, kind = 'turn' OR (kind = 'interruption' AND takes_floor) AS floor FROM i0),
+    x AS (SELECT *, len(regexp_extract_all(cl, '[^ \t\n\r\f]+')) AS n, coalesce(lower(trim(text)) = lag(lower(trim(text))) OVER w AND kind = 'turn' AND lag(kind) OVER w = 'turn', false) AS again FROM i WINDOW w AS (PARTITION BY script_id ORDER BY pos)),
+    h AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY script_id ORDER BY pos) THEN 0 ELSE 1 END AS c FROM x WHERE floor), h2 AS (SELECT script_id, sum(c) OVER (PARTITION BY script_id ORDER BY pos) AS run FROM h),
+    r AS (SELECT script_id, max(k) AS run FROM (SELECT script_id, run, count(*) AS k FROM h2 GROUP BY ALL) GROUP BY 1),
+    sh AS (SELECT script_id, min(w)::DOUBLE / nullif(sum(w), 0) AS share, count(*) AS speakers FROM (SELECT script_id, speaker, sum(n) AS w FROM x GROUP BY ALL) GROUP BY 1),
+    wk AS (SELECT DISTINCT a.script_id FROM x a JOIN x b ON b.script_id = a.script_id AND b.pos = a.host WHERE a.kind = 'interruption' AND a.takes_floor AND (b.n - a.after_word < 6 OR a.n < 5)),
+    f AS (SELECT script_id, count(*) AS items, max(CASE WHEN kind = 'backchannel' THEN n END) AS bc, max(CASE WHEN kind = 'turn' THEN n END) AS turn, bool_or(again) AS again, bool_or(regexp_matches(cl, '[\[(*].*?[\])*]')) AS stage,
+      bool_or(regexp_matches(lower(cl), '\bas an ai\b')) AS role, bool_or(floor AND text LIKE '%<pause 0.5>%') AS pauses, bool_or(ja) AS ja, sum(length(regexp_replace(cl, '[ \t\n\r\f]+', '', 'g')))::DOUBLE / greatest(sum(n), 1) AS chars FROM x GROUP BY 1),
+    o AS (SELECT f.script_id, array_to_string(list_filter([CASE WHEN bc > 4 THEN 'long_backchannel' END, CASE WHEN turn > 120 THEN 'long_turn' END, CASE WHEN run > 4 THEN 'monologue_run' END, CASE WHEN NOT pauses THEN 'no_pauses' END,
+      CASE WHEN share < 0.15 OR speakers < 2 OR share IS NULL THEN 'participation' END, CASE WHEN role THEN 'role_break' END, CASE WHEN stage THEN 'stage_direction' END, CASE WHEN items < 6 THEN 'too_short' END,
+      CASE WHEN ja AND chars > 3.5 THEN 'unsegmented' END, CASE WHEN again THEN 'verbatim_repeat' END, CASE WHEN wk.script_id IS NOT NULL THEN 'weak_interruption' END], lambda v: v IS NOT NULL), ',') AS reasons
+      FROM f LEFT JOIN r USING (script_id) JOIN sh USING (script_id) LEFT JOIN wk USING (script_id)) SELECT * FROM o WHERE reasons <> ''""",
 )
 register(
     "K11_batches",
@@ -201,5 +258,13 @@ def _records(s, d):
 
 register("S08_pending", lambda s, d: K.pending(table(s, d, "documents").select("doc_id"), table(s, d, "labels").withColumn("r", F.when(F.col("doc_id") % 5 != 0, F.col("quality"))), "doc_id", "r"),
     "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 5 <> 0)")
-register("S09_merge_runs", lambda s, d: K.merge_runs([table(s, d, "documents").where("doc_id % 2 = 0").selectExpr("doc_id", "'a' AS run"), table(s, d, "documents").where("doc_id % 3 = 0").selectExpr("doc_id", "'b' AS run")], "doc_id"),
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS run FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def _run_of(s, d, name: str, where: str):
+    return table(s, d, "documents").where(where).select("doc_id", F.lit(name).alias("run"), F.expr("CASE WHEN doc_id % 7 = 0 THEN 'own' WHEN doc_id % 7 = 1 THEN 'dev' ELSE 'train' END").alias("split"))
+
+
+register(
+    "S09_merge_runs",
+    lambda s, d: K.merge_runs([_run_of(s, d, "a", "doc_id % 2 = 0"), _run_of(s, d, "b", "doc_id % 3 = 0"), _run_of(s, d, "c", "true")], "doc_id", table(s, d, "documents").where("doc_id % 5 <> 0"), "split", "own", "dev"),
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' WHEN doc_id % 3 = 0 THEN 'b' ELSE 'c' END AS run, CASE WHEN doc_id % 7 = 1 THEN 'dev' ELSE 'train' END AS split
+    FROM documents WHERE doc_id % 7 <> 0 AND (doc_id % 7 <> 1 OR doc_id % 5 <> 0)""",
+)
