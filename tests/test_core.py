@@ -142,6 +142,31 @@ def test_labels_alias_and_unknown(spark):
     assert [tuple(r) for r in got] == [("Turn", 5), ("Turn", 8), (None, 0)]
 
 
+def test_stream_policy_equals_batch(spark, tmp_path):
+    from turnloom.operators.policy import Policy, floor_taken, turn_ends
+    from turnloom.streaming.policy import turn_policy
+
+    rnd = random.Random(12)
+    rows = []
+    for conv in range(3):
+        on = {1: False, 2: True}
+        for i in range(400):
+            for s in (1, 2):
+                on[s] = not on[s] if rnd.random() < 0.12 else on[s]
+                rows.append((conv, s, i, float(on[s]), rnd.random(), rnd.random(), i == 399))
+    t = spark.createDataFrame(rows, "conv_id long, speaker int, i long, vad double, eot double, int double, last boolean").withColumn("ts", F.timestamp_millis(F.col("i") * 80))
+    for k in range(4):  # files split conversations, and channels of a frame
+        t.where(f"(i * 2 + speaker) div 201 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    p = Policy(eot_th=0.93, int_th=0.9, confirm=1800)
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = X.drained(turn_policy(stream, p, "vad", "eot", "int"), "policy", str(tmp_path / "cp"), str(tmp_path / "out")).collect()
+    heard = t.where("vad > 0.5").select("conv_id", "speaker", (F.col("i") * 80).alias("start_ms"), ((F.col("i") + 1) * 80).alias("end_ms"))
+    voices = intervals.union_intervals(heard, ["conv_id", "speaker"], p.min_gap, inclusive=False)
+    until = t.groupBy("conv_id").agg(((F.max("i") + 1) * 80).alias("duration_ms"))
+    want = {(r.conv_id, r.speaker, "eot", r.t_ms) for r in turn_ends(voices, until, p, t).collect()} | {(r.conv_id, r.speaker, "int", r.t_ms) for r in floor_taken(voices, p, t).collect()}
+    assert {tuple(r) for r in out} == want and len(want) > 100
+
+
 def test_bad_cues_are_rejects(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,500\n[Normal Turn] hello there\n\n2\n00:00:03,000 --> 00:00:04,000\nno label\n")
     good, bad = io.read_srt(spark, str(tmp_path))
@@ -175,10 +200,92 @@ def test_bootstrap_needs_groups(spark):
     assert scoring.cluster_bootstrap(df.where("grp < 3"), "grp", "system", 50).count() == 0
 
 
-def test_pause_sweep_timeout(spark):
-    df = spark.createDataFrame([("a", 100, 0.1, "hold"), ("b", 100, 0.9, "eot"), ("c", 100, 0.95, "hold")], "span string, silence_ms int, p double, label string")
-    r = anatomy.pause_sweep(df, [0.9], [500]).first()
-    assert (r.cutoff, r.latency_ms) == (0.5, 100.0)
+def _pause_brute(spans, thetas, delays, timeouts):
+    """The pause sweep span by span, for both rules."""
+    out = {}
+    for rule in ("first", "harness"):
+        for k in range(thetas + 1):
+            for d in delays:
+                for to in timeouts:
+                    cut, late, holds, ends = 0, 0, 0, 0
+                    for label, rows in spans:
+                        lasts = rows[-1][0]
+                        if label == "hold" and not 200 <= lasts <= 5000:
+                            continue
+                        if rule == "first":
+                            at = next((t for t, p in rows if t >= d and p > k / thetas - 1e-9), None)
+                        else:
+                            at = next((max(d, t) for t, p in rows if p > k / thetas + 1e-9), None)
+                        if label == "hold":
+                            holds += 1
+                            cut += lasts > to or (at is not None and lasts > at)
+                        else:
+                            ends += 1
+                            late += at if at is not None and at <= to else to
+                    if to >= d:
+                        out[rule, k, d, to] = (cut / holds if holds else None, late / ends if ends else None)
+    return out
+
+
+def test_pause_sweep_against_brute_force(spark):
+    rnd = random.Random(4)
+    spans = []
+    for _ in range(40):
+        n = rnd.randrange(1, 60)
+        spans.append((rnd.choice(["hold", "eot"]), [(100 * (j + 1), rnd.randrange(0, 120) / 100) for j in range(n)]))
+    df = spark.createDataFrame([(f"s{i}", t, p, label) for i, (label, rows) in enumerate(spans) for t, p in rows], "span string, silence_ms int, p double, label string")
+    got = {(r.rule, r.k, r.delay, r.timeout): (r.cutoff, r.latency_ms) for r in anatomy.pause_sweep(df, 10, [200, 500], [300, 1000, 3500]).collect()}
+    want = _pause_brute(spans, 10, [200, 500], [300, 1000, 3500])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_contexts_reach_back_as_far_as_they_need(spark):
+    words = spark.createDataFrame([(1, 1000 * k, f"w{k}") for k in range(5)] + [(1, 400_000, "late")], "conv_id long, end_ms long, word string")
+    points = spark.createDataFrame([(1, 0), (1, 2500), (1, 399_000), (1, 500_000)], "conv_id long, t_ms long")
+    got = {r.t_ms: r.context for r in anatomy.text_context(words, points, "conv_id", 300, 3).collect()}
+    assert got == {0: None, 2500: "w0 w1 w2", 399_000: "w2 w3 w4", 500_000: "w3 w4 late"}
+    said = spark.createDataFrame([(1, 2, 0, 500, "a"), (1, 2, 0, 900, "b"), (1, 2, 2000, 2500, "c"), (1, 1, 100, 600, "own")], "conv_id long, speaker int, turn_start_ms long, end_ms long, word string")
+    points = spark.createDataFrame([(1, 1, 700), (1, 1, 1500), (1, 1, 2200), (1, 2, 50)], "conv_id long, speaker int, t_ms long")
+    got = {(r.speaker, r.t_ms): r.context for r in anatomy.other_turn_context(said, points, 2).collect()}
+    assert got == {(1, 700): "a", (1, 1500): "a b", (1, 2200): None, (2, 50): None}
+
+
+def test_long_chain_of_shared_actors(spark):
+    meta = spark.createDataFrame([(k, f"a{k}", f"a{k + 1}") for k in range(200)], "conv_id long, actor_1 string, actor_2 string")
+    assert {r.component for r in corpus.actor_components(meta).collect()} == {0}
+
+
+def test_dialogue_codes(spark):
+    def item(script, pos, speaker, kind, text, host=None, after=None, takes=None, language="en"):
+        return (script, pos, pos, speaker, kind, text, host, after, takes, language)
+    w = lambda n: " ".join(f"w{k}" for k in range(n))
+    items = [item(1, k, "AB"[k % 2], "turn", f"t{k} {w(6)} <pause 0.4>") for k in range(20)]
+    items += [item(2, 0, "A", "turn", w(10)), item(2, 1, "B", "interruption", "no wait", 0, 2, True), item(2, 2, "A", "backchannel", w(5)), item(2, 3, "A", "turn", "As an AI (laughs) I")]
+    items += [item(3, k, "A", "turn", "長長長長長長") for k in range(6)]
+    df = spark.createDataFrame(items, "script_id long, pos long, id long, speaker string, kind string, text string, host long, after_word long, takes_floor boolean, language string")
+    df = df.withColumn("language", F.when(F.col("script_id") == 3, "ja").otherwise(F.col("language")))
+    got = {r.script_id: r.reasons for r in corpus.dialogue_filter(df).collect()}
+    assert got == {
+        2: "long_backchannel,no_pauses,participation,role_break,stage_direction,too_short,weak_interruption",
+        3: "monologue_run,no_pauses,participation,too_short,unsegmented,verbatim_repeat",
+    }
+
+
+def test_quantiles_by_ranges_equal_exact_ones(spark):
+    rnd = random.Random(1)
+    values = [rnd.random() for _ in range(700)] + [0.5] * 50 + [0.0] * 20 + [1.0]
+    got = {r.theta for r in scoring.theta_grid(spark.createDataFrame([(v,) for v in values], "p double"), "p", 33).collect()}
+    kept = sorted(v for v in values if v > 0)
+    at = [k / 32 * (len(kept) - 1) for k in range(33)]
+    want = {kept[int(a)] + (a - int(a)) * (kept[min(int(a) + 1, len(kept) - 1)] - kept[int(a)]) for a in at} | {k / 100 for k in range(1, 100)}
+    assert all(min(abs(g - w) for w in want) < 1e-12 for g in got) and all(min(abs(g - w) for g in got) < 1e-12 for w in want)
+
+
+def test_advancement_screen(spark):
+    rows = lambda **kw: spark.createDataFrame([("eot", kw["recall"], kw["fp_rate"])], "task string, recall double, fp_rate double")
+    paired = spark.createDataFrame([("eot", 20.0)], "task string, gain_ms double")
+    assert scoring.advancement(rows(recall=0.9, fp_rate=0.2), rows(recall=0.896, fp_rate=0.1), paired).first().passed
+    assert not scoring.advancement(rows(recall=0.9, fp_rate=0.2), rows(recall=0.89, fp_rate=0.1), paired).first().recall_ok
 
 
 def test_onset_context_counts_known_frames_only(spark):
