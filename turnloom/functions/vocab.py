@@ -33,11 +33,17 @@ ALIAS = {"Regular Turn": "Normal Turn"}
 TURN_VIEW = ("Turn", "Interruption")
 
 
-def _case(label: Column, pairs: list[tuple[str, object]], default: object) -> Column:
-    out = None
+def _by_value(label: Column, pairs: list[tuple[str, str | None]], default: object) -> Column:
+    """The value of a label: a branch for each value, with all labels that have it."""
+    named: dict[str, list[str]] = {}
     for name, value in pairs:
-        out = F.when(label == name, F.lit(value)) if out is None else out.when(label == name, F.lit(value))
-    return out.otherwise(F.lit(default))
+        if value is not None:
+            named.setdefault(value, []).append(name)
+            named[value] += [old for old, new in ALIAS.items() if new == name]
+    out = F.lit(default).cast("string")
+    for value, names in reversed(named.items()):
+        out = F.when(label.isin(*names), F.lit(value)).otherwise(out)
+    return out
 
 
 def fine(label: Column) -> Column:
@@ -50,24 +56,25 @@ def fine(label: Column) -> Column:
 
 def canonical(label: Column) -> Column:
     """The canonical label; null for an unknown one."""
-    return _case(fine(label), [(n, c) for n, c, _ in FINE], None)
+    return _by_value(label, [(n, c) for n, c, _ in FINE], None)
 
 
 def act(label: Column) -> Column:
     """What the speaker does by a label: SILENT for unknown ones and lapses."""
-    return _case(canonical(label), list(ACTS), "SILENT")
+    acts = dict(ACTS)
+    return _by_value(label, [(n, acts.get(c)) for n, c, _ in FINE], "SILENT")
 
 
 def group_of_index(index: Column) -> Column:
     """The group of a place in the order of priority; null for 0 and for what has none."""
-    return _case(index, [(i + 1, g) for i, (_, _, g) in enumerate(FINE) if g], None)
+    return F.get(F.array(F.lit(None).cast("string"), *[F.lit(g).cast("string") for _, _, g in FINE]), index.cast("int"))
 
 
 def group(label: Column) -> Column:
     """The group of a label; null for an unknown one and for one that has none."""
-    return _case(fine(label), [(n, g) for n, _, g in FINE], None)
+    return _by_value(label, [(n, g) for n, _, g in FINE], None)
 
 
 def fine_index(label: Column) -> Column:
     """Place in the order of priority, from 1; 0 for silence and unknown labels."""
-    return _case(fine(label), [(n, i + 1) for i, (n, _, _) in enumerate(FINE)], 0)
+    return F.coalesce(F.array_position(F.array(*[F.lit(n) for n, _, _ in FINE]), fine(label)), F.lit(0)).cast("int")

@@ -20,15 +20,21 @@ def gold_events(segments: DataFrame) -> DataFrame:
     EOT: in the order of starts of turns and interruptions, a segment end before the other speaker's next one is positive; before the same speaker's
     the gap between both, if there is one, is a negative span; the last one is neither. INT: starts of interruptions are positive; backchannels and non-content are negative.
     """
-    view = segments.where("canonical IN ('Turn', 'Interruption')")
     order = W.partitionBy("conv_id").orderBy("start_ms", "speaker")
-    nxt = view.withColumns({"__who": F.lead("speaker").over(order), "__at": F.lead("start_ms").over(order)})
-    def rows(df: DataFrame, task: str, kind: str, start: str, end: str) -> DataFrame:
-        return df.select("conv_id", F.lit(task).alias("task"), F.lit(kind).alias("kind"), "speaker", F.col(start).alias("start_ms"), F.col(end).alias("end_ms"))
-    out = rows(nxt.where("__who != speaker"), "eot", "pos", "end_ms", "end_ms")
-    out = out.unionByName(rows(nxt.where("__who = speaker AND __at > end_ms"), "eot", "neg", "end_ms", "__at"))
-    out = out.unionByName(rows(segments.where("canonical = 'Interruption'"), "int", "pos", "start_ms", "start_ms"))
-    return out.unionByName(rows(segments.where("canonical IN ('Backchannel', 'NonContent')"), "int", "neg", "start_ms", "end_ms")).distinct()
+    view = F.col("canonical").isin("Turn", "Interruption")
+    # The next segment of a turn or interruption: one pass over the segments, whatever they are.
+    nxt = F.first(F.when(view, F.struct("speaker", "start_ms")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
+    def event(cond: Column, task: str, kind: str, start: object, end: object) -> Column:
+        return F.when(cond, F.struct(F.lit(task).alias("task"), F.lit(kind).alias("kind"), F.col("speaker"), F.col(start).alias("start_ms"), F.col(end).alias("end_ms")))
+    passed, held = F.col("nxt.speaker") != F.col("speaker"), (F.col("nxt.speaker") == F.col("speaker")) & (F.col("nxt.start_ms") > F.col("end_ms"))
+    events = F.array_compact(F.array(
+        event(view & passed, "eot", "pos", "end_ms", "end_ms"),
+        event(view & held, "eot", "neg", "end_ms", "nxt.start_ms"),
+        event(F.col("canonical") == "Interruption", "int", "pos", "start_ms", "start_ms"),
+        event(F.col("canonical").isin("Backchannel", "NonContent"), "int", "neg", "start_ms", "end_ms"),
+    ))
+    told = segments.withColumn("nxt", nxt).select("conv_id", F.explode(events).alias("e"))
+    return told.select("conv_id", "e.task", "e.kind", "e.speaker", "e.start_ms", "e.end_ms").distinct()
 
 
 def match_windows(gold: DataFrame) -> DataFrame:
