@@ -16,7 +16,7 @@ from turnloom.llm._spark import settle
 from turnloom.llm.elias_fano import Trie
 
 #: Bytes of text for each shard of contexts; there are LEAST_SHARDS at least.
-SHARD_BYTES, LEAST_SHARDS = 24 << 20, 32
+SHARD_BYTES, LEAST_SHARDS = 12 << 20, 32
 #: A word with this share of all tokens is hot: its pairs are dealt by both words. There are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1024
 #: Absolute discount; steps of a quantised probability to a factor of ten.
