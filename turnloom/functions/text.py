@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +23,21 @@ FUNCTION_WORDS = [
 AROUND = ".,?!;:\"'"
 
 
-def norm_text(t: Column) -> Column:
-    """Lower case, without [tags] and marks other than ' and -, spaces squeezed."""
+def nfkc(t: Column) -> Column:
+    """t in the compatible composed form, by Arrow batches; Spark has no function for it."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def folded(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFKC")
+
+    return folded(t)
+
+
+def norm_text(t: Column, fold: bool = False) -> Column:
+    """Lower case, without [tags] and marks other than ' and -, spaces squeezed. fold: compatible forms (wide letters, ligatures) first; the only
+    part that leaves the JVM, so off unless asked for."""
+    t = nfkc(t) if fold else t
     out = F.regexp_replace(F.lower(t), r"\[[^\]]*\]", " ")
     out = F.regexp_replace(out, r"[!-&(-,./:-@\[-`{-~]", " ")
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))

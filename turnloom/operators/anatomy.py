@@ -114,8 +114,13 @@ def report_card(results: DataFrame, clean: str) -> DataFrame:
     return means.crossJoin(F.broadcast(base)).withColumn("drop", F.col("clean") - F.col("value"))
 
 
-def level_gain(frames: DataFrame, keys: list[str], level: str, snr_db: float) -> DataFrame:
-    """Root mean square of the frames within 30 dB of the 95th percentile, and the gain that puts noise snr_db below it."""
+def level_gain(frames: DataFrame, keys: list[str], level: str, snr_db: float, mask: Column | None = None) -> DataFrame:
+    """Root mean square of the frames in the mask (0 without any), or else of those within 30 dB of the 95th percentile; and the gain that puts noise
+    snr_db below it."""
+    if mask is not None:
+        x = F.when(mask, F.col(level).cast("double"))
+        rms = F.when(F.count(x) > 0, F.sqrt(F.avg(x * x) + 1e-12)).otherwise(0.0)
+        return frames.groupBy(*keys).agg(rms.alias("rms")).withColumn("gain", F.col("rms") * 10 ** (-snr_db / 20))
     top = frames.groupBy(*keys).agg(F.percentile(level, 0.95).alias("p95"))
     loud = frames.join(top, keys).where(F.col(level) >= F.col("p95") * 10 ** (-30 / 20))
     return loud.groupBy(*keys).agg(F.sqrt(F.avg(F.col(level) * F.col(level))).alias("rms")).withColumn("gain", F.col("rms") * 10 ** (-snr_db / 20))
@@ -129,10 +134,20 @@ def shuffle_control(answers: DataFrame, kind: str, order: list[str], value: str,
     return asked.join(given, [kind, "__r"]).drop("__r")
 
 
-def false_event_rate(fires: DataFrame, active: DataFrame, step_ms: int) -> DataFrame:
-    """Fires per minute while the channel is silent and the other talks. fires and active: (conv_id, speaker, i, active)."""
+def false_event_rate(fires: DataFrame, active: DataFrame, step_ms: int, padded: DataFrame | None = None) -> DataFrame:
+    """Fires per minute while the channel is silent and the other talks. fires and active: (conv_id, speaker, i, active). padded: activity with a pad, if
+    the channel's own silence is to keep away from its speech."""
+    if padded is not None:
+        active = active.join(padded.select("conv_id", "speaker", "i", F.col("active").alias("__wide")), ["conv_id", "speaker", "i"])
+        other = active.select("conv_id", (3 - F.col("speaker")).alias("speaker"), "i", F.col("active").alias("other"))
+        quiet = active.join(other, ["conv_id", "speaker", "i"]).where("__wide = 0 AND other = 1")
+        return _per_minute(quiet, fires, step_ms)
     other = active.select("conv_id", (3 - F.col("speaker")).alias("speaker"), "i", F.col("active").alias("other"))
     quiet = active.join(other, ["conv_id", "speaker", "i"]).where("active = 0 AND other = 1")
+    return _per_minute(quiet, fires, step_ms)
+
+
+def _per_minute(quiet: DataFrame, fires: DataFrame, step_ms: int) -> DataFrame:
     hit = quiet.join(fires.select("conv_id", "speaker", "i").withColumn("hit", F.lit(1)), ["conv_id", "speaker", "i"], "left")
     return hit.groupBy("speaker").agg(F.count("hit").alias("fires"), (F.count("*") * step_ms / 60000.0).alias("minutes"), F.try_divide(F.count("hit"), F.count("*") * step_ms / 60000.0).alias("per_minute"))
 
@@ -166,6 +181,27 @@ def consensus(labels: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
     return best.select(*keys, F.when(F.col("m.n") >= k, F.col("m.label")).alias("label"), (F.col("m.n") / F.col("all")).alias("agreement"))
 
 
+def undecided(labels: DataFrame, keys: list[str], k: int = 2) -> DataFrame:
+    """The keys whose label no k annotators share, with all that were given, sorted."""
+    counts = labels.groupBy(*keys, "label").agg(F.count("*").alias("n"))
+    out = counts.groupBy(*keys).agg(F.max("n").alias("most"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
+    return out.where(F.col("most") < k).drop("most")
+
+
+def sufficiency_table(pairs: DataFrame, suff: str, done: str, least: float, cuts: list[tuple[int, int]]) -> DataFrame:
+    """One row: n, correlation of the two scores, shares that are only sufficient or only done, and for each range of the second score the count and the
+    share that is sufficient. Pairs with a missing score are left out."""
+    enough, over = F.col(suff) >= least, F.col(done) >= least
+    share = lambda c: F.avg(c.cast("double"))
+    ranges = []
+    for lo, hi in cuts:
+        within = (F.col(done) >= lo) & (F.col(done) < hi)
+        ranges += [F.count(F.when(within, 1)).alias(f"n_{lo}_{hi}"), share(F.when(within, enough)).alias(f"sufficient_{lo}_{hi}")]
+    return pairs.where(F.col(suff).isNotNull() & F.col(done).isNotNull()).agg(
+        F.count("*").alias("n"), F.corr(F.col(suff).cast("double"), F.col(done).cast("double")).alias("corr"), share(enough & ~over).alias("only_sufficient"), share(over & ~enough).alias("only_done"), *ranges
+    )
+
+
 def pause_fires(preds: DataFrame, thetas: int, delays: list[int]) -> DataFrame:
     """(rule, span, label, lasts, k, delay, at): when each span (span, silence_ms, p, label in hold, eot) would be told an end, for thresholds k / thetas.
 

@@ -26,6 +26,17 @@ def actor_split(meta: DataFrame, shares: dict[str, float], salt: str) -> DataFra
     return out.withColumn("split", F.when(same, F.col("split_1")).otherwise("excluded"))
 
 
+def order_in_split(split: DataFrame, key: str, salt: str) -> DataFrame:
+    """split with nth, the place of a key in the hash order of its split, from 0. Counted in ranges of the hash and offset by those before, so no
+    task orders a split."""
+    out = split.withColumn("by", hash_order(F.col(key), salt)).withColumn("range", F.substring("by", 1, 3))
+    held = out.groupBy("split", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("split").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    held = held.select("split", "range", F.coalesce(before, F.lit(0)).alias("offset"))
+    within = F.row_number().over(W.partitionBy("split", "range").orderBy("by")) - 1
+    return out.withColumn("within", within).join(held, ["split", "range"]).select(*split.columns, (F.col("offset") + F.col("within")).alias("nth"))
+
+
 def recover_cross_partition(split: DataFrame, gate: str) -> DataFrame:
     """Excluded conversations without an actor of the gate split."""
     return split.where((F.col("split") == "excluded") & (F.col("split_1") != gate) & (F.col("split_2") != gate)).select("conv_id")

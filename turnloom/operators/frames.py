@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.operators.commit import first_above
+from turnloom.operators.intervals import range_join, union_intervals
+from turnloom.operators.windows import pair_features
 
 CHANNEL = ["conv_id", "speaker"]
 
@@ -23,9 +27,12 @@ def grid(segments: DataFrame, step_ms: int) -> DataFrame:
     return last.select("conv_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("speaker"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i"))
 
 
-def rasterize(segments: DataFrame, step_ms: int) -> DataFrame:
-    """Whether a channel is active in each frame of the grid."""
-    on = touched(segments, step_ms).select(*CHANNEL, "i").distinct().withColumn("active", F.lit(1))
+def rasterize(segments: DataFrame, step_ms: int, pad_ms: int = 0, excluded: Sequence[str] = ()) -> DataFrame:
+    """Whether a channel is active in each frame of the grid: the union of all its segments (of several annotators too), each widened by pad_ms on both
+    sides. Segments with an excluded label make no activity, but count for the grid's length."""
+    said = segments.where(~F.coalesce(F.col("label").isin(*excluded), F.lit(False))) if excluded else segments
+    wide = said.where("end_ms > start_ms").withColumns({"start_ms": F.greatest(F.col("start_ms") - pad_ms, F.lit(0)), "end_ms": F.col("end_ms") + pad_ms})
+    on = touched(wide, step_ms).select(*CHANNEL, "i").distinct().withColumn("active", F.lit(1))
     return grid(segments, step_ms).join(on, [*CHANNEL, "i"], "left").na.fill(0, ["active"])
 
 
@@ -74,10 +81,26 @@ def target_weights(frames: DataFrame, excluded: DataFrame, step_ms: int) -> Data
     return frames.join(out, [*CHANNEL, "i"], "left").withColumn("weight", F.coalesce("__out", F.lit(1.0))).drop("__out")
 
 
-def floor_projection(hard: DataFrame, horizons: list[int]) -> DataFrame:
-    """The floor after each horizon in frames; null past the end, where its weight is 0."""
+def floor_act_weights(frames: DataFrame, eot_excluded: DataFrame, int_excluded: DataFrame, attempts: DataFrame, step_ms: int) -> DataFrame:
+    """frames (conv_id, speaker, i, …) with floor_w and act_w, by their end time t: floor_w is 0 for both speakers where a span of
+    eot_excluded has start <= t < end; act_w is 0 for the speaker in one of int_excluded, unless that very span is an agreed attempt. Else 1.
+    Spans: (conv_id, speaker, start_ms, end_ms)."""
+    span = [*CHANNEL, "start_ms", "end_ms"]
+    def inside(spans: DataFrame) -> DataFrame:
+        first, last = F.ceil(F.col("start_ms") / step_ms) - 1, F.ceil(F.col("end_ms") / step_ms) - 2
+        return spans.where(last >= F.greatest(first, F.lit(0))).withColumn("i", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    floor = inside(eot_excluded).select("conv_id", "i", F.lit(0.0).alias("floor_w")).distinct()
+    act = inside(int_excluded.select(*span).distinct().join(attempts.select(*span).distinct(), span, "left_anti")).select(*CHANNEL, "i", F.lit(0.0).alias("act_w")).distinct()
+    return frames.join(floor, ["conv_id", "i"], "left").join(act, [*CHANNEL, "i"], "left").na.fill(1.0, ["floor_w", "act_w"])
+
+
+def floor_projection(hard: DataFrame, horizons: list[int], weight: str | None = None) -> DataFrame:
+    """The floor after each horizon in frames; null past the end. With a weight column, also the weight there, 0 past the end."""
     w = W.partitionBy("conv_id").orderBy("i")
-    return hard.select("conv_id", "i", "floor", *[F.lead("floor", h).over(w).alias(f"floor_{h}") for h in horizons])
+    ahead = [F.lead("floor", h).over(w).alias(f"floor_{h}") for h in horizons]
+    if weight:
+        ahead += [F.coalesce(F.lead(F.col(weight).cast("double"), h).over(w), F.lit(0.0)).alias(f"weight_{h}") for h in horizons]
+    return hard.select("conv_id", "i", "floor", *ahead)
 
 
 def vap_code(active: DataFrame, bins: list[int]) -> DataFrame:
@@ -102,12 +125,56 @@ def vap_occupancy(active: DataFrame, bins: list[int]) -> DataFrame:
     return active.select(*CHANNEL, "i", *out)
 
 
+def vap_targets(active: DataFrame, bins: list[int]) -> DataFrame:
+    """(conv_id, speaker, i, own_k, other_k, mask_k): mean activity of both channels in each future bin, of the frames that there are (0 if none), and
+    whether the whole bin lies in the conversation."""
+    w = W.partitionBy(*CHANNEL).orderBy("i")
+    own, lo = {}, 1
+    for k, n in enumerate(bins):
+        ahead = w.rowsBetween(lo, lo + n - 1)
+        own |= {f"own_{k}": F.coalesce(F.avg("active").over(ahead), F.lit(0.0)), f"mask_{k}": F.count("*").over(ahead) == n}
+        lo += n
+    both = pair_features(active.select(*CHANNEL, "i", *[c.alias(name) for name, c in own.items()]), list(own))
+    return both.select(*CHANNEL, "i", *[F.col(c).alias(c.replace("other_own", "other")) for k in range(len(bins)) for c in (f"own_{k}", f"other_own_{k}", f"mask_{k}")])
+
+
+def vap_code_exact(times: DataFrame, segments: DataFrame, bins_ms: list[int], share: float = 0.5) -> DataFrame:
+    """times (conv_id, t_ms) with code: bit 4 * channel + k is set when segments of the channel fill at least `share` of its k-th bin after t. Exact on
+    intervals: each time meets the merged segments that touch its bins; overlaps are added up by channel and bin."""
+    total = sum(bins_ms)
+    asked = times.select("conv_id", "t_ms").distinct()
+    met = range_join(asked.withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms") + total}), union_intervals(segments, CHANNEL), ["conv_id"])
+    sums, lo = [], 0
+    for k, n in enumerate(bins_ms):
+        shared = F.greatest(F.least("b_end_ms", F.col("t_ms") + lo + n) - F.greatest("b_start_ms", F.col("t_ms") + lo), F.lit(0))
+        sums += [F.sum(F.when(F.col("b_speaker") == c + 1, shared).otherwise(0)).alias(f"s_{c}_{k}") for c in (0, 1)]
+        lo += n
+    code = F.lit(0)
+    for c in (0, 1):
+        for k, n in enumerate(bins_ms):
+            code = code + F.when(F.col(f"s_{c}_{k}") >= share * n, 1 << (len(bins_ms) * c + k)).otherwise(0)
+    told = met.groupBy("conv_id", "t_ms").agg(*sums).select("conv_id", "t_ms", code.alias("code"))
+    return asked.join(told, ["conv_id", "t_ms"], "left").na.fill(0, ["code"])
+
+
 def arrival_slots(active: DataFrame) -> DataFrame:
     """(conv_id, speaker, slot): channels by their first active frame, ties by speaker, never active last."""
     first = active.groupBy(*CHANNEL).agg(F.min(F.when(F.col("active") == 1, F.col("i"))).alias("first"))
     return first.select(*CHANNEL, (F.row_number().over(W.partitionBy("conv_id").orderBy(F.asc_nulls_last("first"), "speaker")) - 1).alias("slot"))
 
 
+def to_slots(per_speaker: DataFrame, slots: DataFrame) -> DataFrame:
+    """A table by conv_id and speaker with every speaker replaced by its slot (conv_id, speaker, slot), from 0."""
+    return per_speaker.join(slots.select(*CHANNEL, "slot"), CHANNEL).drop("speaker")
+
+
+def floor_to_slots(hard: DataFrame, slots: DataFrame) -> DataFrame:
+    """The floor with HELD_<slot> for HELD_<speaker - 1>; OPEN and CONTESTED stay."""
+    by = slots.withColumns({"floor": F.concat(F.lit("HELD_"), (F.col("speaker") - 1).cast("string")), "held": F.concat(F.lit("HELD_"), F.col("slot").cast("string"))})
+    out = hard.join(by.select("conv_id", "floor", "held"), ["conv_id", "floor"], "left")
+    return out.withColumn("floor", F.coalesce("held", "floor")).drop("held").select(*hard.columns)
+
+
 def onset_label(onsets: DataFrame, fine: DataFrame, width: int) -> DataFrame:
     """onsets (conv_id, speaker, i) with the most frequent positive fine label in the width frames from them on, the lowest of equals, as its place
     in the order of priority (onset_fine); vocab.group_of_index() names its group."""
@@ -123,10 +190,19 @@ def class_weights(labels: DataFrame, label: str, alpha: float, cap: float = 20.0
     return counts.withColumn("raw", raw).withColumn("weight", F.least(F.col("raw") / F.avg("raw").over(W.partitionBy(F.lit(1))), F.lit(cap))).drop("raw")
 
 
-def crop_starts(lengths: DataFrame, crop: int, warm: int, every: int) -> DataFrame:
-    """(conv_id, start): starts of crops with warm frames before them, inside a conversation of n frames."""
-    ok = lengths.where(F.col("n") - crop >= warm)
-    return ok.select("conv_id", F.explode(F.sequence(F.lit(warm).cast("long"), F.col("n") - crop, F.lit(every).cast("long"))).alias("start"))
+def crop_starts(lengths: DataFrame, crop: int, warm: int, every: int, repeat: Column | None = None) -> DataFrame:
+    """(conv_id, start): starts from warm on, and before n - crop, in a conversation of n frames; each so many times as repeat says."""
+    ok = lengths.where(F.col("n") - crop > warm)
+    starts = F.sequence(F.lit(warm).cast("long"), F.col("n") - crop - 1, F.lit(every).cast("long"))
+    if repeat is not None:
+        starts = F.flatten(F.array_repeat(starts, repeat.cast("int")))
+    return ok.select("conv_id", F.explode(starts).alias("start"))
+
+
+def chunk_plan(lengths: DataFrame, size: int, context: int) -> DataFrame:
+    """(conv_id, from_i, start, to_i): consecutive chunks of size frames of a conversation of n, and where reading begins, up to context frames before."""
+    cut = lengths.where("n > 0").select("conv_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(size).cast("long"))).alias("start"))
+    return cut.select("conv_id", F.greatest(F.col("start") - context, F.lit(0)).alias("from_i"), "start", F.least(F.col("start") + size, F.col("n")).alias("to_i"))
 
 
 def slots_from_diarization(segments: DataFrame, slots: int = 2) -> DataFrame:

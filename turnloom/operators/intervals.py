@@ -65,6 +65,15 @@ def segment_ending_near(points: DataFrame, segments: DataFrame, on: Sequence[str
     return points.join(best, [*on, "t_ms"], "left")
 
 
+def segment_ending_near_any(points: DataFrame, segments: DataFrame, on: Sequence[str], tol_ms: int) -> DataFrame:
+    """As segment_ending_near, over annotators: of the first (by name) who has an end within tol_ms, the nearest one. One join for all annotators."""
+    p = points.withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")})
+    met = range_join(p, segments.withColumn("start_ms", F.col("end_ms")), on, pad_ms=tol_ms)
+    rank = F.struct(F.col("b_annotator").alias("a"), F.abs(F.col("b_end_ms") - F.col("t_ms")).alias("d"), F.col("b_end_ms").alias("e"), F.col("b_label").alias("l"))
+    best = met.groupBy(*on, "t_ms").agg(F.min(rank).alias("m"))
+    return points.join(best.select(*on, "t_ms", F.col("m.a").alias("annotator"), F.col("m.e").alias("near_end_ms"), F.col("m.l").alias("near_label")), [*on, "t_ms"], "left")
+
+
 def assign_by_max_overlap(segments: DataFrame, items: DataFrame, on: Sequence[str]) -> DataFrame:
     """segments with the label of the item that they overlap most (the earlier of equals), or NonContent; only the first segment of an item labelled
     as an interruption keeps that label, later ones are its Turn."""
@@ -101,13 +110,28 @@ def turn_runs(segments: DataFrame, key: str = "conv_id") -> DataFrame:
     return runs.groupBy(key, "run").agg(F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n")).drop("run")
 
 
-def floor_transfer_offsets(anchors: DataFrame, turns: DataFrame, key: str = "conv_id", back_ms: int = 3000, ahead_ms: int = 10_000) -> DataFrame:
-    """For anchors (key, speaker, t_ms): the nearest start of the other speaker after t - back_ms, minus t. Within ahead_ms."""
-    p = anchors.withColumns({"start_ms": F.col("t_ms") - back_ms, "end_ms": F.col("t_ms") + ahead_ms})
-    starts = turns.select(key, (3 - F.col("speaker")).alias("speaker"), "start_ms", F.col("start_ms").alias("end_ms"))
-    met = range_join(p, starts, [key, "speaker"]).where("b_start_ms > start_ms")
-    off = F.col("b_start_ms") - F.col("t_ms")
-    return met.groupBy(key, "speaker", "t_ms").agg(F.min(F.struct(F.abs(off).alias("d"), off.alias("o")))["o"].alias("offset_ms"))
+def floor_transfer_offsets(anchors: DataFrame, turns: DataFrame, key: str = "conv_id", back_ms: int = 3000) -> DataFrame:
+    """For anchors (key, speaker, t_ms): the nearest start of the other speaker after t - back_ms, minus t; the earlier of two equally near. Anchors
+    without one are left out. The last start up to t and the first after it come from one pass over both tables in time."""
+    asked = anchors.select(key, "speaker", "t_ms", F.lit(True).alias("__asked")).distinct()
+    starts = turns.select(key, (3 - F.col("speaker")).alias("speaker"), F.col("start_ms").alias("t_ms"), F.lit(False).alias("__asked"))
+    w = W.partitionBy(key, "speaker").orderBy("t_ms")
+    start = F.when(~F.col("__asked"), F.col("t_ms"))
+    both = asked.unionByName(starts).withColumns({
+        "__before": F.max(start).over(w.rangeBetween(W.unboundedPreceding, W.currentRow)) - F.col("t_ms"), "__after": F.min(start).over(w.rangeBetween(W.currentRow, W.unboundedFollowing)) - F.col("t_ms"),
+    }).where("__asked")
+    before = F.when(F.col("__before") > -back_ms, F.col("__before"))
+    off = F.when(before.isNotNull() & (F.col("__after").isNull() | (-before <= F.col("__after"))), before).otherwise(F.col("__after"))
+    return both.select(key, "speaker", "t_ms", off.alias("offset_ms")).where("offset_ms IS NOT NULL")
+
+
+def offset_summary(offsets: DataFrame) -> DataFrame:
+    """One row: n, median_ms, and the share of offsets below 0 (overlaps). Equal offsets are counted first, so the median sees whole milliseconds once."""
+    counts = offsets.groupBy("offset_ms").agg(F.count("*").alias("c"))
+    return counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.percentile("offset_ms", 0.5, F.col("c")).alias("median_ms"),
+        F.try_divide(F.sum(F.when(F.col("offset_ms") < 0, F.col("c")).otherwise(0)).cast("double"), F.sum("c")).alias("overlap_share"),
+    )
 
 
 def rule_labels(segments: DataFrame, key: str = "conv_id", short_ms: int = 1000, around_ms: int = 1000, on_ms: int = 500) -> DataFrame:

@@ -63,7 +63,10 @@ def hold(x: Column, n: int, how: str = "min") -> Column:
 
 
 def block_reduce(track: DataFrame, x: str, k: int, how: str = "mean") -> DataFrame:
-    """Blocks of k frames as one: mean or last value; an incomplete tail is dropped."""
+    """Blocks of k frames as one: mean or last value, or with raw the frames of whole blocks as they are; an incomplete tail is dropped."""
+    if how == "raw":
+        n = F.count("*").over(W.partitionBy(*CHANNEL, F.floor(F.col("i") / k)))
+        return track.select(*CHANNEL, "i", x, n.alias("__n")).where(F.col("__n") == k).drop("__n")
     value = F.avg(x) if how == "mean" else F.max_by(x, "i")
     blocks = track.groupBy(*CHANNEL, F.floor(F.col("i") / k).alias("block")).agg(value.alias(x), F.count("*").alias("n"))
     return blocks.where(F.col("n") == k).drop("n")
@@ -102,6 +105,18 @@ def stable_suffix(candidates: DataFrame, keys: list[str], order: str, score: str
     return flagged.groupBy(*keys).agg(F.min(F.when(F.col("__ok") == 1, F.col(order))).alias("stable"), F.max(order).alias("last")).withColumn("lead", F.col("last") - F.col("stable"))
 
 
+def sufficient_from(candidates: DataFrame, keys: list[str], order: str, score: str, least: float, seen: str) -> DataFrame:
+    """For keys of two candidates or more: the earliest after which all later ones but the last score at least `least` (the last itself always counts, a
+    missing score ends the stretch), how long before the last it is, and its share of the last's `seen` words."""
+    back = W.partitionBy(*keys).orderBy(F.desc(order))
+    good = F.coalesce(F.col(score) >= least, F.lit(False)) | (F.row_number().over(back) == 1)
+    marked = candidates.withColumn("__ok", good.cast("int")).withColumn("__ok", F.min("__ok").over(back))
+    told = marked.groupBy(*keys).agg(
+        F.min(F.when(F.col("__ok") == 1, F.struct(order, seen))).alias("s"), F.max(F.struct(order, seen)).alias("l"), F.count("*").alias("n")
+    ).where("n >= 2")
+    return told.select(*keys, F.col(f"s.{order}").alias("stable"), (F.col(f"l.{order}") - F.col(f"s.{order}")).alias("lead"), F.try_divide(F.col(f"s.{seen}").cast("double"), F.col(f"l.{seen}")).alias("share"))
+
+
 def consecutive_pairs(candidates: DataFrame, keys: list[str], order: str, words: str) -> DataFrame:
     """Each candidate with the one before it in its turn: Jaccard overlap of their word sets."""
     before = F.lag(words).over(W.partitionBy(*keys).orderBy(order))
@@ -110,7 +125,12 @@ def consecutive_pairs(candidates: DataFrame, keys: list[str], order: str, words:
     return out.select(*keys, order, (shared / F.greatest(both, F.lit(1))).alias("overlap"))
 
 
-def enrollment_vector(frames: DataFrame, keys: list[str], order: str, vector: str, n: int) -> DataFrame:
-    """(keys…, pos, mean): element-wise mean of the vectors of the first n frames of each key."""
+def enrollment_vector(frames: DataFrame, keys: list[str], order: str, vector: str, n: int, active: Column | None = None) -> DataFrame:
+    """(keys…, pos, mean): element-wise mean of the vectors of the first n frames of each key; of the active ones, if told which. A key without any
+    active frame has zeros."""
+    if active is not None:
+        zeros = frames.groupBy(*keys).agg(F.max(F.size(vector)).alias("__d")).select(*keys, F.explode(F.sequence(F.lit(0), F.col("__d") - 1)).alias("pos"))
+        means = enrollment_vector(frames.where(active), keys, order, vector, n)
+        return zeros.join(means, [*keys, "pos"], "left").na.fill(0.0, ["mean"])
     first = frames.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where(F.col("__r") <= n)
     return first.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))

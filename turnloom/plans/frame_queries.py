@@ -98,7 +98,7 @@ register(
 register(
     "R14_crops",
     lambda s, d: R.crop_starts(active(s, d).where("speaker = 1").groupBy("conv_id").agg(F.count("*").alias("n")), 250, 50, 100),
-    f"""WITH {SEG}, {_ACT}, n AS (SELECT conv_id, count(*) AS n FROM act WHERE speaker = 1 GROUP BY conv_id) SELECT conv_id, unnest(generate_series(50, n - 250, 100)) AS start FROM n WHERE n - 250 >= 50""",
+    f"""WITH {SEG}, {_ACT}, n AS (SELECT conv_id, count(*) AS n FROM act WHERE speaker = 1 GROUP BY conv_id) SELECT conv_id, unnest(generate_series(50, n - 251, 100)) AS start FROM n WHERE n > 300""",
 )
 register(
     "W01_speech",

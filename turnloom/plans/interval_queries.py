@@ -114,7 +114,7 @@ register(
     r AS (SELECT *, sum(CASE WHEN p <> speaker THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY start_ms, speaker) AS run FROM l),
     a AS (SELECT conv_id, speaker, max(end_ms) AS t_ms FROM r GROUP BY conv_id, speaker, run)
     SELECT a.conv_id, a.speaker, t_ms, min(row(abs(start_ms - t_ms), start_ms - t_ms))[2] AS offset_ms FROM a JOIN canon c ON c.conv_id = a.conv_id AND c.speaker = 3 - a.speaker
-    AND canonical IN ('Turn', 'Interruption') AND start_ms > t_ms - 3000 AND start_ms <= t_ms + 10000 GROUP BY ALL""",
+    AND canonical IN ('Turn', 'Interruption') AND start_ms > t_ms - 3000 GROUP BY ALL""",
 )
 register(
     "I11_rule_labels",
