@@ -472,3 +472,36 @@ def test_pipeline(spark, tmp_path, rows):
     assert seen[2] == seen[1] - {202, 203}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= seen[2] and len(out) > len(seen[2]) and all(0 <= r.shard < 40 for r in out)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, further columns named as the last stage's, repeated rows and reruns."""
+    import corpus_pipeline
+
+    table = [(i, prose(i, 150), "en", f"s{i % 2}", 1) for i in range(12)]
+    table += [table[0], table[0], (None, prose(50, 150), None, None, None), (None, None, None, None, None)]
+    named = lambda df: df.withColumns({"slot": F.lit("mine"), "size": F.lit("mine"), "extra": F.lit(7)})
+    for name, rows, items, runs in (("full", table, [(1, prose(900, 20))], 2), ("empty", [], [], 1)):
+        path = str(tmp_path / name)
+        named(spark.createDataFrame(rows, SCHEMA)).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        got = [corpus_pipeline.run(spark, path) for _ in range(runs)]
+        rows_of = [sorted(str(r) for r in g.collect()) for g in got]
+        assert rows_of[0] == rows_of[-1] and (len(rows_of[0]) > 0) == (name != "empty")
+        assert {"extra", "shard", "slot", "size"} <= set(got[0].columns) and dict(got[0].dtypes)["slot"] == "bigint"
+
+
+def test_shards_are_folders(spark, tmp_path):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    told = sharding.assign_shards(df, [1.0, 0.0, 3.0]).cache()
+    got = sharding.write_shards(told, str(tmp_path / "out"), 300)
+    assert sorted(got.collect()) == sorted(told.collect()) and got.columns == told.columns
+    n = {r.shard: r["count"] for r in told.groupBy("shard").count().collect()}
+    assert {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "out").glob("shard=*")}.keys() == {"shard=0", "shard=2"} == {f"shard={k}" for k in n}
+    assert sharding.write_shards(told.where("false"), str(tmp_path / "none")).count() == 0
+
+
+def test_null_ids_spread_over_blocks(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = sharding.assign_shards(df, [1.0] * 40).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(3000))
