@@ -1,11 +1,16 @@
-"""The corpus pipeline: documents pass five stages, each written as Parquet in the shared folder and read again."""
+"""The corpus pipeline: documents pass five stages, each written as Parquet in the shared folder and read again.
+
+Columns beside doc_id, text, lang and source pass through; those named like the last stage's own (size, text_crc32, law, shard, slot, grown_shard) are replaced
+there. A null or empty text fails the quality rules. Of equal rows one stays, as of equal texts; the mix may then take it twice. Empty tables give no rows and
+an empty benchmark contaminates nothing. Every stage decides by values and hashes of them, so reruns keep the same documents in the same shards.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm import decontaminate, mixing, ngram_jaccard, quality, queries, sharding
-from turnloom.llm._spark import settle
+from turnloom.llm._spark import settle, shared_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; the last one's rows are written as a folder for each shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return settle(STAGES[-1][1](spark, docs, sf_dir), "shards")
+    return sharding.write_shards(STAGES[-1][1](spark, docs, sf_dir), shared_path(spark, "shards"))
