@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm import decontaminate, mixing, ngram_jaccard, quality, queries, sharding
-from turnloom.llm._spark import settle, shared_path
+from turnloom.llm._spark import settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; the last one's rows are written as a folder for each shard."""
+    """All stages over the table documents. sharding.write_shards() writes the result as a folder for each shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return sharding.write_shards(STAGES[-1][1](spark, docs, sf_dir), shared_path(spark, "shards"))
+    return settle(STAGES[-1][1](spark, docs, sf_dir), "shards")
