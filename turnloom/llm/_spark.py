@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnloom.sources.settle import settle, shared_path  # noqa: F401
@@ -30,3 +31,17 @@ def words_between(c: Column, gap: str = SPACE_GAP) -> Column:
 def word_count(c: Column, gap: str = SPACE_GAP) -> Column:
     """Number of words; null counts as 0."""
     return F.coalesce(F.size(words_between(c, gap)), F.lit(0)).cast("long")
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str = "at") -> DataFrame:
+    """rows with their place from 0 in their group, in `order` (ascending, nulls first). No task orders a group: rows are dealt in ranges of group and order and
+    settled, places are counted in a range and offset by the group's rows in the ranges before. Rows equal in all of these are spread by their place in
+    the input; they are interchangeable."""
+    dealt = rows.withColumn("__tie", F.monotonically_increasing_id())
+    dealt = settle(dealt.repartitionByRange(*group, *order, "__tie").withColumn("__range", F.spark_partition_id()), "ranked")
+    held = dealt.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
+    held = held.withColumn("__before", before).where("__before > 0").drop("__n")  # groups that go on from another range: one to a range at most
+    within = F.row_number().over(W.partitionBy(*group, "__range").orderBy(*order, "__tie")) - 1
+    out = dealt.withColumn("__within", within).join(held, [*group, "__range"], "left")
+    return out.withColumn(name, F.coalesce("__before", F.lit(0)) + F.col("__within")).select(*rows.columns, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import archive, decontaminate, licenses, mixing, ngram_jaccard, ngram_lm, pii, quality, secrets, sharding
+from turnloom.llm import archive, decontaminate, licenses, merkle, mixing, ngram_jaccard, ngram_lm, pii, quality, secrets, sharding
 
 # Fixed values of the contracts.
 SOURCE_WEIGHTS, BUDGET_RATIO, MAX_REPEATS = [5, 2, 1], 1.5, 2
@@ -81,8 +81,15 @@ def op10_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * SHARDS).drop("text")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without = merkle.leaf(text=F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.audit(docs, F.when(tampered, without).otherwise(merkle.leaf()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op8_ngram_lm, op9_licenses, op10_rendezvous]
+    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op8_ngram_lm, op9_licenses, op10_rendezvous, op11_merkle]
     return {f.__name__: f for f in named}
 
 
@@ -141,5 +148,57 @@ FROM w LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+#: Unsigned CRC-32 of an ASCII string {0}, bit by bit.
+_CRC = (
+    "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))))"
+)
+
+
+def _spelled(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+
+
+_OP11 = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, source, {" || ".join(map(_spelled, ("doc_id", "source", "lang", "n_chars")))} AS head, text,
+         coalesce({_CRC.format("doc_id::VARCHAR")} % 2 = 0, false) AS tampered
+  FROM documents),
+l AS MATERIALIZED (
+  SELECT doc_id, source, sha256(head || {_spelled("text")}) AS leaf,
+         sha256(head || CASE WHEN tampered THEN {_spelled("replace(text, chr(10), '')")} ELSE {_spelled("text")} END) AS found
+  FROM d),
+a AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+up AS (
+  SELECT source, 0 AS level, pos, n, leaf AS digest FROM a
+  UNION ALL
+  SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY source, level, pos // 3, n),
+tops AS MATERIALIZED (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+hi AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM hi WHERE n > 1 GROUP BY level, pos // 3, n),
+runs AS MATERIALIZED (
+  SELECT source, level, pos // 3 AS run, list(digest ORDER BY pos) AS held FROM up WHERE n > 1 GROUP BY ALL),
+hi_runs AS MATERIALIZED (SELECT level, pos // 3 AS run, list(digest ORDER BY pos) AS held FROM hi WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT a.source, a.pos, r.level, r.held, (a.pos // pow(3, r.level)::BIGINT) % 3 AS slot
+  FROM a JOIN runs r ON a.source IS NOT DISTINCT FROM r.source AND a.pos // pow(3, r.level + 1)::BIGINT = r.run
+  UNION ALL
+  SELECT a.source, a.pos, 100 + r.level, r.held, (t.pos // pow(3, r.level)::BIGINT) % 3
+  FROM a JOIN tops t ON a.source IS NOT DISTINCT FROM t.source JOIN hi_runs r ON t.pos // pow(3, r.level + 1)::BIGINT = r.run),
+paths AS (
+  SELECT source, pos, list(array_to_string(held[:slot], '') || '|' || array_to_string(held[slot + 2:], '') ORDER BY level) AS path FROM steps GROUP BY source, pos)
+SELECT doc_id, leaf, subroot, hi.digest AS root,
+       sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+       list_reduce(list_prepend(found, coalesce(path, [])), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root,
+       folded_root = hi.digest AS verified
+FROM a LEFT JOIN paths p ON a.source IS NOT DISTINCT FROM p.source AND a.pos = p.pos JOIN tops t ON a.source IS NOT DISTINCT FROM t.source, hi
+WHERE hi.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op3_decontaminate": _OP3}
+    return {"op1_mix_sources": _OP1, "op3_decontaminate": _OP3, "op11_merkle": _OP11}
