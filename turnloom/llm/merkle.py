@@ -37,26 +37,29 @@ def _tier(nodes: DataFrame) -> DataFrame:
     can be missing while the sibling is there: then it is the last one, which the last row holds. Rows below a first child hash the parent, the others
     get it by lag.
     """
-    out = nodes.withColumns({"block": F.floor(F.col("at") / FANOUT**LEVELS), "d": F.col("digest")})
-    order = W.partitionBy("tree", "block").orderBy("at")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    path = []
+    order = "OVER (PARTITION BY tree, block ORDER BY at)"
+    whole = "OVER (PARTITION BY tree, block ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    out = nodes.selectExpr("*", f"at DIV {FANOUT**LEVELS} AS block", "digest AS d")
     for level in range(LEVELS):
-        width = FANOUT**level
-        node, held = F.floor(F.col("at") / width), F.ceil(F.col("n") / width)
-        around = {f"lag{k}": F.lag("d", k * width).over(order) for k in range(1, FANOUT)}
-        around |= {f"lead{k}": F.coalesce(F.lead("d", k * width).over(order), F.last("d").over(whole)) for k in range(1, FANOUT)}
-        out = out.withColumns({"slot": node % FANOUT, "run": F.least(F.lit(FANOUT), held - node + node % FANOUT), **around})
-        left = [F.when(F.col("slot") >= k, F.col(f"lag{k}")) for k in range(FANOUT - 1, 0, -1)]
-        right = [F.when(F.col("slot") + k < F.col("run"), F.col(f"lead{k}")) for k in range(1, FANOUT)]
-        step = f"path{level}"
-        out = out.withColumn(step, F.when(held > 1, F.struct(F.concat_ws("", *left).alias("left"), F.concat_ws("", *right).alias("right"))))
-        out = out.withColumn("parent", F.when(F.col("slot") == 0, F.sha2(F.concat("d", f"{step}.right"), 256)))
-        told = F.coalesce(*[F.when(F.col("slot") == k, F.lag("parent", k * width).over(order)) for k in range(1, FANOUT)], F.col("parent"))
-        out = out.withColumn("d", F.when(held > 1, told).otherwise(F.col("d")))
-        path.append(step)
-    levels = F.filter(F.array(*path), lambda s: s.isNotNull())
-    return out.select(*nodes.columns, "block", levels.alias("path"), F.col("d").alias("up"))
+        width, k = FANOUT**level, range(1, FANOUT)
+        node, held = f"at DIV {width}", f"((n + {width - 1}) DIV {width})"
+        first = f"({node} - {node} % {FANOUT})"
+        kept = [c for c in out.columns if c != "d"]
+        out = out.selectExpr(
+            "*",
+            f"{node} % {FANOUT} AS slot",
+            f"least({FANOUT}, {held} - {first}) AS run",
+            *[f"lag(d, {x * width}) {order} AS lag{x}" for x in k],
+            *[f"coalesce(lead(d, {x * width}) {order}, last(d) {whole}) AS lead{x}" for x in k],
+        )
+        left = ", ".join(f"IF(slot >= {x}, lag{x}, NULL)" for x in reversed(k))
+        right = ", ".join(f"IF(slot + {x} < run, lead{x}, NULL)" for x in k)
+        out = out.selectExpr(*kept, "d", "slot", f"IF({held} > 1, struct(concat_ws('', {left}) AS left, concat_ws('', {right}) AS right), NULL) AS path{level}")
+        out = out.selectExpr("*", f"IF(slot = 0, sha2(concat(d, path{level}.right), 256), NULL) AS parent")
+        told = " ".join(f"WHEN slot = {x} THEN lag(parent, {x * width}) {order}" for x in k)
+        out = out.selectExpr(*kept, f"path{level}", f"CASE WHEN {held} = 1 THEN d WHEN slot = 0 THEN parent {told} END AS d")
+    levels = ", ".join(f"path{level}" for level in range(LEVELS))
+    return out.selectExpr(*[f"`{c}`" for c in nodes.columns], "block", f"filter(array({levels}), s -> s IS NOT NULL) AS path", "d AS up")
 
 
 def climb(nodes: DataFrame) -> DataFrame:
