@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import archive, decontaminate, licenses, merkle, mixing, ngram_jaccard, ngram_lm, pii, quality, secrets, sharding
+from turnloom.llm import archive, decontaminate, licenses, merkle, mixing, ngram_jaccard, ngram_lm, pii, quality, repair, secrets, sharding
 
 # Fixed values of the contracts.
 SOURCE_WEIGHTS, BUDGET_RATIO, MAX_REPEATS = [5, 2, 1], 1.5, 2
@@ -88,8 +88,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(docs, F.when(tampered, without).otherwise(merkle.leaf()))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damaged(conversations), conversations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op8_ngram_lm, op9_licenses, op10_rendezvous, op11_merkle]
+    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op8_ngram_lm, op9_licenses, op10_rendezvous, op11_merkle, op12_repair]
     return {f.__name__: f for f in named}
 
 
@@ -200,5 +205,57 @@ WHERE hi.n = 1
 """
 
 
+#: Forward over the rows of a conversation: for each state the cheapest edits so far, of these the first in ASCII. Up to two insertions before each row.
+_OP12 = f"""
+WITH RECURSIVE k AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+g AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, (VALUES (0), (1)) v(again) WHERE kind != 0 AND (again = 0 OR kind = 3)),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM g),
+f AS MATERIALIZED (
+  SELECT conv_id, i, turn, role, text, CASE WHEN role[1:1] IN ('s', 'u', 'a') THEN role[1:1] ELSE 'o' END AS initial,
+         lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS next,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault
+  FROM n),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows
+  FROM f GROUP BY conv_id),
+ins(q, z, edits, cost, lines) AS (VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+  (0, 2, 'I', 5, chr(10) || 'user:'), (1, 2, 'I', 5, chr(10) || 'user:'), (2, 3, 'I', 5, chr(10) || 'assistant:'), (3, 2, 'I', 5, chr(10) || 'user:'),
+  (0, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:')),
+move(q, role, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+step AS MATERIALIZED (
+  SELECT conv_id, i, q, 'D' AS edit, q AS z, 2 AS cost, '' AS line FROM f, (VALUES (0), (1), (2), (3)) s(q)
+  UNION ALL
+  SELECT conv_id, i, q, 'K', z, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, chr(10) || f.role || ':' || text
+  FROM f JOIN move ON initial = move.role WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, i, q, 'R', z, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, chr(10) || CASE move.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+  FROM f, move WHERE fault NOT IN ('blank', 'duplicate') AND move.role != 's'),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, {{'cost': 0, 'edits': '', 'lines': ''}} AS best FROM f
+  UNION ALL
+  SELECT dp.conv_id, dp.i + 1, step.z,
+         min({{'cost': best.cost + ins.cost + step.cost, 'edits': best.edits || ins.edits || step.edit, 'lines': best.lines || ins.lines || step.line}})
+  FROM dp JOIN ins ON dp.q = ins.q JOIN step ON dp.conv_id IS NOT DISTINCT FROM step.conv_id AND step.i = dp.i + 1 AND step.q = ins.z
+  GROUP BY dp.conv_id, dp.i, step.z),
+e AS (
+  SELECT dp.conv_id, min({{'cost': best.cost + ins.cost, 'edits': best.edits || ins.edits, 'lines': best.lines || ins.lines}}) AS best
+  FROM dp JOIN c ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.i = c.rows JOIN ins ON dp.q = ins.q AND ins.z IN (0, 3) GROUP BY dp.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.edits, '') AS audit, sha256(coalesce(best.lines[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op3_decontaminate": _OP3, "op11_merkle": _OP11}
+    return {"op1_mix_sources": _OP1, "op3_decontaminate": _OP3, "op11_merkle": _OP11, "op12_repair": _OP12}
