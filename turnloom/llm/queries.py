@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import archive, decontaminate, licenses, merkle, mixing, ngram_jaccard, ngram_lm, pii, quality, repair, secrets, sharding
+from turnloom.llm import archive, decontaminate, licenses, merkle, mixing, ngram_jaccard, ngram_lm, pii, quality, repair, secrets, sharding, simhash
 
 # Fixed values of the contracts.
 SOURCE_WEIGHTS, BUDGET_RATIO, MAX_REPEATS = [5, 2, 1], 1.5, 2
@@ -93,8 +93,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(conversations), conversations)
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op8_ngram_lm, op9_licenses, op10_rendezvous, op11_merkle, op12_repair]
+    named = [op1_mix_sources, op2_secrets, op3_decontaminate, op4_quality, op5_ngram_jaccard, op6_pii, op7_archive, op8_ngram_lm, op9_licenses, op10_rendezvous, op11_merkle, op12_repair, op13_simhash]
     return {f.__name__: f for f in named}
 
 
