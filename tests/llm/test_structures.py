@@ -73,7 +73,7 @@ def many_rows():
     return [*rows, rows[0], rows[0], rows[7], (500, "t\n", None, "alone", 1), (501, "t\n", None, "two", 1), (502, "t", None, "two", 1)]
 
 
-@pytest.mark.parametrize("n", [126, 1, 2, 4, 0])
+@pytest.mark.parametrize("n", [126, 1, 0])
 def test_merkle_against_brute_force(spark, tmp_path, small_tiers, n):
     rows = many_rows()[:n]
     spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in ("tree", "at", "n", "digest", "block", "path", "leaf", "found", "root", "slot", "d")}).write.parquet(f"{tmp_path}/documents.parquet")
@@ -273,13 +273,13 @@ def test_links_join_all_that_are_near(spark, monkeypatch):
             fps.add(c := flip(c, r.choice([1, 2, 2, 3, 4])))
     fps = sorted(fps)
     nodes = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    for bucket, three in [(simhash.BUCKET, simhash.THREE_UP_TO), (2, simhash.THREE_UP_TO), (8, 0)]:
+    for bucket, three in [(simhash.BUCKET, simhash.THREE_UP_TO), (4, 0)]:
         monkeypatch.setattr(simhash, "BUCKET", bucket)
         monkeypatch.setattr(simhash, "THREE_UP_TO", three)
-        found = simhash.links(nodes).collect()
-        assert all((x.a ^ x.b).bit_count() <= 2 or ((x.a ^ x.b) & (2**64 - 1)).bit_count() <= 2 for x in found)
+        found = simhash.links(nodes)
+        assert all(((x.a ^ x.b) & (2**64 - 1)).bit_count() <= 2 for x in found.collect())
         signed = [int(np.uint64(x).view(np.int64)) for x in fps]
-        roots, comps = reach(fps), {x.a: x.b for x in components(simhash.links(nodes)).collect()}
+        roots, comps = reach(fps), {x.a: x.b for x in components(found).collect()}
         groups = defaultdict(set)
         for s, c in zip(signed, roots, strict=True):
             groups[c].add(comps.get(s, s))
