@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnloom.operators.commit import apart
 from turnloom.operators.intervals import range_join
 from turnloom.sources.settle import settle
 
@@ -17,8 +16,9 @@ BEFORE_MS, AFTER_MS = 250, 3000
 def gold_events(segments: DataFrame) -> DataFrame:
     """(conv_id, task, kind, speaker, start_ms, end_ms) from segments (conv_id, speaker, start_ms, end_ms, canonical).
 
-    EOT: in the order of starts of turns and interruptions, a segment end before the other speaker's next one is positive; before the same speaker's
-    the gap between both, if there is one, is a negative span; the last one is neither. INT: starts of interruptions are positive; backchannels and non-content are negative.
+    Kinds are pos, neg and excl. EOT: in the order of starts of turns and interruptions, a segment end before the other speaker's next one is positive; before the same speaker's
+    the gap between both, if there is one, is a negative span; the last one is neither. INT: starts of interruptions are positive; backchannels and non-content are negative,
+    failed attempts to take the floor are excluded.
     """
     order = W.partitionBy("conv_id").orderBy("start_ms", "speaker")
     view = F.col("canonical").isin("Turn", "Interruption")
@@ -32,6 +32,7 @@ def gold_events(segments: DataFrame) -> DataFrame:
         event(view & held, "eot", "neg", "end_ms", "nxt.start_ms"),
         event(F.col("canonical") == "Interruption", "int", "pos", "start_ms", "start_ms"),
         event(F.col("canonical").isin("Backchannel", "NonContent"), "int", "neg", "start_ms", "end_ms"),
+        event(F.col("canonical") == "NonFloorTakingInterruption", "int", "excl", "start_ms", "end_ms"),
     ))
     told = segments.withColumn("nxt", nxt).select("conv_id", F.explode(events).alias("e"))
     return told.select("conv_id", "e.task", "e.kind", "e.speaker", "e.start_ms", "e.end_ms").distinct()
@@ -44,53 +45,95 @@ def match_windows(gold: DataFrame) -> DataFrame:
     return pos.withColumns({"lo_ms": F.col("t_ms") - BEFORE_MS, "hi_ms": F.least(F.col("t_ms") + AFTER_MS, F.coalesce(nxt, F.col("t_ms") + AFTER_MS))})
 
 
+ON = ["conv_id", "task", "speaker"]
+
+
+def _by_channel(gold: DataFrame) -> DataFrame:
+    """(conv_id, task, speaker, anchors, negs, excl): a channel's gold as arrays in order; anchors are positives with their windows."""
+    span = F.struct("start_ms", "end_ms")
+    held = gold.groupBy(*ON).agg(
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "pos", F.col("start_ms")))).alias("pos"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "neg", span))).alias("negs"),
+        F.collect_set(F.when(F.col("kind") == "excl", span)).alias("excl"),
+    )
+    windows = f"""transform(pos, (t, i) -> named_struct('t', t, 'lo', t - {BEFORE_MS},
+        'hi', least(t + {AFTER_MS}, coalesce(get(pos, i + 1), t + {AFTER_MS}))))"""
+    return held.select(*ON, F.expr(windows).alias("anchors"), "negs", "excl")
+
+
+_CLAIMS = """aggregate(anchors, named_struct('last', CAST(NULL AS BIGINT), 'hits', CAST(array() AS array<bigint>)),
+    (acc, a) -> transform(array(try_element_at(filter(seen, p -> p BETWEEN a.lo AND a.hi AND (acc.last IS NULL OR p > acc.last)), 1)),
+        h -> named_struct('last', coalesce(h, acc.last), 'hits', array_append(acc.hits, h)))[0],
+    acc -> acc.hits)"""
+
+
+def _matched(gold: DataFrame, preds: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """(keys…, conv_id, task, speaker, anchors, negs, hits, fps): for each channel the prediction that each anchor claims, or null, and whether a
+    negative span is hit. Two shuffles, of gold and of predictions by channel; a channel's few events are matched in its row."""
+    seen = preds.groupBy(*keys, *ON).agg(F.array_sort(F.collect_set("t_ms")).alias("seen"))
+    out = _by_channel(gold).join(seen, ON, how)
+    out = out.withColumn("seen", F.expr("filter(seen, p -> NOT exists(excl, e -> p BETWEEN e.start_ms AND e.end_ms))"))
+    free = "filter(seen, p -> NOT exists(anchors, a -> p BETWEEN a.lo AND a.hi))"
+    out = out.withColumns({"hits": F.expr(_CLAIMS), "free": F.expr(free)})
+    return out.withColumn("fps", F.expr("transform(negs, n -> exists(free, p -> p BETWEEN n.start_ms AND n.end_ms))")).drop("seen", "free", "excl")
+
+
 def score_events(gold: DataFrame, preds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys…, conv_id, task, speaker, outcome, t_ms, latency_ms) for each gold event under each set of predictions.
 
     preds (keys…, conv_id, task, speaker, t_ms). Predictions in an excluded span are dropped. In the order of time each positive claims the first
     prediction in its window that none before has claimed: TP with its latency, else FN. A negative span with a prediction in it that lies in no
-    positive's window is FP, else TN. Windows of a channel only touch their neighbours, so a fold over the channel's anchors settles all claims.
-    What is read more than once is written once: predictions, gold, windows and the pairs of both. With keys (policies, thresholds), a gold event
-    has a row for each of their values, so there are as many rows as events times policies.
+    positive's window is FP, else TN. With keys (policies, thresholds), a gold event has a row for each of their values, so there are as many
+    rows as events times policies; event_totals() counts without them.
     """
-    on = ["conv_id", "task", "speaker"]
-    gold, preds = settle(gold, "gold"), settle(preds, "preds")
-    runs = preds.select(*keys).distinct() if keys else None
-    point = preds.withColumns({"start_ms": F.col("t_ms"), "end_ms": F.col("t_ms")}).distinct()
-    excluded = gold.where("kind = 'excl'").select(*on, "start_ms", "end_ms")
-    point = point.join(range_join(point, excluded, on).select(*keys, *on, "t_ms").distinct(), [*keys, *on, "t_ms"], "left_anti")
-    windows = settle(match_windows(gold), "windows")
-    spans = windows.select(*on, F.col("t_ms").alias("anchor"), F.col("lo_ms").alias("start_ms"), F.col("hi_ms").alias("end_ms"))
-    near = settle(range_join(point, spans, on).select(*keys, *on, "t_ms", F.col("b_anchor").alias("anchor")), "near")
-    anchors = near.groupBy(*keys, *on, "anchor").agg(F.array_sort(F.collect_set("t_ms")).alias("seen"))
-    folded = anchors.groupBy(*keys, *on).agg(F.array_sort(F.collect_list(F.struct("anchor", "seen"))).alias("all"))
-    none = "CAST(array() AS array<struct<anchor:long,hit:long>>)"
-    claims = F.aggregate(
-        "all",
-        F.struct(F.lit(None).cast("long").alias("last"), F.expr(none).alias("out")),
-        lambda acc, a: _claim(acc, a),
-        lambda acc: acc["out"],
-    )
-    claimed = folded.select(*keys, *on, F.explode(claims).alias("c")).select(*keys, *on, F.col("c.anchor").alias("anchor"), F.col("c.hit").alias("hit"))
-    wanted = windows.withColumnRenamed("t_ms", "anchor")
-    wanted = wanted.crossJoin(runs) if keys else wanted
-    pos = wanted.join(claimed, [*keys, *on, "anchor"], "left").select(
-        *keys, *on, F.when(F.col("hit").isNotNull(), "TP").otherwise("FN").alias("outcome"), F.col("anchor").alias("t_ms"), (F.col("hit") - F.col("anchor")).alias("latency_ms")
-    )
-    free = point.join(near.select(*keys, *on, "t_ms").distinct(), [*keys, *on, "t_ms"], "left_anti")
-    neg = gold.where("kind = 'neg'").select(*on, "start_ms", "end_ms")
-    hit = range_join(free.select(*keys, *on, "start_ms", "end_ms"), neg, on).select(*keys, *on, F.col("b_start_ms").alias("start_ms"), F.col("b_end_ms").alias("end_ms")).distinct()
-    neg = neg.crossJoin(runs) if keys else neg
-    neg = neg.join(hit.withColumn("fp", F.lit(True)), [*keys, *on, "start_ms", "end_ms"], "left")
-    neg = neg.select(*keys, *on, F.when(F.col("fp"), "FP").otherwise("TN").alias("outcome"), F.col("start_ms").alias("t_ms"), F.lit(None).cast("long").alias("latency_ms"))
-    return pos.unionByName(neg)
+    if keys:
+        preds = settle(preds, "preds")
+        channels = gold.select(*ON).distinct().crossJoin(F.broadcast(preds.select(*keys).distinct()))  # one row a setting
+        silent = channels.join(preds.select(*keys, *ON).distinct(), [*keys, *ON], "left_anti")
+        matched = _matched(gold, preds, keys, "inner")
+        none = _by_channel(gold).join(silent, ON).select(*keys, *ON, "anchors", "negs", F.expr("transform(anchors, a -> CAST(NULL AS BIGINT))").alias("hits"), F.expr("transform(negs, n -> false)").alias("fps"))
+        matched = matched.select(*none.columns).unionByName(none)
+    else:
+        matched = _matched(gold, preds, keys, "left")
+    events = F.expr("""concat(
+        zip_with(anchors, coalesce(hits, transform(anchors, a -> CAST(NULL AS BIGINT))), (a, h) ->
+            named_struct('outcome', IF(h IS NULL, 'FN', 'TP'), 't_ms', a.t, 'latency_ms', h - a.t)),
+        zip_with(negs, coalesce(fps, transform(negs, n -> false)), (n, f) ->
+            named_struct('outcome', IF(coalesce(f, false), 'FP', 'TN'), 't_ms', n.start_ms, 'latency_ms', CAST(NULL AS BIGINT))))""")
+    return matched.select(*keys, *ON, F.explode(events).alias("e")).select(*keys, *ON, "e.outcome", "e.t_ms", "e.latency_ms")
+
+
+def event_totals(gold: DataFrame, preds: DataFrame, keys: list[str], by: tuple[str, ...] = ("task",), settings: DataFrame | None = None) -> DataFrame:
+    """As summarize() of score_events() by keys and `by` (columns of a channel), without a row for each event and setting.
+
+    What fires is counted by setting; what does not is the difference to the totals of gold, which no setting changes. Latencies are counted by
+    value before their quantiles, so a setting brings as many rows as there are distinct latencies. settings (keys): those that count even if
+    they never fire; default: those with predictions.
+    """
+    gold = settle(gold, "gold")
+    preds = settle(preds, "preds")
+    matched = settle(_matched(gold, preds, tuple(keys), "inner").select(
+        *keys, *ON, F.expr("filter(zip_with(anchors, hits, (a, h) -> h - a.t), x -> x IS NOT NULL)").alias("lats"), F.expr("size(filter(fps, f -> f))").alias("fp")
+    ), "matched")
+    totals = _by_channel(gold).groupBy(*by).agg(F.sum(F.size("anchors")).alias("positives"), F.sum(F.size("negs")).alias("negatives"))
+    settings = preds.select(*keys).distinct() if settings is None else settings
+    fires = matched.groupBy(*keys, *by).agg(F.sum(F.size("lats")).alias("tp"), F.sum("fp").alias("fp"))
+    counted = matched.select(*keys, *by, F.explode("lats").alias("x")).groupBy(*keys, *by, "x").agg(F.count("*").alias("n"))
+    lats = counted.groupBy(*keys, *by).agg(*[F.percentile("x", q, F.col("n")).alias(f"p{round(100 * q)}_ms") for q in (0.1, 0.5, 0.9)])
+    all_of = totals.crossJoin(settings) if keys else totals  # as many rows as the answer
+    out = all_of.join(fires, [*keys, *by], "left").join(lats, [*keys, *by], "left")
+    tp, fp = F.coalesce("tp", F.lit(0)), F.coalesce("fp", F.lit(0))
+    return out.select(
+        *keys, *by, tp.alias("tp"), (F.col("positives") - tp).alias("fn"), fp.alias("fp"), (F.col("negatives") - fp).alias("tn"),
+        F.try_divide(tp.cast("double"), "positives").alias("recall"), F.try_divide(fp.cast("double"), "negatives").alias("fp_rate"), "p10_ms", "p50_ms", "p90_ms",
+    )
 
 
-def _claim(acc: Column, a: Column) -> Column:
-    """Predictions are claimed in order of time, so those not yet claimed are the ones after the last claimed."""
-    left = F.filter(a["seen"], lambda t: acc["last"].isNull() | (t > acc["last"]))
-    hit = F.try_element_at(left, F.lit(1))
-    return F.struct(F.coalesce(hit, acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(a["anchor"].alias("anchor"), hit.alias("hit")))).alias("out"))
+def channel_totals(gold: DataFrame, preds: DataFrame) -> DataFrame:
+    """event_totals() by task, for all speakers (channel 0) and for each."""
+    whole = event_totals(gold, preds, []).withColumn("channel", F.lit(0))
+    each = event_totals(gold, preds, [], ("task", "speaker")).withColumnRenamed("speaker", "channel")
+    return each.unionByName(whole)
 
 
 def _rates() -> list[Column]:
@@ -108,13 +151,6 @@ def summarize(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.groupBy(*keys).agg(*_rates())
 
 
-def score_by_channel(scores: DataFrame) -> DataFrame:
-    """As summarize() by task, for all speakers (channel 0) and for each."""
-    scores = scores.withColumn("channel", F.col("speaker"))
-    both = scores.groupingSets([[F.col("task")], [F.col("task"), F.col("channel")]], F.col("task"), F.col("channel")).agg(*_rates())
-    return both.withColumn("channel", F.coalesce("channel", F.lit(0)))
-
-
 def theta_grid(scores: DataFrame, score: str, n: int) -> DataFrame:
     """Thresholds: n quantiles of the positive scores and 0.01 to 0.99, distinct.
 
@@ -139,37 +175,44 @@ def theta_grid(scores: DataFrame, score: str, n: int) -> DataFrame:
     return met.select((low + part * (high - low)).alias("theta")).unionByName(total.select(F.explode(F.array(*[F.lit(k / 100) for k in range(1, 100)])).alias("theta"))).distinct()
 
 
-def sweep_edges(track: DataFrame, score: str, thetas: DataFrame) -> DataFrame:
-    """(theta, conv_id, speaker, i): the rising edges for each threshold. Frame i is an edge for theta in [p(i-1), p(i)), so thresholds are joined to
-    these intervals only and no frame is paired with a threshold that it does not cross."""
-    before = F.coalesce(F.lag(score).over(W.partitionBy(*CHANNEL).orderBy("i")), F.lit(0.0))
-    steps = track.select(*CHANNEL, "i", before.alias("lo"), F.col(score).alias("hi")).where("hi > lo")
+#: Thresholds up to which each frame is compared with all of them; more are met by ranges of the score.
+FEW_THETAS = 64
+
+
+def sweep_edges(track: DataFrame, score: str, thetas: DataFrame, holds: list[int] = ()) -> DataFrame:
+    """(theta, conv_id, speaker, i): the rising edges for each threshold. Frame i is an edge for theta in [p(i-1), p(i)): thresholds are joined to these
+    intervals, and only a rise takes part. For each of `holds` a column low_k: the least score of the frame and the k after it, null where they end."""
+    w = W.partitionBy(*CHANNEL).orderBy("i")
+    before = F.coalesce(F.lag(score).over(w), F.lit(0.0))
+    lows = [F.when(F.count("*").over(w.rowsBetween(0, k)) == k + 1, F.min(score).over(w.rowsBetween(0, k))).alias(f"low_{k}") for k in holds]
+    steps = track.select(*CHANNEL, "i", before.alias("lo"), F.col(score).alias("hi"), *lows).where("hi > lo")
+    columns = ["theta", *CHANNEL, "i", *[f"low_{k}" for k in holds]]
+    if thetas.count() <= FEW_THETAS:
+        return steps.join(F.broadcast(thetas), F.expr("theta >= lo AND theta < hi")).select(*columns)
     grid = thetas.withColumn("cell", F.floor(F.col("theta") * 20))
     cells = steps.withColumn("cell", F.explode(F.expr("sequence(floor(lo * 20), floor(hi * 20))")))
-    return cells.join(grid, "cell").where("theta >= lo AND theta < hi").select("theta", *CHANNEL, "i")
+    return cells.join(grid, "cell").where("theta >= lo AND theta < hi").select(*columns)
 
 
 def sweep_fires(track: DataFrame, score: str, thetas: DataFrame, refractories: list[int], recommits: list[int]) -> DataFrame:
     """(theta, refractory, recommit, conv_id, speaker, i): the commits for each setting; recommit 0 is none.
 
-    Edges are found once for all thresholds, kept apart once for each refractory; a commit fires again where the least score of the frames up to then is above
-    its threshold, by a join on its frame alone.
+    Edges are found once for all thresholds, each with the least score of the frames up to a re-commit; a fold over a channel's edges keeps them apart for
+    each refractory, and those that hold fire again. One shuffle by channel and one by threshold and channel.
     """
-    edges = settle(sweep_edges(track, score, thetas), "edges")
-    kept = None
-    for r in refractories:
-        one = apart(edges, ["theta", *CHANNEL], "i", r).withColumn("refractory", F.lit(r))
-        kept = one if kept is None else kept.unionByName(one)
-    kept = settle(kept, "commits")
-    columns = ["theta", "refractory", "recommit", *CHANNEL, "i"]
-    out = kept.withColumn("recommit", F.explode(F.array(*[F.lit(k) for k in recommits]))).select(*columns)
-    w = W.partitionBy(*CHANNEL).orderBy("i")
-    for k in [k for k in recommits if k]:
-        ahead = w.rowsBetween(0, k)
-        low = track.select(*CHANNEL, "i", F.min(score).over(ahead).alias("low"), F.count("*").over(ahead).alias("many")).where(f"many = {k + 1}")
-        again = kept.join(low, [*CHANNEL, "i"]).where("low > theta").withColumn("i", F.col("i") + k).withColumn("recommit", F.lit(k))
-        out = out.unionByName(again.select(*columns))
-    return out.distinct()
+    holds = [k for k in recommits if k]
+    edges = sweep_edges(track, score, thetas, holds)
+    edge = F.struct(F.col("i").cast("long").alias("i"), *[F.coalesce(F.col(f"low_{k}") > F.col("theta"), F.lit(False)).alias(f"holds_{k}") for k in holds])
+    edges = edges.groupBy("theta", *CHANNEL).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    fields = ", ".join(["i: bigint", *[f"holds_{k}: boolean" for k in holds]])
+    kept = """aggregate(edges, CAST(array() AS array<struct<{0}>>),
+        (acc, e) -> IF(size(acc) = 0 OR e.i - try_element_at(acc, -1).i >= {1}, array_append(acc, e), acc))"""
+    runs = F.array(*[F.struct(F.lit(r).alias("refractory"), F.expr(kept.format(fields, r)).alias("kept")) for r in refractories])
+    out = edges.select("theta", *CHANNEL, F.explode(runs).alias("run")).select("theta", *CHANNEL, "run.*")
+    again = lambda k: f", array_compact(transform(kept, e -> IF(e.holds_{k}, e.i + {k}, NULL)))" if k else ""
+    fires = [F.struct(F.lit(k).alias("recommit"), F.expr(f"array_union(transform(kept, e -> e.i){again(k) or ', CAST(array() AS array<bigint>)'})").alias("at")) for k in recommits]
+    out = out.select("theta", "refractory", *CHANNEL, F.explode(F.array(*fires)).alias("f"))
+    return out.select("theta", "refractory", F.col("f.recommit").alias("recommit"), *CHANNEL, F.explode("f.at").alias("i"))
 
 
 def operating_point(sweep: DataFrame, keys: list[str], budget: float) -> DataFrame:

@@ -11,6 +11,7 @@ from turnloom.operators import commit as C
 from turnloom.operators import scoring as M
 from turnloom.plans.fixtures import SEG, frames, frames_sql, segments, table
 from turnloom.plans.registry import register
+from turnloom.sources.settle import settle
 
 FR = frames_sql()
 CH = "PARTITION BY conv_id, speaker ORDER BY i"
@@ -31,7 +32,8 @@ gold AS (
   SELECT conv_id, 'eot' AS task, 'pos' AS kind, speaker, end_ms AS start_ms, end_ms FROM vw WHERE who <> speaker UNION
   SELECT conv_id, 'eot', 'neg', speaker, end_ms, at_ FROM vw WHERE who = speaker AND at_ > end_ms UNION
   SELECT conv_id, 'int', 'pos', speaker, start_ms, start_ms FROM canon WHERE canonical = 'Interruption' UNION
-  SELECT conv_id, 'int', 'neg', speaker, start_ms, end_ms FROM canon WHERE canonical IN ('Backchannel', 'NonContent'))"""
+  SELECT conv_id, 'int', 'neg', speaker, start_ms, end_ms FROM canon WHERE canonical IN ('Backchannel', 'NonContent') UNION
+  SELECT conv_id, 'int', 'excl', speaker, start_ms, end_ms FROM canon WHERE canonical = 'NonFloorTakingInterruption')"""
 WINDOWS = """win AS (
   SELECT conv_id, task, speaker, t_ms, t_ms - 250 AS lo_ms,
          least(t_ms + 3000, coalesce(lead(t_ms) OVER (PARTITION BY conv_id, task, speaker ORDER BY t_ms), t_ms + 3000)) AS hi_ms
@@ -128,12 +130,23 @@ def preds(s, d, theta: float = 0.6, task: str = "eot") -> DataFrame:
     return fires.select("conv_id", F.lit(task).alias("task"), "speaker", ((F.col("i") + 1) * STEP).alias("t_ms"))
 
 
-def scores(s, d, theta: float = 0.6) -> DataFrame:
-    return M.score_events(gold(s, d).where("task = 'eot'"), preds(s, d, theta))
+def eot_gold(s, d) -> DataFrame:
+    return gold(s, d).where("task = 'eot'")
+
+
+def scores(s, d, theta: float = 0.6, task: str = "eot") -> DataFrame:
+    return M.score_events(gold(s, d).where(F.col("task") == task), preds(s, d, theta, task))
 
 
 # First claims in SQL: anchors in order, each the least prediction in its window after the last one claimed.
-SCORES = f"""{_edges_sql('eot', 0.6)}, {_apart_sql('ed', 6, 'cm')}, pr AS (SELECT conv_id, speaker, (i + 1) * 80 AS t_ms FROM cm),
+def scores_sql(task: str) -> str:
+    """Claims of the predictions of a task outside its excluded spans."""
+    return _SCORES.replace("'eot'", f"'{task}'").replace("__EDGES__", _edges_sql(task, 0.6))
+
+
+_SCORES = f"""__EDGES__, {_apart_sql('ed', 6, 'cm')}, pr AS (
+  SELECT conv_id, speaker, (i + 1) * 80 AS t_ms FROM cm
+  WHERE NOT EXISTS (SELECT 1 FROM gold e WHERE e.task = 'eot' AND e.kind = 'excl' AND e.conv_id = cm.conv_id AND e.speaker = cm.speaker AND (i + 1) * 80 BETWEEN e.start_ms AND e.end_ms)),
 aw AS (SELECT *, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY t_ms) AS nth FROM win WHERE task = 'eot'),
 cl AS (
   SELECT conv_id, speaker, 0::BIGINT AS nth, NULL::BIGINT AS anchor, NULL::BIGINT AS hit, -1000000::BIGINT AS last_ FROM (SELECT DISTINCT conv_id, speaker FROM aw)
@@ -148,15 +161,18 @@ sc AS (
   UNION ALL
   SELECT conv_id, 'eot', speaker, CASE WHEN EXISTS (SELECT 1 FROM fp WHERE fp.conv_id = g.conv_id AND fp.speaker = g.speaker AND fp.t_ms BETWEEN g.start_ms AND g.end_ms) THEN 'FP' ELSE 'TN' END, start_ms, NULL
   FROM gold g WHERE task = 'eot' AND kind = 'neg')"""
+SCORES = scores_sql("eot")
 _ALL = f"WITH RECURSIVE {SEG}, {FR}, {GOLD}, {WINDOWS}, {SCORES}"
 RATES = """count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FN') AS fn, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'TN') AS tn,
 count(*) FILTER (outcome = 'TP')::DOUBLE / nullif(count(*) FILTER (outcome IN ('TP', 'FN')), 0) AS recall, count(*) FILTER (outcome = 'FP')::DOUBLE / nullif(count(*) FILTER (outcome IN ('FP', 'TN')), 0) AS fp_rate,
 quantile_cont(latency_ms::DOUBLE, 0.1) AS p10_ms, quantile_cont(latency_ms::DOUBLE, 0.5) AS p50_ms, quantile_cont(latency_ms::DOUBLE, 0.9) AS p90_ms"""
 register("M04_scores", scores, f"{_ALL} SELECT * FROM sc")
-register("M06_summary", lambda s, d: M.summarize(scores(s, d), ["task"]), f"{_ALL} SELECT task, {RATES} FROM sc GROUP BY task")
+# Interruptions: predictions on failed attempts are dropped.
+register("M04_int_scores", lambda s, d: scores(s, d, 0.6, "int"), f"WITH RECURSIVE {SEG}, {FR}, {GOLD}, {WINDOWS}, {scores_sql('int')} SELECT * FROM sc")
+register("M06_summary", lambda s, d: M.event_totals(eot_gold(s, d), preds(s, d), []), f"{_ALL} SELECT task, {RATES} FROM sc GROUP BY task")
 register(
     "M07_by_channel",
-    lambda s, d: M.score_by_channel(scores(s, d)),
+    lambda s, d: M.channel_totals(eot_gold(s, d), preds(s, d)),
     f"{_ALL} SELECT task, 0 AS channel, {RATES} FROM sc GROUP BY task UNION ALL SELECT task, speaker, {RATES} FROM sc GROUP BY task, speaker",
 )
 register(
@@ -173,10 +189,11 @@ REFRACTORIES, RECOMMITS = [6, 25], [0, 12]
 def sweep(s, d) -> DataFrame:
     """Every threshold with every refractory and re-commit, on the turn ends."""
     thetas = s.createDataFrame([(t,) for t in THETAS], "theta double")
-    fires = M.sweep_fires(frames(s, d), "eot", thetas, REFRACTORIES, RECOMMITS)
+    track = settle(frames(s, d).select("conv_id", "speaker", "i", "eot"), "track")
+    fires = M.sweep_fires(track, "eot", thetas, REFRACTORIES, RECOMMITS)
     told = fires.select("theta", "refractory", "recommit", "conv_id", F.lit("eot").alias("task"), "speaker", ((F.col("i") + 1) * STEP).alias("t_ms"))
     setting = ("theta", "refractory", "recommit")
-    return M.summarize(M.score_events(gold(s, d).where("task = 'eot'"), told, setting), list(setting))
+    return M.event_totals(eot_gold(s, d), told, list(setting), ())
 
 
 # The sweep in SQL: fires of all settings, then claims anchor by anchor.

@@ -110,7 +110,7 @@ mk AS (
 marks AS (
   SELECT conv_id, speaker, i, bool_or(start_ms <= c AND c < end_ms) AS own, bool_or(end_ms <= c AND c < end_ms + 2000) AS after_,
          bool_or(start_ms <= c AND c < least(end_ms, start_ms + 1000)) AS early FROM mk GROUP BY ALL),
-fr AS (
+fr AS MATERIALIZED (
   SELECT conv_id, speaker, i, own, other, CASE WHEN own != (u < 0.02) THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS vad,
          CASE WHEN after_ AND NOT own THEN 0.4::DOUBLE + 0.6::DOUBLE * u ELSE 0.5::DOUBLE * u END AS eot,
          CASE WHEN early AND other THEN 0.4::DOUBLE + 0.6::DOUBLE * u ELSE 0.5::DOUBLE * u END AS int
