@@ -310,12 +310,6 @@ def test_oracle_queries_of_overlapping_segments(spark):
     assert got == [("eot", 1, 5, 1300), ("eot", 2, 3, 2100), ("int", 2, 1, 1700), ("int", 2, 2, 1900), ("int", 2, 3, 2100)]
 
 
-def test_annotators_who_agree_score_perfectly(golden):
-    same = golden.withColumns({x: F.col("canonical") for x in "abc"}).drop("canonical")
-    rows = selection.annotator_ceiling(same, ["a", "b", "c"]).collect()
-    assert len(rows) == 6 and all((r.recall, r.fn) == (1.0, 0) for r in rows)
-
-
 def test_picked_policy_fits_budget_and_cap(spark):
     rows = [("m", "p1", 0.9, 0.2, 300.0), ("m", "p2", 0.8, 0.05, 900.0), ("m", "p3", 0.7, 0.05, 200.0), ("r", "p4", 0.5, 0.9, None)]
     summary = spark.createDataFrame(rows, "family string, policy string, recall double, fp_rate double, p50_ms double")

@@ -81,8 +81,3 @@ def query_points(track: DataFrame, score: str, theta: float, step: int) -> DataF
 def veto(fires: DataFrame, answers: DataFrame, cut: float) -> DataFrame:
     """fires whose answer (conv_id, speaker, i, confidence) reaches cut, or that have none."""
     return fires.join(answers, [*CHANNEL, "i"], "left").where(F.coalesce("confidence", F.lit(1.0)) >= cut).select(*fires.columns)
-
-
-def silence_policy(history: DataFrame, quiet: int, other_quiet: int) -> DataFrame:
-    """Frames (own quiet and talk ages in frames: quiet_age, talk_age, other_quiet_age) at which an end of turn may be told."""
-    return history.where((F.col("talk_age") > 0) & (F.col("quiet_age") >= quiet) & (F.col("other_quiet_age") >= other_quiet))

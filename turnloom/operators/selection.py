@@ -45,28 +45,6 @@ def split_half(counts: DataFrame, unit: str, budget: float, n: int, salt: str) -
     return held.agg(F.avg("recall_b").alias("recall"), F.avg("fp_b").alias("fp_rate"), F.percentile("fp_b", 0.95).alias("fp_p95"), F.count("*").alias("splits"))
 
 
-def annotator_ceiling(segments: DataFrame, annotators: list[str]) -> DataFrame:
-    """Each annotator as a system: their own events, with hindsight and no delay, against gold of the segments that the others agree on.
-
-    segments (conv_id, speaker, start_ms, end_ms, and one column of canonical labels for each annotator). Gold of segments on which the others differ
-    is missing, so nothing counts there. Rows as of scoring.summarize by annotator and task.
-    """
-    scored = []
-    for x in annotators:
-        first, *rest = [a for a in annotators if a != x]
-        agreed = segments
-        for other in rest:
-            agreed = agreed.where(F.col(first) == F.col(other))
-        gold = scoring.gold_events(agreed.withColumn("canonical", F.col(first)))
-        own = scoring.gold_events(segments.withColumn("canonical", F.col(x))).where("kind = 'pos'")
-        preds = own.select("conv_id", "task", "speaker", F.col("start_ms").alias("t_ms"))
-        scored.append(scoring.score_events(gold, preds).withColumn("annotator", F.lit(x)))
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return scoring.summarize(out, ["annotator", "task"])
-
-
 def grouped_cv_scores(rows: DataFrame, features: str, y: str, group: str, folds: int, components: int, salt: str) -> DataFrame:
     """rows with score: the out-of-fold probability of y from standardised features, their principal components and a logistic regression.
 

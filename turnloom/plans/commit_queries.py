@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import vocab
 from turnloom.operators import commit as C
 from turnloom.operators import scoring as M
+from turnloom.operators import silence as S
 from turnloom.plans.fixtures import SEG, frames, frames_sql, segments, table
 from turnloom.plans.registry import register
 from turnloom.sources.settle import settle
@@ -74,21 +75,33 @@ register(
 )
 
 
-def ages(df: DataFrame) -> DataFrame:
-    """quiet_age, talk_age (of the last talk run) and other_quiet_age, in frames."""
-    w = C.by_frame()
-    speech = F.col("vad") > 0.5
-    aged = df.withColumn("last_talk", F.max(F.when(speech, F.col("i"))).over(w)).withColumn("last_quiet", F.max(F.when(~speech, F.col("i"))).over(w))
-    aged = aged.select("conv_id", "speaker", "i", (F.col("i") - F.coalesce("last_talk", F.lit(-1))).alias("quiet_age"), (F.coalesce("last_talk", F.lit(-1)) + 1).alias("talk_age"))
-    other = aged.select("conv_id", (3 - F.col("speaker")).alias("speaker"), "i", F.col("quiet_age").alias("other_quiet_age"))
-    return aged.join(other, ["conv_id", "speaker", "i"])
+# Frames for 0.16 to 2.4 s of quiet, 0.16 to 0.64 s of the other's talk or any, and a second commit after 1.5 s or none.
+QUIETS, OTHERS, AGAINS = [2, 4, 6, 8, 12, 16, 20, 25, 30], [None, 2, 4, 8], [None, 19]
+_AGES = f"""tk AS (SELECT conv_id, speaker, i, vad >= 0.5 AS talk, coalesce(max(CASE WHEN vad >= 0.5 THEN i END) OVER ({CH}), -1) AS lt,
+         coalesce(max(CASE WHEN vad < 0.5 THEN i END) OVER ({CH}), -1) AS lq FROM fr),
+ag AS MATERIALIZED (SELECT *, sum(CASE WHEN talk THEN i - lq ELSE 0 END) OVER (PARTITION BY conv_id, i) - CASE WHEN talk THEN i - lq ELSE 0 END AS other_talks FROM tk)"""
+
+
+def silence_grid(s) -> DataFrame:
+    """The 72 policies, numbered."""
+    points = [(q, o, a) for q in QUIETS for o in OTHERS for a in AGAINS]
+    return s.createDataFrame([(n, *p) for n, p in enumerate(points)], "policy int, quiet int, other int, again int")
 
 
 register(
     "C04_silence_policy",
-    lambda s, d: C.silence_policy(ages(frames(s, d)), 6, 3).select("conv_id", "speaker", "i"),
-    f"""WITH {SEG}, {FR}, a AS (SELECT conv_id, speaker, i, coalesce(max(CASE WHEN vad > 0.5 THEN i END) OVER ({CH}), -1) AS lt FROM fr)
-    SELECT a.conv_id, a.speaker, a.i FROM a JOIN a b ON a.conv_id = b.conv_id AND a.speaker = 3 - b.speaker AND a.i = b.i WHERE a.lt >= 0 AND a.i - a.lt >= 6 AND b.i - b.lt >= 3""",
+    lambda s, d: S.state_ages(frames(s, d)).where(S.eligible(6, 3) | S.eligible(20)).select("conv_id", "speaker", "i"),
+    f"WITH {SEG}, {FR}, {_AGES} SELECT conv_id, speaker, i FROM ag WHERE NOT talk AND (i - lt - 1 >= 6 AND other_talks >= 4 OR i - lt - 1 >= 20)",
+)
+register(
+    "C04_silence_grid",
+    lambda s, d: S.silence_fires(frames(s, d), silence_grid(s)).groupBy("policy").agg(F.count("*").alias("n"), F.sum("i").alias("at"), F.countDistinct("conv_id").alias("conversations")),
+    f"""WITH {SEG}, {FR}, {_AGES},
+    px AS (SELECT (q.n * {len(OTHERS)} + o.n) * {len(AGAINS)} + a.n AS policy, quiet, other, again FROM (SELECT unnest({QUIETS}) AS quiet, unnest(range({len(QUIETS)})) AS n) q,
+           (SELECT unnest({str(OTHERS).replace("None", "NULL")}) AS other, unnest(range({len(OTHERS)})) AS n) o, (SELECT unnest({str(AGAINS).replace("None", "NULL")}) AS again, unnest(range({len(AGAINS)})) AS n) a),
+    el AS (SELECT policy, again, conv_id, speaker, lt, list(i ORDER BY i) AS at_ FROM ag, px WHERE NOT talk AND lt >= 0 AND i - lt - 1 >= quiet AND (other IS NULL OR other_talks >= other + 1) GROUP BY ALL),
+    cm AS (SELECT policy, conv_id, unnest(CASE WHEN again IS NULL THEN at_[:1] ELSE list_reduce(list_transform(at_, lambda x: [x]), lambda y, x: CASE WHEN x[1] - y[-1] >= again THEN list_append(y, x[1]) ELSE y END) END) AS i FROM el)
+    SELECT policy::INT AS policy, count(*) AS n, sum(i)::BIGINT AS at, count(DISTINCT conv_id) AS conversations FROM cm GROUP BY policy""",
 )
 
 
@@ -238,6 +251,17 @@ register(
     f"""{_SWEEP} SELECT *, row_number() OVER (PARTITION BY refractory, recommit ORDER BY coalesce(fp_rate <= 0.3, false) DESC, CASE WHEN coalesce(fp_rate <= 0.3, false) THEN coalesce(recall, -1.0) ELSE -1.0 END DESC,
     fp_rate NULLS LAST, coalesce(p50_ms, 0), theta) AS rank FROM sw""",
 )
+
+
+def silence_sweep(s, d) -> DataFrame:
+    """All silence policies scored in one plan, with their rank under a ceiling of false positives."""
+    fires = S.silence_fires(settle(frames(s, d).select("conv_id", "speaker", "i", "vad"), "vad"), silence_grid(s))
+    told = fires.select("policy", "conv_id", F.lit("eot").alias("task"), "speaker", ((F.col("i") + 1) * STEP).alias("t_ms"))
+    totals = M.event_totals(eot_gold(s, d), told, ["policy"], (), silence_grid(s).select("policy"))
+    return M.selection_rank(totals.join(silence_grid(s), "policy").withColumn("theta", F.col("policy").cast("double")), [], 0.5).drop("theta")
+
+
+register("M11_silence_grid", silence_sweep)
 register(
     "M05_greedy_match",
     lambda s, d: M.greedy_match(preds(s, d).select("conv_id", "speaker", "t_ms"), gold(s, d).where("task = 'eot' AND kind = 'pos'").select("conv_id", "speaker", F.col("start_ms").alias("g_ms")), ["conv_id", "speaker"], 300),

@@ -105,13 +105,6 @@ def policy_grid(s, d):
 register("M11_policy_grid", policy_grid)
 
 
-def _annotators(s, d):
-    return segments(s, d).withColumns({x: vocab.canonical(F.col(c)) for x, c in (("a", "label"), ("b", "label_b"), ("c", "label_c"))})
-
-
-register("M20_annotator_ceiling", lambda s, d: P.annotator_ceiling(_annotators(s, d), ["a", "b", "c"]))
-
-
 def _probed(s, d):
     rows = table(s, d, "embeddings").withColumns({"y": (F.col("label") < 5).cast("int"), "part": F.col("vec_id") % 20})
     scored = P.grouped_cv_scores(rows, "embedding", "y", "part", 4, 8, "probe")
