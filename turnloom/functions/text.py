@@ -124,22 +124,28 @@ def quote_position(w: Column, quote: Column) -> Column:
     return F.when(at.isNotNull(), end + marks)
 
 
-def _at_most(x: Column, most: int) -> Column:
-    return F.when(x.isNotNull(), F.least(x, F.lit(most)))
-
-
-def parse_numbered(reply: Column, n: Column) -> Column:
-    """array<struct<no,answer,score>> of the lines "<no>: <answer>" of a reply; score: the answer as a number, at most 10. Null unless all n are there."""
-    lines = F.filter(F.split(reply, "\n"), lambda x: F.regexp_like(x, F.lit(r"^\s*[0-9]+: .*$")))
-    rows = F.transform(
-        lines,
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^\s*([0-9]+): (.*)$", 1).try_cast("int").alias("no"),
-            F.regexp_extract(x, r"^\s*([0-9]+): (.*)$", 2).alias("answer"),
-            _at_most(F.regexp_extract(x, r"^\s*([0-9]+): (.*)$", 2).try_cast("int"), 10).alias("score"),
-        ),
-    )
-    return F.when(F.size(F.array_distinct(F.transform(rows, lambda r: r["no"]))) == n, rows)
+#: A numbered line: the number, marks, a colon or full stop with marks around, the answer. Unix lines; marks in the sense of Unicode.
+_NUMBERED = r"(?mdU)^\W*([0-9]+)\W*[:.]\s*(.+)$"
+
+
+def parse_numbered(reply: Column, n: Column, first: int = 0) -> Column:
+    """array<struct<no,answer,score>> of the answers to n questions numbered from `first`, by number: lines of a number, a colon or full stop with marks around,
+    and the answer. Of several answers to one number the last counts; other numbers don't. score: the number that the answer begins with, at most 10, or
+    null. Null unless all numbers asked for are there."""
+    bare = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    numbers = F.transform(F.regexp_extract_all(reply, F.lit(_NUMBERED), F.lit(1)), bare)
+    answers = F.regexp_extract_all(reply, F.lit(_NUMBERED), F.lit(2))
+    read = F.zip_with(numbers, answers, lambda k, a: F.struct(k.alias("k"), F.trim(F.regexp_replace(a, r"^\s+|\s+$", "")).alias("answer")))
+
+    def row(k: Column) -> Column:
+        answer = F.try_element_at(F.filter(read, lambda r: r["k"] == k.cast("string")), F.lit(-1))["answer"]
+        digits = bare(F.regexp_extract(answer, "^[0-9]+", 0))
+        score = F.when(F.length(digits) > 2, 10).otherwise(F.least(digits.try_cast("int"), F.when(digits != "", 10)))
+        return F.struct(k.cast("int").alias("no"), answer.alias("answer"), score.alias("score"))
+
+    asked = F.when(n > 0, F.sequence(F.lit(first), n + first - 1)).otherwise(F.array().cast("array<int>"))
+    rows = F.transform(asked, row)
+    return F.when(F.forall(rows, lambda r: r["answer"].isNotNull()), rows)
 
 
 def parse_verdict(reply: Column) -> Column:

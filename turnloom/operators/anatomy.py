@@ -40,16 +40,15 @@ def turn_end_residuals(scores: DataFrame, windows: DataFrame, preds: DataFrame,
     near = near.select(*on, "m.label", (F.col("m.b") - F.col("m.a")).alias("dur_ms"), F.concat_ws(" ", F.slice(spoken(F.col("m.text")), F.greatest(F.size(spoken(F.col("m.text"))) - 1, F.lit(1)), F.lit(2))).alias("last"), "agree")
 
     turns = segments.where((F.col("annotator") == annotators[0]) & F.col("canonical").isin("Turn", "Interruption")).select("conv_id", (3 - F.col("speaker")).cast("int").alias("speaker"), "start_ms", "end_ms")
-    # The first turn that is not over at t: over channels in order, the least start of those that end later.
-    w = W.partitionBy("conv_id", "speaker").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
-    asks = pos.select(*on).select("conv_id", "speaker", F.col("t_ms").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("s"))
-    later = turns.select("conv_id", "speaker", F.col("end_ms").alias("at"), F.lit(0).alias("kind"), F.col("start_ms").alias("s"))
-    # A turn that began over 3 s before and still goes on is left out, so starts are taken by the window and tested after.
-    nxt = asks.unionByName(later).withColumn("nxt", F.min("s").over(w)).where("kind = 1").select("conv_id", "speaker", F.col("at").alias("t_ms"), "nxt").distinct()
-    long_ago = nxt.where("nxt <= t_ms - 3000").select(*on).withColumns({"start_ms": F.col("t_ms") - 2999, "end_ms": F.col("t_ms") + 600_000})
-    again = range_join(long_ago, turns.select("conv_id", "speaker", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("to_ms")), ["conv_id", "speaker"]).where("b_to_ms > t_ms")
-    again = again.groupBy(*on).agg(F.min("b_start_ms").alias("again"))
-    gap = nxt.join(again, on, "left").select(*on, (F.when(F.col("nxt") > F.col("t_ms") - 3000, F.col("nxt")).otherwise(F.col("again")) - F.col("t_ms")).alias("gap_ms"))
+    # Of the turns that go on at t those that began in the last 3 s, else the first that begins at t or later, however late.
+    point = pos.select(*on).withColumns({"start_ms": F.col("t_ms") - 2999, "end_ms": F.col("t_ms")})
+    begun = range_join(point, turns.select("conv_id", "speaker", "start_ms", F.col("start_ms").alias("end_ms"), F.col("end_ms").alias("to_ms")), ["conv_id", "speaker"])
+    begun = begun.where("b_to_ms > t_ms").groupBy(*on).agg(F.min("b_start_ms").alias("begun"))
+    back = W.partitionBy("conv_id", "speaker").orderBy(F.desc("at"), F.desc("s")).rowsBetween(W.unboundedPreceding, -1)
+    asks = pos.select("conv_id", "speaker", F.col("t_ms").alias("at"), F.lit(None).cast("long").alias("s"))
+    starts = turns.select("conv_id", "speaker", F.col("start_ms").alias("at"), F.col("start_ms").alias("s"))
+    later = asks.unionByName(starts).withColumn("later", F.min("s").over(back)).where("s IS NULL").select("conv_id", "speaker", F.col("at").alias("t_ms"), "later").distinct()
+    gap = later.join(begun, on, "left").select(*on, (F.coalesce("begun", "later") - F.col("t_ms")).alias("gap_ms"))
 
     out = pos.join(peak, on, "left").join(before, on, "left").join(near, on, "left").join(gap, on, "left").na.fill(0, ["agree", "peak"]).na.fill(False, ["fired_before"])
     return out.drop("lo_ms", "hi_ms")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,23 +78,69 @@ def numbered(rows: DataFrame, cell: Column, order: list, name: str = "no") -> Da
     return out.join(held, "__cell").withColumn(name, no).drop("__cell", "__before")
 
 
-def select_clips(manifest: DataFrame, seconds: float, feed_cap: float, episode_cap: float, salt: str, least: float, most: float) -> DataFrame:
+#: Seconds of a feed's clips that a task folds at once, in feed caps.
+FEED_CAPS_AT_ONCE = 4.0
+
+
+def feed_partition(feed: Column, val_share: float, salt: str) -> Column:
+    """val or train, by the hash of the feed."""
+    return F.when(hash_unit(feed, f"{salt}:split") < val_share, "val").otherwise("train")
+
+
+def _fold_clips(feed_cap: float, episode_cap: float):
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        """One feed's next clips in order; those that exceed a cap are skipped."""
+        rows = rows.sort_values(["by", "episode", "clip"])
+        used, episodes, keep = float(rows["feed_used"].iloc[0]), {}, []
+        for episode, seconds, before in zip(rows["episode"], rows["seconds"], rows["episode_used"], strict=True):
+            held = episodes.get(episode, before)
+            ok = used + seconds <= feed_cap and held + seconds <= episode_cap
+            keep.append(ok)
+            if ok:
+                used, episodes[episode] = used + seconds, held + seconds
+        return rows.loc[keep, ["feed", "episode", "clip", "seconds", "by"]]
+
+    return fold
+
+
+def select_clips(
+    manifest: DataFrame, seconds: float, feed_cap: float, episode_cap: float, salt: str, least: float, most: float, partition: str | None = None, val_share: float = 0.02
+) -> DataFrame:
     """Clips (feed, episode, clip, seconds) of fitting length, in hash order, skipping those that would exceed a feed's or an episode's cap, until
-    `seconds` are reached. Caps fold over each feed's clips; the stop is a running sum over hash ranges and, in them, clips."""
-    fit = manifest.where(F.col("seconds").between(least, most)).withColumn("by", hash_order(F.concat_ws("/", "episode", "clip"), salt))
-    item = F.struct("by", "episode", "clip", "seconds")
-    ordered = fit.groupBy("feed").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    start = F.struct(F.lit(0.0).alias("used"), F.expr("CAST(array() AS array<struct<by:string,episode:string,clip:long,seconds:double>>)").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = F.aggregate(F.filter(acc["kept"], lambda k: k["episode"] == x["episode"]), F.lit(0.0), lambda s, k: s + k["seconds"])
-        ok = (acc["used"] + x["seconds"] <= feed_cap) & (same + x["seconds"] <= episode_cap)
-        return F.struct(F.when(ok, acc["used"] + x["seconds"]).otherwise(acc["used"]).alias("used"), F.when(ok, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = ordered.select("feed", F.explode(F.aggregate("all", start, step, lambda acc: acc["kept"])).alias("c")).select("feed", "c.*").withColumn("range", F.substring("by", 1, 2))
+    `seconds` are reached; a larger selection holds a smaller one. partition: train or val feeds only.
+
+    A feed is taken in ranges of the hash, each of about FEED_CAPS_AT_ONCE caps of clips, so what a task folds is bounded by the cap and not by the feed. After
+    each round, what feeds and episodes have used goes on to the next, and clips that can't fit any more go at once: feeds and episodes that are
+    full never come back. The stop is a running sum over hash ranges and, in them, clips.
+    """
+    fit = manifest.where(F.col("seconds").between(least, most))
+    fit = fit.where(feed_partition(F.col("feed"), val_share, salt) == partition) if partition else fit
+    kind = {c: fit.schema[c].dataType.simpleString() for c in ("feed", "episode", "clip")}
+    left = fit.select("feed", "episode", "clip", F.col("seconds").cast("double").alias("seconds"), hash_unit(F.concat_ws("#", "episode", F.col("clip").cast("string")), salt).alias("by"))
+    left = left.where("feed IS NOT NULL AND episode IS NOT NULL").withColumns({"feed_used": F.lit(0.0), "episode_used": F.lit(0.0)})
+    schema = f"feed {kind['feed']}, episode {kind['episode']}, clip {kind['clip']}, seconds double, by double"
+    kept = None
+    while True:
+        left = settle(left, "clips-left")
+        held = left.groupBy("feed").agg(F.sum("seconds").alias("held"), F.min("by").alias("lo"), F.max("by").alias("hi"))
+        share = F.least(F.lit(1.0), FEED_CAPS_AT_ONCE * feed_cap / F.col("held"))
+        upto = settle(held.select("feed", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("upto")), "clips-upto")
+        if upto.isEmpty():
+            break
+        dealt = left.join(upto, "feed")
+        now = dealt.where("by <= upto").groupBy("feed").applyInPandas(_fold_clips(feed_cap, episode_cap), schema)
+        kept = settle(now if kept is None else kept.unionByName(now), "clips-kept")
+        feeds = kept.groupBy("feed").agg(F.sum("seconds").alias("feed_used"))
+        episodes = kept.groupBy("feed", "episode").agg(F.sum("seconds").alias("episode_used"))
+        left = dealt.where("by > upto").drop("upto", "feed_used", "episode_used").join(feeds, "feed", "left").join(episodes, ["feed", "episode"], "left").na.fill(0.0, ["feed_used", "episode_used"])
+        left = left.where((F.col("feed_used") + F.col("seconds") <= feed_cap) & (F.col("episode_used") + F.col("seconds") <= episode_cap))
+    if kept is None:
+        return left.select("feed", "episode", "clip", "seconds")
+    kept = kept.withColumn("range", F.floor(F.col("by") * 256))
     sums = kept.groupBy("range").agg(F.sum("seconds").alias("held"))
     sums = sums.select("range", F.coalesce(F.sum("held").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    running = F.col("before") + F.sum("seconds").over(W.partitionBy("range").orderBy("by").rowsBetween(W.unboundedPreceding, 0)) - F.col("seconds")
+    order = W.partitionBy("range").orderBy("by", "episode", "clip").rowsBetween(W.unboundedPreceding, 0)
+    running = F.col("before") + F.sum("seconds").over(order) - F.col("seconds")
     return kept.join(sums, "range").withColumn("at", running).where(F.col("at") < seconds).select("feed", "episode", "clip", "seconds")
 
 

@@ -149,23 +149,46 @@ def rule_labels(segments: DataFrame, key: str = "conv_id", short_ms: int = 1000,
     return out.select(key, "speaker", "start_ms", "end_ms", F.when(hit, "Backchannel").otherwise("Turn").alias("rule_label"))
 
 
-def fill_missing_times(words: DataFrame, key: str, order: str) -> DataFrame:
-    """words with null start_ms and end_ms filled: unaligned words share the time between their neighbours evenly."""
+#: Milliseconds a word below which a gap counts as none.
+LEAST_WORD_MS = 50
+
+
+def fill_missing_times(words: DataFrame, key: str, order: str, word: str, duration: str) -> DataFrame:
+    """words with null start_ms and end_ms filled: a run of unaligned words shares the time between its aligned neighbours evenly.
+
+    Before the first is 0, after the last the end of the audio (column `duration`). A gap of under LEAST_WORD_MS a word is none: then the run shares the
+    neighbours' own time too. Words without a letter or digit take no time and stand at the end of what comes before them, or at the start of
+    the first word. If a key has no other words, all share the whole audio. Fractions are cut off.
+    """
     w = W.partitionBy(key).orderBy(order)
-    known = F.col("start_ms").isNotNull()
-    out = words.withColumn("isle", F.sum(known.cast("int")).over(w))
+    every = W.partitionBy(key)
+    spoken = F.regexp_like(word, F.lit(r"[\p{L}\p{N}]"))
+    out = words.withColumn("spoken", spoken).withColumn("known", F.col("spoken") & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull())
+    times = F.when(F.col("known"), F.struct("start_ms", "end_ms"))
     out = out.withColumns({
-        "left": F.last("end_ms", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)),
-        "right": F.first("start_ms", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
-        "nth": F.row_number().over(W.partitionBy(key, "isle", known).orderBy(order)) - 1,
-        "size": F.count("*").over(W.partitionBy(key, "isle", known)),
+        "isle": F.sum(F.col("known").cast("int")).over(w),
+        "left": F.last(times, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)),
+        "right": F.first(times, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)),
+        "words": F.sum(F.col("spoken").cast("int")).over(every),
+        "all": F.count("*").over(every),
+        "place": F.row_number().over(w) - 1,
     })
-    left = F.coalesce("left", F.lit(0))
-    share = F.greatest(F.coalesce("right", left) - left, F.lit(0)) / F.col("size")
-    return out.withColumns({
-        "start_ms": F.coalesce("start_ms", F.floor(left + share * F.col("nth"))),
-        "end_ms": F.coalesce("end_ms", F.floor(left + share * (F.col("nth") + 1))),
-    }).drop("isle", "left", "right", "nth", "size")
+    kind = F.col("spoken") & ~F.col("known")
+    out = out.withColumn("fill", kind)
+    run = W.partitionBy(key, "isle", "fill")
+    out = out.withColumns({"nth": F.row_number().over(run.orderBy(order)) - 1, "size": F.count("*").over(run)})
+    lo, hi = F.coalesce("left.end_ms", F.lit(0)), F.coalesce("right.start_ms", F.col(duration))
+    tight = hi - lo < LEAST_WORD_MS * F.col("size")
+    out = out.withColumns({"lo": F.when(tight, F.coalesce("left.start_ms", lo)).otherwise(lo), "hi": F.when(tight, F.coalesce("right.end_ms", hi)).otherwise(hi)})
+    at = lambda k: F.floor(F.col("lo") + (F.col("hi") - F.col("lo")) * k / F.col("size"))
+    share = lambda k: F.floor(F.col(duration) * k / F.col("all"))
+    start = F.when(F.col("known"), F.col("start_ms")).when(F.col("fill"), at(F.col("nth")))
+    end = F.when(F.col("known"), F.col("end_ms")).when(F.col("fill"), at(F.col("nth") + 1))
+    out = out.withColumns({"s": start, "e": end})
+    mark = F.coalesce(F.last("e", ignorenulls=True).over(w), F.first("s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    silent = F.col("words") == 0
+    out = out.withColumns({"start_ms": F.when(silent, share(F.col("place"))).otherwise(F.coalesce("s", mark)), "end_ms": F.when(silent, share(F.col("place") + 1)).otherwise(F.coalesce("e", mark))})
+    return out.select(*words.columns)
 
 
 def top_speakers(utterances: DataFrame, key: str, speaker: str, ms: Column, rest: float = 0.05) -> DataFrame:

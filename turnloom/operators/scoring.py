@@ -301,26 +301,37 @@ def auc(df: DataFrame, y: str, s: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return ranked.groupBy(*keys).agg(value.alias("auc"), n.alias("n"), p.alias("positives"))
 
 
-def cluster_bootstrap(scores: DataFrame, group: str, system: str, n: int, least_groups: int = 5, against: object = None) -> DataFrame:
-    """Recall of each system (group, system, tp, fn) over n resamples of groups with replacement, the same draws for all: 2.5 and 97.5 %. With
-    `against`, of each other system's difference to that one too, resample by resample (low_diff, high_diff).
+def cluster_bootstrap(counts: DataFrame, latencies: DataFrame, group: str, system: str, n: int, against: object, least_groups: int = 5, salt: str = "boot") -> DataFrame:
+    """(system, metric, value, low, high, diff, low_diff, high_diff, valid): recall, fp_rate and p50_ms of each system on all groups, 2.5 and 97.5 % of n
+    resamples of groups with replacement, and the same of the difference to the system `against`, resample by resample, the draws being the same for all.
 
-    Groups are numbered in ranges of their hash; draw k of a resample picks the group whose number is a hash of resample and draw, so a draw is a row and
-    n times the groups of them are made. No rows with fewer than least_groups groups.
+    counts (group, system, tp, fn, fp, tn), latencies (group, system, latency_ms, n). valid: resamples in which the metric is defined. Groups are numbered in
+    ranges of their hash; a draw picks the group whose number is a hash of resample and draw. Draws are counted first and weigh a group's counts and
+    latencies, so rows are not repeated: there are at most n times the groups. No rows with fewer than least_groups groups.
     """
-    ranged = scores.select(group).distinct().withColumn("__by", F.xxhash64(group)).withColumn("__range", F.shiftright("__by", 56))
+    ranged = counts.select(group).distinct().withColumn("__by", F.sha2(F.concat(F.lit(f"{salt}:"), F.col(group).cast("string")), 256))
+    ranged = ranged.withColumn("__range", F.substring("__by", 1, 2))
     ranges = ranged.groupBy("__range").agg(F.count("*").alias("held"))
     ranges = ranges.select("__range", F.coalesce(F.sum("held").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("held").over(W.partitionBy(F.lit(1))).alias("all"))
     no = F.col("before") + F.row_number().over(W.partitionBy("__range").orderBy("__by", group)) - 1
     groups = settle(ranged.join(ranges, "__range").select(group, no.alias("no"), "all").where(F.col("all") >= least_groups), "groups")
     draws = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "no")), 1, 8), 16, 10).cast("long")
-    draws = draws.select("rep", F.pmod(unit, F.col("all")).alias("pick"))
-    picked = draws.groupBy("rep", "pick").count().join(groups.select(F.col("no").alias("pick"), group), "pick").join(scores, group)
-    rates = picked.groupBy("rep", system).agg(F.try_divide(F.sum(F.col("count") * F.col("tp")).cast("double"), F.sum(F.col("count") * (F.col("tp") + F.col("fn")))).alias("recall"))
-    told = [F.percentile("recall", 0.025).alias("low"), F.percentile("recall", 0.975).alias("high"), F.count("*").alias("n")]
-    if against is None:
-        return rates.groupBy(system).agg(*told)
-    base = rates.where(F.col(system) == F.lit(against)).select("rep", F.col("recall").alias("base"))
-    both = rates.join(base, "rep").withColumn("diff", F.col("recall") - F.col("base"))
-    return both.groupBy(system).agg(*told, F.percentile("diff", 0.025).alias("low_diff"), F.percentile("diff", 0.975).alias("high_diff"))
+    picks = draws.select("rep", F.pmod(unit, F.col("all")).alias("no")).groupBy("rep", "no").agg(F.count("*").alias("w"))
+    # Resample -1 is the whole, each group once.
+    picks = picks.join(groups.select("no", group), "no").select("rep", group, "w").unionByName(groups.select(F.lit(-1).alias("rep"), group, F.lit(1).cast("long").alias("w")))
+    picks = settle(picks, "picks")
+    share = lambda a, b: F.try_divide(F.sum(F.col("w") * F.col(a)).cast("double"), F.sum(F.col("w") * (F.col(a) + F.col(b))))
+    rates = picks.join(counts, group).groupBy("rep", system).agg(share("tp", "fn").alias("recall"), share("fp", "tn").alias("fp_rate"))
+    p50 = picks.join(latencies, group).groupBy("rep", system).agg(F.percentile("latency_ms", 0.5, F.col("w") * F.col("n")).alias("p50_ms"))
+    wide = rates.join(p50, ["rep", system], "left")
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("recall", "fp_rate", "p50_ms")])
+    long = settle(wide.select("rep", system, F.explode(metrics).alias("m")).select("rep", system, "m.*"), "resampled")
+    base = long.where(F.col(system) == F.lit(against)).select("rep", "metric", F.col("value").alias("base"))
+    both = long.join(base, ["rep", "metric"], "left").withColumn("diff", F.col("value") - F.col("base"))
+    drawn = lambda c: F.when(F.col("rep") >= 0, F.col(c))
+    whole = lambda c: F.max(F.when(F.col("rep") < 0, F.col(c)))
+    return both.groupBy(system, "metric").agg(
+        whole("value").alias("value"), F.percentile(drawn("value"), 0.025).alias("low"), F.percentile(drawn("value"), 0.975).alias("high"),
+        whole("diff").alias("diff"), F.percentile(drawn("diff"), 0.025).alias("low_diff"), F.percentile(drawn("diff"), 0.975).alias("high_diff"), F.count(drawn("value")).alias("valid"),
+    )

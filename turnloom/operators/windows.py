@@ -92,10 +92,13 @@ def readout(track: DataFrame, points: DataFrame, columns: list[str], width: int)
 
 
 def as_of(points: DataFrame, track: DataFrame, step_ms: int) -> DataFrame:
-    """points (conv_id, speaker, t_ms) with the last frame fully known by t: an equi-join on the computed frame, clamped to the track; null before the first."""
+    """points (conv_id, speaker, t_ms) with i, the last frame fully known by t (clamped to the track), and its values: an equi-join on the computed frame.
+    Before the first frame is known, i is -1 and numbers are 0."""
     last = track.groupBy(*CHANNEL).agg(F.max("i").alias("__last"))
-    at = points.join(last, CHANNEL).withColumn("i", F.least(F.floor(F.col("t_ms") / step_ms) - 1, F.col("__last"))).drop("__last")
-    return at.join(track, [*CHANNEL, "i"], "left")
+    frame = F.greatest(F.least(F.floor(F.col("t_ms") / step_ms) - 1, F.col("__last")), F.lit(-1))
+    at = points.join(last, CHANNEL).withColumn("i", frame).drop("__last").join(track, [*CHANNEL, "i"], "left")
+    values = [c for c, kind in track.dtypes if c not in (*CHANNEL, "i") and kind in ("double", "float", "int", "bigint")]
+    return at.withColumns({c: F.when(F.col("i") < 0, F.lit(0).cast(track.schema[c].dataType)).otherwise(F.col(c)) for c in values})
 
 
 def stable_suffix(candidates: DataFrame, keys: list[str], order: str, score: str, least: float) -> DataFrame:

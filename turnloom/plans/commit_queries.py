@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -266,7 +268,13 @@ register(
     "M05_greedy_match",
     lambda s, d: M.greedy_match(preds(s, d).select("conv_id", "speaker", "t_ms"), gold(s, d).where("task = 'eot' AND kind = 'pos'").select("conv_id", "speaker", F.col("start_ms").alias("g_ms")), ["conv_id", "speaker"], 300),
 )
-register("M14_paired", lambda s, d: M.paired_outcomes(scores(s, d, 0.6), scores(s, d, 0.8), ["conv_id", "task", "speaker", "t_ms"]))
+# Both systems' claims: the tables of one renamed, then those of the other.
+_SECOND = re.sub(r"\b(ed|cm|pr|aw|cl|fp|sc)\b", r"\1_2", SCORES.replace("> 0.6", "> 0.8"))
+_PAIRED = f"""{_ALL}, {_SECOND},
+    x AS (SELECT a.task, a.outcome = 'TP' AS in_a, b.outcome = 'TP' AS in_b, a.latency_ms - b.latency_ms AS gain FROM sc a JOIN sc_2 b USING (conv_id, task, speaker, t_ms) WHERE a.outcome IN ('TP', 'FN') AND b.outcome IN ('TP', 'FN')),
+    pa AS (SELECT task, count(*) FILTER (in_a AND in_b) AS common, count(*) FILTER (NOT in_a AND in_b) AS gained, count(*) FILTER (in_a AND NOT in_b) AS lost, count(*) FILTER (NOT in_a AND NOT in_b) AS missed,
+      quantile_cont(gain::DOUBLE, 0.5) FILTER (in_a AND in_b) AS gain_ms, avg(gain) FILTER (in_a AND in_b) AS mean_gain_ms FROM x GROUP BY task)"""
+register("M14_paired", lambda s, d: M.paired_outcomes(scores(s, d, 0.6), scores(s, d, 0.8), ["conv_id", "task", "speaker", "t_ms"]), f"{_PAIRED} SELECT * FROM pa")
 
 
 def advancement(s, d) -> DataFrame:
@@ -274,7 +282,13 @@ def advancement(s, d) -> DataFrame:
     return M.advancement(M.summarize(a, ["task"]), M.summarize(b, ["task"]), M.paired_outcomes(a, b, ["conv_id", "task", "speaker", "t_ms"]))
 
 
-register("M14_advancement", advancement)
+register(
+    "M14_advancement",
+    advancement,
+    f"""{_PAIRED}, sa AS (SELECT task, {RATES} FROM sc GROUP BY task), sb AS (SELECT task, {RATES} FROM sc_2 GROUP BY task)
+    SELECT task, coalesce(sb.fp_rate <= 0.1, false) AS fp_ok, coalesce(sb.recall >= sa.recall - 0.005, false) AS recall_ok, coalesce(gain_ms >= 16, false) AS gain_ok, sb.recall - sa.recall AS recall_delta,
+    coalesce(sb.fp_rate <= 0.1, false) AND coalesce(sb.recall >= sa.recall - 0.005, false) AND coalesce(gain_ms >= 16, false) AS passed FROM sa JOIN sb USING (task) JOIN pa USING (task)""",
+)
 
 
 def _labelled(s, d):
@@ -298,9 +312,27 @@ register(
 )
 
 
-def _by_group(s, d):
-    rows = scores(s, d).where("outcome IN ('TP', 'FN')").withColumn("grp", F.pmod("conv_id", F.lit(20)))
-    return rows.groupBy("grp", F.col("speaker").alias("system")).agg(F.count_if(F.col("outcome") == "TP").alias("tp"), F.count_if(F.col("outcome") == "FN").alias("fn"))
+def bootstrap(s, d) -> DataFrame:
+    """Speakers as systems, conversations in twenty groups."""
+    rows = settle(scores(s, d).select(F.pmod("conv_id", F.lit(20)).alias("grp"), F.col("speaker").alias("system"), "outcome", "latency_ms"), "outcomes")
+    counts = rows.groupBy("grp", "system").agg(*[F.count_if(F.col("outcome") == k).alias(k.lower()) for k in ("TP", "FN", "FP", "TN")])
+    latencies = rows.where("latency_ms IS NOT NULL").groupBy("grp", "system", "latency_ms").agg(F.count("*").alias("n"))
+    out = M.cluster_bootstrap(counts, latencies, "grp", "system", 200, 1)
+    return out.withColumns({c: F.round(c, 6) for c in ("value", "low", "high", "diff", "low_diff", "high_diff")})
 
 
-register("M13_bootstrap", lambda s, d: M.cluster_bootstrap(_by_group(s, d), "grp", "system", 200, against=1))
+register(
+    "M13_bootstrap",
+    bootstrap,
+    f"""{_ALL}, r AS MATERIALIZED (SELECT conv_id % 20 AS grp, speaker AS system, outcome, latency_ms FROM sc),
+    g AS MATERIALIZED (SELECT grp, row_number() OVER (ORDER BY sha256('boot:' || grp)) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM r)),
+    w0 AS (SELECT rep, ('0x' || substr(md5(rep || ':' || no), 1, 8))::BIGINT % n AS no FROM g, (SELECT unnest(range(200)) AS rep)),
+    w AS MATERIALIZED (SELECT rep, grp, count(*) AS w FROM w0 JOIN g USING (no) GROUP BY ALL UNION ALL SELECT -1, grp, 1 FROM g),
+    c AS (SELECT grp, system, count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FN') AS fn, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'TN') AS tn FROM r GROUP BY ALL),
+    ra AS (SELECT rep, system, sum(w * tp)::DOUBLE / nullif(sum(w * (tp + fn)), 0) AS recall, sum(w * fp)::DOUBLE / nullif(sum(w * (fp + tn)), 0) AS fp_rate FROM w JOIN c USING (grp) GROUP BY ALL),
+    la AS (SELECT rep, system, quantile_cont(latency_ms::DOUBLE, 0.5) AS p50_ms FROM (SELECT rep, system, latency_ms, unnest(range(w)) FROM w JOIN r USING (grp) WHERE latency_ms IS NOT NULL) GROUP BY ALL),
+    l AS MATERIALIZED (SELECT rep, system, unnest(['recall', 'fp_rate', 'p50_ms']) AS metric, unnest([recall, fp_rate, p50_ms]) AS value FROM ra LEFT JOIN la USING (rep, system)),
+    b AS (SELECT l.*, l.value - o.value AS diff FROM l LEFT JOIN l o ON o.rep = l.rep AND o.metric = l.metric AND o.system = 1)
+    SELECT system, metric, round(max(value) FILTER (rep < 0), 6) AS value, round(quantile_cont(value, 0.025) FILTER (rep >= 0), 6) AS low, round(quantile_cont(value, 0.975) FILTER (rep >= 0), 6) AS high,
+    round(max(diff) FILTER (rep < 0), 6) AS diff, round(quantile_cont(diff, 0.025) FILTER (rep >= 0), 6) AS low_diff, round(quantile_cont(diff, 0.975) FILTER (rep >= 0), 6) AS high_diff, count(value) FILTER (rep >= 0) AS valid FROM b GROUP BY system, metric""",
+)

@@ -76,10 +76,19 @@ register("F09_hash_order", lambda s, d: table(s, d, "documents").select("doc_id"
 register("F10_quote", lambda s, d: _quote(_pairs(s, d)),
     f"""WITH {SEG}, {_PAIRS}, x AS (SELECT *, list_concat(list_concat(w, ['.', '!']), v) AS a, w[greatest(len(w) - 1, 1):] AS q FROM pq), p AS (SELECT *, list_filter(generate_series(1, len(a) - len(q) + 1), lambda i: a[i:i + len(q) - 1] = q)[1] + len(q) - 1 AS e FROM x)
     SELECT conv_id, turn, k, CASE WHEN e = len(w) THEN e + 2 ELSE e END AS at FROM p""")
-_REPLY = "concat('1: ', (conv_id * 31 + k * 7) % 13, chr(10), 'noise', chr(10), ' 2: good', chr(10), CASE WHEN k % 3 = 0 THEN '' ELSE '3: 4' END)"
-register("F11_numbered", lambda s, d: segments(s, d).select(*_SEGK, T.parse_numbered(F.expr(_REPLY.replace("chr(10)", "char(10)")), F.lit(3)).alias("rows")).select(*_SEGK, F.explode("rows").alias("r")).select(*_SEGK, "r.no", "r.answer", "r.score"),
-    f"""WITH {SEG} SELECT conv_id, turn, k, n_ AS no, CASE n_ WHEN 1 THEN ((conv_id * 31 + k * 7) % 13)::VARCHAR WHEN 2 THEN 'good' ELSE '4' END AS answer, CASE n_ WHEN 1 THEN least((conv_id * 31 + k * 7) % 13, 10)::INT WHEN 3 THEN 4 END AS score
-    FROM seg, (VALUES (1), (2), (3)) v(n_) WHERE k % 3 <> 0""")
+# A reply to three questions: marks around numbers, a repeated one, one not asked for, and sometimes one missing.
+_REPLY = """concat('**0:** ', text, chr(10), 'noise', chr(10), '- 1. ', n * 3 - 2, '/10', chr(10), '7: x', chr(10), '(2) : 007 of ', n, chr(10),
+  CASE WHEN k % 3 = 0 THEN '02:  maybe ' ELSE '1 - no' END, CASE WHEN k % 5 = 4 THEN concat(chr(10), '0. ') ELSE '' END, CASE WHEN k % 7 = 6 THEN '12345 words' ELSE '' END)"""
+register(
+    "F11_numbered",
+    lambda s, d: segments(s, d).select(*_SEGK, F.explode(T.parse_numbered(F.expr(_REPLY.replace("chr(10)", "char(10)")), F.when(F.col("k") % 11 == 10, 4).otherwise(3))).alias("r")).select(*_SEGK, "r.*"),
+    rf"""WITH {SEG}, p AS (SELECT conv_id, turn, k, {_REPLY} AS reply, CASE WHEN k % 11 = 10 THEN 4 ELSE 3 END AS asked FROM seg),
+    l AS (SELECT *, unnest(regexp_extract_all(reply, '(?m)^\W*(\d+)\W*[:.]\s*(.+)$', 1)) AS no, unnest(regexp_extract_all(reply, '(?m)^\W*(\d+)\W*[:.]\s*(.+)$', 2)) AS answer,
+      unnest(range(len(regexp_extract_all(reply, '(?m)^\W*(\d+)\W*[:.]\s*(.+)$', 1)))) AS place FROM p),
+    g AS (SELECT conv_id, turn, k, asked, no::INT AS no, trim(arg_max(answer, place), ' ' || chr(9) || chr(10) || chr(13)) AS answer FROM l WHERE no::BIGINT < asked GROUP BY ALL),
+    c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, k) AS n_ FROM g)
+    SELECT conv_id, turn, k, no, answer, CASE WHEN regexp_matches(answer, '^\d') THEN least(10, regexp_extract(answer, '^\d+')::BIGINT)::INT END AS score FROM c WHERE n_ = asked"""
+)
 register("F12_verdict", lambda s, d: segments(s, d).select(*_SEGK, T.parse_verdict(F.expr("concat('Answer: no. ', CASE k % 3 WHEN 0 THEN 'ANSWER: yes' WHEN 1 THEN 'so ANSWER:no' ELSE '' END)")).alias("v"), T.parse_verdict(F.lit("none")).alias("w")),
     f"WITH {SEG} SELECT conv_id, turn, k, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS v, NULL::INT AS w FROM seg")
 register("F13_time_grid", lambda s, d: segments(s, d).select(*_SEGK, F.explode(T.time_grid(F.col("start_ms"), F.col("end_ms"), 700)).alias("t")),

@@ -159,11 +159,20 @@ register(
     f"""WITH {SEG}, {FR}, {_SPANS}, t AS (SELECT conv_id, speaker, i, eot, avg(eot) OVER ({CH} ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS eot_trail FROM fr), p AS (SELECT DISTINCT conv_id, speaker, start_i AS i FROM sp)
     SELECT p.*, a.eot, a.eot_trail, b.eot AS other_eot, b.eot_trail AS other_eot_trail FROM p JOIN t a USING (conv_id, speaker, i) JOIN t b ON b.conv_id = p.conv_id AND b.speaker = 3 - p.speaker AND b.i = p.i""",
 )
+def _asked(s, d):
+    """Ends of segments, and times about the first frame."""
+    seg = segments(s, d)
+    early = seg.where("k < 4").select("conv_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("speaker"), (F.col("k") * 37).alias("t_ms"))
+    return seg.select("conv_id", "speaker", F.col("end_ms").alias("t_ms")).unionByName(early)
+
+
 register(
     "J01_as_of",
-    lambda s, d: V.as_of(segments(s, d).select("conv_id", "speaker", F.col("end_ms").alias("t_ms")), frames(s, d).select("conv_id", "speaker", "i", "eot"), 80),
-    f"""WITH {SEG}, {FR}, m AS (SELECT conv_id, speaker, max(i) AS l FROM fr GROUP BY ALL), p AS (SELECT conv_id, speaker, end_ms AS t_ms, least(end_ms // 80 - 1, l) AS i FROM seg JOIN m USING (conv_id, speaker))
-    SELECT p.*, eot FROM p LEFT JOIN fr USING (conv_id, speaker, i)""",
+    lambda s, d: V.as_of(_asked(s, d), frames(s, d).select("conv_id", "speaker", "i", "eot"), 80),
+    f"""WITH {SEG}, {FR}, m AS (SELECT conv_id, speaker, max(i) AS l FROM fr GROUP BY ALL),
+    q AS (SELECT conv_id, speaker, end_ms AS t_ms FROM seg UNION ALL SELECT conv_id, v.speaker, k * 37 AS t_ms FROM seg, (VALUES (1), (2)) v(speaker) WHERE k < 4),
+    p AS (SELECT conv_id, speaker, t_ms, least(t_ms // 80 - 1, l) AS i FROM q JOIN m USING (conv_id, speaker))
+    SELECT conv_id, speaker, i, t_ms, CASE WHEN i < 0 THEN 0.0::DOUBLE ELSE eot END AS eot FROM p LEFT JOIN fr USING (conv_id, speaker, i)""",
 )
 
 

@@ -127,21 +127,36 @@ register(
 )
 
 
+# Pieces as words: some are marks, every fourth is unaligned, some run into what follows, and in some conversations nothing is spoken.
+_WORD = "CASE WHEN conv_id % 17 = 3 OR (turn * 3 + k) % 7 = 2 THEN '--' ELSE text END"
+_HOLE, _LATE = "(conv_id + turn * 3 + k) % 4 IN (0, 1)", "CASE WHEN (conv_id + k) % 5 = 2 THEN 4000 ELSE 0 END"
+
+
 def _holes(s, d):
-    w = segments(s, d).withColumn("hole", F.expr("(conv_id + turn * 3 + k) % 4 = 0"))
-    keep = lambda c: F.when(~F.col("hole"), F.col(c)).alias(c)
-    return w.select("conv_id", F.expr("turn * 1000 + k").alias("nth_word"), keep("start_ms"), keep("end_ms"))
+    return segments(s, d).selectExpr(
+        "conv_id", "turn * 1000 + k AS nth_word", f"{_WORD} AS word", "max(end_ms) OVER (PARTITION BY conv_id) + 100 AS duration_ms",
+        f"IF({_HOLE}, NULL, start_ms) AS start_ms", f"IF({_HOLE}, NULL, end_ms + {_LATE}) AS end_ms",
+    )
 
 
 register(
     "I13_fill_times",
-    lambda s, d: I.fill_missing_times(_holes(s, d), "conv_id", "nth_word"),
-    f"""WITH {SEG}, h AS (SELECT conv_id, turn * 1000 + k AS nth_word, CASE WHEN (conv_id + turn * 3 + k) % 4 <> 0 THEN start_ms END AS a, CASE WHEN (conv_id + turn * 3 + k) % 4 <> 0 THEN end_ms END AS b FROM seg),
-    i AS (SELECT *, count(a) OVER (PARTITION BY conv_id ORDER BY nth_word) AS isle FROM h),
-    w AS (SELECT *, last_value(b IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, first_value(a IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r,
-      row_number() OVER (PARTITION BY conv_id, isle, a IS NOT NULL ORDER BY nth_word) - 1 AS nth, count(*) OVER (PARTITION BY conv_id, isle, a IS NOT NULL) AS size FROM i WINDOW o AS (PARTITION BY conv_id ORDER BY nth_word)),
-    s AS (SELECT *, coalesce(l, 0) AS ll, greatest(coalesce(r, coalesce(l, 0)) - coalesce(l, 0), 0) / size::DOUBLE AS share FROM w)
-    SELECT conv_id, nth_word, coalesce(a, floor(ll + share * nth))::BIGINT AS start_ms, coalesce(b, floor(ll + share * (nth + 1)))::BIGINT AS end_ms FROM s""",
+    lambda s, d: I.fill_missing_times(_holes(s, d), "conv_id", "nth_word", "word", "duration_ms"),
+    rf"""WITH {SEG}, h AS (SELECT conv_id, turn * 1000 + k AS nth_word, {_WORD} AS word, max(end_ms) OVER (PARTITION BY conv_id) + 100 AS duration_ms,
+      CASE WHEN NOT ({_HOLE}) THEN start_ms END AS a, CASE WHEN NOT ({_HOLE}) THEN end_ms + {_LATE} END AS b FROM seg),
+    v AS (SELECT *, regexp_matches(word, '[\p{{L}}\p{{N}}]') AS spoken FROM h),
+    -- Words alone: in order, with the aligned ones before and after each.
+    x AS (SELECT *, row_number() OVER o AS p, max(CASE WHEN a IS NOT NULL THEN nth_word END) OVER (o ROWS UNBOUNDED PRECEDING) AS l,
+      min(CASE WHEN a IS NOT NULL THEN nth_word END) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM v WHERE spoken WINDOW o AS (PARTITION BY conv_id ORDER BY nth_word)),
+    y AS (SELECT x.*, row_number() OVER (PARTITION BY x.conv_id, x.l, x.r ORDER BY x.nth_word) - 1 AS k, count(*) OVER (PARTITION BY x.conv_id, x.l, x.r) AS n, f.a AS la, f.b AS lb, g.a AS ra, g.b AS rb
+      FROM x LEFT JOIN v f ON f.conv_id = x.conv_id AND f.nth_word = x.l LEFT JOIN v g ON g.conv_id = x.conv_id AND g.nth_word = x.r),
+    z AS (SELECT *, coalesce(ra, duration_ms) - coalesce(lb, 0) < 50 * n AS tight FROM y),
+    f AS (SELECT conv_id, nth_word, CASE WHEN tight THEN coalesce(la, 0) ELSE coalesce(lb, 0) END AS lo, CASE WHEN tight THEN coalesce(rb, duration_ms) ELSE coalesce(ra, duration_ms) END AS hi, k, n, a, b FROM z),
+    t AS (SELECT conv_id, nth_word, CASE WHEN a IS NULL THEN floor(lo + (hi - lo) * k / n::DOUBLE) ELSE a END::BIGINT AS s, CASE WHEN a IS NULL THEN floor(lo + (hi - lo) * (k + 1) / n::DOUBLE) ELSE b END::BIGINT AS e FROM f),
+    u AS (SELECT v.*, t.s, t.e, last_value(t.e IGNORE NULLS) OVER (PARTITION BY v.conv_id ORDER BY v.nth_word) AS before, first_value(t.s IGNORE NULLS) OVER (PARTITION BY v.conv_id ORDER BY v.nth_word ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_,
+      row_number() OVER (PARTITION BY v.conv_id ORDER BY v.nth_word) - 1 AS i, count(*) OVER (PARTITION BY v.conv_id) AS many FROM v LEFT JOIN t USING (conv_id, nth_word))
+    SELECT conv_id, nth_word, word, duration_ms, CASE WHEN first_ IS NULL THEN floor(duration_ms * i / many::DOUBLE) ELSE coalesce(s, before, first_) END::BIGINT AS start_ms,
+      CASE WHEN first_ IS NULL THEN floor(duration_ms * (i + 1) / many::DOUBLE) ELSE coalesce(e, before, first_) END::BIGINT AS end_ms FROM u""",
 )
 register(
     "I14_top_speakers",
