@@ -18,7 +18,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from turnloom.plans import anatomy_queries, commit_queries, consensus_queries, corpus_queries, frame_queries, further_queries, interval_queries, more_queries, policy_queries, stream_queries, whole_queries  # noqa: F401
+    from turnloom.plans import anatomy_queries, commit_queries, consensus_queries, corpus_queries, frame_queries, further_queries, interval_queries, more_queries, policy_queries, stream_queries, transcript_queries, whole_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
