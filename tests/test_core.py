@@ -193,13 +193,6 @@ def test_auc_of_ties_and_one_class(spark):
     assert {r.g: r.auc for r in scoring.auc(df, "y", "s", ("g",)).collect()} == {"a": 0.5, "b": None}
 
 
-def test_bootstrap_needs_groups(spark):
-    df = spark.createDataFrame([(g, "s", 3, 1) for g in range(6)], "grp long, system string, tp long, fn long")
-    r = scoring.cluster_bootstrap(df, "grp", "system", 50).first()
-    assert (r.low, r.high, r.n) == (0.75, 0.75, 50)
-    assert scoring.cluster_bootstrap(df.where("grp < 3"), "grp", "system", 50).count() == 0
-
-
 def _pause_brute(spans, thetas, delays, timeouts):
     """The pause sweep span by span, for both rules."""
     out = {}
