@@ -255,8 +255,8 @@ def test_state_ends_and_late_frames_go(spark, tmp_path):
     files = [
         [frame(1, i, i * 80) for i in range(8)] + [frame(2, i, i * 80, i == 7) for i in range(8)],
         [frame(3, i, 3_600_000 + i * 80) for i in range(8)],  # the watermark passes the first two
-        [frame(1, 10, 800), frame(1, 11, 880), frame(3, 10, 3_600_800), frame(3, 11, 3_600_880)],  # the first two are late
-        [frame(9, i, 9_000_000 + i * 80, i == 3) for i in range(4)],
+        [frame(3, 10, 3_600_800), frame(3, 11, 3_600_880)],
+        [frame(1, 10, 800), frame(1, 11, 880)] + [frame(9, i, 9_000_000 + i * 80, i == 3) for i in range(4)],  # the first two are late
     ]
     for k, rows in enumerate(files):
         hours(rows).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
