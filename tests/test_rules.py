@@ -301,3 +301,32 @@ def test_a_judge_that_fails_is_asked_again(spark):
     again = judge.judged(items, "id", ["lane", "batch"], lambda rows: [len(r["text"]) for r in rows], "int", first)
     assert again.count() == first.where("result IS NULL").count()
     assert {(r.id, r.result, r.error) for r in judge.resumed(first, again, "id").collect()} == {(k, len(f"t{k}"), None) for k in range(60)}
+
+
+# Causality
+
+
+def test_a_look_ahead_is_caught(spark):
+    from pyspark.sql import Window as W
+
+    from turnloom.operators.prefix import prefix_report
+    from turnloom.plans.stream_queries import CAUSAL
+
+    r = random.Random(12)
+    rows, on = [], [0, 0]
+    for conv in range(4):
+        for i in range(300):
+            for s in (1, 2):
+                on[s - 1] ^= r.random() < 0.1
+                rows.append((conv, s, i, 0.9 if on[s - 1] else 0.1, r.random(), r.random()))
+    track = spark.createDataFrame(rows, "conv_id long, speaker int, i long, vad double, eot double, int double")
+    ahead = W.partitionBy("conv_id", "speaker").orderBy("i")
+    planted = {
+        "next": lambda f: f.select("conv_id", "speaker", "i", F.lead("eot").over(ahead).alias("x")),
+        "whole": lambda f: f.select("conv_id", "speaker", "i", F.max("eot").over(W.partitionBy("conv_id")).alias("x")),
+        "other": lambda f: f.join(f.groupBy("conv_id").agg(F.max("i").alias("n")), "conv_id").where("i < n - 40").select("conv_id", "speaker", "i"),
+        "now": lambda f: f.select("conv_id", "speaker", "i", "eot"),
+    }
+    assert {x.job for x in prefix_report(track, planted, "s").select("job").distinct().collect()} == {"next", "whole", "other"}
+    few = {k: CAUSAL[k] for k in ("C04_fires", "C06", "W01", "J02")}
+    assert prefix_report(track, few, "t").count() == 0

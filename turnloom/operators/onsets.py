@@ -12,7 +12,7 @@ CHANNEL = ["conv_id", "speaker"]
 
 
 def onset_context(segments: DataFrame, track: DataFrame, step_ms: int, delays: list[int], back_ms: int = 2000, cap_ms: int = 5000) -> DataFrame:
-    """Causal context at each delay after each onset: shares of own and other speech since the onset and of the other in the last back_ms, whether the
+    """Causal context at each delay after each onset: shares of own and other speech since the onset and in the last back_ms, whether the
     other spoke in the last three frames, the silence before, and how long the other's run had lasted at the onset (0: none).
 
     segments (conv_id, speaker, start_ms, end_ms), no two of a channel starting together; track (conv_id, speaker, i, own, other). Only frames known
@@ -35,6 +35,7 @@ def onset_context(segments: DataFrame, track: DataFrame, step_ms: int, delays: l
     out = met.groupBy(*CHANNEL, "start_ms", "delay_ms").agg(
         F.coalesce(F.avg(F.when(since, own)), F.lit(0.0)).alias("own_share"),
         F.coalesce(F.avg(F.when(since, other)), F.lit(0.0)).alias("other_share"),
+        F.coalesce(F.avg(F.when(F.col("i") >= F.col("back_i"), own)), F.lit(0.0)).alias("own_recent"),
         F.coalesce(F.avg(F.when(F.col("i") >= F.col("back_i"), other)), F.lit(0.0)).alias("other_recent"),
         F.coalesce(F.max(F.when(F.col("i") >= F.col("now_i") - 3, F.col("other"))), F.lit(False)).alias("other_now"),
         F.min("silence_ms").alias("silence_ms"),

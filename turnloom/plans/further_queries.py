@@ -30,7 +30,7 @@ register(
     o AS (SELECT a.*, (SELECT least(coalesce(a.start_ms - min(b.start_ms), 0), 5000) FROM seg b WHERE b.conv_id = a.conv_id AND b.speaker = 3 - a.speaker AND b.start_ms <= a.start_ms AND a.start_ms <= b.end_ms + 200) AS other_run_ms FROM a),
     p AS (SELECT *, start_ms // 80 AS from_i, greatest(start_ms + delay_ms - 2000, 0) // 80 AS back_i, (start_ms + delay_ms) // 80 AS now_i FROM o, (VALUES (240::BIGINT), (480::BIGINT)) v(delay_ms))
     SELECT p.conv_id, p.speaker, p.start_ms, delay_ms, coalesce(avg(own::INT) FILTER (i >= from_i), 0) AS own_share, coalesce(avg(other::INT) FILTER (i >= from_i), 0) AS other_share,
-           coalesce(avg(other::INT) FILTER (i >= back_i), 0) AS other_recent, coalesce(bool_or(other) FILTER (i >= now_i - 3), false) AS other_now,
+           coalesce(avg(own::INT) FILTER (i >= back_i), 0) AS own_recent, coalesce(avg(other::INT) FILTER (i >= back_i), 0) AS other_recent, coalesce(bool_or(other) FILTER (i >= now_i - 3), false) AS other_now,
            min(silence_ms)::BIGINT AS silence_ms, min(other_run_ms)::BIGINT AS other_run_ms
     FROM p LEFT JOIN fr ON fr.conv_id = p.conv_id AND fr.speaker = p.speaker AND i >= least(from_i, back_i) AND i < now_i GROUP BY p.conv_id, p.speaker, p.start_ms, delay_ms""",
 )
