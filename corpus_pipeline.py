@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm import decontaminate, mixing, ngram_jaccard, quality, queries, sharding
-from turnloom.llm._spark import settle
+from turnloom.llm._spark import settle, shared_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents. sharding.write_shards() writes the result as a folder for each shard."""
+    """All stages over the table documents, the last written as a folder for each shard, by the tasks that number its slots: texts are not shuffled again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return settle(STAGES[-1][1](spark, docs, sf_dir), "shards")
+    sharded = STAGES[-1][1](spark, docs, sf_dir)
+    sharded.write.partitionBy("shard").parquet(path := shared_path(spark, "shards"))
+    return spark.read.schema(sharded.schema).parquet(path).select(*sharded.columns)

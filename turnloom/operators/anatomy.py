@@ -126,11 +126,22 @@ def level_gain(frames: DataFrame, keys: list[str], level: str, snr_db: float, ma
 
 
 def shuffle_control(answers: DataFrame, kind: str, order: list[str], value: str, salt: str) -> DataFrame:
-    """answers with the values of each kind permuted: by rank in order against rank by hash."""
-    asked = answers.withColumn("__r", F.row_number().over(W.partitionBy(kind).orderBy(*order)))
+    """answers with the values of each kind permuted: by rank in order against rank by hash. Ranks by hash are counted in ranges of it, those in order in
+    ranges of the first column of `order`, so no task orders a kind."""
     by = hash_order(F.concat_ws("/", *order), salt)
-    given = answers.select(kind, F.col(value).alias("shuffled"), F.row_number().over(W.partitionBy(kind).orderBy(by)).alias("__r"))
-    return asked.join(given, [kind, "__r"]).drop("__r")
+    asked = _ranked(answers, kind, F.floor(F.col(order[0]) / 64), order, "__r")
+    given = _ranked(answers.select(kind, F.col(value).alias("shuffled"), by.alias("__by")), kind, F.substring("__by", 1, 3), ["__by"], "__r")
+    return asked.join(given.drop("__by"), [kind, "__r"]).drop("__r")
+
+
+def _ranked(rows: DataFrame, group: str, cell: Column, order: list[str], name: str) -> DataFrame:
+    """rows with their number from 0 in their group, counted in cells that follow the order."""
+    out = rows.withColumn("__cell", cell)
+    held = out.groupBy(group, "__cell").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(group).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1))
+    held = held.select(group, "__cell", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(W.partitionBy(group, "__cell").orderBy(*order)) - 1
+    return out.withColumn("__within", within).join(held, [group, "__cell"]).withColumn(name, F.col("__before") + F.col("__within")).drop("__cell", "__before", "__within")
 
 
 def false_event_rate(fires: DataFrame, active: DataFrame, step_ms: int, padded: DataFrame | None = None) -> DataFrame:

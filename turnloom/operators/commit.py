@@ -55,18 +55,20 @@ def quiet_armed_commit(track: DataFrame, vad: str, score: str, theta: float, rec
     return apart(quiet, [*CHANNEL, "__episode"], "i", recommit_after).drop("__episode")
 
 
-def first_above(track: DataFrame, spans: DataFrame, score: str, theta: float) -> DataFrame:
-    """spans (conv_id, speaker, from_i, to_i) with the first frame in (from_i, to_i] whose score reaches theta, or null.
-
-    Only frames that reach theta take part, and each span looks up the next of them: one union and a window, no range join.
-    """
-    hits = track.where(F.col(score) >= theta).select(*CHANNEL, "i", F.lit(None).cast("long").alias("to_i"), F.lit(1).alias("kind"))
-    asks = spans.select(*CHANNEL, F.col("from_i").alias("i"), F.col("to_i").cast("long"), F.lit(0).alias("kind"))
+def next_hits(hits: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """spans (keys…, from_i, to_i) with first_i, the first of hits (keys…, i) in (from_i, to_i], or null: each span looks up the next hit, by one union and a window."""
+    hits = hits.select(*keys, "i", F.lit(None).cast("long").alias("to_i"), F.lit(1).alias("kind"))
+    asks = spans.select(*keys, F.col("from_i").alias("i"), F.col("to_i").cast("long"), F.lit(0).alias("kind"))
     # Backwards in time, the last hit seen lies after i: hits at i itself come after the question.
-    order = W.partitionBy(*CHANNEL).orderBy(F.desc("i"), F.col("kind")).rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy(*keys).orderBy(F.desc("i"), F.col("kind")).rowsBetween(W.unboundedPreceding, -1)
     nxt = F.last(F.when(F.col("kind") == 1, F.col("i")), ignorenulls=True).over(order)
     out = hits.unionByName(asks).withColumn("__next", nxt).where("kind = 0")
-    return out.select(*CHANNEL, F.col("i").alias("from_i"), "to_i", F.when(F.col("__next") <= F.col("to_i"), F.col("__next")).alias("first_i"))
+    return out.select(*keys, F.col("i").alias("from_i"), "to_i", F.when(F.col("__next") <= F.col("to_i"), F.col("__next")).alias("first_i"))
+
+
+def first_above(track: DataFrame, spans: DataFrame, score: str, theta: float) -> DataFrame:
+    """spans (conv_id, speaker, from_i, to_i) with the first frame in (from_i, to_i] whose score reaches theta, or null. Only frames that reach theta take part."""
+    return next_hits(track.where(F.col(score) >= theta), spans, CHANNEL)
 
 
 def query_points(track: DataFrame, score: str, theta: float, step: int) -> DataFrame:

@@ -212,6 +212,25 @@ def slots_from_diarization(segments: DataFrame, slots: int = 2) -> DataFrame:
     return first.select("conv_id", "who", (F.row_number().over(every.orderBy("first", "who")) - 1).alias("slot"), (F.count("*").over(every) <= slots).alias("ok"))
 
 
+def slot_activity(segments: DataFrame, lengths: DataFrame, step_ms: int, slots: int = 2) -> DataFrame:
+    """(conv_id, i, slot, active) of conversations with at most `slots` speakers: 1 where a segment (conv_id, who, start_ms, end_ms) of the slot's speaker covers the centre of
+    frame i. lengths: (conv_id, frames). Those with more speakers are left out; slot_rejects() names them."""
+    named = slots_from_diarization(segments, slots).where("ok").select("conv_id", "who", "slot")
+    half = step_ms / 2
+    first, last = F.greatest(F.ceil((F.col("start_ms") - half) / step_ms), F.lit(0)), F.ceil((F.col("end_ms") - half) / step_ms) - 1
+    spoken = segments.join(named, ["conv_id", "who"]).withColumns({"a": first, "b": last}).where("a <= b")
+    spoken = spoken.select("conv_id", "slot", F.explode(F.sequence("a", "b")).alias("i")).distinct().withColumn("active", F.lit(1))
+    grid = lengths.join(named.select("conv_id").distinct(), "conv_id").where("frames > 0")
+    grid = grid.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("i"))
+    grid = grid.withColumn("slot", F.explode(F.array(*[F.lit(k) for k in range(slots)])))
+    return grid.join(spoken, ["conv_id", "slot", "i"], "left").select("conv_id", "i", "slot", F.coalesce("active", F.lit(0)).alias("active"))
+
+
+def slot_rejects(segments: DataFrame, slots: int = 2) -> DataFrame:
+    """(conv_id, speakers) of conversations with more speakers than slots."""
+    return segments.groupBy("conv_id").agg(F.count_distinct("who").alias("speakers")).where(F.col("speakers") > slots)
+
+
 def eot_targets(frames: DataFrame, gold: DataFrame, vad: str, step_ms: int, background: float = 0.02, longest_ms: int = 2500, speech: float = 0.5) -> DataFrame:
     """(conv_id, speaker, i, y, w): training targets of the end of turns on quiet frames, by their end time t.
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from turnloom.operators.commit import CHANNEL, first_above
-from turnloom.operators.intervals import range_join
+from turnloom.operators.commit import CHANNEL, first_above, next_hits
+from turnloom.operators.intervals import range_join, union_intervals
+from turnloom.sources.settle import settle
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,58 @@ def turn_ends(voices: DataFrame, durations: DataFrame, p: Policy, track: DataFra
     return cand.select(*CHANNEL, F.explode(F.array_compact(F.array(*fires))).alias("t_ms")).distinct()
 
 
+#: What a policy of turn_end_grid() says, with its type: the fields of Policy that turn ends use.
+GRID = "policy string, min_gap int, min_wait int, other_dur int, deadline int, resume_min int, confirm int, eot_th double, read_from int, mw_model int"
+
+
+def grid_row(name: str, p: Policy) -> tuple:
+    return (name, p.min_gap, p.min_wait, p.other_dur, p.deadline, p.resume_min, p.confirm, p.eot_th, p.read_from, p.mw_model)
+
+
+def turn_end_grid(speech: DataFrame, durations: DataFrame, policies: DataFrame, track: DataFrame, score: str = "eot", step_ms: int = 80) -> DataFrame:
+    """(policy, conv_id, speaker, t_ms): turn_ends() of all policies (columns of GRID) in one plan. speech: intervals that are not merged yet.
+
+    Speech is merged once for each min_gap, resumptions are found once for each min_gap and resume_min, the other's voice is met once for each min_gap, in the
+    widest window of its policies, and frames are read once, for all thresholds. Only then do policies, which go to every task, multiply the candidates.
+    """
+    gaps, voices = sorted(r.min_gap for r in policies.select("min_gap").distinct().collect()), None  # one for each merge, so few
+    for g in gaps:
+        one = union_intervals(speech, CHANNEL, g, inclusive=False).withColumn("min_gap", F.lit(g))
+        voices = one if voices is None else voices.unionByName(one)
+    voices = settle(voices.select("min_gap", *CHANNEL, "start_ms", "end_ms"), "voices")
+    policies = F.broadcast(policies)
+
+    forms = F.broadcast(policies.select("min_gap", "resume_min").distinct())
+    w = W.partitionBy("min_gap", "resume_min", *CHANNEL).orderBy("start_ms", "end_ms")
+    lasting = F.expr("end_ms + min_gap - start_ms >= resume_min")
+    resumed = F.first(F.when(lasting, F.col("start_ms")), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    ends = voices.join(forms, "min_gap").withColumn("resumed", resumed).select("min_gap", "resume_min", *CHANNEL, F.col("end_ms").alias("t"), "resumed")
+    cand = ends.join(policies, ["min_gap", "resume_min"])
+    cand = cand.withColumn("cancel", F.expr("IF(resumed - t <= greatest(deadline, coalesce(confirm, 0)), resumed + resume_min, NULL)"))
+
+    widest = policies.groupBy("min_gap").agg(F.min(F.col("min_wait") - F.col("min_gap")).alias("lo"), F.max("deadline").alias("hi"))
+    window = voices.join(F.broadcast(widest), "min_gap").selectExpr("min_gap", *CHANNEL, "end_ms AS t", "end_ms + lo AS start_ms", "end_ms + hi AS end_ms").distinct()
+    other = voices.withColumn("speaker", (3 - F.col("speaker")).cast("int"))
+    heard = "greatest(b_start_ms + other_dur, t + min_wait)"
+    met = range_join(window, other, ["min_gap", *CHANNEL]).select("min_gap", *CHANNEL, "t", "b_start_ms", "b_end_ms").join(policies, "min_gap")
+    met = met.where(f"b_end_ms >= t + min_wait - min_gap AND b_start_ms <= t + deadline AND {heard} <= b_end_ms + min_gap")
+    cand = cand.join(met.groupBy("policy", *CHANNEL, "t").agg(F.min(F.expr(heard)).alias("taken")), ["policy", *CHANNEL, "t"], "left").join(durations, "conv_id")
+
+    until = F.expr("least(t + deadline, coalesce(cancel, t + deadline))")
+    from_i, to_i = _known_between(F.expr("t + read_from"), until, step_ms)
+    cand = cand.withColumns({"from_i": from_i, "to_i": to_i})
+    thetas = F.broadcast(policies.select("eot_th").where("eot_th IS NOT NULL").distinct())
+    hits = track.select(*CHANNEL, "i", F.col(score).alias("p")).join(thetas, F.expr("p >= eot_th"))
+    on = ["eot_th", *CHANNEL]
+    first = next_hits(hits, cand.where("eot_th IS NOT NULL").select(*on, "from_i", "to_i").distinct(), on)
+    cand = cand.join(first, [*on, "from_i", "to_i"], "left").withColumn("seen", (F.col("first_i") + 1) * step_ms)
+    cand = cand.withColumn("at", F.expr("least(t + deadline, coalesce(taken, t + deadline), coalesce(greatest(seen, IF(seen IS NULL, NULL, t + mw_model)), t + deadline), duration_ms)"))
+    free = "(cancel IS NULL OR {0} < cancel)"
+    again = f"IF({free.format('at')} AND {free.format('(t + confirm)')} AND t + confirm <= duration_ms, t + confirm, NULL)"
+    fires = F.expr(f"array_compact(array(IF({free.format('at')}, at, NULL), {again}))")
+    return cand.select("policy", *CHANNEL, F.explode(fires).alias("t_ms")).distinct()
+
+
 def floor_taken(voices: DataFrame, p: Policy, track: DataFrame | None = None, score: str = "int", step_ms: int = 80) -> DataFrame:
     """(conv_id, speaker, t_ms): at most one interruption for each vocalisation, when the score reaches int_th between int_from and int_dur after its
     start and before it ends, else at int_dur if it lasts that long. A score that rises later says nothing about what was known then."""

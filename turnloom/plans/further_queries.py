@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnloom.functions import vocab
 from turnloom.operators import onsets as O
 from turnloom.operators import scoring as M
 from turnloom.operators import scripts as K
 from turnloom.operators import selection as P
-from turnloom.operators.policy import Policy, turn_ends
-from turnloom.plans.commit_queries import STEP, gold
+from turnloom.plans.commit_queries import STEP
 from turnloom.plans.fixtures import SEG, frames, frames_sql, segments, table
 from turnloom.plans.registry import register
-from turnloom.sources.settle import settle
 
 FR = frames_sql()
 
@@ -87,24 +84,6 @@ register(
 )
 
 
-def policy_grid(s, d):
-    """Rules alone, and rules with the score, for each threshold and deadline."""
-    from turnloom.plans.policy_queries import durations, voices
-
-    spoken, until = settle(voices(s, d), "voices"), durations(s, d)
-    track, told = frames(s, d).where("eot >= 0.7"), None
-    for family, theta, deadline in [("rules", None, n) for n in (1000, 2500)] + [("rules+score", t, n) for t in (0.7, 0.9) for n in (1000, 2500)]:
-        fires = turn_ends(spoken, until, Policy(eot_th=theta, deadline=deadline), track)
-        rows = fires.select(F.lit(family).alias("family"), F.lit(f"{theta}/{deadline}").alias("policy"), "conv_id", F.lit("eot").alias("task"), "speaker", "t_ms")
-        told = rows if told is None else told.unionByName(rows)
-    told = settle(told, "policies")
-    summary = M.summarize(M.score_events(gold(s, d).where("task = 'eot'"), told, ("family", "policy")), ["family", "policy"])
-    return P.pick_policies(summary, [0.1, 0.5, 1.0], [500.0, 1e9])
-
-
-register("M11_policy_grid", policy_grid)
-
-
 def _probed(s, d):
     rows = table(s, d, "embeddings").withColumns({"y": (F.col("label") < 5).cast("int"), "part": F.col("vec_id") % 20})
     scored = P.grouped_cv_scores(rows, "embedding", "y", "part", 4, 8, "probe")

@@ -33,3 +33,27 @@ register(
     f"""WITH {SEG}, f AS (SELECT conv_id, 'p' || speaker || CASE WHEN conv_id % 5 = 0 THEN '-' || turn % 2 ELSE '' END AS who, min(start_ms) AS first FROM seg GROUP BY ALL)
     SELECT conv_id, who, row_number() OVER (PARTITION BY conv_id ORDER BY first, who) - 1 AS slot, count(*) OVER (PARTITION BY conv_id) <= 2 AS ok FROM f""",
 )
+
+
+_WHO = "concat('p', speaker, CASE WHEN conv_id % 5 = 0 THEN concat('-', k % 2) ELSE '' END)"
+
+
+def _diarized(s, d):
+    return segments(s, d).withColumn("who", F.expr(_WHO))
+
+
+register(
+    "R11_slot_activity",
+    lambda s, d: R.slot_activity(_diarized(s, d), segments(s, d).groupBy("conv_id").agg(F.expr("max(end_ms) div 80 + 1").alias("frames")), 80),
+    f"""WITH {SEG}, w AS (SELECT *, {_WHO} AS who FROM seg), f AS (SELECT conv_id, who, row_number() OVER (PARTITION BY conv_id ORDER BY min(start_ms), who) - 1 AS slot, count(*) OVER (PARTITION BY conv_id) AS many FROM w GROUP BY conv_id, who),
+    g AS (SELECT conv_id, unnest(range(max(end_ms) // 80 + 1)) AS i FROM seg GROUP BY conv_id),
+    e AS (SELECT w.conv_id, slot, start_ms, end_ms, unnest(range(start_ms // 80, end_ms // 80 + 1)) AS i FROM w JOIN f USING (conv_id, who) WHERE many <= 2),
+    a AS (SELECT DISTINCT conv_id, slot, i FROM e WHERE i * 80 + 40 >= start_ms AND i * 80 + 40 < end_ms)
+    SELECT g.conv_id, g.i, s.slot::INT AS slot, CASE WHEN a.i IS NULL THEN 0 ELSE 1 END AS active FROM g JOIN (SELECT DISTINCT conv_id FROM f WHERE many <= 2) USING (conv_id), (VALUES (0), (1)) s(slot)
+    LEFT JOIN a ON a.conv_id = g.conv_id AND a.slot = s.slot AND a.i = g.i""",
+)
+register(
+    "R11_rejects",
+    lambda s, d: R.slot_rejects(_diarized(s, d)),
+    f"WITH {SEG} SELECT conv_id, count(DISTINCT {_WHO}) AS speakers FROM seg GROUP BY conv_id HAVING count(DISTINCT {_WHO}) > 2",
+)

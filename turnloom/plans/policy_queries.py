@@ -9,6 +9,8 @@ from turnloom.operators import candidates as Q
 from turnloom.operators import frames as R
 from turnloom.operators import intervals as I
 from turnloom.operators import policy as P
+from turnloom.operators import scoring as M
+from turnloom.operators import selection
 from turnloom.plans.commit_queries import GOLD, _canon, gold
 from turnloom.plans.corpus_queries import NORM
 from turnloom.plans.fixtures import SEG, frames, frames_sql, segments
@@ -50,6 +52,38 @@ ev AS (SELECT conv_id, speaker, at_ AS t_ms FROM c3 WHERE cancel IS NULL OR at_
 
 register("C05_eot_policy", lambda s, d: P.turn_ends(voices(s, d), durations(s, d), POLICY, frames(s, d)), f"WITH {SEG}, {FR}, {eot_sql(0.9)} SELECT * FROM ev")
 register("C05_eot_rules", lambda s, d: P.turn_ends(voices(s, d), durations(s, d), POLICY), f"WITH {SEG}, {FR}, {eot_sql(2)} SELECT * FROM ev")
+_FEW = [(None, 1000, 2500), (None, 2500, 1800), (0.7, 2500, 2500), (0.9, 1800, 2500), (0.95, 2500, 3200)]
+
+
+def few_policies(s, d):
+    rows = [P.grid_row(f"p{n}", P.Policy(eot_th=theta, deadline=deadline, confirm=confirm)) for n, (theta, deadline, confirm) in enumerate(_FEW)]
+    return P.turn_end_grid(segments(s, d).select(*KEY, "start_ms", "end_ms"), durations(s, d), s.createDataFrame(rows, P.GRID), frames(s, d))
+
+
+register(
+    "C05_grid",
+    few_policies,
+    f"WITH {SEG}, {FR} " + " UNION ALL ".join(
+        f"SELECT 'p{n}' AS policy, * FROM (WITH {eot_sql(2 if theta is None else theta, deadline, confirm)} SELECT * FROM ev)" for n, (theta, deadline, confirm) in enumerate(_FEW)
+    ),
+)
+
+
+def policy_grid(s, d):
+    """108 policies, rules alone and rules with the score, scored in one plan; the best of each family for each budget and cap of latency."""
+    points = [
+        (theta, P.Policy(min_gap=gap, min_wait=wait, mw_model=model, deadline=deadline, eot_th=theta))
+        for theta in (None, 0.5, 0.7, 0.8, 0.9, 0.95) for gap in (200, 320) for wait in (600, 800, 1000) for model in (320, 480) for deadline in (1800, 2500) if theta is not None or model == 480
+    ]
+    rows = [("rules" if theta is None else "rules+score", *P.grid_row(f"{n:03d}", p)) for n, (theta, p) in enumerate(points)]
+    table_ = s.createDataFrame(rows, f"family string, {P.GRID}")
+    fires = P.turn_end_grid(segments(s, d).select(*KEY, "start_ms", "end_ms"), durations(s, d), table_.drop("family"), frames(s, d))
+    told = fires.select("policy", "conv_id", F.lit("eot").alias("task"), "speaker", "t_ms")
+    summary = M.event_totals(gold(s, d).where("task = 'eot'"), told, ["policy"], (), table_.select("policy"))
+    return selection.pick_policies(summary.join(table_.select("policy", "family"), "policy"), [0.1, 0.5, 1.0], [500.0, 1e9])
+
+
+register("M11_policy_grid", policy_grid)
 register(
     "C06_int_policy",
     lambda s, d: P.floor_taken(voices(s, d), POLICY, frames(s, d)),
