@@ -261,5 +261,36 @@ LEFT JOIN c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON o.conv_id
 """
 
 
+#: Base 32 of the 160 bits of a SHA-1: four characters from each five hexadecimal digits.
+_OP7 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (k // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - k % 4 * 5)::INT) & 31)::INT, 1)), '') AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id != first THEN first END AS refers_to
+FROM d JOIN f USING (digest)
+"""
+
+#: The CRC of the texts goes by bytes, with a table that is made first.
+_OP10 = f"""
+WITH t AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, j: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))) AS step),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS nth, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, strlen(coalesce(text, '')) + 16 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM documents),
+c AS MATERIALIZED (
+  SELECT nth, doc_id, key, size, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda a, b: xor(step[(xor(a, b) & 255)::INT + 1], a >> 8))) AS crc FROM d, t),
+s AS (
+  SELECT nth, n, -1.0::DOUBLE / ln((('0x' || substr(md5('shard:' || n || ':' || key), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score
+  FROM c, (SELECT unnest(range({SHARDS} + 1)) AS n)),
+b AS (SELECT nth, arg_max(n, row(score, -n)) FILTER (n < {SHARDS}) AS shard, arg_max(n, row(score, -n)) AS grown FROM s GROUP BY nth)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5('shard:slot:' || key || ':' || crc), doc_id, crc) - 1 AS slot, grown::INT AS grown_shard
+FROM c JOIN b USING (nth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op3_decontaminate": _OP3, "op11_merkle": _OP11, "op12_repair": _OP12}
+    return {"op1_mix_sources": _OP1, "op3_decontaminate": _OP3, "op7_archive": _OP7, "op10_rendezvous": _OP10, "op11_merkle": _OP11, "op12_repair": _OP12}
