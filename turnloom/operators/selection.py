@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,3 +63,11 @@ def grouped_cv_scores(rows: DataFrame, features: str, y: str, group: str, folds:
         told = model.transform(data.where(F.col("fold") == k)).select(*rows.columns, "fold", vector_to_array("__q")[1].alias("score"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+def probe_report(scored: DataFrame, y: str, score: str, slices: dict[str, Column]) -> DataFrame:
+    """(slice, value, auc, n, positives) of out-of-fold scores: over all rows (slice `all`), and for each value of each slice."""
+    out = scoring.auc(scored.withColumns({"slice": F.lit("all"), "value": F.lit("")}), y, score, ("slice", "value"))
+    for name, column in slices.items():
+        out = out.unionByName(scoring.auc(scored.withColumns({"slice": F.lit(name), "value": column.cast("string")}), y, score, ("slice", "value")))
+    return out

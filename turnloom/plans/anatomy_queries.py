@@ -272,7 +272,11 @@ def s04_tracks(s, d):
     return io.read_tracks(s, path, ["conv_id", "speaker"]).select("conv_id", "speaker", "i", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
-register("S04_tracks", s04_tracks)
+register(
+    "S04_tracks",
+    s04_tracks,
+    f"WITH {SEG}, {FR} SELECT conv_id::VARCHAR AS conv_id, speaker::VARCHAR AS speaker, i::INT AS i, round(eot::FLOAT::DOUBLE, 5) AS score FROM fr",
+)
 
 
 def s05_manifest(s, d):

@@ -36,9 +36,27 @@ def _pairs(s, d):
 
 _PAIRS = rf"""wd AS (SELECT conv_id, turn, k, regexp_extract_all({NORM}, '[^ \t\n\r\f]+') AS w FROM seg),
 pq AS (SELECT a.conv_id, a.turn, a.k, a.w, b.w AS v FROM wd a JOIN wd b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.k = a.k + 1)"""
-# The distances have no SQL: DuckDB has none of lists, and its levenshtein() counts bytes.
-register("F04_edit_distance", lambda s, d: _pairs(s, d).select(*_SEGK, T.edit_distance(F.col("w"), F.col("v")).alias("words")))
-register("F04_char_distance", lambda s, d: _pairs(s, d).select(*_SEGK, F.levenshtein("t", "u").cast("long").alias("chars")))
+
+
+def _distance_sql(w: str, v: str) -> str:
+    """The edit distance of two lists: the rows of the table, each folded from the one before."""
+    row = f"""list_reduce(list_prepend([p[1] + 1], list_transform(range(1, len({v}) + 1), lambda j: [j])),
+      lambda a, j: list_append(a, least(a[-1] + 1, p[j[1] + 1] + 1, p[j[1]] + CASE WHEN {w}[e[1]] = {v}[j[1]] THEN 0 ELSE 1 END)))"""
+    return f"list_reduce(list_prepend(range(len({v}) + 1), list_transform(range(1, len({w}) + 1), lambda i: [i])), lambda p, e: {row})[-1]"
+
+
+register(
+    "F04_edit_distance",
+    lambda s, d: _pairs(s, d).select(*_SEGK, T.edit_distance(F.col("w"), F.col("v")).alias("words")),
+    f"WITH {SEG}, {_PAIRS} SELECT conv_id, turn, k, {_distance_sql('w', 'v')} AS words FROM pq",
+)
+# DuckDB's own distance counts bytes, so it serves ASCII only.
+register(
+    "F04_char_distance",
+    lambda s, d: _pairs(s, d).select(*_SEGK, F.levenshtein("t", "u").cast("long").alias("chars")),
+    f"""WITH {SEG}, {_PAIRS}, tx AS (SELECT conv_id, turn, k, array_to_string(w, ' ') AS t, array_to_string(v, ' ') AS u FROM pq), ch AS (SELECT *, string_split(t, '') AS tc, string_split(u, '') AS uc FROM tx)
+    SELECT conv_id, turn, k, CASE WHEN strlen(t) = length(t) AND strlen(u) = length(u) THEN levenshtein(t, u) ELSE {_distance_sql('tc', 'uc')} END AS chars FROM ch""",
+)
 
 
 def error_rate(s, d):
@@ -47,7 +65,12 @@ def error_rate(s, d):
     return pairs.groupBy("conv_id").agg(F.sum("errors").alias("errors"), F.sum("n").alias("words"), F.try_divide(F.sum("errors").cast("double"), F.sum("n")).alias("rate"))
 
 
-register("F04_error_rate", error_rate)
+register(
+    "F04_error_rate",
+    error_rate,
+    f"""WITH {SEG}, {_PAIRS}, ds AS (SELECT conv_id, {_distance_sql('w', 'v')} AS e, len(w) AS n FROM pq)
+    SELECT conv_id, sum(e)::BIGINT AS errors, sum(n)::BIGINT AS words, sum(e)::DOUBLE / nullif(sum(n), 0) AS rate FROM ds GROUP BY conv_id""",
+)
 
 
 def _jaccard(pairs):
@@ -89,8 +112,13 @@ register(
     c AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, k) AS n_ FROM g)
     SELECT conv_id, turn, k, no, answer, CASE WHEN regexp_matches(answer, '^\d') THEN least(10, regexp_extract(answer, '^\d+')::BIGINT)::INT END AS score FROM c WHERE n_ = asked"""
 )
-register("F12_verdict", lambda s, d: segments(s, d).select(*_SEGK, T.parse_verdict(F.expr("concat('Answer: no. ', CASE k % 3 WHEN 0 THEN 'ANSWER: yes' WHEN 1 THEN 'so ANSWER:no' ELSE '' END)")).alias("v"), T.parse_verdict(F.lit("none")).alias("w")),
-    f"WITH {SEG} SELECT conv_id, turn, k, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS v, NULL::INT AS w FROM seg")
+_VERDICT = "concat('Answer: ', CASE WHEN n % 2 = 0 THEN 'no' ELSE 'yes' END, '. ', text, CASE k % 3 WHEN 0 THEN ' ANSWER: yes' WHEN 1 THEN ' so ANSWER:no' ELSE '' END)"
+register(
+    "F12_verdict",
+    lambda s, d: segments(s, d).select(*_SEGK, T.parse_verdict(F.expr(_VERDICT)).alias("v"), T.parse_verdict(F.col("text")).alias("w")),
+    rf"""WITH {SEG}, r AS (SELECT conv_id, turn, k, regexp_extract_all(lower({_VERDICT}), 'answer:\s*(yes|no)', 1)[-1] AS a, regexp_extract_all(lower(text), 'answer:\s*(yes|no)', 1)[-1] AS b FROM seg)
+    SELECT conv_id, turn, k, CASE a WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS v, CASE b WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS w FROM r""",
+)
 register("F13_time_grid", lambda s, d: segments(s, d).select(*_SEGK, F.explode(T.time_grid(F.col("start_ms"), F.col("end_ms"), 700)).alias("t")),
     f"WITH {SEG} SELECT conv_id, turn, k, unnest(list_distinct(list_append(generate_series(start_ms, end_ms, 700), end_ms))) AS t FROM seg")
 

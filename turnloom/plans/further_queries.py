@@ -11,6 +11,7 @@ from turnloom.operators import selection as P
 from turnloom.plans.commit_queries import STEP
 from turnloom.plans.fixtures import SEG, frames, frames_sql, segments, table
 from turnloom.plans.registry import register
+from turnloom.sources.settle import settle
 
 FR = frames_sql()
 
@@ -87,10 +88,11 @@ register(
 def _probed(s, d):
     rows = table(s, d, "embeddings").withColumns({"y": (F.col("label") < 5).cast("int"), "part": F.col("vec_id") % 20})
     scored = P.grouped_cv_scores(rows, "embedding", "y", "part", 4, 8, "probe")
-    return M.auc(scored, "y", "score", ("fold",))
+    return settle(scored, "probed")
 
 
-register("A09_grouped_cv", _probed)
+# The folds are slices like any other.
+register("A09_grouped_cv", lambda s, d: P.probe_report(_probed(s, d), "y", "score", {"fold": F.col("fold"), "label": F.col("label") % 5}))
 
 
 def _items(s, d):
