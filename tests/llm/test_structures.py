@@ -209,6 +209,13 @@ def test_auction_prices_are_distances():
         for _ in range(3 * len(codes) + 12):  # Bellman and Ford
             far = [min([far[n], *(c + far[v] for _, c, v in repair.arcs(codes, n // 4, n % 4, True))]) for n in range(len(far))]
         assert price == far
+        for e in range(4):  # crossing a block, where some states lead nowhere
+            ends = [0.0 if s == e else repair.NEVER for s in range(4)]
+            price = repair.prices(codes, ends, False)
+            far = [ends[n % 4] if n >= 4 * len(codes) else repair.NEVER for n in range(4 * len(codes) + 4)]
+            for _ in range(3 * len(codes) + 12):
+                far = [min([far[n], *(c + far[v] for _, c, v in repair.arcs(codes, n // 4, n % 4, False))]) for n in range(len(far))]
+            assert price == far
 
 
 # 13. SimHash
@@ -248,7 +255,7 @@ def test_simhash_against_brute_force(spark, tmp_path):
         for _ in range(k % 3 + 1):
             w[r.randrange(len(w))] = f"v{k}"
         texts.append(" ".join(w))
-    texts += [base[0].upper(), base[0].replace(" ", "\n\t"), None, "", "  ", "one", "One TWO", "É b", "é b", "one two three", "a b c d", "\x1f x\x85y  z"]
+    texts += [base[0].upper(), base[0].replace(" ", "\n\t"), None, "", "  ", "one", "One TWO", "É b", "é b", "one two three", "a b c d", "\x1f x\x85y  z", "long words " * 20_000 + "end"]
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, base[0]), (None, "nobody else")]
     spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("fp", "least", "root", "a", "b", "fingerprint", "source")}).write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op13_simhash(spark, str(tmp_path))

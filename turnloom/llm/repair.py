@@ -50,29 +50,38 @@ def arcs(codes: str, i: int, state: int, last: bool) -> list[tuple[str, int, int
 
 
 def auction(out_arcs: list[list[tuple[int, int]]], ends: list[float], origins: range) -> list[float]:
-    """The prices of nodes at which the auction has converged for all origins: their distances to the one destination. Arcs (cost, node), node -1 the destination.
+    """The prices of nodes at which the auction has converged for all origins: their distances to the one destination. Arcs (cost, node); a node below 0 is the
+    destination, at the cost of ends[node]. Nodes from which no path leads there are priced NEVER at once: bids on them would rise for ever.
 
     A path starts at an origin. If the last node's price is below the least of cost and price over its arcs, it is raised to that and the path contracts by the
     node; else the path is extended along that arc. It ends at a node whose price has converged before, for prices hold for all origins. Origins go from the
     destination back, so a path contracts within a row of the lattice only, and the work is linear in its rows.
     """
-    price, done = [0.0] * len(out_arcs), [False] * len(out_arcs)
+    into: list[list[int]] = [[] for _ in out_arcs]
+    live = [False] * len(out_arcs)
+    for node, arcs_of in enumerate(out_arcs):
+        for _, v in arcs_of:
+            if v >= 0:
+                into[v].append(node)
+            elif ends[v] < NEVER:
+                live[node] = True
+    ahead = [n for n, x in enumerate(live) if x]
+    while ahead:
+        for node in into[ahead.pop()]:
+            if not live[node]:
+                live[node] = True
+                ahead.append(node)
+
+    price, done = [0.0 if x else NEVER for x in live], [not x for x in live]
     for origin in origins:
         path = [] if done[origin] else [origin]
         while path:
             node = path[-1]
-            least, to = NEVER, node
-            for cost, v in out_arcs[node]:
-                p = cost + (ends[v] if v < 0 else price[v])
-                if p < least:
-                    least, to = p, v
+            least, to = min((cost + (ends[v] if v < 0 else price[v]), v) for cost, v in out_arcs[node])
             if price[node] < least:
                 price[node] = least
                 if len(path) > 1:
                     path.pop()
-                if least == NEVER:  # no way to the destination
-                    done[node] = True
-                    path = [] if node == origin else path
             elif to < 0 or done[to]:
                 for node in path:
                     done[node] = True
