@@ -330,3 +330,48 @@ def test_a_look_ahead_is_caught(spark):
     assert {x.job for x in prefix_report(track, planted, "s").select("job").distinct().collect()} == {"next", "whole", "other"}
     few = {k: CAUSAL[k] for k in ("C04_fires", "C06", "W01", "J02")}
     assert prefix_report(track, few, "t").count() == 0
+
+
+# Policies as rows
+
+
+def test_policies_as_rows_equal_each_alone(spark):
+    from turnloom.operators import policy as P
+
+    r, speech, frames = random.Random(21), [], []
+    for conv in range(3):
+        for s in (1, 2):
+            t = 0
+            while t < 20_000:
+                t += r.choice([120, 250, 300, 600, 1500, 4000])
+                n = r.choice([100, 400, 700, 2000])
+                speech.append((conv, s, t, t + n))
+                t += n
+            frames += [(conv, s, i, r.random()) for i in range(300)]
+    speech = spark.createDataFrame(speech, "conv_id long, speaker int, start_ms long, end_ms long")
+    durations = spark.createDataFrame([(c, 24_000) for c in range(3)], "conv_id long, duration_ms long")
+    track = spark.createDataFrame(frames, "conv_id long, speaker int, i long, eot double")
+    policies = [
+        P.Policy(eot_th=None), P.Policy(eot_th=0.95), P.Policy(eot_th=0.9, min_gap=320, mw_model=320, read_from=0), P.Policy(min_gap=320, deadline=1200, confirm=None, eot_th=0.99),
+        P.Policy(min_wait=400, other_dur=100, resume_min=300, eot_th=None, confirm=1500),
+    ]
+    rows = spark.createDataFrame([P.grid_row(f"p{n}", p) for n, p in enumerate(policies)], P.GRID)
+    got = defaultdict(set)
+    for x in P.turn_end_grid(speech, durations, rows, track).collect():
+        got[x.policy].add((x.conv_id, x.speaker, x.t_ms))
+    for n, p in enumerate(policies):
+        voices = intervals.union_intervals(speech, ["conv_id", "speaker"], p.min_gap, inclusive=False)
+        alone = {tuple(x) for x in P.turn_ends(voices, durations, p, track).collect()}
+        assert alone and got[f"p{n}"] == alone, n
+
+
+def test_activity_of_diarized_slots(spark):
+    from turnloom.operators import frames as R
+
+    segs = [(1, "x", 100, 250), (1, "w", 90, 130), (2, "a", 0, 40), (2, "b", 0, 80), (2, "c", 5, 9), (3, "z", 500, 900)]
+    df = spark.createDataFrame(segs, "conv_id long, who string, start_ms long, end_ms long")
+    lengths = spark.createDataFrame([(1, 4), (2, 2), (3, 3), (4, 5)], "conv_id long, frames long")
+    got = {(r.conv_id, r.slot, r.i): r.active for r in R.slot_activity(df, lengths, 80).collect()}
+    assert {k for k, v in got.items() if v} == {(1, 0, 1), (1, 1, 1), (1, 1, 2)}  # centres 40, 120, 200, 280; the one who begins first is slot 0
+    assert len(got) == 8 + 6 and all(k[0] != 2 for k in got)
+    assert [(r.conv_id, r.speakers) for r in R.slot_rejects(df).collect()] == [(2, 3)]

@@ -95,15 +95,20 @@ register(
     lambda s, d: S.state_ages(frames(s, d)).where(S.eligible(6, 3) | S.eligible(20)).select("conv_id", "speaker", "i"),
     f"WITH {SEG}, {FR}, {_AGES} SELECT conv_id, speaker, i FROM ag WHERE NOT talk AND (i - lt - 1 >= 6 AND other_talks >= 4 OR i - lt - 1 >= 20)",
 )
+def _listed(values: list) -> str:
+    return str(values).replace("None", "NULL")
+
+
+#: The 72 policies, numbered as by silence_grid(), and the commits of each.
+_GRID = f"""px AS MATERIALIZED (SELECT (q.n * {len(OTHERS)} + o.n) * {len(AGAINS)} + a.n AS policy, quiet, other, again FROM (SELECT unnest({QUIETS}) AS quiet, unnest(range({len(QUIETS)})) AS n) q,
+           (SELECT unnest({_listed(OTHERS)}) AS other, unnest(range({len(OTHERS)})) AS n) o, (SELECT unnest({_listed(AGAINS)}) AS again, unnest(range({len(AGAINS)})) AS n) a),
+    el AS (SELECT policy, again, conv_id, speaker, lt, list(i ORDER BY i) AS at_ FROM ag, px WHERE NOT talk AND lt >= 0 AND i - lt - 1 >= quiet AND (other IS NULL OR other_talks >= other + 1) GROUP BY ALL),
+    gc AS MATERIALIZED (SELECT policy, conv_id, speaker, unnest(CASE WHEN again IS NULL THEN at_[:1] ELSE list_reduce(list_transform(at_, lambda x: [x]), lambda y, x: CASE WHEN x[1] - y[-1] >= again THEN list_append(y, x[1]) ELSE y END) END) AS i FROM el)"""
 register(
     "C04_silence_grid",
     lambda s, d: S.silence_fires(frames(s, d), silence_grid(s)).groupBy("policy").agg(F.count("*").alias("n"), F.sum("i").alias("at"), F.countDistinct("conv_id").alias("conversations")),
-    f"""WITH {SEG}, {FR}, {_AGES},
-    px AS (SELECT (q.n * {len(OTHERS)} + o.n) * {len(AGAINS)} + a.n AS policy, quiet, other, again FROM (SELECT unnest({QUIETS}) AS quiet, unnest(range({len(QUIETS)})) AS n) q,
-           (SELECT unnest({str(OTHERS).replace("None", "NULL")}) AS other, unnest(range({len(OTHERS)})) AS n) o, (SELECT unnest({str(AGAINS).replace("None", "NULL")}) AS again, unnest(range({len(AGAINS)})) AS n) a),
-    el AS (SELECT policy, again, conv_id, speaker, lt, list(i ORDER BY i) AS at_ FROM ag, px WHERE NOT talk AND lt >= 0 AND i - lt - 1 >= quiet AND (other IS NULL OR other_talks >= other + 1) GROUP BY ALL),
-    cm AS (SELECT policy, conv_id, unnest(CASE WHEN again IS NULL THEN at_[:1] ELSE list_reduce(list_transform(at_, lambda x: [x]), lambda y, x: CASE WHEN x[1] - y[-1] >= again THEN list_append(y, x[1]) ELSE y END) END) AS i FROM el)
-    SELECT policy::INT AS policy, count(*) AS n, sum(i)::BIGINT AS at, count(DISTINCT conv_id) AS conversations FROM cm GROUP BY policy""",
+    f"""WITH {SEG}, {FR}, {_AGES}, {_GRID}
+    SELECT policy::INT AS policy, count(*) AS n, sum(i)::BIGINT AS at, count(DISTINCT conv_id) AS conversations FROM gc GROUP BY policy""",
 )
 
 
@@ -263,7 +268,26 @@ def silence_sweep(s, d) -> DataFrame:
     return M.selection_rank(totals.join(silence_grid(s), "policy").withColumn("theta", F.col("policy").cast("double")), [], 0.5).drop("theta")
 
 
-register("M11_silence_grid", silence_sweep)
+register(
+    "M11_silence_grid",
+    silence_sweep,
+    # A channel's claims anchor by anchor: what was claimed last, then a latency for each anchor, -1e9 for none.
+    f"""WITH {SEG}, {FR}, {GOLD}, {WINDOWS}, {_AGES}, {_GRID},
+    pl AS (SELECT policy, conv_id, speaker, list(DISTINCT (i + 1) * 80 ORDER BY (i + 1) * 80) AS ps FROM gc GROUP BY ALL),
+    al AS (SELECT conv_id, speaker, list([t_ms, lo_ms, hi_ms] ORDER BY t_ms) AS a FROM win WHERE task = 'eot' GROUP BY ALL),
+    nl AS (SELECT conv_id, speaker, list([start_ms, end_ms]) AS n FROM gold WHERE task = 'eot' AND kind = 'neg' GROUP BY ALL),
+    j AS (SELECT policy, ps, coalesce(a, ([[0]]::BIGINT[][])[:0]) AS a, coalesce(n, ([[0]]::BIGINT[][])[:0]) AS n FROM pl LEFT JOIN al USING (conv_id, speaker) LEFT JOIN nl USING (conv_id, speaker)),
+    k AS (SELECT policy, list_reduce(list_prepend([-1000000]::BIGINT[], a), lambda y, e: [coalesce(list_filter(ps, lambda p: p BETWEEN e[2] AND e[3] AND p > y[1])[1], y[1])] || y[2:]
+        || [coalesce(list_filter(ps, lambda p: p BETWEEN e[2] AND e[3] AND p > y[1])[1] - e[1], -1000000000)]) AS y,
+      list_filter(ps, lambda p: len(list_filter(a, lambda e: p BETWEEN e[2] AND e[3])) = 0) AS free, n FROM j),
+    h AS (SELECT policy, list_filter(y[2:], lambda x: x > -1000000000) AS lats, len(list_filter(n, lambda m: len(list_filter(free, lambda p: p BETWEEN m[1] AND m[2])) > 0)) AS fp FROM k),
+    q AS (SELECT policy, quantile_cont(x::DOUBLE, 0.1) AS p10_ms, quantile_cont(x::DOUBLE, 0.5) AS p50_ms, quantile_cont(x::DOUBLE, 0.9) AS p90_ms FROM (SELECT policy, unnest(lats) AS x FROM h) GROUP BY policy),
+    f AS (SELECT policy, sum(len(lats)) AS tp, sum(fp) AS fp FROM h GROUP BY policy),
+    tt AS (SELECT (SELECT count(*) FROM win WHERE task = 'eot') AS pos, (SELECT count(*) FROM gold WHERE task = 'eot' AND kind = 'neg') AS neg),
+    r AS (SELECT px.policy::INT AS policy, quiet, other, again, coalesce(tp, 0)::BIGINT AS tp, (pos - coalesce(tp, 0))::BIGINT AS fn, coalesce(fp, 0)::BIGINT AS fp, (neg - coalesce(fp, 0))::BIGINT AS tn,
+      coalesce(tp, 0)::DOUBLE / pos AS recall, coalesce(fp, 0)::DOUBLE / neg AS fp_rate, p10_ms, p50_ms, p90_ms FROM px CROSS JOIN tt LEFT JOIN f USING (policy) LEFT JOIN q USING (policy))
+    SELECT *, row_number() OVER (ORDER BY coalesce(fp_rate <= 0.5, false) DESC, CASE WHEN coalesce(fp_rate <= 0.5, false) THEN recall ELSE -1.0 END DESC, fp_rate NULLS LAST, coalesce(p50_ms, 0), policy) AS rank FROM r""",
+)
 register(
     "M05_greedy_match",
     lambda s, d: M.greedy_match(preds(s, d).select("conv_id", "speaker", "t_ms"), gold(s, d).where("task = 'eot' AND kind = 'pos'").select("conv_id", "speaker", F.col("start_ms").alias("g_ms")), ["conv_id", "speaker"], 300),

@@ -223,9 +223,18 @@ register(
     rc AS (SELECT conv_id AS n, conv_id AS l, 0 AS step FROM mt UNION ALL SELECT n, min(l) AS l, max(step) AS step FROM (SELECT bo.b AS n, rc.l, step + 1 AS step FROM rc JOIN bo ON bo.a = rc.n WHERE rc.l < bo.b AND step < 12) GROUP BY n)
     SELECT n AS conv_id, min(l) AS component FROM rc GROUP BY n""",
 )
+_CLIPS = "source AS feed", "concat(source, '/', doc_id % 50) AS episode", "doc_id AS clip", "n_chars / 15.0D AS seconds"
 register(
     "K05_select_clips",
-    lambda s, d: K.select_clips(table(s, d, "documents").select(F.col("source").alias("feed"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id") % 50).alias("episode"), F.col("doc_id").alias("clip"), (F.col("n_chars") / 15.0).alias("seconds")), 36000.0, 3000.0, 600.0, "c", 5.0, 900.0),
+    lambda s, d: K.select_clips(table(s, d, "documents").selectExpr(*_CLIPS), 36000.0, 3000.0, 600.0, "c", 5.0, 900.0),
+    """WITH m AS (SELECT source AS feed, source || '/' || doc_id % 50 AS episode, doc_id AS clip, n_chars / 15.0::DOUBLE AS seconds FROM documents),
+    o AS (SELECT *, ('0x' || substr(sha256('c:' || episode || '#' || clip), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0 AS by_ FROM m WHERE seconds BETWEEN 5 AND 900),
+    l AS (SELECT feed, list({'by_': by_, 'episode': episode, 'clip': clip, 'seconds': seconds} ORDER BY by_, episode, clip) AS a FROM o GROUP BY feed),
+    -- Clip by clip: what is kept, unless the feed or the episode would be over its cap.
+    k AS (SELECT feed, unnest(list_reduce(list_prepend(a[:0], list_transform(a, lambda x: [x])), lambda y, x: CASE WHEN coalesce(list_sum(list_transform(y, lambda z: z.seconds)), 0) + x[1].seconds <= 3000
+      AND coalesce(list_sum(list_transform(list_filter(y, lambda z: z.episode = x[1].episode), lambda z: z.seconds)), 0) + x[1].seconds <= 600 THEN list_concat(y, x) ELSE y END)) AS c FROM l),
+    r AS (SELECT feed, c.episode AS episode, c.clip AS clip, c.seconds AS seconds, coalesce(sum(c.seconds) OVER (ORDER BY c.by_, c.episode, c.clip ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
+    SELECT feed, episode, clip, seconds FROM r WHERE before < 36000""",
 )
 _UNIT = "('0x' || substr(sha256('d:{}/' || conv_id), 1, 15))::BIGINT::DOUBLE / 1152921504606846976.0::DOUBLE"
 register(

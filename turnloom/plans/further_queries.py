@@ -120,5 +120,13 @@ register(
 )
 register(
     "K07_voice_bank",
-    lambda s, d: K.voice_bank(table(s, d, "documents").selectExpr("source AS speaker", "concat('g', crc32(source) % 2) AS gender", "doc_id AS utt_id", "n_chars AS ms", "doc_id % 7 AS quality")).withColumn("ids", F.array_join("ids", ",")),
+    lambda s, d: K.voice_bank(table(s, d, "documents").selectExpr("source AS speaker", "concat('g', length(source) % 2) AS gender", "doc_id AS utt_id", "n_chars AS ms", "doc_id % 7 AS quality")).withColumn("ids", F.array_join("ids", ",")),
+    """WITH u AS (SELECT source AS speaker, 'g' || length(source) % 2 AS gender, doc_id AS utt_id, n_chars AS ms, doc_id % 7 AS quality FROM documents WHERE n_chars > 0),
+    tt AS (SELECT speaker, avg(quality) AS quality, min(gender) AS gender FROM u GROUP BY speaker HAVING sum(ms) >= 6000),
+    l AS (SELECT speaker, list([ms, utt_id] ORDER BY ms DESC, utt_id) AS a FROM u WHERE ms <= 10000 GROUP BY speaker),
+    -- The length used so far, then the utterances that fitted.
+    p AS (SELECT speaker, list_reduce(list_prepend([0]::BIGINT[], a), lambda y, x: CASE WHEN y[1] + x[1] <= 10000 THEN list_append(list_prepend(y[1] + x[1] + 250, y[2:]), x[2]) ELSE y END) AS r FROM l),
+    c AS (SELECT speaker, gender, quality, r[1] - 250 AS clip_ms, array_to_string(r[2:], ',') AS ids FROM tt JOIN p USING (speaker) WHERE r[1] - 250 >= 6000),
+    g AS (SELECT *, row_number() OVER (PARTITION BY gender ORDER BY quality DESC NULLS LAST, speaker) AS place FROM c)
+    SELECT gender, place, speaker, quality, clip_ms, ids FROM g WHERE place <= 8""",
 )
