@@ -1,0 +1,42 @@
+"""Frames made by explode look as small to the planner as their segments: no plan may send them through the driver."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from turnloom.operators import anatomy as A
+from turnloom.operators import frames as R
+
+SF = "/root/testdata/sf0.001"
+SPAN = "conv_id long, speaker int, start_ms long, end_ms long"
+QUERIES = [
+    "J02_validity_spans", "R07_vap_code", "R08_targets", "R10_acts", "R10_slots", "R12_onset_label", "M17_false_events", "M17_padded", "M18_agreement", "R01_annotators", "R01_rasterize", "R02_fine_acts",
+    "R05_weights", "R08_occupancy",
+]
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_no_frames_are_broadcast(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_marks_keep_to_the_grid(spark):
+    seg = spark.createDataFrame([(1, 1, 0, 200), (1, 2, 400, 401), (None, 1, 0, 80)], SPAN).withColumn("label", F.lit("x"))
+    got = {(r.conv_id, r.speaker, r.i): r.active for r in R.rasterize(seg, 80, 500).collect()}
+    assert got == {(1, s, i): 1 for s in (1, 2) for i in range(6)} | {(None, s, 0): 0 for s in (1, 2)}
+    frames = R.rasterize(seg, 80)
+    out = R.floor_act_weights(frames, seg.where("speaker = 2"), seg.where("speaker = 1"), seg.limit(0), 80)
+    assert {(r.conv_id, r.speaker, r.i) for r in out.where("floor_w = 0").collect()} == {(1, 1, 4), (1, 2, 4)}
+    assert {(r.conv_id, r.speaker, r.i) for r in out.where("act_w = 0").collect()} == {(1, 1, 0), (1, 1, 1)}
+
+
+def test_false_events_with_and_without_pad(spark):
+    row = "conv_id long, speaker int, i long, active int"
+    active = spark.createDataFrame([(1, 1, 0, 0), (1, 2, 0, 1), (1, 1, 1, 0), (1, 2, 1, 1), (1, 1, 2, 1), (1, 2, 2, 1), (1, 1, 3, 0)], row)
+    wide = active.withColumn("active", F.when((F.col("speaker") == 1) & (F.col("i") == 1), 1).otherwise(F.col("active")))
+    fires = active.where("speaker = 1 AND i IN (1, 3)")
+    assert [(r.speaker, r.fires, r.minutes) for r in A.false_event_rate(fires, active, 60000).collect()] == [(1, 1, 2.0)]
+    assert [(r.speaker, r.fires, r.minutes) for r in A.false_event_rate(fires, active, 60000, wide).collect()] == [(1, 0, 1.0)]
