@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from turnloom.operators import anatomy as A
 from turnloom.operators import frames as R
+from turnloom.plans import stream_queries
 
 SF = "/root/testdata/sf0.001"
 SPAN = "conv_id long, speaker int, start_ms long, end_ms long"
@@ -40,3 +43,14 @@ def test_false_events_with_and_without_pad(spark):
     fires = active.where("speaker = 1 AND i IN (1, 3)")
     assert [(r.speaker, r.fires, r.minutes) for r in A.false_event_rate(fires, active, 60000).collect()] == [(1, 1, 2.0)]
     assert [(r.speaker, r.fires, r.minutes) for r in A.false_event_rate(fires, active, 60000, wide).collect()] == [(1, 0, 1.0)]
+
+
+def test_files_of_a_stream_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(stream_queries, "FRAMES_PER_FILE", 5000)
+    frames, files = stream_queries.frames(spark, SF).count(), (stream_queries._stream(spark, SF), len(spark.read.parquet(_newest(spark)).inputFiles()))[1]
+    assert files >= frames / 5000 - 1 > 4
+
+
+def _newest(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return max((f"{root}/{p}" for p in os.listdir(root) if p.startswith("stream-")), key=os.path.getmtime)
