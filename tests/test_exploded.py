@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from turnloom.operators import anatomy as A
 from turnloom.operators import frames as R
-from turnloom.plans import stream_queries
+from turnloom.plans import fixtures, stream_queries
 
 SF = "/root/testdata/sf0.001"
 SPAN = "conv_id long, speaker int, start_ms long, end_ms long"
@@ -51,6 +51,19 @@ def test_files_of_a_stream_grow_in_number(spark, monkeypatch):
     assert files >= frames / 5000 - 1 > 4
 
 
+def test_partitions_of_frames_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "ROWS_PER_PARTITION", 5000)
+    f = fixtures.frames(spark, SF)
+    assert f.rdd.getNumPartitions() >= f.count() / 5000 > 4
+
+
+def test_members_are_counted_without_distinct_groups(spark):
+    rows = [(1, "a", 0.5), (1, "b", 0.7), (2, "a", 0.5), (2, "a", 0.5), (3, "a", 0.5), (4, "a", 0.5), (4, None, 0.1), (5, "a", 1.5), (5, "b", 0.5)]
+    mean, bad = A.aligned_mean(spark.createDataFrame(rows, "k long, member string, p double"), ["k"], "p", 2)
+    assert [(r.k, round(r["mean"], 9)) for r in mean.collect()] == [(1, 0.6)] and {r.k for r in bad.collect()} == {2, 3, 4, 5}
+    assert "distinct" not in bad._jdf.queryExecution().executedPlan().toString()
+
+
 def _newest(spark):
     root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     return max((f"{root}/{p}" for p in os.listdir(root) if p.startswith("stream-")), key=os.path.getmtime)
