@@ -51,6 +51,14 @@ def test_files_of_a_stream_grow_in_number(spark, monkeypatch):
     assert files >= frames / 5000 - 1 > 4
 
 
+def test_state_of_a_stream_has_a_partition_for_each_file(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(stream_queries, "FRAMES_PER_FILE", 5000)
+    own = stream_queries._stream(spark, SF).sparkSession
+    assert int(own.conf.get("spark.sql.shuffle.partitions")) >= len(spark.read.parquet(_newest(spark)).inputFiles()) > 4
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_partitions_of_frames_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "ROWS_PER_PARTITION", 5000)
     f = fixtures.frames(spark, SF)
