@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,14 @@ def test_members_are_counted_without_distinct_groups(spark):
 def _newest(spark):
     root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     return max((f"{root}/{p}" for p in os.listdir(root) if p.startswith("stream-")), key=os.path.getmtime)
+
+
+def test_frames_are_made_after_the_shuffle(spark):
+    plan = fixtures.frames(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode")]
+
+
+@pytest.mark.parametrize("name", ["A02_turn_ends", "A03_miss_causes", "C02_recommit", "R09_eot_targets", "W11_readout"])
+def test_joins_by_frame_are_merge_joins(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[[^\]]*\bi#", plan)

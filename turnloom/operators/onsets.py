@@ -30,7 +30,7 @@ def onset_context(segments: DataFrame, track: DataFrame, step_ms: int, delays: l
         "now_i": F.expr(f"(start_ms + delay_ms) div {step_ms}"),
     })
     seen = points.withColumn("i", F.explode_outer(F.expr("IF(least(from_i, back_i) < now_i, sequence(least(from_i, back_i), now_i - 1), NULL)")))
-    met = seen.join(track.select(*CHANNEL, "i", "own", "other"), [*CHANNEL, "i"], "left")
+    met = seen.join(track.select(*CHANNEL, "i", "own", "other").hint("merge"), [*CHANNEL, "i"], "left")
     since, own, other = F.col("i") >= F.col("from_i"), F.col("own").cast("int"), F.col("other").cast("int")
     out = met.groupBy(*CHANNEL, "start_ms", "delay_ms").agg(
         F.coalesce(F.avg(F.when(since, own)), F.lit(0.0)).alias("own_share"),
