@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from turnloom.operators import anatomy as A
 from turnloom.operators import frames as R
+from turnloom.operators import silence as S
 from turnloom.plans import fixtures, stream_queries
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,10 @@ def test_frames_are_made_after_the_shuffle(spark):
 def test_joins_by_frame_are_merge_joins(spark, name):
     plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"BroadcastHashJoin \[[^\]]*\bi#", plan)
+
+
+def test_silence_policies_multiply_after_the_last_shuffle(spark):
+    track = fixtures.frames(spark, SF)
+    policies = spark.createDataFrame([(0, 2, None, None), (1, 4, 2, 19)], "policy int, quiet int, other int, again int")
+    plan = S.silence_fires(track, policies)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan[: plan.index("BroadcastNestedLoopJoin")]
