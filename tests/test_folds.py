@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from turnloom.operators import folds
+from turnloom.operators import policy as P
 from turnloom.operators import scoring as M
 from turnloom.plans import fixtures
 
@@ -72,3 +74,11 @@ def test_thresholds_multiply_after_the_last_shuffle(spark):
     track = fixtures.frames(spark, "/root/testdata/sf0.001")
     plan = M.sweep_fires(track, "eot", thetas, REFRACTORIES, RECOMMITS)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(theta" not in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_turn_policies_multiply_after_the_last_shuffle(spark):
+    rows = spark.createDataFrame([P.grid_row(f"p{n}", P.Policy(eot_th=t, min_gap=g)) for n, (t, g) in enumerate([(None, 200), (0.7, 320), (0.9, 200)])], P.GRID)
+    speech = fixtures.segments(spark, "/root/testdata/sf0.001").select("conv_id", "speaker", "start_ms", "end_ms")
+    durations = speech.groupBy("conv_id").agg(F.max("end_ms").alias("duration_ms"))
+    plan = P.turn_end_grid(speech, durations, rows, fixtures.frames(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(policy" not in plan and "hashpartitioning(eot_th" not in plan
