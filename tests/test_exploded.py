@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import re
 
 import pytest
@@ -95,3 +96,21 @@ def test_silence_policies_multiply_after_the_last_shuffle(spark):
     policies = spark.createDataFrame([(0, 2, None, None), (1, 4, 2, 19)], "policy int, quiet int, other int, again int")
     plan = S.silence_fires(track, policies)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan[: plan.index("BroadcastNestedLoopJoin")]
+
+
+@pytest.mark.parametrize("pad", [0, 300])
+def test_padded_rate_of_segments_is_that_of_frames(spark, pad):
+    rnd = random.Random(pad)
+    rows = [(rnd.choice([0, 1, 2, 3, 4, None]), rnd.choice([1, 2, 1, 2, 1, 2, 3, None]), a := rnd.randrange(0, 20000), a + rnd.choice([-50, 0, 1, 80, 500, 1000, 1500]), rnd.choice(["x", "out", None])) for _ in range(80)]
+    seg = spark.createDataFrame([*rows, (7, 1, 100, 90000, "out"), (8, 2, 100, 900, "x")], f"{SPAN}, label string")
+    fires = spark.createDataFrame([(c, s, i) for c in range(9) for s in (1, 2) for i in range(0, 300, 3)], "conv_id long, speaker int, i long")
+    want = A.false_event_rate(fires, R.rasterize(seg, 80, 0, ["out"]), 80, R.rasterize(seg, 80, pad, ["out"]))
+    got = A.padded_false_event_rate(fires, seg, 80, pad, ["out"])
+    told = lambda df: sorted((r.speaker, r.fires, round(r.minutes, 9), round(r.per_minute, 9)) for r in df.collect())
+    assert told(got) == told(want) and len(told(got)) == 2
+    assert got.dtypes == want.dtypes
+
+
+def test_padded_rate_shuffles_no_frames(spark):
+    plan = __spark_entry__.queries()["M17_padded"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*\bi#", plan) and plan.count("Generate explode(sequence") == 1  # those that the fires are found in

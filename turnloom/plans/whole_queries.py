@@ -177,9 +177,7 @@ register(
 )
 register(
     "M17_padded",
-    lambda s, d: A.false_event_rate(
-        C.rising_edges(frames(s, d), F.col("int"), F.lit(0.45)), R.rasterize(annotated(s, d), 80, 0, NO_ACTIVITY), 80, R.rasterize(annotated(s, d), 80, 300, NO_ACTIVITY)
-    ),
+    lambda s, d: A.padded_false_event_rate(C.rising_edges(frames(s, d), F.col("int"), F.lit(0.45)), annotated(s, d), 80, 300, NO_ACTIVITY),
     f"""WITH {SEG}, {FR}, {ANNOTATED}, {_WIDE}, f AS (SELECT conv_id, speaker, i FROM (SELECT *, coalesce(lag(int) OVER ({CH}), 0) AS b FROM fr) WHERE int > 0.45 AND NOT b > 0.45),
     q AS (SELECT nr.conv_id, 3 - nr.speaker AS speaker, nr.i FROM nr JOIN gn USING (conv_id, speaker, i) LEFT JOIN wd ON wd.conv_id = nr.conv_id AND wd.speaker = 3 - nr.speaker AND wd.i = nr.i WHERE wd.i IS NULL)
     SELECT q.speaker, count(f.i) AS fires, count(*) * 80 / 60000.0::DOUBLE AS minutes, count(f.i) / (count(*) * 80 / 60000.0::DOUBLE) AS per_minute FROM q LEFT JOIN f USING (conv_id, speaker, i) GROUP BY q.speaker""",
